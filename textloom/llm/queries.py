@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from textloom.llm import simhash
+from textloom.llm import simhash, toxicity
 
 QUERIES = {
     "op4_simhash": simhash.op4_simhash,
+    "op10_toxicity": toxicity.op10_toxicity,
 }
 ORACLE_SQL: dict[str, str] = {}
