@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-from textloom.llm import simhash, toxicity
+from textloom.llm import decontaminate, lines, secrets, simhash, toxicity
 
 QUERIES = {
     "op4_simhash": simhash.op4_simhash,
+    "op6_line_dedup": lines.op6_line_dedup,
+    "op8_decontaminate": decontaminate.op8_decontaminate,
+    "op9_secrets": secrets.op9_secrets,
     "op10_toxicity": toxicity.op10_toxicity,
 }
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op6_line_dedup": lines.ORACLE}

@@ -5,7 +5,9 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 #: Rows of an Arrow batch on the way to Python, so that a batch of long texts stays small.
 ARROW_ROWS = 1000
@@ -22,6 +24,16 @@ def shared_dir(spark: SparkSession) -> str:
     return context._jsc.sc().getCheckpointDir().get().rstrip("/")
 
 
+def as_row(df: DataFrame) -> Column:
+    """All columns in one struct ``row``, so that columns that an operator adds can't clash with their names."""
+    return F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row")
+
+
+def row_schema(rows: DataFrame, more: str) -> StructType:
+    """The schema of ``row`` and of further columns given in DDL."""
+    return StructType([rows.schema["row"], *StructType.fromDDL(more).fields])
+
+
 class Scratch:
     """Tables written as Parquet and read again: this cuts lineage, survives lost executors, and gives the optimizer real sizes.
 
