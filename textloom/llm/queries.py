@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from textloom.llm import decontaminate, lines, secrets, simhash, toxicity, vectors
+from textloom.llm import bpe, decontaminate, lines, secrets, simhash, toxicity, vectors
 
 QUERIES = {
     "op2_vectors": vectors.op2_vectors,
+    "op3_bpe": bpe.op3_bpe,
     "op4_simhash": simhash.op4_simhash,
     "op6_line_dedup": lines.op6_line_dedup,
     "op8_decontaminate": decontaminate.op8_decontaminate,
