@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from textloom.llm import bpe, decontaminate, lines, secrets, simhash, toxicity, vectors
+from textloom.llm import bpe, decontaminate, lines, secrets, simhash, toxicity, vectors, warc
 
 QUERIES = {
+    "op1_warc": warc.op1_warc,
     "op2_vectors": vectors.op2_vectors,
     "op3_bpe": bpe.op3_bpe,
     "op4_simhash": simhash.op4_simhash,
@@ -13,4 +14,4 @@ QUERIES = {
     "op9_secrets": secrets.op9_secrets,
     "op10_toxicity": toxicity.op10_toxicity,
 }
-ORACLE_SQL: dict[str, str] = {"op6_line_dedup": lines.ORACLE}
+ORACLE_SQL: dict[str, str] = {"op1_warc": warc.ORACLE, "op6_line_dedup": lines.ORACLE}
