@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from textloom.llm import bpe, decontaminate, lines, secrets, simhash, toxicity, vectors, warc
+from textloom.llm import bpe, decontaminate, lines, pii, secrets, simhash, toxicity, vectors, warc
 
 QUERIES = {
     "op1_warc": warc.op1_warc,
@@ -10,6 +10,7 @@ QUERIES = {
     "op3_bpe": bpe.op3_bpe,
     "op4_simhash": simhash.op4_simhash,
     "op6_line_dedup": lines.op6_line_dedup,
+    "op7_pii": pii.op7_pii,
     "op8_decontaminate": decontaminate.op8_decontaminate,
     "op9_secrets": secrets.op9_secrets,
     "op10_toxicity": toxicity.op10_toxicity,
