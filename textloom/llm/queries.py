@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from textloom.llm import bpe, decontaminate, lines, pii, secrets, simhash, toxicity, vectors, warc
+from textloom.llm import bpe, decontaminate, lines, pii, secrets, simhash, substrings, toxicity, vectors, warc
 
 QUERIES = {
     "op1_warc": warc.op1_warc,
     "op2_vectors": vectors.op2_vectors,
     "op3_bpe": bpe.op3_bpe,
     "op4_simhash": simhash.op4_simhash,
+    "op5_substrings": substrings.op5_substrings,
     "op6_line_dedup": lines.op6_line_dedup,
     "op7_pii": pii.op7_pii,
     "op8_decontaminate": decontaminate.op8_decontaminate,
