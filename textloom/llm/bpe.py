@@ -5,11 +5,13 @@ from __future__ import annotations
 import hashlib
 import os
 import re
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -34,25 +36,37 @@ def split_words(text: str) -> list[str]:
     return [w for w in _GAPS.split(text) if w] if _ODD.search(text) else text.split()
 
 
-def _pack(docs: DataFrame, block_bytes: int) -> DataFrame:
-    """Rows of two kinds: each document's words as numbers in its block's list, and the lists."""
+def pack_ints(x: np.ndarray) -> bytes:
+    """Unsigned 32-bit integers, all first bytes before all second ones and so on, which compresses well."""
+    return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(x, "<u4").view(np.uint8).reshape(-1, 4).T.tobytes())
+
+
+def unpack_ints(raw: bytes) -> np.ndarray:
+    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(raw), np.uint8)
+    return np.ascontiguousarray(planes.reshape(4, -1).T).view("<u4").ravel()
+
+
+_PACKED = pa.schema([("doc_id", pa.int64()), ("block", pa.int64()), ("positions", pa.binary()), ("bucket", pa.int64()), ("words", pa.binary()), ("numbers", pa.binary())])
+
+
+def _pack(docs: DataFrame, block_bytes: int, buckets: int) -> DataFrame:
+    """Rows of two kinds: each document's words as numbers in its block's list, and the lists, dealt into packets by a hash of the word."""
 
     def run(batches):
         task = TaskContext.get().partitionId()
         number: dict[str, int] = {}
-        block, size = 0, 0
-
-        def name() -> int:
-            return task * 1_000_003 + block
-
-        def words() -> Iterator[pa.RecordBatch]:
-            listed = list(number)
-            for at in range(0, len(listed), 50_000):
-                some = listed[at : at + 50_000]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.nulls(len(some), pa.int64()), pa.array([name()] * len(some), pa.int64()), pa.nulls(len(some), pa.binary()), pa.array(some, pa.string()), pa.array(np.arange(at, at + len(some)), pa.int64())],
-                    ["doc_id", "block", "positions", "word", "number"],
-                )
+        block, size = task * 1_000_003, 0
+
+        def packets() -> pa.RecordBatch:
+            words = list(number)
+            of = np.fromiter((zlib.crc32(w.encode()) % buckets for w in words), np.int64, len(words))
+            order = np.argsort(of, kind="stable")
+            cut = np.flatnonzero(np.diff(of[order], prepend=-1))
+            parts = [order[s:e] for s, e in zip(cut, [*cut[1:], len(order)], strict=True)]
+            n, compress = len(parts), zstandard.ZstdCompressor(level=1).compress
+            texts = [compress("\n".join([words[k] for k in p.tolist()]).encode()) for p in parts]
+            cols = [[None] * n, [block] * n, [None] * n, [int(of[p[0]]) for p in parts], texts, list(map(pack_ints, parts))]
+            return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(cols, _PACKED, strict=True)], schema=_PACKED)
 
         for b in batches:
             packed = []
@@ -61,32 +75,43 @@ def _pack(docs: DataFrame, block_bytes: int) -> DataFrame:
                 for w in found:
                     if w not in number:
                         number[w] = len(number)
-                packed.append(np.fromiter(map(number.__getitem__, found), "<u4", len(found)).tobytes())
+                packed.append(pack_ints(np.fromiter(map(number.__getitem__, found), "<u4", len(found))))
                 size += len(x) if x else 0
             n = b.num_rows
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([name()] * n, pa.int64()), pa.array(packed, pa.binary()), pa.nulls(n, pa.string()), pa.nulls(n, pa.int64())], ["doc_id", "block", "positions", "word", "number"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([block] * n, pa.int64()), pa.array(packed, pa.binary()), *(pa.nulls(n, f.type) for f in list(_PACKED)[3:])], schema=_PACKED)
             if size > block_bytes:
-                yield from words()
+                yield packets()
                 number.clear()
                 block, size = block + 1, 0
-        yield from words()
+        if number:
+            yield packets()
 
-    return docs.mapInArrow(run, "doc_id long, block long, positions binary, word string, number long")
+    return docs.mapInArrow(run, "doc_id long, block long, positions binary, bucket long, words binary, numbers binary")
 
 
 def _encode(tokenizer: str):
-    """Each distinct word's ids, by the tokenizer itself."""
+    """The packets' ids. A word's packets meet in one task, in order of bucket, where the tokenizer encodes it once."""
 
     def run(batches):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        t = Tokenizer.from_file(tokenizer)
+        t, open_zstd = Tokenizer.from_file(tokenizer), zstandard.ZstdDecompressor().decompress
         t.no_truncation()
         t.no_padding()
+        table: dict[str, list[int]] = {}
+        last = None
         for b in batches:
-            got = t.encode_batch_fast(b.column(0).to_pylist(), add_special_tokens=False)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([np.array(e.ids, "<u4").tobytes() for e in got], pa.binary())], ["word", "ids"])
+            for bucket, block, words, numbers in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                if bucket != last:
+                    table, last = {}, bucket
+                listed = open_zstd(words).decode().split("\n")
+                fresh = [w for w in listed if w not in table]
+                table.update(zip(fresh, (e.ids for e in t.encode_batch_fast(fresh, add_special_tokens=False)), strict=True))
+                ids = [table[w] for w in listed]
+                flat = np.fromiter((i for x in ids for i in x), "<u4")
+                size = np.fromiter(map(len, ids), "<u4", len(ids))
+                yield pa.RecordBatch.from_arrays([pa.array([block], pa.int64()), pa.array([numbers], pa.binary()), pa.array([pack_ints(size)], pa.binary()), pa.array([pack_ints(flat)], pa.binary())], ["of", "numbers", "sizes", "ids"])
 
     return run
 
@@ -104,18 +129,17 @@ def _assemble(pieces: list[str | None]):
     table = pa.array([None if p is None else p.encode() for p in pieces], pa.binary())
 
     def run(key, left: pa.Table, right: pa.Table) -> pa.Table:
-        right = right.sort_by("number")
-        ids = right.column("ids").combine_chunks() if right.num_rows else pa.array([], pa.binary())
-        flat = np.frombuffer(b"".join(ids.to_pylist()), "<u4")
-        length = pc.binary_length(ids).to_numpy(zero_copy_only=False).astype(np.int64) // 4
-        begin = np.cumsum(length) - length
+        number, size, ids = (np.concatenate([np.zeros(0, "<u4"), *map(unpack_ints, right.column(c).to_pylist())]) for c in ("numbers", "sizes", "ids"))
+        length, begin = np.zeros(len(number), np.int64), np.zeros(len(number), np.int64)
+        length[number] = size
+        begin[number] = np.cumsum(size, dtype=np.int64) - size
         out = {"doc_id": [], "n_tokens": [], "ids_sha256": [], "decoded_sha256": []}
         for doc_id, raw in zip(left.column("doc_id").to_pylist(), left.column("positions").to_pylist(), strict=True):
-            at = np.frombuffer(raw, "<u4")
+            at = unpack_ints(raw)
             n = length[at]
             ends = np.cumsum(n)
             total = int(ends[-1]) if len(n) else 0
-            mine = flat[np.repeat(begin[at] - (ends - n), n) + np.arange(total)] if total else flat[:0]
+            mine = ids[np.repeat(begin[at] - (ends - n), n) + np.arange(total)] if total else ids[:0]
             text = pc.binary_join(pa.ListArray.from_arrays(pa.array([0, total], pa.int32()), table.take(pa.array(mine))), b" ")[0].as_py() if total else b""
             out["doc_id"].append(doc_id)
             out["n_tokens"].append(total)
@@ -130,22 +154,23 @@ def encode_decode(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", *
     """(doc_id, n_tokens, ids_sha256, decoded_sha256) for each row of ``docs``.
 
     Texts are split once; a block of up to ``block_bytes`` of text keeps the list of its distinct words and each text as
-    numbers in that list. The words of all lists are made distinct, encoded once each, and joined back to the lists;
-    a document's ids are its positions' entries, its decoded text their pieces (as the tokenizer's decode joins them). The packed
-    texts lie bucketed by block, so that they meet their lists without another shuffle. A null or empty text has no
+    numbers in that list. The lists are dealt by a hash of the word, so that equal words meet in one table, where each is
+    encoded once, and go back to their blocks by number; a document's ids are its positions' entries, its decoded text
+    their pieces (as the tokenizer's decode joins them). Lists move in packets, one for a block and a bucket of words; the
+    packed texts lie bucketed by block, so that they meet their lists without another shuffle. A null or empty text has no
     tokens and decodes to the empty text; rows with a null or repeated doc_id are rows like others; other columns are ignored.
     """
     spark, tokenizer = docs.sparkSession, tokenizer or default_tokenizer()
     scratch = Scratch(spark, "bpe")
-    packed = _pack(docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")), block_bytes)
-    name, path, n = f"textloom_{scratch.root.rsplit('-', 1)[1]}", scratch.path("packed"), int(spark.conf.get("spark.sql.shuffle.partitions"))
-    kind = F.when(F.col("number").isNull(), "text").otherwise("word").alias("kind")
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    packed = _pack(docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")), block_bytes, 4 * n)
+    name, path = f"textloom_{scratch.root.rsplit('-', 1)[1]}", scratch.path("packed")
+    kind = F.when(F.col("bucket").isNull(), "text").otherwise("word").alias("kind")
     packed.select("*", kind).write.option("compression", "zstd").option("path", path).partitionBy("kind").bucketBy(n, "block").saveAsTable(name)
     try:
         texts = spark.table(name).where("kind = 'text'").select("doc_id", "block", "positions")
-        words = spark.table(name).where("kind = 'word'").select("block", "word", "number")
-        encoded = scratch.write(words.select("word").distinct().mapInArrow(_encode(tokenizer), "word string, ids binary"), "encoded")
-        lists = words.join(encoded, "word").select(F.col("block").alias("of"), "number", "ids")
+        words = spark.table(name).where("kind = 'word'").select("bucket", F.col("block").alias("of"), "words", "numbers")
+        lists = words.repartition(n, "bucket").sortWithinPartitions("bucket").mapInArrow(_encode(tokenizer), "of long, numbers binary, sizes binary, ids binary")
         out = texts.groupBy("block").cogroup(lists.groupBy("of")).applyInArrow(_assemble(pieces_of(tokenizer)), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
         return scratch.keep(out)
     finally:
