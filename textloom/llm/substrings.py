@@ -16,7 +16,7 @@ from textloom.llm.scratch import Scratch
 #: Bytes of a repeated string; of the grams whose buckets are the first; contexts of a bucket that one task refines at most.
 LENGTH, GRAM, CONTEXTS = 400, 32, 512
 #: Positions that are looked at in one piece, and bytes that are refined in one go.
-_PIECE, _GO = 1 << 22, 4 << 20
+_PIECE, _GO = 1 << 22, 1 << 20
 _MIX = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0xFF51AFD7ED558CCD)]
 _POS = np.uint64((1 << 24) - 1)
 
@@ -58,31 +58,42 @@ def anchors(raw: bytes, length: int = LENGTH) -> Iterator[tuple[int, int, int, i
         yield from zip(h[p].view(np.int64).tolist(), (p + at).tolist(), (first + at).tolist(), (last + at).tolist(), strict=True)
 
 
-def refine(texts: list[bytes], length: int = LENGTH) -> list[np.ndarray]:
+def _buckets(key: np.ndarray) -> np.ndarray:
+    """A bucket for each key that occurs twice or more, -1 for the others."""
+    out = np.full(len(key), -1, np.int64)
+    if not len(key):
+        return out
+    slots = ((key.astype(np.uint64) * _MIX[0]) >> np.uint64(64 - max(1, len(key).bit_length() + 2))).astype(np.int64)
+    some = np.flatnonzero(np.bincount(slots)[slots] > 1)  # the others are alone for sure
+    _, bucket, n = np.unique(key[some], return_inverse=True, return_counts=True)
+    out[some] = np.where(n[bucket] > 1, bucket, -1)
+    return out
+
+
+def refine(texts: list[bytes], length: int = LENGTH, gram: int = GRAM) -> list[np.ndarray]:
     """For each text, which of its starts have a string of ``length`` bytes that also starts elsewhere in ``texts``.
 
-    The first buckets are the 8-grams. A position's bucket for twice the bytes is found by sorting on the pointers to the
-    buckets of itself and of the position that many bytes later; buckets of one leave the sort, and what a round
-    finds is the next one's input. The last round overlaps, to end at ``length`` exactly. ``length`` is 8 at least.
+    The first buckets are those of the grams' hashes. A position's bucket for twice the bytes is found by sorting on the
+    pointers to the buckets of itself and of the position that many bytes later; buckets of one leave the sort, and what a
+    round finds is the next one's input. The last round overlaps, to end at ``length`` exactly. A wrong match would need
+    64-bit collisions of all ``length / gram`` grams of two strings.
     """
     raw = b"".join(texts)
     size = np.fromiter(map(len, texts), np.int64, len(texts))
     ends = np.cumsum(size)
-    room = np.repeat(ends, size) - np.arange(len(raw))  # bytes up to the end of the own text
-    name = np.full(len(raw) + length, -1, np.int64)
-    if len(raw) >= 8:
-        p = np.flatnonzero(room >= 8)
-        _, bucket, n = np.unique(_loads(raw, len(raw) - 7)[p], return_inverse=True, return_counts=True)
-        name[p] = np.where(n[bucket] > 1, bucket, -1)
-    known = 8
-    while known < length:
-        step = min(known, length - known)
-        p = np.flatnonzero((name[: len(raw)] >= 0) & (room >= known + step))
-        p = p[name[p + step] >= 0]
-        _, bucket, n = np.unique(name[p] << 32 | name[p + step], return_inverse=True, return_counts=True)
-        name = np.full(len(name), -1, np.int64)
-        name[p] = np.where(n[bucket] > 1, bucket, -1)
-        known += step
+    name, known = np.full(len(raw) + length, -1, np.int64), min(gram, length)
+    if len(raw) >= gram:
+        room = np.repeat(ends, size) - np.arange(len(raw))  # bytes up to the end of the own text
+        p = np.flatnonzero(room >= known)
+        name[p] = _buckets(gram_hashes(raw)[p])
+        while known < length:
+            step = min(known, length - known)
+            p = np.flatnonzero(name[: len(raw)] >= 0)
+            p = p[(name[p + step] >= 0) & (room[p] >= known + step)]
+            bucket = _buckets(name[p] << 32 | name[p + step])
+            name = np.full(len(name), -1, np.int64)
+            name[p] = bucket
+            known += step
     return [name[e - s : max(e - s, e - length + 1)] >= 0 for s, e in zip(size.tolist(), ends.tolist(), strict=True)]
 
 
@@ -265,6 +276,7 @@ def repeated_spans(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
         cut = scratch.write(bucketed.where(F.size("wanted") > 0).mapInArrow(_cut(length), _CONTEXT), "cut")
         ranges = [(0, length - GRAM + 1)]
         while ranges:
+            cut = cut.select("g", "c", "rep", "pos", "l0", "l1", "contexts", "ctx")
             small = cut.where(F.col("contexts") <= contexts)
             parts.append(scratch.write(small.repartition("g").sortWithinPartitions("g").mapInArrow(_refined(length), "c binary, rep long, s long, e long"), "refined"))
             large = cut.where(F.col("contexts") > contexts)
