@@ -57,11 +57,9 @@ def forest(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
     label = np.arange(n, dtype=np.int64)
     while len(i):
         low = np.minimum(label[i], label[j])
-        before = label.copy()
-        np.minimum.at(label, before[i], low)
-        np.minimum.at(label, before[j], low)
-        np.minimum.at(label, i, low)
-        np.minimum.at(label, j, low)
+        roots_i, roots_j = label[i], label[j]  # only roots are hooked, so that no link between trees is forgotten
+        np.minimum.at(label, roots_i, low)
+        np.minimum.at(label, roots_j, low)
         while not np.array_equal(label, jumped := label[label]):
             label = jumped
         open_ = label[i] != label[j]

@@ -74,6 +74,7 @@ def fingerprints(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", sh
 
 def tile_links(a: np.ndarray, b: np.ndarray | None, radius: int) -> tuple[np.ndarray, np.ndarray]:
     """Index pairs into a and b (b None: a with itself, i < j) of fingerprints within the radius."""
+    a, b = (None if x is None else x.astype(np.int64).view(np.uint64) for x in (a, b))  # bits of signed numbers are counted without their sign
     if b is None:
         i, j = np.nonzero(np.bitwise_count(a[:, None] ^ a[None, :]) <= radius)
         return i[i < j], j[i < j]
