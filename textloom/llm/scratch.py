@@ -9,8 +9,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-#: Rows of an Arrow batch on the way to Python, so that a batch of long texts stays small.
-ARROW_ROWS = 1000
+#: Rows and bytes of an Arrow batch on the way to Python, so that a batch of long texts stays small.
+ARROW_ROWS, ARROW_BYTES = 500, 4 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -44,6 +44,7 @@ class Scratch:
         self.spark, self.root, self.paths, self.n = spark, f"{shared_dir(spark)}/textloom/{name}-{uuid.uuid4().hex}", {}, 0
         if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > ARROW_ROWS:
             spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", ARROW_ROWS)
+            spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", ARROW_BYTES)
 
     def path(self, label: str) -> str:
         self.n += 1
@@ -51,7 +52,7 @@ class Scratch:
 
     def write(self, df: DataFrame, label: str) -> DataFrame:
         path = self.path(label)
-        df.write.option("compression", "zstd").parquet(path)
+        df.write.parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)
         self.paths[id(out)] = (out, path)
         return out

@@ -74,8 +74,8 @@ def _log(counts: np.ndarray) -> np.ndarray:
 def train(docs: DataFrame, text: str = "text") -> Markov:
     """Fits both models over all documents.
 
-    Labelled by the fixed patterns: what they match is a random string, all other letters of the corpus are ordinary
-    identifiers; to the former the made strings are added. Each task sends two tables of SIZE * SIZE sums at most.
+    Labelled by the fixed patterns: keys and hexadecimal strings that they match are random strings, all other letters of
+    the corpus, but for the candidates to be judged, are ordinary identifiers; to the former the made strings are added. Each task sends two tables of SIZE * SIZE sums at most.
     """
 
     def count(batches):
@@ -84,8 +84,8 @@ def train(docs: DataFrame, text: str = "text") -> Markov:
             for x in b.column(0).to_pylist():
                 if x:
                     at, rest = 0, []
-                    for s, e, kind in sorted(base_spans(x)):
-                        if kind != "assign":
+                    for s, e, kind in sorted([*base_spans(x), *((s, e, "candidate") for s, e in candidates(x))]):
+                        if kind in ("access", "hex"):
                             random += _pairs(x[s:e].encode())
                         if s >= at:
                             rest.append(x[at:s])
@@ -104,20 +104,23 @@ def train(docs: DataFrame, text: str = "text") -> Markov:
     return Markov(_log(random) - _log(plain))
 
 
-def random_spans(text: str, model: Markov, taken: list[tuple[int, int, str]], cut: float = CUT) -> list[tuple[int, int, str]]:
-    """Strings of 16 letters or more outside the spans in ``taken``, with letters and at least two digits, that the random model favours by ``cut`` a letter."""
+def candidates(text: str) -> list[tuple[int, int]]:
+    """Strings of 16 letters of the alphabet or more, with letters and at least two digits, without marks at their ends."""
     out = []
     for m in _TOKEN.finditer(text):
-        s, token = m.start(), m.group().rstrip("-_=")
-        s, token = s + len(token) - len(token := token.lstrip("-_=+/")), token
-        if len(token) < 16 or sum(c.isdigit() for c in token) < 2 or not any(c.isalpha() for c in token):
-            continue
-        e = s + len(token)
-        if model.rate(token) >= cut and not any(a < e and s < b for a, b, _ in taken):
-            out.append((s, e, "random"))
+        token = m.group().rstrip("-_=")
+        s = m.end() - len(m.group().lstrip("-_=+/"))
+        token = text[s : m.start() + len(token)]
+        if len(token) >= 16 and sum(c.isdigit() for c in token) >= 2 and any(c.isalpha() for c in token):
+            out.append((s, s + len(token)))
     return out
 
 
+def random_spans(text: str, model: Markov, taken: list[tuple[int, int, str]], cut: float = CUT) -> list[tuple[int, int, str]]:
+    """Candidates outside the spans in ``taken`` that the random model favours by ``cut`` a letter."""
+    return [(s, e, "random") for s, e in candidates(text) if model.rate(text[s:e]) >= cut and not any(a < e and s < b for a, b, _ in taken)]
+
+
 def _joined(spans: list[tuple[int, int, str]]) -> str:
     return ",".join(f"{k}:{s}:{e}" for s, e, k in sorted(spans, key=lambda x: (x[0], KINDS.index(x[2]), x[1])))
 
