@@ -1,6 +1,6 @@
 """Imports every module that registers queries."""
 
-from textloom.operators import retrieval  # noqa: F401
+from textloom.operators import analytics, retrieval  # noqa: F401
 from textloom.registry import ORACLES, QUERIES  # noqa: F401
 
 FLAGSHIP = "hybrid_fusion"
