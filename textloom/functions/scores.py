@@ -76,8 +76,8 @@ def status(urgent: Column, action: Column, question: Column, kind: Column) -> Co
 
 def critic(scores: list[Column]) -> Column:
     """The weighted mean of seven scores, those outside 0 to 5 counting 2.5."""
-    inside = lambda c: F.when(c.between(0, 5), c).otherwise(2.5)
-    return F.round(reduce(lambda a, b: a + b, (inside(c) * w for c, w in zip(scores, CRITIC_WEIGHTS, strict=True))), 2)
+    inside = lambda c: F.when(c.between(0, 5), c.cast("decimal(6,3)")).otherwise(F.lit("2.5").cast("decimal(6,3)"))
+    return F.round(reduce(lambda a, b: a + b, (inside(c) * F.lit(str(w)).cast("decimal(4,2)") for c, w in zip(scores, CRITIC_WEIGHTS, strict=True))), 2)
 
 
 def bm25(tf: Column, length: Column, average: Column, idf: Column, k1: float = 1.5, b: float = 0.75) -> Column:
