@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+import datetime
 import email
 import email.policy
 import email.utils
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -20,7 +21,11 @@ CHAT_LINES = (
     (r"(\d{4}-\d{2}-\d{2} \d{1,2}:\d{2}(?::\d{2})?) - ([^:]+): (.*)", ("yyyy-MM-dd H:mm",)),
     (r"\[(\d{1,2}/\d{1,2}/\d{2,4}, \d{1,2}:\d{2}(?::\d{2})?\s?(?:[AP]M)?)\] ([^:]+): (.*)", ("M/d/yy, h:mm a", "M/d/yy, H:mm")),
 )
-MAIL = "message_id string, subject string, sender string, recipients array<string>, sent timestamp, in_reply_to string, references array<string>, thread_id string, body string, attachments array<string>"
+MAIL = "message_id string, subject string, sender string, recipients array<string>, sent timestamp_ntz, in_reply_to string, references array<string>, body string, attachments array<string>"
+
+_MAIL_ARROW = pa.schema(
+    [(k, pa.string()) for k in ("path", "message_id", "subject", "sender")] + [("recipients", pa.list_(pa.string())), ("sent", pa.timestamp("us")), ("in_reply_to", pa.string()), ("references", pa.list_(pa.string())), ("body", pa.string()), ("attachments", pa.list_(pa.string()))]
+)
 
 
 def is_chat(c: Column) -> Column:
@@ -82,7 +87,7 @@ def _message(raw: bytes | None) -> dict | None:
         body = "\n".join(p.get_content() for p in m.walk() if p.get_content_type() == "text/html" and not p.get_filename())
     return {
         "message_id": flat("message-id"), "subject": flat("subject"), "sender": flat("from"), "recipients": [a for _, a in email.utils.getaddresses([str(m[k]) for k in ("to", "cc") if m[k]])],
-        "sent": pd.Timestamp(sent).tz_convert("UTC").tz_localize(None) if sent and sent.tzinfo else pd.Timestamp(sent) if sent else None, "in_reply_to": flat("in-reply-to"), "references": (flat("references") or "").split(), "body": body,
+        "sent": sent.astimezone(datetime.timezone.utc).replace(tzinfo=None) if sent and sent.tzinfo else sent, "in_reply_to": flat("in-reply-to"), "references": (flat("references") or "").split(), "body": body,
         "attachments": [p.get_filename() for p in m.walk() if p.get_filename()],
     }
 
@@ -90,11 +95,12 @@ def _message(raw: bytes | None) -> dict | None:
 def messages(files: DataFrame, content: str = "content") -> DataFrame:
     """E-mail files (path, content) with their parsed fields."""
 
-    @F.pandas_udf(MAIL)
-    def parse(raw: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame([_message(x) or {} for x in raw], columns=[f.split()[0] for f in MAIL.split(", ")])
+    def parse(batches):
+        for b in batches:
+            rows = [{"path": p, **(_message(raw) or {})} for p, raw in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_pylist(rows, _MAIL_ARROW)
 
-    parsed = files.select("path", parse(F.col(content)).alias("m")).select("path", "m.*")
+    parsed = files.select("path", F.col(content).alias("content")).mapInArrow(parse, f"path string, {MAIL}")
     return parsed.withColumn("thread_id", text.thread_id(F.coalesce("subject", F.lit(""))))
 
 
