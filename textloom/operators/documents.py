@@ -178,9 +178,9 @@ def priorities(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", scores.priority(u, a, q, t).alias("priority"), scores.status(u, a, q, F.when(F.col("lang") == "en", "pdf").otherwise("email")).alias("status"))
 
 
-@query("critic_scores", "SELECT doc_id, round(" + " + ".join(f"CASE WHEN (doc_id * {k + 3}) % 8 BETWEEN 0 AND 5 THEN (doc_id * {k + 3}) % 8 ELSE 2.5 END * {w}" for k, w in enumerate(scores.CRITIC_WEIGHTS)) + ", 2) AS overall FROM documents WHERE doc_id % 8 <> 0")
+@query("critic_scores", "SELECT doc_id, round(" + " + ".join(f"CASE WHEN (doc_id * {k + 3}) % 8 BETWEEN 0 AND 5 THEN (doc_id * {k + 3}) % 8 ELSE 2.5 END * {w}" for k, w in enumerate(scores.CRITIC_WEIGHTS)) + ", 2) AS overall FROM documents")
 def critic_scores(spark, sf_dir):
-    return table(spark, sf_dir, "documents").where("doc_id % 8 <> 0").select("doc_id", scores.critic([(F.col("doc_id") * (k + 3) % 8).cast("decimal(4,1)") for k in range(7)]).alias("overall"))
+    return table(spark, sf_dir, "documents").select("doc_id", scores.critic([(F.col("doc_id") * (k + 3) % 8).cast("decimal(4,1)") for k in range(7)]).alias("overall"))
 
 
 def confidence(hits: DataFrame, words: list[str]) -> DataFrame:

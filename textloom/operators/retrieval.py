@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -165,12 +166,12 @@ def hybrid_search(spark, sf_dir):
 
 
 @query("context_assembly", f"""WITH {_BM25.format(terms=_TERMS)}, top AS (SELECT doc_id, row_number() OVER (ORDER BY round(score, 9) DESC, doc_id) AS rank FROM lex QUALIFY rank <= 5)
-SELECT string_agg('[Chunk ' || rank || '] Source: ' || source || chr(10) || substr(text, 1, 200), chr(10) || chr(10) || '---' || chr(10) || chr(10) ORDER BY rank) AS context FROM top JOIN documents USING (doc_id)""")
+SELECT string_agg('[Chunk ' || rank || '] Source: ' || source || chr(10) || text, chr(10) || chr(10) || '---' || chr(10) || chr(10) ORDER BY rank) AS context FROM top JOIN documents USING (doc_id)""")
 def context_assembly(spark, sf_dir):
     """The prompt context of the best hits."""
     docs = table(spark, sf_dir, "documents")
     top = bm25_search(docs, QUERY_TERMS, 40).withColumn("rank", F.row_number().over(Window.orderBy(F.desc(F.round("score", 9)), "doc_id"))).where("rank <= 5")
-    part = F.concat(F.lit("[Chunk "), F.col("rank").cast("string"), F.lit("] Source: "), "source", F.lit("\n"), F.substring("text", 1, 200))
+    part = F.concat(F.lit("[Chunk "), F.col("rank").cast("string"), F.lit("] Source: "), "source", F.lit("\n"), "text")
     rows = top.join(docs, "doc_id").agg(F.array_sort(F.collect_list(F.struct("rank", part.alias("part")))).alias("parts"))
     return rows.select(F.array_join(F.transform("parts", lambda x: x["part"]), "\n\n---\n\n").alias("context"))
 
@@ -178,7 +179,11 @@ def context_assembly(spark, sf_dir):
 def evaluate(retrieved: DataFrame, gold: DataFrame, ks: tuple[int, ...] = (5, 10)) -> DataFrame:
     """Per query precision and recall at each k and the reciprocal rank of the first hit; retrieved (query_id, doc_id, rank), gold (query_id, doc_id)."""
     hit = retrieved.join(gold.withColumn("hit", F.lit(1)), ["query_id", "doc_id"], "left").na.fill(0, ["hit"])
-    total = gold.groupBy("query_id").agg(F.count("*").alias("expected"))
+    return measured(hit, gold.groupBy("query_id").agg(F.count("*").alias("expected")), ks)
+
+
+def measured(hit: DataFrame, total: DataFrame, ks: tuple[int, ...] = (5, 10)) -> DataFrame:
+    """The metrics of ranked hits (query_id, rank, hit) given what each query expects (query_id, expected)."""
     out = hit.groupBy("query_id").agg(
         *(F.sum(F.when(F.col("rank") <= k, F.col("hit")).otherwise(0)).alias(f"hits_{k}") for k in ks), F.count("*").alias("found"), F.min(F.when(F.col("hit") == 1, F.col("rank"))).alias("first"),
     ).join(total, "query_id", "right")
@@ -189,26 +194,75 @@ def evaluate(retrieved: DataFrame, gold: DataFrame, ks: tuple[int, ...] = (5, 10
     )
 
 
-_EVAL = """WITH q AS (SELECT vec_id AS query_id, embedding, label FROM embeddings WHERE vec_id < 20),
+_EVAL = """WITH q AS (SELECT vec_id AS query_id, embedding, label FROM embeddings WHERE vec_id % 20 = 0),
 s AS (SELECT query_id, e.vec_id AS doc_id, row_number() OVER (PARTITION BY query_id ORDER BY round(list_cosine_similarity(e.embedding::DOUBLE[], q.embedding::DOUBLE[]), 9) DESC, e.vec_id) AS rank FROM q JOIN embeddings e ON e.vec_id <> q.query_id QUALIFY rank <= 10),
 g AS (SELECT query_id, e.vec_id AS doc_id FROM q JOIN embeddings e ON e.label = q.label AND e.vec_id <> q.query_id), t AS (SELECT query_id, count(*) AS expected FROM g GROUP BY query_id),
 h AS (SELECT s.query_id, s.rank, g.doc_id IS NOT NULL AS hit FROM s LEFT JOIN g ON s.query_id = g.query_id AND s.doc_id = g.doc_id),
 m AS (SELECT query_id, sum((hit AND rank <= 5)::INT) / 5.0 AS p5, sum(hit::INT) / 10.0 AS p10, sum((hit AND rank <= 5)::INT) AS h5, sum(hit::INT) AS h10, min(CASE WHEN hit THEN rank END) AS first FROM h GROUP BY query_id)
 """
+QUERY_BLOCK = 4096
+
+
+def search_all(vectors: DataFrame, queries: DataFrame, k: int = K, block: int = QUERY_BLOCK) -> DataFrame:
+    """(query_id, vec_id, score, rank) of the k nearest rows other than itself to each of ``queries`` (query_id, embedding).
+
+    Queries go out in blocks of bounded size, each against all rows; a task keeps its k best of each query, so that what is
+    ranked in the end is k rows for each query and task.
+    """
+    spark, out = vectors.sparkSession, None
+
+    def nearest(sent):
+        def run(batches):
+            ids, probes = sent.value
+            best_id, best = np.full((len(ids), 0), 0, np.int64), np.full((len(ids), 0), 0.0)
+            for b in batches:
+                m = np.stack([np.asarray(v, float) for v in b.column(1).to_pylist()]) if b.num_rows else np.zeros((0, probes.shape[1]))
+                row = np.broadcast_to(b.column(0).to_numpy(), (len(ids), b.num_rows))
+                score = np.round(probes @ (m / np.linalg.norm(m, axis=1, keepdims=True)).T, 9)
+                best_id, best = np.concatenate([best_id, row], 1), np.concatenate([best, np.where(row == ids[:, None], -np.inf, score)], 1)
+                order = np.lexsort((best_id, -best), axis=1)[:, :k]
+                best_id, best = np.take_along_axis(best_id, order, 1), np.take_along_axis(best, order, 1)
+            keep = np.isfinite(best)
+            yield pa.RecordBatch.from_arrays([pa.array(np.broadcast_to(ids[:, None], best.shape)[keep]), pa.array(best_id[keep]), pa.array(best[keep])], ["query_id", "vec_id", "score"])
+
+        return run
+
+    def send(rows):
+        probes = np.array([r["embedding"] for r in rows], float)
+        return spark.sparkContext.broadcast((np.array([r["query_id"] for r in rows], np.int64), probes / np.linalg.norm(probes, axis=1, keepdims=True)))
+
+    held: list = []
+    blocks = []
+    for r in queries.select("query_id", "embedding").toLocalIterator():
+        held.append(r)
+        if len(held) == block:
+            blocks.append(send(held))
+            held = []
+    if held:
+        blocks.append(send(held))
+    for sent in blocks:
+        part = vectors.select("vec_id", "embedding").mapInArrow(nearest(sent), "query_id long, vec_id long, score double")
+        out = part if out is None else out.unionByName(part)
+    if out is None:
+        return spark.createDataFrame([], "query_id long, vec_id long, score double, rank int")
+    return out.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))).where(F.col("rank") <= k)
 
 
 def _evaluation(spark, sf_dir):
+    """Every twentieth vector is a query; equal labels are what it should find, so that counts by label stand for the pairs."""
     vectors = table(spark, sf_dir, "embeddings")
-    asked = vectors.where("vec_id < 20").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("probe"), F.col("label").alias("query_label"))  # the gold queries, a stated few
-    pairs = vectors.join(F.broadcast(asked), F.col("vec_id") != F.col("query_id"))
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "doc_id"))
-    retrieved = pairs.select("query_id", F.col("vec_id").alias("doc_id"), F.round(scores.cosine(F.col("embedding"), F.col("probe")), 9).alias("score")).withColumn("rank", rank).where("rank <= 10")
-    return evaluate(retrieved.select("query_id", "doc_id", "rank"), pairs.where("label = query_label").select("query_id", F.col("vec_id").alias("doc_id")))
+    asked = vectors.where("vec_id % 20 = 0")
+    labels = vectors.select("vec_id", "label")
+    found = search_all(vectors, asked.select(F.col("vec_id").alias("query_id"), "embedding"))
+    mine = asked.select(F.col("vec_id").alias("query_id"), F.col("label").alias("wanted"))
+    hit = found.join(labels, "vec_id").join(mine, "query_id").withColumn("hit", (F.col("label") == F.col("wanted")).cast("int"))
+    total = mine.join(labels.groupBy(F.col("label").alias("wanted")).agg((F.count("*") - 1).alias("expected")), "wanted").where("expected > 0").select("query_id", "expected")
+    return measured(hit, total)
 
 
 @query("evaluation_queries", _EVAL + "SELECT query_id, round(p5, 6) AS p_5, round(p10, 6) AS p_10, round(h5 / expected, 6) AS r_5, round(h10 / expected, 6) AS r_10, round(coalesce(1.0 / first, 0), 6) AS rr FROM t JOIN m USING (query_id)")
 def evaluation_queries(spark, sf_dir):
-    """Vector search scored against equal labels, for each of twenty queries."""
+    """Vector search scored against equal labels, for every twentieth vector as a query."""
     return _evaluation(spark, sf_dir)
 
 
