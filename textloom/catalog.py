@@ -1,7 +1,7 @@
 """Imports every module that registers queries."""
 
 from textloom.operators import analytics, chunking, documents, entities, handlers, mutations, retrieval  # noqa: F401
-from textloom.plans import pages  # noqa: F401
+from textloom.plans import ingest, pages  # noqa: F401
 from textloom.registry import ORACLES, QUERIES  # noqa: F401
 from textloom.sources import parsers  # noqa: F401
 from textloom.streaming import streams  # noqa: F401
