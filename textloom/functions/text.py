@@ -80,7 +80,7 @@ def plain_name(c: Column) -> Column:
 
 
 def calendar_escape(c: Column) -> Column:
-    return reduce(lambda x, p: F.replace(x, F.lit(p[0]), F.lit(p[1])), [("\\", "\\\\"), (",", "\\,"), (";", "\;"), ("\n", "\\n")], c)
+    return reduce(lambda x, p: F.replace(x, F.lit(p[0]), F.lit(p[1])), [("\\", "\\\\"), (",", "\\,"), (";", "\\;"), ("\n", "\\n")], c)
 
 
 def clean_title(c: Column) -> Column:

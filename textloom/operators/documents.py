@@ -166,7 +166,7 @@ def front_matter(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", text.one_line(F.col("text")).alias("summary"))
 
 
-@query("calendar_events", "SELECT doc_id, 'BEGIN:VEVENT' || chr(13) || chr(10) || 'UID:' || substr(md5(doc_id || source), 1, 16) || chr(13) || chr(10) || 'SUMMARY:' || replace(replace(replace(replace(substr(text, 1, 60), '\\', '\\\\'), ',', '\\,'), ';', '\;'), chr(10), '\\n') || chr(13) || chr(10) || 'END:VEVENT' AS event FROM documents")
+@query("calendar_events", "SELECT doc_id, 'BEGIN:VEVENT' || chr(13) || chr(10) || 'UID:' || substr(md5(doc_id || source), 1, 16) || chr(13) || chr(10) || 'SUMMARY:' || replace(replace(replace(replace(substr(text, 1, 60), '\\', '\\\\'), ',', '\\,'), ';', '\\;'), chr(10), '\\n') || chr(13) || chr(10) || 'END:VEVENT' AS event FROM documents")
 def calendar_events(spark, sf_dir):
     uid = F.substring(F.md5(F.concat(F.col("doc_id").cast("string"), "source").cast("binary")), 1, 16)
     return table(spark, sf_dir, "documents").select("doc_id", F.concat_ws("\r\n", F.lit("BEGIN:VEVENT"), F.concat(F.lit("UID:"), uid), F.concat(F.lit("SUMMARY:"), text.calendar_escape(F.substring("text", 1, 60))), F.lit("END:VEVENT")).alias("event"))
