@@ -16,4 +16,10 @@ QUERIES = {
     "op9_secrets": secrets.op9_secrets,
     "op10_toxicity": toxicity.op10_toxicity,
 }
-ORACLE_SQL: dict[str, str] = {"op1_warc": warc.ORACLE, "op6_line_dedup": lines.ORACLE}
+ORACLE_SQL: dict[str, str] = {
+    "op1_warc": warc.ORACLE,
+    "op2_vectors": vectors.ORACLE,
+    "op5_substrings": substrings.ORACLE,
+    "op6_line_dedup": lines.ORACLE,
+    "op8_decontaminate": decontaminate.ORACLE,
+}

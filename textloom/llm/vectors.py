@@ -181,3 +181,13 @@ def vector_groups(vectors: DataFrame, vec_id: str = "vec_id", embedding: str = "
 
 def op2_vectors(spark, sf_dir: str) -> DataFrame:
     return vector_groups(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
+ORACLE = f"""
+WITH RECURSIVE v AS (SELECT vec_id, label, embedding::DOUBLE[] AS e FROM embeddings WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL AND len(embedding) > 0
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+l AS (SELECT a.vec_id AS x, b.vec_id AS y FROM v a JOIN v b ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.e) = len(b.e) WHERE list_cosine_similarity(a.e, b.e) >= {COSINE}),
+r(x, y) AS (SELECT x, y FROM l UNION SELECT r.x, l.y FROM r JOIN l ON r.y = l.x),
+n AS (SELECT x AS vec_id, count(*) AS n_links FROM l GROUP BY x), c AS (SELECT x AS vec_id, min(least(x, y)) AS component_id FROM r GROUP BY x)
+SELECT vec_id, coalesce(n_links, 0) AS n_links, coalesce(component_id, vec_id) AS component_id, coalesce(component_id, vec_id) = vec_id AS kept FROM embeddings LEFT JOIN n USING (vec_id) LEFT JOIN c USING (vec_id)
+"""
