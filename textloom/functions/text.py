@@ -92,13 +92,10 @@ def clean_title(c: Column) -> Column:
 
 def language(c: Column) -> Column:
     """The language with most marker words between blanks; the first of equals; unknown without any."""
-    low = F.lower(c)
-    score = {k: reduce(lambda a, b: a + b, (low.contains(f" {w} ").cast("int") for w in ws)) for k, ws in LANGUAGE_MARKERS.items()}
-    top = F.greatest(*score.values())
-    out = F.when(top == 0, "unknown")
-    for k, s in score.items():
-        out = out.when(s == top, k)
-    return out
+    count = lambda low: F.array(*(reduce(lambda a, b: a + b, (low.contains(f" {w} ").cast("int") for w in ws)) for ws in LANGUAGE_MARKERS.values()))
+    names = F.array(*map(F.lit, LANGUAGE_MARKERS))
+    pick = lambda n: F.when(F.array_max(n) == 0, "unknown").otherwise(F.get(names, (F.array_position(n, F.array_max(n)) - 1).cast("int")))
+    return F.transform(F.transform(F.array(F.lower(c)), lambda low: count(low)), lambda n: pick(n))[0]  # each text is lowered and counted once
 
 
 def address_of(c: Column) -> Column:

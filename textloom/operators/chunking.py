@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
 
-from textloom.registry import query, table
+from textloom.registry import query, spread, table
 
 CHUNK = StructType([StructField("position", IntegerType()), StructField("content", StringType()), StructField("kind", StringType()), StructField("title", StringType()), StructField("tokens", IntegerType())])
 Piece = tuple[str, str, str | None]
@@ -159,7 +159,7 @@ def chunker(split: Callable[[str], list]) -> Callable[[Column], Column]:
 
 def chunk_table(docs: DataFrame, split: Callable[[str], list], doc_id: str = "doc_id", body: str = "text") -> DataFrame:
     """(doc_id, position, content, kind, title, tokens): a row for each chunk."""
-    return docs.select(F.col(doc_id).alias("doc_id"), F.explode(chunker(split)(F.col(body))).alias("c")).select("doc_id", "c.*")
+    return spread(docs.select(F.col(doc_id).alias("doc_id"), F.col(body).alias("body"))).select("doc_id", F.explode(chunker(split)(F.col("body"))).alias("c")).select("doc_id", "c.*")
 
 
 @query("chunks_sliding")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from textloom.functions import dates, scores, text
-from textloom.registry import query, table
+from textloom.registry import query, spread, table
 
 #: A header with every feature that the invented prose lacks, made alike in Spark and in SQL.
 HEAD = "'Re: Offer ' || doc_id || chr(10) || 'Due until 2024-0' || (doc_id % 9 + 1) || '-15 or 31.12.2023, call at ' || (doc_id % 12 + 1) || ':30 PM about $' || (doc_id % 900) || '.50 and ' || (doc_id % 100) || '%.' || chr(10)"
@@ -26,7 +26,7 @@ def noted(spark, sf_dir: str) -> DataFrame:
 @query("tokens", "SELECT doc_id, len(regexp_extract_all(lower(text), '[\\p{L}\\p{N}_]+')) AS n_tokens, len(list_distinct(regexp_extract_all(lower(text), '[\\p{L}\\p{N}_]+'))) AS n_distinct, floor(length(text) / 4)::BIGINT AS estimated FROM documents")
 def tokens(spark, sf_dir):
     words = text.tokens(F.col("text"))
-    return table(spark, sf_dir, "documents").select("doc_id", F.size(words).alias("n_tokens"), F.size(F.array_distinct(words)).alias("n_distinct"), text.estimated_tokens(F.col("text")).alias("estimated"))
+    return spread(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", F.size(words).alias("n_tokens"), F.size(F.array_distinct(words)).alias("n_distinct"), text.estimated_tokens(F.col("text")).alias("estimated"))
 
 
 @query("content_ids", "SELECT doc_id, sha256(text) AS content_hash, substr(sha256(text), 1, 16) AS short_hash, substr(sha256(text), 1, 4) AS short_id, md5(source || ':' || lang) AS cache_key FROM documents")
@@ -41,7 +41,7 @@ _MARKS = {k: " + ".join(f"(contains(lower(text), ' {w} '))::INT" for w in ws) fo
 @query("detect_language", f"""WITH s AS (SELECT doc_id, lang, {', '.join(f'{v} AS {k}' for k, v in _MARKS.items())} FROM documents)
 SELECT doc_id, lang, CASE WHEN greatest(en, de, fr, es) = 0 THEN 'unknown' WHEN en = greatest(en, de, fr, es) THEN 'en' WHEN de = greatest(en, de, fr, es) THEN 'de' WHEN fr = greatest(en, de, fr, es) THEN 'fr' ELSE 'es' END AS detected FROM s""")
 def detect_language(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select("doc_id", "lang", text.language(F.col("text")).alias("detected"))
+    return spread(table(spark, sf_dir, "documents").select("doc_id", "lang", "text")).select("doc_id", "lang", text.language(F.col("text")).alias("detected"))
 
 
 @query("extract_dates", f"""WITH d AS ({_NOTED}), x AS (SELECT doc_id, list_concat(regexp_extract_all(body, '\\d{{4}}-\\d{{2}}-\\d{{2}}'), list_transform(list_filter(regexp_extract_all(body, '\\d{{1,2}}\\.\\d{{1,2}}\\.\\d{{4}}'), lambda v: try_strptime(v, '%d.%m.%Y') IS NOT NULL), lambda v: strftime(strptime(v, '%d.%m.%Y'), '%Y-%m-%d'))) AS v FROM d)
@@ -150,7 +150,7 @@ def fuzzy_duplicates(spark, sf_dir):
 c AS (SELECT page_id, replace(replace(replace(replace(replace(replace(regexp_replace(h, '(?s)<[^>]*>', chr(10), 'g'), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', ''''), '&nbsp;', ' '), '&amp;', '&') AS t FROM b)
 SELECT page_id, array_to_string(list_filter(list_transform(string_split(t, chr(10)), lambda x: trim(x)), lambda x: x <> ''), chr(10)) AS body FROM c""")
 def html_text(spark, sf_dir):
-    return table(spark, sf_dir, "pages").select("page_id", text.from_html(F.col("html")).alias("body"))
+    return spread(table(spark, sf_dir, "pages").select("page_id", "html")).select("page_id", text.from_html(F.col("html")).alias("body"))
 
 
 @query("subjects", "WITH d AS (SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN 'Re: ' WHEN 1 THEN 'FWD:  ' WHEN 2 THEN 'Re: re: ' ELSE '' END || source || '  report' AS subject FROM documents), n AS (SELECT doc_id, lower(trim(regexp_replace(regexp_replace(trim(subject), '(?i)^(re|fw|fwd):\\s*', ''), '\\s+', ' ', 'g'))) AS normal FROM d) SELECT normal, substr(md5(normal), 1, 12) AS thread_id, count(*) AS messages, min(doc_id) AS first FROM n GROUP BY normal")

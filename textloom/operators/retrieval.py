@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from textloom.functions import scores, text
-from textloom.registry import query, table
+from textloom.registry import query, spread, table
 
 QUERY_TERMS = ("the", "thble", "hest", "anat", "le", "der")
 K = 10
@@ -37,14 +37,27 @@ def term_stats(posted: DataFrame, stats: DataFrame) -> DataFrame:
 def bm25_search(docs: DataFrame, terms: tuple[str, ...], k: int = K) -> DataFrame:
     """(doc_id, score) of the k best; a repeated query term counts twice, only positive scores stay, ties go by doc_id.
 
-    Only the query's postings leave the first stage of the search; the vocabulary is summed once for the mean idf.
+    One pass counts the documents of each word, and with each document's first word its length, so that the sums of that table
+    are the corpus's figures; another scores, counting the query's words in each text. No postings are made for one search.
     """
-    posted, stats = postings(docs), corpus_stats(docs)
-    idf = term_stats(posted, stats)
-    asked = docs.sparkSession.createDataFrame([(t,) for t in terms], "term string").groupBy("term").agg(F.count("*").alias("times"))  # the query's few words
-    hits = posted.where(F.col("term").isin(*terms)).join(F.broadcast(asked), "term").join(idf.where(F.col("term").isin(*terms)), "term").crossJoin(stats.select("avgdl"))
-    scored = hits.groupBy("doc_id").agg(F.sum(F.col("times") * scores.bm25(F.col("tf"), F.col("dl"), F.col("avgdl"), F.col("idf"))).alias("score"))
-    return scored.where("score > 0").orderBy(F.desc("score"), "doc_id").limit(k)
+    asked = sorted(set(terms))
+    words = spread(docs.select("doc_id", "text")).select("doc_id", text.tokens(F.col("text")).alias("w"))
+    first = F.coalesce(F.col("pos") == 0, F.lit(True))
+    seen = words.select(F.size("w").alias("dl"), F.posexplode_outer(F.array_distinct("w")).alias("pos", "term"))
+    seen = seen.groupBy("term").agg(F.count("*").alias("df"), F.sum(first.cast("long")).alias("n"), F.sum(F.when(first, F.col("dl"))).alias("length"))
+    total = seen.agg(F.sum("n").alias("n"), (F.sum("length") / F.sum("n")).alias("avgdl"))
+    raw = F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)
+    idf = seen.where("term is not null").select("term", "df").crossJoin(total).withColumn("raw", raw)
+    idf = idf.agg(F.avg("raw").alias("mean"), F.first("avgdl").alias("avgdl"), *(F.max(F.when(F.col("term") == t, F.col("raw"))).alias(f"raw_{i}") for i, t in enumerate(asked)))
+    count = [F.size(F.filter("w", _is(t))) for t in asked]
+    hits = words.select("doc_id", F.size("w").alias("dl"), *(c.alias(f"tf_{i}") for i, c in enumerate(count))).crossJoin(idf)
+    part = lambda i, t: F.coalesce(terms.count(t) * scores.bm25(F.col(f"tf_{i}"), F.col("dl"), F.col("avgdl"), F.when(F.col(f"raw_{i}") < 0, 0.25 * F.col("mean")).otherwise(F.col(f"raw_{i}"))), F.lit(0.0))
+    score = sum((part(i, t) for i, t in enumerate(asked)), F.lit(0.0))
+    return hits.select("doc_id", score.alias("score")).where("score > 0").orderBy(F.desc("score"), "doc_id").limit(k)
+
+
+def _is(term: str):
+    return lambda x: x == term
 
 
 _BM25 = """
