@@ -1,6 +1,6 @@
 """Imports every module that registers queries."""
 
-from textloom.operators import analytics, chunking, documents, entities, fields, handlers, mutations, retrieval  # noqa: F401
+from textloom.operators import analytics, checks, chunking, documents, entities, fields, handlers, mutations, retrieval  # noqa: F401
 from textloom.plans import ingest, pages  # noqa: F401
 from textloom.registry import ORACLES, QUERIES  # noqa: F401
 from textloom.sources import parsers  # noqa: F401

@@ -61,10 +61,10 @@ def extract_numbers(spark, sf_dir):
     return noted(spark, sf_dir).select("doc_id", text.numbers(F.col("body")).alias("numbers"))
 
 
-@query("event_types", f"SELECT doc_id, CASE WHEN regexp_matches(lower(substr(body, 1, 60)), 'deadline|frist|späteste|bis|until|due') THEN 'Deadline' WHEN regexp_matches(lower(substr(body, 1, 60)), 'meeting|termin|besprechung|conference|call') THEN 'Meeting' WHEN regexp_matches(lower(substr(body, 1, 60)), 'hearing|verhandlung|gericht|court') THEN 'Court Hearing' WHEN regexp_matches(lower(substr(body, 1, 60)), 'anmeldung|einschulung|school|enrollment') THEN 'School Event' ELSE 'Event' END AS event_type FROM (SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN text ELSE body END AS body FROM ({_NOTED}))")
+@query("event_types", f"SELECT doc_id, CASE WHEN regexp_matches(lower(body), 'deadline|frist|späteste|bis|until|due') THEN 'Deadline' WHEN regexp_matches(lower(body), 'meeting|termin|besprechung|conference|call') THEN 'Meeting' WHEN regexp_matches(lower(body), 'hearing|verhandlung|gericht|court') THEN 'Court Hearing' WHEN regexp_matches(lower(body), 'anmeldung|einschulung|school|enrollment') THEN 'School Event' ELSE 'Event' END AS event_type FROM (SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN text ELSE body END AS body FROM ({_NOTED}))")
 def event_types(spark, sf_dir):
     body = F.when(F.col("doc_id") % 2 == 0, F.col("text")).otherwise(F.col("body"))
-    return noted(spark, sf_dir).select("doc_id", dates.event_type(F.substring(body, 1, 60)).alias("event_type"))
+    return noted(spark, sf_dir).select("doc_id", dates.event_type(body).alias("event_type"))
 
 
 _LEN = "CASE WHEN length(trim(text)) < 100 THEN length(trim(text)) / 100.0 WHEN length(trim(text)) < 300 THEN 0.7 ELSE 1.0 END"
@@ -166,10 +166,10 @@ def front_matter(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", text.one_line(F.col("text")).alias("summary"))
 
 
-@query("calendar_events", "SELECT doc_id, 'BEGIN:VEVENT' || chr(13) || chr(10) || 'UID:' || substr(md5(doc_id || source), 1, 16) || chr(13) || chr(10) || 'SUMMARY:' || replace(replace(replace(replace(substr(text, 1, 60), '\\', '\\\\'), ',', '\\,'), ';', '\\;'), chr(10), '\\n') || chr(13) || chr(10) || 'END:VEVENT' AS event FROM documents")
+@query("calendar_events", "SELECT doc_id, 'BEGIN:VEVENT' || chr(13) || chr(10) || 'UID:' || substr(md5(doc_id || source), 1, 16) || chr(13) || chr(10) || 'SUMMARY:' || replace(replace(replace(replace(string_split(text, chr(10))[1], '\\', '\\\\'), ',', '\\,'), ';', '\\;'), chr(10), '\\n') || chr(13) || chr(10) || 'END:VEVENT' AS event FROM documents")
 def calendar_events(spark, sf_dir):
     uid = F.substring(F.md5(F.concat(F.col("doc_id").cast("string"), "source").cast("binary")), 1, 16)
-    return table(spark, sf_dir, "documents").select("doc_id", F.concat_ws("\r\n", F.lit("BEGIN:VEVENT"), F.concat(F.lit("UID:"), uid), F.concat(F.lit("SUMMARY:"), text.calendar_escape(F.substring("text", 1, 60))), F.lit("END:VEVENT")).alias("event"))
+    return table(spark, sf_dir, "documents").select("doc_id", F.concat_ws("\r\n", F.lit("BEGIN:VEVENT"), F.concat(F.lit("UID:"), uid), F.concat(F.lit("SUMMARY:"), text.calendar_escape(F.split("text", "\n")[0])), F.lit("END:VEVENT")).alias("event"))
 
 
 @query("priorities", "SELECT doc_id, CASE WHEN u AND a THEN 'critical' WHEN u OR a::INT + q::INT + t::INT >= 2 THEN 'high' WHEN a OR t THEN 'medium' ELSE 'low' END AS priority, CASE WHEN a OR u OR q THEN 'pending' WHEN lang IN ('en') THEN 'reference' ELSE 'active' END AS status FROM (SELECT doc_id, lang, doc_id % 5 = 0 AS u, doc_id % 3 = 0 AS a, contains(text, 'ou') AS q, doc_id % 7 = 0 AS t FROM documents)")

@@ -136,4 +136,4 @@ def similar_titles(titles: DataFrame, least: float = 0.85) -> DataFrame:
 
 @query("title_similarity")
 def title_similarity(spark, sf_dir):
-    return similar_titles(table(spark, sf_dir, "documents").select(F.substring("text", 1, 60).alias("title")))
+    return similar_titles(table(spark, sf_dir, "documents").select(F.split("text", "\n")[0].alias("title")))
