@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from textloom.llm.scratch import Scratch, as_row, row_schema
 from textloom.llm.toxicity import words_of
 
-WINDOW, BLOCK_BYTES = 13, 8 << 20
+WINDOW, BLOCK_BYTES = 13, 1 << 20
 #: A document is contaminated if one in so many of its words is hit.
 SHARE = 20
 
