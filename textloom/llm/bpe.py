@@ -65,7 +65,7 @@ def _pack(docs: DataFrame, block_bytes: int, buckets: int) -> DataFrame:
             parts = [order[s:e] for s, e in zip(cut, [*cut[1:], len(order)], strict=True)]
             n, compress = len(parts), zstandard.ZstdCompressor(level=1).compress
             texts = [compress("\n".join([words[k] for k in p.tolist()]).encode()) for p in parts]
-            cols = [[None] * n, [block] * n, [None] * n, [int(of[p[0]]) for p in parts], texts, list(map(pack_ints, parts))]
+            cols = [[None] * n, [block] * n, [None] * n, [int(of[p[0]]) for p in parts], texts, [pack_ints(np.diff(p, prepend=0)) for p in parts]]  # numbers rise within a packet
             return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(cols, _PACKED, strict=True)], schema=_PACKED)
 
         for b in batches:
@@ -129,7 +129,8 @@ def _assemble(pieces: list[str | None]):
     table = pa.array([None if p is None else p.encode() for p in pieces], pa.binary())
 
     def run(key, left: pa.Table, right: pa.Table) -> pa.Table:
-        number, size, ids = (np.concatenate([np.zeros(0, "<u4"), *map(unpack_ints, right.column(c).to_pylist())]) for c in ("numbers", "sizes", "ids"))
+        size, ids = (np.concatenate([np.zeros(0, "<u4"), *map(unpack_ints, right.column(c).to_pylist())]) for c in ("sizes", "ids"))
+        number = np.concatenate([np.zeros(0, np.int64), *(np.cumsum(unpack_ints(x), dtype=np.int64) for x in right.column("numbers").to_pylist())])
         length, begin = np.zeros(len(number), np.int64), np.zeros(len(number), np.int64)
         length[number] = size
         begin[number] = np.cumsum(size, dtype=np.int64) - size
