@@ -54,10 +54,8 @@ def gate_type(name: Column) -> Column:
 
 def gate(kind: Column, quality_: Column, signal_: Column) -> Column:
     """Whether quality and signal reach the type's gates."""
-    out = F.when(F.lit(False), False)
-    for name, (q, s) in GATES.items():
-        out = out.when(kind == name, (quality_ >= q) & (signal_ >= s))
-    return out.otherwise(F.lit(False))
+    least = lambda k: F.create_map(*(x for name, gates in GATES.items() for x in (F.lit(name), F.lit(gates[k]))))[kind]
+    return F.coalesce((quality_ >= least(0)) & (signal_ >= least(1)), F.lit(False))  # each score stands here once, however long its expression
 
 
 def junk_count(text: Column) -> Column:
