@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from textloom.functions import text
-from textloom.registry import query, table
+from textloom.registry import query, table, typed
 
 #: Thresholds of the drift alerts.
 SIGNAL_DROP, QUALITY_DROP, DUPLICATE_RISE, INGEST_SPIKE, TOPIC_SHIFT = 0.15, 0.15, 0.10, 3.0, 0.25
@@ -55,7 +55,7 @@ def speaker_shares(spark, sf_dir):
     return out.withColumn("share", F.round(100.0 * F.col("messages") / F.sum("messages").over(Window.partitionBy()), 2))
 
 
-@query("conversation_summary", "SELECT conv_id, count(*) AS messages, sum((role = 'user')::INT) AS user_turns, sum((role = 'assistant')::INT) AS assistant_turns, sum(length(text)) AS chars FROM conversations GROUP BY conv_id")
+@query("conversation_summary", typed("SELECT conv_id, count(*) AS messages, sum((role = 'user')::INT) AS user_turns, sum((role = 'assistant')::INT) AS assistant_turns, sum(length(text)) AS chars FROM conversations GROUP BY conv_id", user_turns="BIGINT", assistant_turns="BIGINT", chars="BIGINT"))
 def conversation_summary(spark, sf_dir):
     of = lambda r: F.sum((F.col("role") == r).cast("int"))
     return table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.count("*").alias("messages"), of("user").alias("user_turns"), of("assistant").alias("assistant_turns"), F.sum(F.length("text")).alias("chars"))
@@ -110,8 +110,8 @@ def histogram_stats(spark, sf_dir):
     return plain.join(percentiles(events, "event_type", "value", (0.5, 0.95, 0.99)), "event_type")
 
 
-@query("sessions", """WITH g AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) <= INTERVAL 4 HOUR THEN 0 ELSE 1 END AS fresh FROM events),
-s AS (SELECT user_id, ts, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS session FROM g) SELECT user_id, session, count(*) AS n, min(ts) AS started, max(ts) AS ended FROM s GROUP BY ALL""")
+@query("sessions", typed("""WITH g AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) <= INTERVAL 4 HOUR THEN 0 ELSE 1 END AS fresh FROM events),
+s AS (SELECT user_id, ts, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS session FROM g) SELECT user_id, session, count(*) AS n, min(ts) AS started, max(ts) AS ended FROM s GROUP BY ALL""", session="BIGINT"))
 def sessions(spark, sf_dir):
     """Threads of a user: a gap of over four hours starts a new one."""
     w = Window.partitionBy("user_id").orderBy("ts")
@@ -121,7 +121,7 @@ def sessions(spark, sf_dir):
     return rows.groupBy("user_id", "session").agg(F.count("*").alias("n"), F.min("ts").alias("started"), F.max("ts").alias("ended"))
 
 
-@query("daily_rollup", "SELECT ts::DATE AS day, count(*) AS n, sum((event_type = 'click')::INT) AS clicks, sum((event_type = 'view')::INT) AS views, sum((event_type NOT IN ('click', 'view'))::INT) AS other FROM events GROUP BY 1")
+@query("daily_rollup", typed("SELECT ts::DATE AS day, count(*) AS n, sum((event_type = 'click')::INT) AS clicks, sum((event_type = 'view')::INT) AS views, sum((event_type NOT IN ('click', 'view'))::INT) AS other FROM events GROUP BY 1", clicks="BIGINT", views="BIGINT", other="BIGINT"))
 def daily_rollup(spark, sf_dir):
     of = lambda c: F.sum(c.cast("int"))
     kind = F.col("event_type")
@@ -139,7 +139,7 @@ def monthly_rollup(spark, sf_dir):
     return table(spark, sf_dir, "events").groupBy(F.date_format("ts", "yyyy-MM").alias("month")).agg(F.countDistinct(F.weekofyear("ts")).alias("weeks"), F.count("*").alias("n"))
 
 
-@query("recent_counts", f"SELECT sum((ts >= TIMESTAMP '{AS_OF}' - INTERVAL 1 DAY)::INT) AS day, sum((ts >= TIMESTAMP '{AS_OF}' - INTERVAL 7 DAY)::INT) AS week, sum((ts >= TIMESTAMP '{AS_OF}' - INTERVAL 30 DAY)::INT) AS month FROM events")
+@query("recent_counts", typed(f"SELECT sum((ts >= TIMESTAMP '{AS_OF}' - INTERVAL 1 DAY)::INT) AS day, sum((ts >= TIMESTAMP '{AS_OF}' - INTERVAL 7 DAY)::INT) AS week, sum((ts >= TIMESTAMP '{AS_OF}' - INTERVAL 30 DAY)::INT) AS month FROM events", day="BIGINT", week="BIGINT", month="BIGINT"))
 def recent_counts(spark, sf_dir):
     since = lambda days: F.sum((F.col("ts") >= F.expr(f"timestamp_ntz'{AS_OF}' - interval {days} days")).cast("int"))
     return table(spark, sf_dir, "events").agg(since(1).alias("day"), since(7).alias("week"), since(30).alias("month"))
@@ -169,7 +169,7 @@ def snapshot(docs: DataFrame) -> DataFrame:
     return hashed.agg(F.sum("n").alias("documents"), F.sum(F.col("n") - 1).alias("duplicates"), F.round(F.sum(F.col("n") - 1) / F.sum("n"), 6).alias("duplicate_rate"), F.sum("chars").alias("chars"))
 
 
-@query("drift_snapshot", "SELECT sum(n) AS documents, sum(n - 1) AS duplicates, round(sum(n - 1) / sum(n), 6) AS duplicate_rate, sum(chars) AS chars FROM (SELECT count(*) AS n, sum(n_chars) AS chars FROM documents GROUP BY sha256(text))")
+@query("drift_snapshot", typed("SELECT sum(n) AS documents, sum(n - 1) AS duplicates, round(sum(n - 1) / sum(n), 6) AS duplicate_rate, sum(chars) AS chars FROM (SELECT count(*) AS n, sum(n_chars) AS chars FROM documents GROUP BY sha256(text))", documents="BIGINT", duplicates="BIGINT", chars="BIGINT"))
 def drift_snapshot(spark, sf_dir):
     return snapshot(table(spark, sf_dir, "documents"))
 
@@ -230,7 +230,7 @@ def suggestions(spark, sf_dir):
     return table(spark, sf_dir, "events").where("event_type = 'purchase'").groupBy("user_id").agg(F.count("*").alias("n")).where("n >= 3").withColumn("promoted", F.col("n") >= 5)
 
 
-@query("cache_stats", "SELECT count(*) AS requests, sum((event_type <> 'error')::INT) AS hits, round(avg((event_type <> 'error')::INT), 6) AS hit_rate FROM events")
+@query("cache_stats", typed("SELECT count(*) AS requests, sum((event_type <> 'error')::INT) AS hits, round(avg((event_type <> 'error')::INT), 6) AS hit_rate FROM events", hits="BIGINT"))
 def cache_stats(spark, sf_dir):
     hit = (F.col("event_type") != "error").cast("int")
     return table(spark, sf_dir, "events").agg(F.count("*").alias("requests"), F.sum(hit).alias("hits"), F.round(F.avg(hit), 6).alias("hit_rate"))

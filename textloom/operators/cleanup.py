@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from textloom.registry import query, spread, table
+from textloom.registry import query, spread, table, typed
 
 #: Sentences of assistants that say nothing.
 BOILERPLATE = (r"(?im)^[ \t]*(as an ai( language)? model,?|i hope this helps[.!]?|let me know if you have (any )?(other |more )?questions[.!]?|is there anything else i can help you with\??|sure[,!]? here('s| is)|certainly[,!]?)[ \t]*$\n?",)
@@ -108,7 +108,7 @@ def linked_concepts_query(spark, sf_dir):
     return linked_concepts(table(spark, sf_dir, "documents").withColumn("tags", F.array("source", "lang")), "tags", concepts)
 
 
-@query("operation_tracking", "SELECT event_type, count(*) AS calls, sum((value > 50)::INT) AS slow, round(avg(value), 6) AS mean, max(ts) AS last FROM events GROUP BY event_type")
+@query("operation_tracking", typed("SELECT event_type, count(*) AS calls, sum((value > 50)::INT) AS slow, round(avg(value), 6) AS mean, max(ts) AS last FROM events GROUP BY event_type", slow="BIGINT"))
 def operation_tracking(spark, sf_dir):
     return table(spark, sf_dir, "events").groupBy("event_type").agg(F.count("*").alias("calls"), F.sum((F.col("value") > 50).cast("int")).alias("slow"), F.round(F.avg("value"), 6).alias("mean"), F.max("ts").alias("last"))
 

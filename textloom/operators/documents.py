@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from textloom.functions import dates, scores, text
-from textloom.registry import query, spread, table
+from textloom.registry import query, spread, table, typed
 
 #: A header with every feature that the invented prose lacks, made alike in Spark and in SQL.
 HEAD = "'Re: Offer ' || doc_id || chr(10) || 'Due until 2024-0' || (doc_id % 9 + 1) || '-15 or 31.12.2023, call at ' || (doc_id % 12 + 1) || ':30 PM about $' || (doc_id % 900) || '.50 and ' || (doc_id % 100) || '%.' || chr(10)"
@@ -84,7 +84,7 @@ def scored(docs: DataFrame) -> DataFrame:
     return out.withColumn("do_index", scores.gate(F.col("kind"), F.round("quality", 9), F.round("signal", 9)))
 
 
-@query("score_documents", f"SELECT doc_id, round(q, 3) AS quality, round(nv, 3) AS novelty, round(a, 3) AS actionability, round(s, 6) AS signal, kind, CASE kind {_GATES} END AS do_index FROM ({_SCORED})")
+@query("score_documents", typed(f"SELECT doc_id, round(q, 3) AS quality, round(nv, 3) AS novelty, round(a, 3) AS actionability, round(s, 6) AS signal, kind, CASE kind {_GATES} END AS do_index FROM ({_SCORED})", novelty="DOUBLE", actionability="DOUBLE"))
 def score_documents(spark, sf_dir):
     return scored(table(spark, sf_dir, "documents")).select("doc_id", F.round("quality", 3).alias("quality"), F.round("novelty", 3).alias("novelty"), F.round("actionability", 3).alias("actionability"), F.round("signal", 6).alias("signal"), "kind", "do_index")
 
@@ -116,12 +116,12 @@ def search_filters(spark, sf_dir):
 _JUNK = " + ".join(f"(contains(lower(body), '{w}'))::INT" for w in scores.JUNK_WORDS)
 
 
-@query("triage", f"""WITH d AS (SELECT doc_id, sha256(text) AS h, CASE WHEN doc_id % 7 = 0 THEN 'Special offer, click here! ' WHEN doc_id % 7 = 1 THEN 'Invoice. ' WHEN doc_id % 7 = 2 THEN 'Wedding on 2024-05-01. ' ELSE '' END || text AS body FROM documents),
+@query("triage", typed(f"""WITH d AS (SELECT doc_id, sha256(text) AS h, CASE WHEN doc_id % 7 = 0 THEN 'Special offer, click here! ' WHEN doc_id % 7 = 1 THEN 'Invoice. ' WHEN doc_id % 7 = 2 THEN 'Wedding on 2024-05-01. ' ELSE '' END || text AS body FROM documents),
 f AS (SELECT *, min(doc_id) OVER (PARTITION BY h) AS first, {_JUNK} AS junk FROM d)
 SELECT doc_id, CASE WHEN first < doc_id THEN 'duplicate' WHEN junk >= 2 THEN 'junk' WHEN regexp_matches(lower(body), 'hochzeit|wedding|heiraten|marry|married') AND regexp_matches(body, '\\d{{1,2}}\\.\\d{{1,2}}\\.\\d{{4}}|\\d{{4}}-\\d{{2}}-\\d{{2}}') THEN 'personal_actionable'
 WHEN regexp_matches(lower(body), 'invoice|rechnung|payment|betrag|total') THEN 'financial_actionable' ELSE 'archival' END AS category,
 round(CASE WHEN first < doc_id THEN 1.0 WHEN junk >= 2 THEN least(0.9, 0.5 + 0.1 * junk) WHEN regexp_matches(lower(body), 'hochzeit|wedding|heiraten|marry|married') AND regexp_matches(body, '\\d{{1,2}}\\.\\d{{1,2}}\\.\\d{{4}}|\\d{{4}}-\\d{{2}}-\\d{{2}}') THEN 0.85
-WHEN regexp_matches(lower(body), 'invoice|rechnung|payment|betrag|total') THEN 0.8 ELSE 0.5 END, 6) AS confidence FROM f""")
+WHEN regexp_matches(lower(body), 'invoice|rechnung|payment|betrag|total') THEN 0.8 ELSE 0.5 END, 6) AS confidence FROM f""", confidence="DOUBLE"))
 def triage(spark, sf_dir):
     """What becomes of each document: ordered rules, exact duplicates first."""
     docs = table(spark, sf_dir, "documents")
@@ -178,9 +178,9 @@ def priorities(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", scores.priority(u, a, q, t).alias("priority"), scores.status(u, a, q, F.when(F.col("lang") == "en", "pdf").otherwise("email")).alias("status"))
 
 
-@query("critic_scores", "SELECT doc_id, round(" + " + ".join(f"CASE WHEN (doc_id * {k + 3}) % 8 BETWEEN 0 AND 5 THEN (doc_id * {k + 3}) % 8 ELSE 2.5 END * {w}" for k, w in enumerate(scores.CRITIC_WEIGHTS)) + ", 2) AS overall FROM documents")
+@query("critic_scores", typed("SELECT doc_id, round(" + " + ".join(f"CASE WHEN (doc_id * {k + 3}) % 8 BETWEEN 0 AND 5 THEN (doc_id * {k + 3}) % 8 ELSE 2.5 END * {w}" for k, w in enumerate(scores.CRITIC_WEIGHTS)) + ", 2) AS overall FROM documents", overall="DOUBLE"))
 def critic_scores(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select("doc_id", scores.critic([(F.col("doc_id") * (k + 3) % 8).cast("decimal(4,1)") for k in range(7)]).alias("overall"))
+    return table(spark, sf_dir, "documents").select("doc_id", scores.critic([(F.col("doc_id") * (k + 3) % 8).cast("decimal(4,1)") for k in range(7)]).cast("double").alias("overall"))
 
 
 def confidence(hits: DataFrame, words: list[str]) -> DataFrame:

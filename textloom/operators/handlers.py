@@ -10,7 +10,7 @@ from pyspark.sql.window import Window
 
 from textloom.functions import dates, text
 from textloom.operators.documents import _NOTED, noted
-from textloom.registry import query, table
+from textloom.registry import query, table, typed
 
 ACTION_WORDS = ("todo", "action", "please", "required", "deadline", "asap", "task")
 URGENT_WORDS = ("urgent", "asap", "immediately", "critical", "emergency")
@@ -73,7 +73,7 @@ def currency(c: Column) -> Column:
     return F.when(c.rlike("€|EUR"), "EUR").when(c.rlike(r"\$|USD"), "USD").when(c.rlike("£|GBP"), "GBP").when(c.contains("CHF"), "CHF")
 
 
-@query("invoice_fields", f"SELECT doc_id, 'USD' AS currency, (doc_id % 900) + 0.5 AS amount, 'A-' || doc_id AS number, list_min(d) AS first_date, list_max(d) AS last_date FROM (SELECT doc_id, list_concat(regexp_extract_all(body, '\\d{{4}}-\\d{{2}}-\\d{{2}}'), ['2023-12-31']) AS d FROM ({_NOTED}))")
+@query("invoice_fields", typed(f"SELECT doc_id, 'USD' AS currency, (doc_id % 900) + 0.5 AS amount, 'A-' || doc_id AS number, list_min(d) AS first_date, list_max(d) AS last_date FROM (SELECT doc_id, list_concat(regexp_extract_all(body, '\\d{{4}}-\\d{{2}}-\\d{{2}}'), ['2023-12-31']) AS d FROM ({_NOTED}))", amount="DOUBLE"))
 def invoice_fields(spark, sf_dir):
     body = F.concat(F.lit("Invoice no. A-"), F.col("doc_id").cast("string"), F.lit("\n"), "body")
     when = dates.absolute_dates(body)
@@ -150,7 +150,7 @@ def actionable_dates(spark, sf_dir):
     return table(spark, sf_dir, "events").select("event_id", ((F.col("ts") >= F.expr("timestamp_ntz'2024-01-31 00:00:00' - interval 14 days")) | (F.col("event_type") == "purchase")).alias("actionable"))
 
 
-@query("tag_similarity", "SELECT DISTINCT a.source AS tag_a, b.source AS tag_b, CASE WHEN contains(a.source, b.source) OR contains(b.source, a.source) THEN 0.9 ELSE 0.0 END AS similarity FROM (SELECT DISTINCT source FROM documents) a JOIN (SELECT DISTINCT source FROM documents) b ON substr(a.source, 1, 4) = substr(b.source, 1, 4) AND a.source < b.source")
+@query("tag_similarity", typed("SELECT DISTINCT a.source AS tag_a, b.source AS tag_b, CASE WHEN contains(a.source, b.source) OR contains(b.source, a.source) THEN 0.9 ELSE 0.0 END AS similarity FROM (SELECT DISTINCT source FROM documents) a JOIN (SELECT DISTINCT source FROM documents) b ON substr(a.source, 1, 4) = substr(b.source, 1, 4) AND a.source < b.source", similarity="DOUBLE"))
 def tag_similarity(spark, sf_dir):
     """Distinct tags with equal beginnings, and whether one holds the other."""
     tags = table(spark, sf_dir, "documents").select("source").distinct().withColumn("head", F.substring("source", 1, 4))

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from textloom.functions import text
-from textloom.registry import query, table
+from textloom.registry import query, table, typed
 
 #: Fixed patterns of chat lines and how their times read; the first that a text has anywhere is used for all of it.
 CHAT_LINES = (
@@ -145,7 +145,7 @@ def export_detection(spark, sf_dir):
     return rows.select("conv_id", llm_export(F.array_join(F.transform("m", lambda x: x["line"]), "\n")).alias("kind"))
 
 
-@query("json_export", "SELECT conv_id, count(*) AS n, sum((role = 'assistant')::INT) AS answers, sum(length(text)) AS chars FROM conversations GROUP BY conv_id")
+@query("json_export", typed("SELECT conv_id, count(*) AS n, sum((role = 'assistant')::INT) AS answers, sum(length(text)) AS chars FROM conversations GROUP BY conv_id", answers="BIGINT", chars="BIGINT"))
 def json_export(spark, sf_dir):
     """Conversations written as a JSON export and parsed again."""
     m = F.struct(F.col("text"), F.when(F.col("role") == "assistant", "assistant").otherwise("human").alias("sender"), F.lpad(F.col("turn").cast("string"), 6, "0").alias("created_at"))
