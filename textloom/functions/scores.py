@@ -7,8 +7,6 @@ from functools import reduce
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from textloom.functions.text import strip
-
 #: Least quality and signal of each type.
 GATES = {
     "email_thread": (0.70, 0.60), "chat_daily": (0.65, 0.60), "pdf_report": (0.75, 0.65), "web_article": (0.70, 0.60),
@@ -21,15 +19,16 @@ CRITIC_WEIGHTS = (0.15, 0.25, 0.20, 0.15, 0.10, 0.10, 0.05)
 
 
 def length_score(text: Column) -> Column:
-    n = F.length(strip(text))
+    n = F.length(F.btrim(text, F.lit(" \t\n\r\x0b\x0c\u00a0")))  # only the ends are looked at
     return F.when(n < 100, n / 100.0).when(n < 300, 0.7).otherwise(1.0)
 
 
 def quality(text: Column, ocr: Column | None = None, parse: Column | None = None, structured: Column | None = None) -> Column:
     """The mean of those of OCR confidence, parse quality, length and structure that are known."""
-    parts = [x for x in (ocr, parse) if x is not None] + [length_score(text), F.when(structured if structured is not None else F.lit(True), 1.0).otherwise(0.7)]
-    known = reduce(lambda a, b: a + b, (F.when(p.isNotNull(), 1).otherwise(0) for p in parts))
-    return reduce(lambda a, b: a + b, (F.coalesce(p.cast("double"), F.lit(0.0)) for p in parts)) / known
+    sure = [length_score(text), F.when(structured if structured is not None else F.lit(True), 1.0).otherwise(0.7)]
+    maybe = [x.cast("double") for x in (ocr, parse) if x is not None]
+    known = reduce(lambda a, b: a + b, (x.isNotNull().cast("int") for x in maybe), F.lit(2))
+    return reduce(lambda a, b: a + b, (F.coalesce(x, F.lit(0.0)) for x in maybe), sure[0] + sure[1]) / known
 
 
 def novelty(existing: Column) -> Column:

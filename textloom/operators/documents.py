@@ -80,8 +80,14 @@ def scored(docs: DataFrame) -> DataFrame:
     q = scores.quality(F.col("text"), ocr=(F.col("doc_id") % 11) / 10.0, structured=F.col("text").contains("."))
     a = scores.actionability(F.col("source") == "src1", F.col("lang") == "de", F.col("lang") == "fr", F.col("n_chars") > 1000)
     name = F.element_at(F.array(*map(F.lit, ("Email thread", "chat log", "notes", "court file", "other"))), (F.col("doc_id") % 5 + 1).cast("int"))
-    out = docs.withColumns({"quality": q, "novelty": scores.novelty(F.col("doc_id")), "actionability": a, "kind": scores.gate_type(name)}).withColumn("signal", scores.signal(F.col("quality"), F.col("novelty"), F.col("actionability")))
-    return out.withColumn("do_index", scores.gate(F.col("kind"), F.round("quality", 9), F.round("signal", 9)))
+    parts = F.struct(q.alias("quality"), scores.novelty(F.col("doc_id")).alias("novelty"), a.alias("actionability"), scores.gate_type(name).alias("kind"))
+
+    def rest(x):  # each part is computed once, however often it is used here
+        s = scores.signal(x["quality"], x["novelty"], x["actionability"])
+        good = scores.gate(x["kind"], F.round(x["quality"], 9), F.round(s, 9))
+        return F.struct(*(x[k].alias(k) for k in ("quality", "novelty", "actionability", "kind")), s.alias("signal"), good.alias("do_index"), (good & (F.round(x["quality"], 9) >= 0.6) & (F.round(s, 9) >= 0.5)).alias("canonical"))
+
+    return docs.select("*", F.transform(F.array(parts), rest)[0].alias("scored")).select(*docs.columns, "scored.*")
 
 
 @query("score_documents", typed(f"SELECT doc_id, round(q, 3) AS quality, round(nv, 3) AS novelty, round(a, 3) AS actionability, round(s, 6) AS signal, kind, CASE kind {_GATES} END AS do_index FROM ({_SCORED})", novelty="DOUBLE", actionability="DOUBLE"))
@@ -95,7 +101,7 @@ def canonical_corpus(spark, sf_dir):
     """What may be indexed, is good enough, and isn't a duplicate."""
     docs = table(spark, sf_dir, "documents")
     first = docs.groupBy(text.content_hash(F.col("text")).alias("h")).agg(F.min("doc_id").alias("doc_id")).select("doc_id")
-    good = scored(docs).where("do_index and round(quality, 9) >= 0.6 and round(signal, 9) >= 0.5").select("doc_id")
+    good = scored(docs).where("canonical").select("doc_id")
     return good.join(first, "doc_id", "left_semi")
 
 
