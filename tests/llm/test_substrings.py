@@ -3,6 +3,7 @@ import random
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 
 from tests.llm.conftest import make_docs
 from textloom.llm import substrings
@@ -73,3 +74,20 @@ def test_refinement_against_counts(prose):
     seen = Counter(t[k : k + 400] for t in texts for k in range(len(t) - 399))
     for t, on in zip(texts, substrings.refine(texts), strict=True):
         assert on.tolist() == [seen[t[k : k + 400]] > 1 for k in range(max(0, len(t) - 399))]
+
+
+def test_refined_keeps_both_ranges_of_an_anchor(monkeypatch, prose):
+    """At the border of two pieces one anchor has two ranges of starts; the intervals are those of all strings, found by counting."""
+    monkeypatch.setattr(substrings, "_PIECE", 700)
+    passage = prose(200, 3)[:450]
+    raws = [(prose(400, 1)[:a] + passage + prose(400, 2)[:900]).encode() for a in (250, 260, 270, 320, 450, 610, 690)]
+    at, rows = substrings.LENGTH, []
+    for k, r in enumerate(raws):
+        rows += [(h, bytes([k]), k, p, p - v, p - u, 2, r[u : v + at]) for h, p, u, v in substrings.anchors(r)]
+    rows.sort(key=lambda r: r[0])
+    cols = [pa.array(v, f.type) for v, f in zip(zip(*rows, strict=True), substrings._CONTEXT_ARROW, strict=True)]
+    spans = [np.zeros(len(r), bool) for r in raws]
+    for b in substrings._refined(at)(iter([pa.RecordBatch.from_arrays(cols, schema=substrings._CONTEXT_ARROW)])):
+        for x in b.to_pylist():
+            spans[x["rep"]][x["s"] : x["e"]] = True
+    assert [int(on.sum()) for on in spans] == [n for _, n, _, _ in brute([r.decode() for r in raws], at)]

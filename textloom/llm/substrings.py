@@ -177,7 +177,7 @@ def _refined(length: int):
         held, size, last = [], 0, None
 
         def flush():
-            rows = list({(r[0], r[1], r[3]): r for r in held}.values())
+            rows = list({(r[0], r[1], *r[3:6]): r for r in held}.values())  # an anchor at the border of two pieces has two ranges of starts
             out = [[], [], [], []]
             for r, on in zip(rows, refine([r[7] for r in rows], length), strict=True):
                 s, e = _runs(on)
