@@ -47,3 +47,13 @@ def test_held_out_accuracy(prose):
     random_ = [model.rate(x.decode()) for x in secrets.made_strings(500, seed=99)]
     words = [model.rate(w * 3) for w in prose(500, 999).split()]
     assert np.mean(np.array(random_) >= secrets.CUT) > 0.97 and np.mean(np.array(words) >= secrets.CUT) < 0.02
+
+
+def test_keys_with_few_digits(spark, prose):
+    draw = random.Random(11)
+    keys = ["".join(draw.choices(string.ascii_letters, k=n)) for n in (16, 20, 24, 40)]
+    keys += [k[:7] + "5" + k[8:] for k in keys]
+    pairs = [*((k, prose(300, k)) for k in range(30)), *((100 + k, f"the value {x} here") for k, x in enumerate(keys)), (200, "interdisciplinarynessfulbehaviour counterrevolutionaries_and_more")]
+    out = {r.row.doc_id: r.spans for r in secrets.secret_spans(make_docs(spark, pairs)).collect()}
+    assert all(out[100 + k] == f"random:10:{10 + len(x)}" for k, x in enumerate(keys))
+    assert not any(out[k] for k in (*range(30), 200))

@@ -17,13 +17,14 @@ _ASSIGN = re.compile(r"(password|passwd|secret|token|api_?key)[\"']?\x20*[:=]\x2
 _ACCESS, _HEX = re.compile(r"AKIA[A-Z0-9]{12,}"), re.compile(r"[0-9a-f]{32,}")
 _HINTS = ("password", "passwd", "secret", "token", "apikey", "api_key")
 _TOKEN = re.compile(r"[A-Za-z0-9+/_=-]{16,}")
+_MIXED = re.compile(r"[a-z][A-Z]")
 #: The models' letters; 0 stands for any other byte.
 ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_.=-"
 _CODE = np.zeros(256, np.int64)
 _CODE[np.frombuffer(ALPHABET.encode(), np.uint8)] = np.arange(1, len(ALPHABET) + 1)
 SIZE = len(ALPHABET) + 1
-#: Labelled random strings that are made for training, and the log-likelihood ratio a letter from which a string is a secret.
-MADE, CUT = 4000, 0.75
+#: Labelled random strings that are made for training, and the log-likelihood ratio a letter from which a string is a secret: with two digits or more, and with fewer.
+MADE, CUT, FEW_CUT = 4000, 0.75, 2.5
 
 
 def base_spans(text: str) -> list[tuple[int, int, str]]:
@@ -75,7 +76,7 @@ def train(docs: DataFrame, text: str = "text") -> Markov:
     """Fits both models over all documents.
 
     Labelled by the fixed patterns: keys and hexadecimal strings that they match are random strings, all other letters of
-    the corpus, but for the candidates to be judged, are ordinary identifiers; to the former the made strings are added. Each task sends two tables of SIZE * SIZE sums at most.
+    the corpus, but for candidates with two digits or a capital after a small letter, are ordinary identifiers; to the former the made strings are added. Each task sends two tables of SIZE * SIZE sums at most.
     """
 
     def count(batches):
@@ -84,7 +85,7 @@ def train(docs: DataFrame, text: str = "text") -> Markov:
             for x in b.column(0).to_pylist():
                 if x:
                     at, rest = 0, []
-                    for s, e, kind in sorted([*base_spans(x), *((s, e, "candidate") for s, e in candidates(x))]):
+                    for s, e, kind in sorted([*base_spans(x), *((s, e, "candidate") for s, e in candidates(x) if _digits(x[s:e]) >= 2 or _MIXED.search(x, s, e))]):
                         if kind in ("access", "hex"):
                             random += _pairs(x[s:e].encode())
                         if s >= at:
@@ -104,21 +105,25 @@ def train(docs: DataFrame, text: str = "text") -> Markov:
     return Markov(_log(random) - _log(plain))
 
 
+def _digits(token: str) -> int:
+    return sum(c.isdigit() for c in token)
+
+
 def candidates(text: str) -> list[tuple[int, int]]:
-    """Strings of 16 letters of the alphabet or more, with letters and at least two digits, without marks at their ends."""
+    """Strings of 16 letters of the alphabet or more, with a letter, without marks at their ends."""
     out = []
     for m in _TOKEN.finditer(text):
         token = m.group().rstrip("-_=")
         s = m.end() - len(m.group().lstrip("-_=+/"))
         token = text[s : m.start() + len(token)]
-        if len(token) >= 16 and sum(c.isdigit() for c in token) >= 2 and any(c.isalpha() for c in token):
+        if len(token) >= 16 and any(c.isalpha() for c in token):
             out.append((s, s + len(token)))
     return out
 
 
 def random_spans(text: str, model: Markov, taken: list[tuple[int, int, str]], cut: float = CUT) -> list[tuple[int, int, str]]:
-    """Candidates outside the spans in ``taken`` that the random model favours by ``cut`` a letter."""
-    return [(s, e, "random") for s, e in candidates(text) if model.rate(text[s:e]) >= cut and not any(a < e and s < b for a, b, _ in taken)]
+    """Candidates outside the spans in ``taken`` that the random model favours by ``cut`` a letter, or by FEW_CUT if they have fewer than two digits."""
+    return [(s, e, "random") for s, e in candidates(text) if model.rate(text[s:e]) >= (cut if _digits(text[s:e]) >= 2 else max(cut, FEW_CUT)) and not any(a < e and s < b for a, b, _ in taken)]
 
 
 def _joined(spans: list[tuple[int, int, str]]) -> str:
