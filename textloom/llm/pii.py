@@ -18,24 +18,61 @@ PATTERNS = {
     "phone": r"\+[0-9][ ().0-9-]+[0-9]",
 }
 _HINT = {"email": "@", "ip": ".", "card": None, "phone": "+"}
-#: An unseen identifier's form: a run of non-blanks with six digits or more, without punctuation at its ends.
-IDENTIFIER = r"(?<![^\s(\[<\"'=:,;])(?=(?:[^\s0-9]{0,20}[0-9]){6})[A-Za-z0-9+#][^\s\"'<>()\[\],;]{4,62}[A-Za-z0-9](?=[\s.,;:!?)\]>\"']|$)"
+#: An unseen identifier's form, after a blank or an opening mark: groups of digits joined by single blanks, or a run that holds
+#: a digit and ends in a letter or digit; in either case with DIGITS digits or more. Possessive repeats keep it linear.
+_OPEN, _RUN = r"(?<![^\s(\[<\"'=:,;])", r"[^\s\"'<>()\[\],;=:"
+IDENTIFIER = _OPEN + r"(?:\+?[0-9][0-9./-]*+(?: [0-9](?:[0-9./-]*[0-9])?(?![^\s\"'<>()\[\],;=:.!?]))++|(?=" + _RUN + r"0-9]*+[0-9])" + _RUN + r"]*[A-Za-z0-9])"
+DIGITS = 4
 #: A pattern is the two words before an identifier; it is trusted from this share of known instances on, and this many of them.
-CONTEXT, TRUST, SUPPORT, ROUNDS = r"(\S+\s+\S+)\s*[\"'(\[<]?$", 0.8, 5, 3
+TRUST, SUPPORT, ROUNDS = 0.8, 5, 3
+#: The same, read backwards from the identifier.
+_CONTEXT = r"^[\"'(\[<]?\s*+(\S++\s++\S++)"
+_BLOCK = 128
+
+
+def let(value: Column, then) -> Column:
+    """``then`` of a value that is computed once; a lambda would compute it for each element."""
+    return F.get(F.transform(F.array(value), then), F.lit(0))
+
+
+def running_sums(numbers: Column) -> Column:
+    """array<bigint> of the sums of array<bigint> up to each element. Sums of blocks first: appending one by one to a whole array would take its square."""
+    empty = F.array().cast("array<bigint>")
+
+    def appended(acc, x):
+        at = acc["at"] + x
+        return F.struct(at.alias("at"), F.concat(acc["out"], F.array(at)).alias("out"))
+
+    def block(acc, some):
+        return let(F.aggregate(some, F.struct(acc["at"].alias("at"), empty.alias("out")), appended), lambda z: F.struct(z["at"].alias("at"), F.concat(acc["out"], F.array(z["out"])).alias("out")))
+
+    def whole(a):
+        blocks = F.transform(F.sequence(F.lit(0), F.floor((F.size(a) - 1) / _BLOCK).cast("int")), lambda k: F.slice(a, k * _BLOCK + 1, F.lit(_BLOCK)))
+        return F.flatten(F.aggregate(blocks, F.struct(F.lit(0).cast("bigint").alias("at"), F.array().cast("array<array<bigint>>").alias("out")), block, lambda acc: acc["out"]))
+
+    return let(numbers, lambda a: F.when(F.size(a) > 0, whole(a)).otherwise(empty))
+
+
+def _pieces(text: Column, pattern: str) -> Column:
+    """array<struct<g, v>>: the text before each match and the match; last the text after all, with a null."""
+    return let(text, lambda t: F.transform(F.arrays_zip(F.split(t, pattern, -1).alias("g"), F.regexp_extract_all(t, F.lit(pattern), F.lit(0)).alias("v")), lambda x: F.struct(x["g"].alias("g"), x["v"].alias("v"))))
 
 
 def found(text: Column, pattern: str) -> Column:
-    """array<struct<s, e, v>>: start and end (code points, exclusive) and text of each match; the gaps between matches give the positions."""
-    gaps, values = F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    steps = F.transform(values, lambda v, i: F.struct(F.length(F.get(gaps, i)).alias("gap"), v.alias("v")))
-    none = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<s:int,e:int,v:string>>").alias("out"))
+    """array<struct<s, e, v, c>>: start and end (code points, exclusive), text and context of each match, in time linear in the text.
+
+    The context is the last two words before a match, in lower case and digits as 0, looked for as far back as the last match
+    but one; empty if there are fewer.
+    """
 
-    def step(acc, z):
-        s = acc["at"] + z["gap"]
-        e = s + F.length(z["v"])
-        return F.struct(e.alias("at"), F.concat(acc["out"], F.array(F.struct(s.alias("s"), e.alias("e"), z["v"].alias("v")))).alias("out"))
+    def placed(pieces):
+        matches = F.slice(pieces, 1, F.size(pieces) - 1)
+        ends = running_sums(F.transform(matches, lambda x: (F.length(x["g"]) + F.length(x["v"])).cast("bigint")))
+        before = F.concat(F.array(F.lit("")), F.transform(matches, lambda x: F.concat(x["g"], x["v"])))
+        rows = F.zip_with(F.zip_with(matches, F.slice(before, 1, F.size(pieces) - 1), lambda x, p: F.struct(x["g"].alias("g"), x["v"].alias("v"), p.alias("p"))), ends, lambda x, e: F.struct(x.alias("x"), e.alias("e")))
+        return F.transform(rows, lambda r: F.struct((r["e"] - F.length(r["x"]["v"])).cast("int").alias("s"), r["e"].cast("int").alias("e"), r["x"]["v"].alias("v"), _before(F.concat(r["x"]["p"], r["x"]["g"])).alias("c")))
 
-    return F.aggregate(steps, none, step, lambda acc: acc["out"])
+    return let(_pieces(text, pattern), placed)
 
 
 def _digits(v: Column) -> Column:
@@ -62,25 +99,42 @@ def _valid(kind: str, v: Column) -> Column:
     return F.lit(True)
 
 
-_SPAN = "array<struct<s:int,k:int,e:int,v:string>>"
+_SPAN = "array<struct<s:int,k:int,e:int,v:string,c:string>>"
+
+
+def _hinted(kind: str, text: Column) -> Column:
+    """Whether a text may hold a match at all."""
+    hint = text.contains(_HINT[kind]) if _HINT[kind] else F.lit(True)
+    return hint if kind == "email" else hint & text.rlike("[0-9]")
 
 
 def base_spans(text: Column) -> Column:
-    """array<struct<s, k, e, v>> of the fixed patterns, by start and then kind (k: its place in KINDS)."""
+    """array<struct<s, k, e, v, c>> of the fixed patterns, by start and then kind (k: its place in KINDS)."""
 
     def of(k: int, kind: str) -> Column:
-        hint = text.contains(_HINT[kind]) if _HINT[kind] else F.lit(True)
         kept = F.filter(found(text, PATTERNS[kind]), lambda x: _valid(kind, x["v"]))
-        spans = F.transform(kept, lambda x: F.struct(x["s"].alias("s"), F.lit(k).alias("k"), x["e"].alias("e"), x["v"].alias("v")))
-        return F.when(hint if kind == "email" else hint & text.rlike("[0-9]"), spans).otherwise(F.array().cast(_SPAN))
+        spans = F.transform(kept, lambda x: F.struct(x["s"].alias("s"), F.lit(k).alias("k"), x["e"].alias("e"), x["v"].alias("v"), x["c"].alias("c")))
+        return F.when(_hinted(kind, text), spans).otherwise(F.array().cast(_SPAN))
 
     return F.array_sort(F.concat(*(of(k, kind) for k, kind in enumerate(KINDS))))
 
 
-def _before(text: Column, s: Column) -> Column:
-    """The two words before a position, in lower case, digits as 0; empty if there are none."""
-    left = F.substring(text, F.greatest(s - 79, F.lit(1)), F.least(s, F.lit(80)))
-    return F.regexp_replace(F.regexp_replace(F.lower(F.regexp_extract(left, CONTEXT, 1)), r"\s+", " "), "[0-9]+", "0")
+def _without(kind: str):
+    """The text with a line feed for each letter of what a fixed pattern finds."""
+    blank = lambda x: F.concat(x["g"], F.when(x["v"].isNull(), "").when(_valid(kind, x["v"]), F.repeat(F.lit("\n"), F.length(x["v"]))).otherwise(x["v"]))
+    return lambda t: F.when(_hinted(kind, t), F.array_join(F.transform(_pieces(t, PATTERNS[kind]), blank), "")).otherwise(t)
+
+
+def blanked(text: Column) -> Column:
+    """The text without what the fixed patterns find, one kind after the other; all else stays where it is."""
+    for kind in KINDS:
+        text = let(text, _without(kind))
+    return text
+
+
+def _before(left: Column) -> Column:
+    """The last two words of a text, in lower case, digits as 0; empty if there are none. It is read backwards, so that no start is tried twice."""
+    return F.regexp_replace(F.regexp_replace(F.lower(F.reverse(F.regexp_extract(F.reverse(left), _CONTEXT, 1))), r"\s+", " "), "[0-9]+", "0")
 
 
 def joined(spans: Column) -> Column:
@@ -112,24 +166,21 @@ def trusted_patterns(mentions: DataFrame, scratch: Scratch, *, trust: float = TR
 
 
 def private_spans(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", *, trust: float = TRUST, support: int = SUPPORT, rounds: int = ROUNDS) -> DataFrame:
-    """(doc_id, base, spans): arrays of (s, k, e, v) for each row: the fixed patterns', and those with what trusted contexts add.
+    """(doc_id, base, spans): arrays of (s, k, e, v, c: context) for each row: the fixed patterns', and those with what trusted contexts add.
 
-    An identifier outside every base span that follows a trusted context gets that context's kind. A null or empty text has
-    no spans; repeated rows are rows like others; an empty table gives an empty one; other columns are ignored.
+    An identifier that follows a trusted context gets that context's kind; identifiers are looked for in the text whose base
+    spans are blanked, of any length and at any distance from the last one. A null or empty text has no spans; repeated rows are rows like others; an empty table gives an empty one; other columns are ignored.
     """
     scratch = Scratch(docs.sparkSession, "pii")
     rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
-    more = F.when(F.col("text").rlike("[0-9]"), found(F.col("text"), IDENTIFIER)).otherwise(F.array().cast("array<struct<s:int,e:int,v:string>>"))
-    rows = rows.withColumn("base", base_spans(F.col("text"))).withColumn("more", more)
-    rows = rows.withColumn("more", F.filter("more", lambda x: ~F.exists("base", lambda b: (b["s"] < x["e"]) & (x["s"] < b["e"]))))
-    context = lambda of: F.transform(of, lambda x: F.struct(x["s"].alias("s"), x["e"].alias("e"), x["v"].alias("v"), _before(F.col("text"), x["s"]).alias("context")))
-    rows = rows.withColumn("more", context("more")).withColumn("seen", F.transform("base", lambda x: F.struct(x["k"].alias("k"), x["v"].alias("v"), _before(F.col("text"), x["s"]).alias("context"))))
-    rows = scratch.write(rows.select("row", "doc_id", "base", "more", "seen"), "spans")
-    seeds = rows.select(F.explode("seen").alias("x")).select("x.context", F.lower("x.v").alias("value"), F.col("x.k").alias("kind"))
-    others = rows.select("row", F.explode("more").alias("x")).select("row", "x.s", "x.e", "x.v", "x.context").where("context <> ''")
+    more = F.filter(found(blanked(F.col("text")), IDENTIFIER), lambda x: (x["c"] != "") & (F.length(_digits(x["v"])) >= DIGITS))
+    more = F.when(F.col("text").rlike("[0-9]"), more).otherwise(F.array().cast("array<struct<s:int,e:int,v:string,c:string>>"))
+    rows = scratch.write(rows.select("row", "doc_id", base_spans(F.col("text")).alias("base"), more.alias("more")), "spans")
+    seeds = rows.select(F.explode("base").alias("x")).select(F.col("x.c").alias("context"), F.lower("x.v").alias("value"), F.col("x.k").alias("kind"))
+    others = rows.select("row", F.explode("more").alias("x")).select("row", "x.s", "x.e", "x.v", F.col("x.c").alias("context"))
     mentions = seeds.unionByName(others.select("context", F.lower("v").alias("value"), F.lit(None).cast("int").alias("kind")))
     patterns = scratch.write(trusted_patterns(mentions, scratch, trust=trust, support=support, rounds=rounds), "trusted")
-    new = others.join(patterns, "context").groupBy("row").agg(F.collect_list(F.struct("s", F.col("kind").alias("k"), "e", "v")).alias("new"))
+    new = others.join(patterns, "context").groupBy("row").agg(F.collect_list(F.struct("s", F.col("kind").alias("k"), "e", "v", F.col("context").alias("c"))).alias("new"))
     out = rows.select("row", "doc_id", "base").join(scratch.write(new, "new"), "row", "left")
     return scratch.keep(out.select("doc_id", "base", F.array_sort(F.concat("base", F.coalesce("new", F.array().cast(_SPAN)))).alias("spans")))
 
@@ -137,4 +188,4 @@ def private_spans(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", *
 def op7_pii(spark, sf_dir: str) -> DataFrame:
     out = private_spans(spark.read.parquet(f"{sf_dir}/documents.parquet"))
     n = lambda k: F.size(F.filter("base", lambda x: x["k"] == k)).cast("long").alias(f"n_{KINDS[k]}")
-    return out.select("doc_id", *map(n, range(4)), F.sha2(joined(F.col("base")).cast("binary"), 256).alias("base_sha256"), joined(F.col("spans")).alias("spans"))
+    return out.select("doc_id", *map(n, range(4)), F.sha2(joined(F.col("base")).cast("binary"), 256).alias("base_sha256"), joined(F.col("spans")).alias("spans"), F.size("spans").cast("long").alias("n_spans"))
