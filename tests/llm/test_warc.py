@@ -32,6 +32,23 @@ def test_round_trip(spark):
     assert sorted(map(tuple, got), key=str) == expected(rows)
 
 
+def test_archives_are_cut_and_always_have_a_dictionary(spark):
+    from textloom.llm.scratch import Scratch
+
+    rows = [(k, f"http://h/{k}", f"page {k} " + " ".join(str(k * j) for j in range(2000))) for k in range(60)]
+    df = spark.createDataFrame([(*r, "p", "s") for r in rows], PAGES).repartition(2)
+    got = warc.round_trip(df, archive_bytes=20_000).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to").collect()
+    assert sorted(map(tuple, got), key=str) == expected(rows)
+    for some in (df, df.limit(1), spark.createDataFrame([(1, None, None, "p", "s")], PAGES)):
+        scratch = Scratch(spark, "warc")
+        folder = scratch.path("archives")
+        made = warc.write_archives(warc.classify(some, scratch), folder, scratch, archive_bytes=20_000).collect()
+        assert sum(r.n for r in made) == some.count() and (len(made) > 5) == (some is df)
+        for r in made:
+            with open(r.path, "rb") as f:
+                assert struct.unpack("<I", f.read(4))[0] == warc.DICTIONARY_FRAME
+
+
 def test_least_bytes_and_empty_table(spark):
     df = spark.createDataFrame([(1, "u", "aa", "", ""), (2, "u", "aa", "", ""), (3, "u", "aaaa", "", ""), (4, "u", "aaaa", "", "")], PAGES)
     assert {tuple(r) for r in warc.round_trip(df, least=3).select("page_id", "record_type").collect()} == {(1, "response"), (2, "response"), (3, "revisit"), (4, "response")}

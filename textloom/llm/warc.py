@@ -21,7 +21,9 @@ from textloom.llm.scratch import Scratch
 DICTIONARY_FRAME, SKIPPABLE, FRAME, DICTIONARY = 0x184D2A5D, 0x184D2A50, 0xFD2FB528, 0xEC30A437
 #: A file's dictionary is trained on its first payloads, up to so many and so many bytes of each. It changes sizes, never contents.
 SAMPLES, SAMPLE_BYTES, DICTIONARY_BYTES = 64, 16 << 10, 32 << 10
-LEVEL, RECORD_BYTES, _CHUNK = 3, 1 << 30, 64 << 10
+LEVEL, _CHUNK = 3, 64 << 10
+#: A task goes on to its next archive after so many bytes, so that a reader's task gets one whole archive of bounded size (but for a last large record).
+ARCHIVE_BYTES = 256 << 20
 DATE = "2024-01-01T00:00:00Z"
 RESPONSE, REVISIT = "response", "revisit"
 #: Equal payloads of so many bytes or more become revisits.
@@ -50,31 +52,33 @@ def record(page_id: int | None, url: str | None, payload: bytes, size: int, sha1
     return "\r\n".join(head).encode() + b"\r\n\r\n" + block + b"\r\n\r\n"
 
 
-def dictionary(samples: list[bytes]) -> bytes | None:
-    """A trained dictionary, or None if the samples don't suffice for one."""
-    try:
-        return zstandard.train_dictionary(DICTIONARY_BYTES, samples).as_bytes() if len(samples) >= 8 else None
-    except zstandard.ZstdError:
-        return None
+def dictionary(samples: list[bytes]) -> bytes:
+    """A dictionary trained on samples of payloads and on heads of records, of which there are always enough."""
+    urls = [f"http{'s' * (k % 2)}://{'www.' * (k % 3 > 0)}site{k * 37 % 101}.{('com', 'org', 'net')[k % 3]}/{'page/' * (k % 4)}{k * 7919}" for k in range(256)]
+    heads = [record(k * 104729, u, b"", 1000 + k * 31, digest(u.encode()), (RESPONSE, REVISIT)[k % 2], k) for k, u in enumerate(urls)]
+    return zstandard.train_dictionary(DICTIONARY_BYTES, [*samples, *heads]).as_bytes()
 
 
 class Writer:
     """Writes records to a binary file, each in a frame of its own, after a skippable frame with the dictionary."""
 
     def __init__(self, out, trained: bytes | None):
-        self.out = out
+        self.out, self.size = out, 0
         if trained:
             packed = zstandard.ZstdCompressor(level=LEVEL).compress(trained)
-            out.write(struct.pack("<II", DICTIONARY_FRAME, len(packed)) + packed)
+            self.size += out.write(struct.pack("<II", DICTIONARY_FRAME, len(packed)) + packed)
         self.frames = zstandard.ZstdCompressor(level=LEVEL, write_checksum=True, write_content_size=True, dict_data=zstandard.ZstdCompressionDict(trained) if trained else None)
 
     def write(self, rec: bytes) -> None:
-        self.out.write(self.frames.compress(rec))
+        self.size += self.out.write(self.frames.compress(rec))
 
 
-def frames(data: bytes, most: int = RECORD_BYTES) -> Iterator[bytes]:
-    """The decoded frames of an archive, one at a time; the leading skippable frame is the dictionary, plain or compressed."""
-    at, loaded = 0, None
+def frames(data: bytes, most: int | None = None) -> Iterator[bytes]:
+    """The decoded frames of an archive, one at a time; the leading skippable frame is the dictionary, plain or compressed.
+
+    ``most`` bounds what a frame may decode to, for archives from elsewhere; without it a record may have any size.
+    """
+    at, loaded, most = 0, None, most or (1 << 62)
     view = memoryview(data)
     while at < len(data):
         if len(data) - at < 8:
@@ -87,7 +91,7 @@ def frames(data: bytes, most: int = RECORD_BYTES) -> Iterator[bytes]:
             if at == 0 and magic == DICTIONARY_FRAME:
                 raw = bytes(body)
                 if raw[:4] == struct.pack("<I", FRAME):
-                    raw = zstandard.ZstdDecompressor().decompress(raw, max_output_size=most)
+                    raw = zstandard.ZstdDecompressor().decompressobj().decompress(raw)
                 if raw[:4] != struct.pack("<I", DICTIONARY):
                     raise WarcError("the dictionary frame holds no dictionary")
                 loaded = zstandard.ZstdCompressionDict(raw)
@@ -176,8 +180,8 @@ def _filesystem(folder: str) -> tuple[fs.FileSystem, str]:
     return fs.FileSystem.from_uri(folder if "://" in folder or folder.startswith("file:") else f"file://{folder}")
 
 
-def write_archives(classified: DataFrame, folder: str, scratch: Scratch) -> DataFrame:
-    """Writes one archive for each task to ``folder`` and returns their names and numbers of records.
+def write_archives(classified: DataFrame, folder: str, scratch: Scratch, *, archive_bytes: int = ARCHIVE_BYTES) -> DataFrame:
+    """Writes archives to ``folder``, each of about ``archive_bytes`` at most, and returns their names and numbers of records.
 
     A file has its task's number, is written under another name and then renamed, so that a task that runs again replaces it.
     """
@@ -186,30 +190,43 @@ def write_archives(classified: DataFrame, folder: str, scratch: Scratch) -> Data
     def run(batches):
         system, root = _filesystem(folder)
         task = TaskContext.get()
-        name = f"{root}/part-{task.partitionId():06d}.warc.zst"
-        draft, out, writer, n, waiting = f"{name}.{task.taskAttemptId()}", None, None, 0, []
+        trained, files, out, writer, n, draft = None, 0, None, None, 0, f"{root}/{task.partitionId():06d}.{task.taskAttemptId()}"
 
-        def flush(rows):
-            nonlocal out, writer, n
+        def close():
+            nonlocal writer, files
+            name = f"{root}/part-{task.partitionId():06d}-{files:05d}.warc.zst"
+            out.close()
+            system.move(draft, name)
+            writer, files = None, files + 1
+            return pa.RecordBatch.from_arrays([pa.array([name]), pa.array([n], pa.int64())], ["path", "n"])
+
+        def rows():  # the first few are looked at before any is written
+            first = []
+            for b in batches:
+                for k in range(b.num_rows):
+                    r = b.slice(k, 1).to_pylist()[0]
+                    if first is None:
+                        yield None, r
+                        continue
+                    first.append(r)
+                    if len(first) == SAMPLES:
+                        yield from ((first, x) for x in first)
+                        first = None
+            yield from ((first, x) for x in first or ())
+
+        for first, r in rows():
+            if trained is None:
+                trained = dictionary([x["payload"][:SAMPLE_BYTES] for x in first if x["payload"]])
             if writer is None:
                 system.create_dir(root, recursive=True)
-                out = system.open_output_stream(draft)
-                writer = Writer(out, dictionary([r["payload"][:SAMPLE_BYTES] for r in rows if r["payload"]][:SAMPLES]))
-            for r in rows:
-                writer.write(record(r["page_id"], r["url"], r["payload"] or b"", r["size"], base64.b32encode(r["sha1"]).decode(), r["kind"], r["refers_to"]))
-            n += len(rows)
-
-        for b in batches:
-            waiting += b.to_pylist()
-            if writer is not None or len(waiting) >= SAMPLES:
-                flush(waiting)
-                waiting = []
-        if waiting:
-            flush(waiting)
+                out, n = system.open_output_stream(draft), 0
+                writer = Writer(out, trained)
+            writer.write(record(r["page_id"], r["url"], r["payload"] or b"", r["size"], base64.b32encode(r["sha1"]).decode(), r["kind"], r["refers_to"]))
+            n += 1
+            if writer.size >= archive_bytes:
+                yield close()
         if writer is not None:
-            out.close()
-            system.move(draft, name)
-            yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([n], pa.int64())], ["path", "n"])
+            yield close()
 
     return scratch.write(classified.mapInArrow(run, "path string, n long"), "manifest")
 
@@ -217,10 +234,11 @@ def write_archives(classified: DataFrame, folder: str, scratch: Scratch) -> Data
 SCHEMA = "page_id long, url string, payload binary, payload_bytes long, payload_digest string, record_type string, refers_to long"
 
 
-def read_archives(spark, folder: str, *, payload: bool = True) -> DataFrame:
+def read_archives(spark, folder: str, *, payload: bool = True, most: int | None = None) -> DataFrame:
     """The records of all ``*.warc.zst`` archives in ``folder``; a broken archive raises WarcError with its name.
 
-    ``payload`` False leaves the payloads out after they have been checked.
+    ``payload`` False leaves the payloads out after they have been checked; ``most`` bounds a record's bytes. An archive is
+    one task's; one of 2 GB or more, which this writer never makes, can't be read.
     """
 
     def run(batches):
@@ -228,7 +246,7 @@ def read_archives(spark, folder: str, *, payload: bool = True) -> DataFrame:
             for path, data in zip(b.column(0).to_pylist(), b.column(1), strict=True):
                 rows, held = [], 0
                 try:
-                    for raw in frames(data.as_buffer()):
+                    for raw in frames(data.as_buffer(), most):
                         row = parse(raw)
                         if not payload:
                             row["payload"] = None
@@ -247,7 +265,7 @@ def read_archives(spark, folder: str, *, payload: bool = True) -> DataFrame:
     return files.mapInArrow(run, SCHEMA)
 
 
-def round_trip(pages: DataFrame, *, least: int = LEAST_BYTES) -> DataFrame:
+def round_trip(pages: DataFrame, *, least: int = LEAST_BYTES, archive_bytes: int = ARCHIVE_BYTES) -> DataFrame:
     """Writes ``pages`` (page_id, url, html) as archives in the shared folder and reads them back, without payloads.
 
     A null html is an empty payload, a null url is replaced by the record's own name, a null page_id is older than any
@@ -258,7 +276,7 @@ def round_trip(pages: DataFrame, *, least: int = LEAST_BYTES) -> DataFrame:
     scratch = Scratch(spark, "warc")
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", min(200, int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch"))))
     folder = scratch.path("archives")
-    manifest = write_archives(classify(pages, scratch, least=least), folder, scratch)
+    manifest = write_archives(classify(pages, scratch, least=least), folder, scratch, archive_bytes=archive_bytes)
     if manifest.isEmpty():
         return spark.createDataFrame([], SCHEMA).drop("payload")
     out = scratch.keep(read_archives(spark, folder, payload=False).drop("payload"))
