@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from textloom.llm.components import components, forest
 from textloom.llm.scratch import Scratch
 
-COSINE, TILE = 0.98, 2048
+COSINE, TILE = 0.98, 8192
 #: Bits of a query's coordinates when it is compared with a code; seed of the rotation.
 QUERY_BITS, SEED = 6, 11
 _ROWS = 256
