@@ -3,7 +3,7 @@ import datetime
 import pytest
 from pyspark.sql import functions as F
 
-from textloom.operators import fields, handlers
+from textloom.operators import fields, handlers, rules
 
 
 def one(spark, column, *values):
@@ -14,12 +14,13 @@ def one(spark, column, *values):
 @pytest.mark.parametrize(
     ("body", "name", "want"),
     [
-        ("Case no. 310 F 141/25\nx", "a.pdf", "Case 310 F 14125"), ("Subject: a b\n# One two three\n", "a.pdf", "One two three"), ("# Two\n", "a.pdf", "Two"), ("This first sentence has exactly eight words here. Next.", "a.pdf", "This first sentence has exactly eight words here"),
-        ("Too short. Next", "my_file-1.pdf", "my file 1"), ("", "", "Document"),
+        ("Amtsgericht Köln\n310 F 141/25\nx", "a.pdf", "Amtsgericht Köln - 310 F 14125"), ("invoice # 2024-7 Customer: Bay & Co.", "", "Invoice 2024-7 - Bay & Co"), ("x Einschulung 2024/25", "", "Einschulung 202425"), ("Subject: a b\n# One two three\n", "a.pdf", "One two three"),
+        ("Subject: Re: One [two] three\n", "", "One two three"), ("a # Two three four ## x", "a.pdf", "Two three four"), ("This first sentence has exactly eight words here. Next.", "a.pdf", "This first sentence has exactly eight words here"),
+        ("Too short. Next", "scan_my_file-1.pdf", "my file 1"), ("", "20240101-x-72851.eml", "x"), ("", "", "Document"),
     ],
 )
 def test_titles(spark, body, name, want):
-    assert one(spark, fields.title, body, name) == want
+    assert one(spark, rules.title, body, name) == want
 
 
 def test_people_and_topics(spark):
@@ -35,9 +36,29 @@ def test_relative_dates(spark, phrase, want):
 
 def test_mail_and_money(spark):
     mail = "> quoted\nOn Monday Ann wrote:\nhello\n\n\n\nworld\n--\nAnn"
-    assert one(spark, handlers.mail_body, mail) == "hello\n\nworld"
-    assert one(spark, handlers.amounts, "€ 1.234,56 and $1,234.56 or EUR 12") == [1234.56, 1234.56, 12.0]
-    assert [one(spark, handlers.currency, x) for x in ("5 EUR $", "$5", "£", "CHF", "x")] == ["EUR", "USD", "GBP", "CHF", None]
+    assert one(spark, rules.mail_body, mail) == "hello\n\nworld"
+    assert one(spark, rules.mail_body, "On Monday Ann wrote:\n  > in\nmine\nThanks for it\nThanks,\nBo") == "mine\nThanks for it"
+    bill = one(spark, rules.invoice, "Acme GmbH\nInvoice No. A-7 of 01.02.2024\nBolt 12,50 EUR\nTotal € 1.234,56 and $1,234.56\npayment within 30 days, due 2024-03-01, 19% VAT")
+    assert (bill.total, bill.currency, bill.number, bill.invoice_date, bill.due_date, bill.terms, bill.items, bill.tax) == (1234.56, "EUR", "A-7", "01.02.2024", "2024-03-01", "payment within 30 days", 3, "19% VAT")
+    assert [one(spark, rules.invoice, f"{x}").currency for x in ("5,00 EUR $", "$5.00", "£5.00", "CHF 5,00", "x")] == ["EUR", "USD", "GBP", "CHF", None]
+
+
+@pytest.mark.parametrize(
+    ("name", "want"), [("Richterin", False), ("Lehrer", False), ("RECHTSANWALT", False), ("judge teacher", False), ("Richterin Meyer", True), ("Dr. Müller", True), ("Schmidt", True), ("andreas", True), ("weber", False), ("", False), ("Ann Lee", True)]
+)
+def test_specific_people(spark, name, want):
+    assert one(spark, rules.specific_person, name) is want
+
+
+def test_corrupt_texts(spark):
+    long = "x" * 101
+    assert [one(spark, rules.corrupt, x) for x in (long, long + "\0", long + "\ufffd", "\0", long + "\x07" * 11, long + "\x07" * 12, long + "\t" * 500)] == [False, True, True, False, False, True, False]
+
+
+def test_manual(spark):
+    m = one(spark, rules.manual, "# Manual: Pump\nRelease 2.1 Date: 2024-01-02\n1. Open it\nStep 1: go\n```sh\nx\n```\nsee section 4. Tutorial")
+    assert (m.version, m.document_date, m.sections, m.steps, m.code_blocks, m.languages, m.level, m.product, m.cross_references) == ("2.1", "2024-01-02", 2, 2, 1, ["sh"], "beginner", "Pump", 1)
+    assert one(spark, rules.manual, "Date 2024-01-02").version == "2024-01-02"
 
 
 def test_answers(spark):

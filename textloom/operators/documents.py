@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import hashlib
+from collections import Counter
+
+import pandas as pd
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from textloom import shared
 from textloom.functions import dates, scores, text
 from textloom.registry import query, spread, table, typed
 
@@ -50,11 +55,6 @@ def extract_dates(spark, sf_dir):
     return noted(spark, sf_dir).select("doc_id", dates.absolute_dates(F.col("body")).alias("dates"))
 
 
-@query("recency", "SELECT doc_id, round(greatest(0.05, least(1.0, exp(-0.003 * (doc_id * 7 % 1500)))), 6) AS recency FROM documents")
-def recency(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select("doc_id", F.round(dates.recency(F.col("doc_id") * 7 % 1500), 6).alias("recency"))
-
-
 @query("extract_numbers")
 def extract_numbers(spark, sf_dir):
     """Amounts, shares and times (no SQL: DuckDB's word boundaries are ASCII)."""
@@ -105,13 +105,6 @@ def canonical_corpus(spark, sf_dir):
     return good.join(first, "doc_id", "left_semi")
 
 
-@query("valid_content", "SELECT doc_id, length(trim(text)) >= 10 AS valid, coalesce(length(text) > 100 AND length(regexp_replace(text, '[^\\x00-\\x08\\x0b\\x0c\\x0e-\\x1f]', '', 'g')) * 10 > length(text), false) AS corrupt FROM documents")
-def valid_content(spark, sf_dir):
-    body = F.col("text")
-    control = F.length(F.regexp_replace(body, r"[^\x00-\x08\x0b\x0c\x0e-\x1f]", ""))
-    return table(spark, sf_dir, "documents").select("doc_id", (F.length(F.trim(body)) >= 10).alias("valid"), F.coalesce((F.length(body) > 100) & (control * 10 > F.length(body)), F.lit(False)).alias("corrupt"))
-
-
 @query("search_filters", "SELECT d.doc_id FROM documents d JOIN labels l USING (doc_id) WHERE d.lang IN ('en', 'de') AND d.source = 'src1' AND l.quality >= 1 AND l.toxic = 0")
 def search_filters(spark, sf_dir):
     """The hard filters as predicates that reach the scans."""
@@ -143,13 +136,49 @@ def triage(spark, sf_dir):
     return d.select("doc_id", pick("duplicate", "junk", "personal_actionable", "financial_actionable", "archival").alias("category"), F.round(pick(1.0, F.least(F.lit(0.9), 0.5 + 0.1 * F.col("junk")), 0.85, 0.8, 0.5), 6).alias("confidence"))
 
 
-@query("fuzzy_duplicates", """WITH w AS (SELECT doc_id, len(list_filter(string_split_regex(text, '\\s+'), lambda x: x <> '')) AS words, md5(lower(substr(text, 1, 100))) AS h FROM documents)
-SELECT a.doc_id AS doc_a, b.doc_id AS doc_b FROM w a JOIN w b ON a.h = b.h AND a.doc_id < b.doc_id AND abs(a.words - b.words) < 100 AND a.doc_id = (SELECT min(c.doc_id) FROM w c WHERE c.h = a.h)""")
+#: The rule of a rough fingerprint: the commonest terms among the first words; and how far lengths may lie apart.
+FIRST_WORDS, TOP_TERMS, WORDS_APART = 1000, 50, 100
+
+
+def fuzzy_hash(words: Column) -> Column:
+    """MD5 of the 50 commonest of the first thousand words with their counts, of equals the first in the text."""
+
+    @F.pandas_udf("string")
+    def run(lists: pd.Series) -> pd.Series:
+        of = lambda w: hashlib.md5(",".join(f"{t}:{n}" for t, n in Counter(w).most_common(TOP_TERMS)).encode()).hexdigest()
+        return lists.map(lambda w: of(w if w is not None else []))
+
+    return run(F.slice(words, 1, FIRST_WORDS))
+
+
+def rough_duplicates(docs: DataFrame, doc_id: str = "doc_id", body: str = "text") -> DataFrame:
+    """(doc_id, fuzzy_hash, n_links, component_id) of documents that share their fuzzy hash with others less than 100 words longer or shorter.
+
+    n_links counts those; component_id is the smallest doc_id that links lead to. Documents of one hash and length are
+    one class with a count first, and chains are runs of lengths without a gap, so no pair is made. A null text is empty.
+    """
+    whole = F.coalesce(F.col(body), F.lit(""))
+    d = docs.select(F.col(doc_id).alias("doc_id"), text.word_count(whole).alias("words"), fuzzy_hash(text.tokens(whole)).alias("fuzzy_hash"))
+    d = shared.written(d, "fuzzy")
+    classes = d.groupBy("fuzzy_hash", "words").agg(F.count("*").alias("n"), F.min("doc_id").alias("first"))
+    by = Window.partitionBy("fuzzy_hash").orderBy("words")
+    near = F.sum("n").over(by.rangeBetween(1 - WORDS_APART, WORDS_APART - 1))
+    fresh = F.coalesce((F.col("words") - F.lag("words").over(by) >= WORDS_APART).cast("int"), F.lit(0))
+    classes = classes.withColumn("near", near).withColumn("fresh", fresh).withColumn("run", F.sum("fresh").over(by)).where("near > 1")
+    classes = classes.withColumn("component_id", F.min("first").over(Window.partitionBy("fuzzy_hash", "run")))
+    return d.join(classes.select("fuzzy_hash", "words", "near", "component_id"), ["fuzzy_hash", "words"]).select("doc_id", "fuzzy_hash", (F.col("near") - 1).alias("n_links"), "component_id")
+
+
+@query("fuzzy_duplicates", """WITH w AS (SELECT doc_id, list_slice(regexp_extract_all(lower(text), '[\\p{L}\\p{N}_]+'), 1, 1000) AS w, len(list_filter(string_split_regex(text, '\\s+'), lambda x: x <> '')) AS words FROM documents),
+t AS (SELECT doc_id, unnest(w) AS term, unnest(range(len(w))) AS pos FROM w), c AS (SELECT doc_id, term, count(*) AS n, min(pos) AS p FROM t GROUP BY doc_id, term QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY count(*) DESC, min(pos)) <= 50),
+g AS (SELECT doc_id, md5(string_agg(term || ':' || n, ',' ORDER BY n DESC, p)) AS h FROM c GROUP BY doc_id), h AS (SELECT doc_id, words, coalesce(h, md5('')) AS h FROM w LEFT JOIN g USING (doc_id)),
+l AS (SELECT a.doc_id, a.h, a.words, b.doc_id AS other FROM h a JOIN h b ON a.h = b.h AND a.doc_id <> b.doc_id AND abs(a.words - b.words) < 100),
+r AS (SELECT h, words, CASE WHEN words - lag(words) OVER (PARTITION BY h ORDER BY words) >= 100 THEN 1 ELSE 0 END AS fresh FROM (SELECT DISTINCT h, words FROM h)), i AS (SELECT h, words, sum(fresh) OVER (PARTITION BY h ORDER BY words) AS run FROM r),
+m AS (SELECT h.h, run, min(doc_id) AS component_id FROM h JOIN i ON h.h = i.h AND h.words = i.words GROUP BY ALL)
+SELECT doc_id, l.h AS fuzzy_hash, count(*) AS n_links, any_value(component_id) AS component_id FROM l JOIN i ON l.h = i.h AND l.words = i.words JOIN m ON m.h = i.h AND m.run = i.run GROUP BY ALL""")
 def fuzzy_duplicates(spark, sf_dir):
-    """Documents that share a rough fingerprint with its first document, and nearly its length; linked to that one, not to each other."""
-    d = table(spark, sf_dir, "documents").select("doc_id", text.word_count(F.col("text")).alias("words"), F.md5(F.lower(F.substring("text", 1, 100)).cast("binary")).alias("h"))
-    first = d.groupBy("h").agg(F.min("doc_id").alias("doc_a"), F.min_by("words", "doc_id").alias("words_a"), F.count("*").alias("n")).where("n > 1")
-    return d.join(first, "h").where("doc_id > doc_a and abs(words - words_a) < 100").select("doc_a", F.col("doc_id").alias("doc_b"))
+    """Documents that share a rough fingerprint and nearly their length."""
+    return rough_duplicates(table(spark, sf_dir, "documents"))
 
 
 @query("html_text", """WITH a AS (SELECT page_id, regexp_replace(html, '(?is)<!--.*?-->', '', 'g') AS h FROM pages), b AS (SELECT page_id, regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(h, '(?is)<script\\b.*?</script\\s*>', '', 'g'), '(?is)<style\\b.*?</style\\s*>', '', 'g'), '(?is)<nav\\b.*?</nav\\s*>', '', 'g'), '(?is)<footer\\b.*?</footer\\s*>', '', 'g'), '(?is)<header\\b.*?</header\\s*>', '', 'g') AS h FROM a),

@@ -9,31 +9,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from textloom import shared
+from textloom.operators.rules import normal_name
 from textloom.registry import query, table
 
-#: Titles that are not part of a name.
-TITLES = ("Prof. Dr.", "Professor", "Prof.", "Dr.", "Mr.", "Mrs.", "Ms.", "Herr", "Frau")
-ROLES = ("judge", "teacher", "lawyer", "doctor", "director", "manager", "parent", "student")
 SAME, CAP = 0.85, 20
 
 
-def normal_name(c: Column) -> Column:
-    """Without titles, the longest first, and punctuation; single blanks."""
-    titles = "|".join(t.replace(".", r"\.") for t in sorted(TITLES, key=len, reverse=True))
-    c = F.regexp_replace(c, rf"(?i)(?<![\p{{L}}])(?:{titles})(?![\p{{L}}])", " ")
-    return F.trim(F.regexp_replace(F.regexp_replace(c, "[,.;:]", " "), r"\s+", " "))
-
-
-def specific_person(c: Column) -> Column:
-    """Whether a name is a person's own: titled, or not made of roles alone."""
-    low = F.lower(c)
-    parts = F.filter(F.split(low, r"\s+"), lambda x: x != "")
-    roles = F.size(F.filter(parts, lambda x: x.isin(*ROLES)))
-    titled = low.rlike("|".join(t.lower().replace(".", r"\.") for t in TITLES))
-    single = (roles == 0) & c.rlike(r"^\p{Lu}") & (F.upper(c) != c)
-    return F.when(titled, True).when(F.size(parts) == 1, single).otherwise(roles < F.size(parts))
-
-
 def similarity(a: str, b: str) -> float:
     """1 if equal; 0.85 and up if one holds the other; by shared words; else by matching blocks."""
     a, b = a.lower(), b.lower()
@@ -48,77 +30,88 @@ def similarity(a: str, b: str) -> float:
     return 0.7 + 0.3 * j if j > 0.5 else difflib.SequenceMatcher(None, a, b).ratio()
 
 
-def clusters(mentions: DataFrame, same: float = SAME) -> DataFrame:
-    """(kind, block, name, canonical) of mentions (kind, name, first), taken in order of first.
+def _keys(name: Column) -> Column:
+    """What alike names share: a whole word, or a word's first or last four letters; for short names the name's letters in pairs."""
+    words = F.split(name, " ")
+    ends = F.concat(F.transform(words, lambda w: F.concat(F.lit("<"), F.substring(w, 1, 4))), F.transform(words, lambda w: F.concat(F.lit(">"), F.right(w, F.lit(4)))))
+    return F.array_distinct(F.concat(words, ends))
 
-    The order decides: a name joins the best earlier canonical name at ``same`` or more, else it becomes one. Only distinct
-    names meet, within blocks of one kind and first letter.
-    """
-    names = mentions.groupBy("kind", normal_name(F.col("name")).alias("name")).agg(F.min("first").alias("first")).withColumn("block", F.lower(F.substring("name", 1, 1)))
 
-    def assign(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["first", "name"])
-        known: list[str] = []
-        out = []
-        for n in pdf.name:
-            best = max(((similarity(n, k), -i, k) for i, k in enumerate(known)), default=(0.0, 0, n))
-            if best[0] < same:
-                known.append(n)
-            out.append(best[2] if best[0] >= same else n)
-        return pdf.assign(canonical=out)[["kind", "block", "name", "canonical"]]
+def alike(names: DataFrame, same: float = SAME) -> DataFrame:
+    """(kind, name, other, similarity): pairs of names of a kind that share a key and are alike enough, the later one of (first, name) as ``name``."""
+    keyed = names.select("kind", "name", "first", F.explode(_keys(F.col("name"))).alias("key"))
+    other = keyed.select("kind", "key", F.col("name").alias("other"), F.col("first").alias("other_first"))
+    pairs = keyed.join(other, ["kind", "key"]).where("other_first < first or other_first = first and other < name").select("kind", "name", "other", "other_first").distinct()
+
+    @F.pandas_udf("double")
+    def score(a: pd.Series, b: pd.Series) -> pd.Series:
+        return pd.Series([similarity(x, y) for x, y in zip(a, b, strict=True)], dtype=float)
+
+    return pairs.withColumn("similarity", score("name", "other")).where(F.col("similarity") >= same)
+
 
-    return names.groupBy("kind", "block").applyInPandas(assign, "kind string, block string, name string, canonical string")
+def clusters(mentions: DataFrame, same: float = SAME) -> DataFrame:
+    """(kind, name, canonical) of mentions (kind, name, first), as if taken in order of first: a name joins the best canonical name before it at ``same`` or more, else it becomes one.
+
+    A name is canonical if no alike name before it is, so that rounds of joins settle all: those with no open or canonical
+    name before them become canonical, those with a canonical one don't. There are as many rounds as the longest such chain.
+    """
+    names = shared.written(mentions.groupBy("kind", normal_name(F.col("name")).alias("name")).agg(F.min("first").alias("first")).where("name <> ''"), "names")
+    edges = shared.written(alike(names, same), "alike")
+    key = ["kind", "name"]
+    open_ = edges.select(*key).distinct()
+    canonical = shared.written(names.select(*key).join(open_, key, "left_anti"), "canonical")
+    before = lambda some: some.select("kind", F.col("name").alias("other"))
+    while not open_.isEmpty():
+        mine = edges.join(open_, key, "left_semi")
+        rest = shared.written(open_.join(mine.join(before(canonical), ["kind", "other"], "left_semi").select(*key), key, "left_anti"), "rest")
+        blocked = edges.join(rest, key, "left_semi").join(before(rest), ["kind", "other"], "left_semi").select(*key).distinct()
+        canonical = shared.written(canonical.unionByName(rest.join(blocked, key, "left_anti")), "canonical")
+        open_ = shared.written(blocked, "open")
+    best = edges.join(before(canonical), ["kind", "other"], "left_semi").join(canonical, key, "left_anti")
+    best = best.groupBy(*key).agg(F.min(F.struct((-F.round("similarity", 12)).alias("s"), "other_first", "other"))["other"].alias("other"))
+    return names.join(best, key, "left").select("kind", "name", F.coalesce("other", "name").alias("canonical"))
+
+
+KINDS = ("person", "organisation", "place", "technology")
 
 
 def mentions(spark, sf_dir: str) -> DataFrame:
-    """(doc_id, kind, name): the capitalised words of texts stand for names."""
+    """(doc_id, source, kind, name): the longer capitalised words of all texts stand for names, their length for a kind."""
     words = F.array_distinct(F.filter(F.regexp_extract_all("text", F.lit(r"[A-Z][a-z]{5,}"), F.lit(0)), lambda x: F.length(x) < 12))
-    return table(spark, sf_dir, "documents").where("lang = 'en'").select("doc_id", "source", F.lit("person").alias("kind"), F.explode(words).alias("name"))
+    kind = F.element_at(F.array(*map(F.lit, KINDS)), F.length("name") % 4 + 1)
+    return table(spark, sf_dir, "documents").select("doc_id", "source", F.explode(words).alias("name")).withColumn("kind", kind)
 
 
-_MENTIONS = "SELECT doc_id, source, unnest(list_distinct(list_filter(regexp_extract_all(text, '[A-Z][a-z]{5,}'), lambda x: length(x) < 12))) AS name FROM documents WHERE lang = 'en'"
+_MENTIONS = f"SELECT *, list_element({list(KINDS)}, (length(name) % 4 + 1)::INT) AS kind FROM (SELECT doc_id, source, unnest(list_distinct(list_filter(regexp_extract_all(text, '[A-Z][a-z]{{5,}}'), lambda x: length(x) < 12))) AS name FROM documents)"
 
 
 @query("entity_clusters")
 def entity_clusters(spark, sf_dir):
-    """Clusters of the names that five documents or more have."""
-    return clusters(mentions(spark, sf_dir).groupBy("kind", "name").agg(F.min("doc_id").alias("first"), F.count("*").alias("n")).where("n >= 5"))
+    """Clusters of all names of all documents."""
+    return clusters(mentions(spark, sf_dir).groupBy("kind", "name").agg(F.min("doc_id").alias("first")))
 
 
-@query("entity_aggregates", f"SELECT name, count(*) AS documents, count(DISTINCT source) AS sources, min(doc_id) AS first_seen, max(doc_id) AS last_seen, list_slice(list_sort(list(doc_id)), 1, 10) AS sample FROM ({_MENTIONS}) GROUP BY name HAVING count(*) >= 3")
+@query("entity_aggregates", f"SELECT kind, name, count(*) AS documents, count(DISTINCT source) AS sources, min(doc_id) AS first_seen, max(doc_id) AS last_seen, list_slice(list_sort(list(doc_id)), 1, 10) AS sample FROM ({_MENTIONS}) GROUP BY kind, name HAVING length(name) >= 2")
 def entity_aggregates(spark, sf_dir):
-    """Documents, sources and first ten documents of each name; the sample comes from ranks within a name that a filter bounds."""
-    m = mentions(spark, sf_dir)
-    plain = m.groupBy("name").agg(F.count("*").alias("documents"), F.countDistinct("source").alias("sources"), F.min("doc_id").alias("first_seen"), F.max("doc_id").alias("last_seen")).where("documents >= 3")
-    top = m.withColumn("n", F.row_number().over(Window.partitionBy("name").orderBy("doc_id"))).where("n <= 10").groupBy("name").agg(F.array_sort(F.collect_list("doc_id")).alias("sample"))
-    return plain.join(top, "name")
+    """Documents, sources and first ten documents of each name of each kind; the sample comes from ranks within a name that a filter bounds."""
+    m = mentions(spark, sf_dir).where(F.length("name") >= 2)
+    plain = m.groupBy("kind", "name").agg(F.count("*").alias("documents"), F.countDistinct("source").alias("sources"), F.min("doc_id").alias("first_seen"), F.max("doc_id").alias("last_seen"))
+    top = m.withColumn("n", F.row_number().over(Window.partitionBy("kind", "name").orderBy("doc_id"))).where("n <= 10").groupBy("kind", "name").agg(F.array_sort(F.collect_list("doc_id")).alias("sample"))
+    return plain.join(top, ["kind", "name"])
 
 
-@query("entity_timeline", f"SELECT doc_id, source FROM ({_MENTIONS}) WHERE lower(name) LIKE '%there%' GROUP BY ALL")
+@query("entity_timeline", f"SELECT lower(name) AS name, doc_id, source, row_number() OVER (PARTITION BY lower(name) ORDER BY doc_id) AS position FROM (SELECT DISTINCT doc_id, source, lower(name) AS name FROM ({_MENTIONS}) WHERE lower(name) LIKE '%there%')")
 def entity_timeline(spark, sf_dir):
     """Documents that name something, in order of arrival."""
-    names = F.filter(F.regexp_extract_all("text", F.lit(r"[A-Z][a-z]{5,}"), F.lit(0)), lambda x: F.length(x) < 12)
-    docs = table(spark, sf_dir, "documents").where("lang = 'en'")
-    return docs.where(F.exists(names, lambda x: F.lower(x).contains("there"))).select("doc_id", "source")
+    m = mentions(spark, sf_dir).where(F.lower("name").contains("there")).select(F.lower("name").alias("name"), "doc_id", "source").distinct()
+    return m.withColumn("position", F.row_number().over(Window.partitionBy("name").orderBy("doc_id")))
 
 
-@query("entity_links", f"WITH m AS ({_MENTIONS}), c AS (SELECT name FROM m GROUP BY name HAVING count(*) >= 10) SELECT source, name, count(*) AS n FROM m JOIN c USING (name) GROUP BY ALL")
+@query("entity_links", f"SELECT source, kind, name, count(*) AS n FROM ({_MENTIONS}) GROUP BY ALL")
 def entity_links(spark, sf_dir):
     """Names with the sources they come from."""
-    m = mentions(spark, sf_dir)
-    return m.join(m.groupBy("name").agg(F.count("*").alias("n")).where("n >= 10").select("name"), "name").groupBy("source", "name").agg(F.count("*").alias("n"))
-
-
-@query("normal_names", "WITH n AS (SELECT doc_id, source, CASE doc_id % 4 WHEN 0 THEN 'Prof. Dr. ' WHEN 1 THEN 'dr. ' WHEN 2 THEN 'Frau ' ELSE '' END || source || ' Weber, Anna;' AS name FROM documents) SELECT doc_id, source || ' Weber Anna' AS normal FROM n")
-def normal_names(spark, sf_dir):
-    title = F.element_at(F.array(*map(F.lit, ("Prof. Dr. ", "dr. ", "Frau ", ""))), (F.col("doc_id") % 4 + 1).cast("int"))
-    return table(spark, sf_dir, "documents").select("doc_id", normal_name(F.concat(title, "source", F.lit(" Weber, Anna;"))).alias("normal"))
-
-
-@query("specific_people", "SELECT doc_id, CASE doc_id % 6 WHEN 0 THEN true WHEN 1 THEN false WHEN 2 THEN true WHEN 3 THEN false WHEN 4 THEN false ELSE true END AS specific FROM documents")
-def specific_people(spark, sf_dir):
-    name = F.element_at(F.array(*map(F.lit, ("Dr. Weber", "judge", "Weber", "WEBER", "teacher judge", "judge Weber"))), (F.col("doc_id") % 6 + 1).cast("int"))
-    return table(spark, sf_dir, "documents").select("doc_id", specific_person(name).alias("specific"))
+    return mentions(spark, sf_dir).groupBy("source", "kind", "name").agg(F.count("*").alias("n"))
 
 
 def link_concepts(labels: DataFrame, concepts: DataFrame) -> DataFrame:
@@ -128,10 +121,15 @@ def link_concepts(labels: DataFrame, concepts: DataFrame) -> DataFrame:
     return labels.withColumn("key", F.lower("label")).join(one, "key", "left").select("label", F.col("c.concept").alias("concept"), F.col("c.category").alias("category"))
 
 
-@query("concept_links", "SELECT DISTINCT event_type AS label, CASE event_type WHEN 'view' THEN 'c1' WHEN 'click' THEN 'c1' WHEN 'purchase' THEN 'c2' END AS concept, CASE event_type WHEN 'view' THEN 'reading' WHEN 'click' THEN 'reading' WHEN 'purchase' THEN 'trade' END AS category FROM events")
+_CONCEPTS = (("c1", "reading", "The", ("AND", "of")), ("c2", "trade", "der", ("die", "La")), ("c3", "alpha", "the", ("order", "Le")), ("c4", "trade", "that", ()))
+_NAMES = ", ".join(f"('{c}', '{k}', '{n.lower()}')" for c, k, name, other in _CONCEPTS for n in (name, *other))
+
+
+@query("concept_links", f"WITH n(concept, category, key) AS (VALUES {_NAMES}), o AS (SELECT *, row_number() OVER (PARTITION BY key ORDER BY category, concept) AS r FROM n), l AS (SELECT DISTINCT unnest(regexp_extract_all(text, '[\\p{{L}}]+')) AS label FROM documents) SELECT label, concept, category FROM l LEFT JOIN o ON key = lower(label) AND r = 1")
 def concept_links(spark, sf_dir):
-    concepts = spark.createDataFrame([("c1", "reading", "View", ["CLICK"]), ("c2", "trade", "purchase", []), ("c3", "trade", "view", ["order"])], "concept string, category string, name string, other array<string>")
-    return link_concepts(table(spark, sf_dir, "events").select(F.col("event_type").alias("label")).distinct(), concepts)
+    """Every word of every text, with the concept that it names."""
+    concepts = spark.createDataFrame([(c, k, n, list(o)) for c, k, n, o in _CONCEPTS], "concept string, category string, name string, other array<string>")
+    return link_concepts(table(spark, sf_dir, "documents").select(F.explode(F.regexp_extract_all("text", F.lit(r"[\p{L}]+"), F.lit(0))).alias("label")).distinct(), concepts)
 
 
 @query("alias_resolution", "SELECT source, CASE source WHEN 'src1' THEN 'one' WHEN 'src2' THEN 'two' ELSE source END AS canonical, count(*) AS n FROM documents GROUP BY ALL")

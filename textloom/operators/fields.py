@@ -11,48 +11,11 @@ from pyspark.sql.window import Window
 
 from textloom.functions import dates, models, text
 from textloom.operators.documents import _NOTED, noted
+from textloom.operators.varied import Varied
 from textloom.registry import query, table
 
 #: Question words and auxiliaries that a topic leaves out.
 ASKING = ("what", "how", "why", "when", "where", "who", "which", "can", "could", "do", "does", "is", "are")
-#: Kinds of documents by words, in order.
-KIND_WORDS = (("legal/court", "court|verdict|judgment"), ("finance/invoice", "invoice|rechnung"), ("education/school", "school|einschulung"), ("chat/llm", "assistant:"), ("email/message", "^re:|^subject:"), ("report/general", "report"))
-
-
-def title(body: Column, name: Column) -> Column:
-    """The first of: case, invoice, subject, heading, title line, a first sentence of 7 to 15 words, the file's name."""
-    head = F.substring(body, 1, 500)
-    found = lambda p, g=1: F.nullif(F.regexp_extract(body, p, g), F.lit(""))
-    between = lambda c, a, b: F.when(text.word_count(c).between(a, b), c)
-    sentence = F.nullif(F.regexp_extract(head, r"^\s*([^.!?\n]+)[.!?]", 1), F.lit(""))
-    case = found(r"(?i)\bcase\s+no\.?\s*([A-Z0-9/ -]*[A-Z0-9])")
-    invoice = found(r"(?i)\binvoice\s+no\.?\s*([A-Z0-9-]+)")
-    return text.clean_title(F.coalesce(
-        F.concat(F.lit("Case "), case), F.concat(F.lit("Invoice "), invoice), between(found(r"(?im)^subject:\s*(.+)$"), 3, 20), between(found(r"(?m)^#\s+(.+)$"), 3, 20), found(r"(?m)^#\s+(.+)$"), found(r"(?im)^title:\s*(.+)$"),
-        between(sentence, 7, 15), F.nullif(F.regexp_replace(F.regexp_replace(name, r"\.[A-Za-z0-9]+$", ""), "[_-]+", " "), F.lit("")), F.lit("Document"),
-    ))
-
-
-@query("titles", "SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN 'Invoice B-' || doc_id WHEN 1 THEN 'Subject of number ' || doc_id WHEN 2 THEN 'Heading ' || doc_id ELSE 'my file ' || doc_id END AS title FROM documents")
-def titles(spark, sf_dir):
-    n = F.col("doc_id").cast("string")
-    lead = F.when(F.col("doc_id") % 4 == 0, F.concat(F.lit("Invoice no. B-"), n)).when(F.col("doc_id") % 4 == 1, F.concat(F.lit("Subject: Subject of number "), n)).when(F.col("doc_id") % 4 == 2, F.concat(F.lit("# Heading "), n)).otherwise("x")
-    return table(spark, sf_dir, "documents").select("doc_id", title(F.concat(lead, F.lit("\n"), F.col("lang")), F.concat(F.lit("my_file-"), n, F.lit(".pdf"))).alias("title"))
-
-
-def semantic_kind(body: Column) -> Column:
-    low, out = F.lower(F.substring(body, 1, 2000)), F.when(F.lit(False), "")
-    for kind, words in KIND_WORDS:
-        out = out.when(low.rlike(words), kind)
-    return out.otherwise("unknown/uncategorized")
-
-
-_KINDS = " ".join(f"WHEN regexp_matches(lower(substr(body, 1, 2000)), '{w}') THEN '{k}'" for k, w in KIND_WORDS)
-
-
-@query("semantic_kinds", f"SELECT doc_id, CASE {_KINDS} ELSE 'unknown/uncategorized' END AS kind FROM (SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN body ELSE text END AS body FROM ({_NOTED}))")
-def semantic_kinds(spark, sf_dir):
-    return noted(spark, sf_dir).select("doc_id", semantic_kind(F.when(F.col("doc_id") % 2 == 0, F.col("body")).otherwise(F.col("text"))).alias("kind"))
 
 
 def people(body: Column) -> Column:
@@ -64,10 +27,17 @@ def people(body: Column) -> Column:
     return F.slice(F.array_distinct(F.concat(titled, roles, mail)), 1, 20)
 
 
-@query("people_in_texts", "SELECT doc_id, ['Anna Weber', 'Bo Meyer', 'Cy Smith'] AS people FROM documents WHERE lang = 'de' OR lang = 'es'")
+_WHO = Varied(("Dr. Anna Weber met ", "Frau Berta asked ", "", "Herr Cy Dee and "), 3)
+_WHOM = Varied(("Bo Meyer (judge). ", "cy.smith@x.org ", "Di Eden (court clerk), ", "", "nobody "), 5)
+_TITLED, _ROLED, _MAILED = r"(?:Dr\.|Prof\.|Mr\.|Mrs\.|Ms\.|Herr|Frau)\s+(\p{Lu}[\p{Ll}]+(?:\s+\p{Lu}[\p{Ll}]+)?)", r"(\p{Lu}[\p{Ll}]+\s+\p{Lu}[\p{Ll}]+)\s+\([\p{L} ]+\)", r"\b([a-z]+\.[a-z]+)@"
+
+
+@query("people_in_texts", f"""WITH b AS (SELECT doc_id, {_WHO.sql} || {_WHOM.sql} || text || {_WHO.sql} AS b FROM documents),
+p AS (SELECT doc_id, list_concat(list_concat(regexp_extract_all(b, '{_TITLED}', 1), regexp_extract_all(b, '{_ROLED}', 1)), list_transform(regexp_extract_all(b, '{_MAILED}', 1), lambda x: array_to_string(list_transform(string_split(x, '.'), lambda w: upper(w[1]) || lower(w[2:])), ' '))) AS p FROM b)
+SELECT doc_id, list_filter(p, lambda x, i: list_position(p, x) = i)[1:20] AS people FROM p""")
 def people_in_texts(spark, sf_dir):
-    body = F.concat(F.lit("Dr. Anna Weber met Bo Meyer (judge) and cy.smith@x.org, as Frau Anna Weber says. "), F.lower("text"))
-    return table(spark, sf_dir, "documents").where("lang in ('de', 'es')").select("doc_id", people(body).alias("people"))
+    """People named in all texts, and in what stands around them."""
+    return table(spark, sf_dir, "documents").select("doc_id", people(F.concat(_WHO.column, _WHOM.column, "text", _WHO.column)).alias("people"))
 
 
 def topic(question: Column) -> Column:

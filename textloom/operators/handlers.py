@@ -8,8 +8,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from textloom.functions import dates, text
-from textloom.operators.documents import _NOTED, noted
+from textloom import shared
+from textloom.functions import text
+from textloom.operators.varied import Varied
 from textloom.registry import query, table, typed
 
 ACTION_WORDS = ("todo", "action", "please", "required", "deadline", "asap", "task")
@@ -30,22 +31,6 @@ def mail_flags(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", any_word(body, ACTION_WORDS).alias("action"), any_word(body, URGENT_WORDS).alias("urgent"))
 
 
-def mail_body(c: Column) -> Column:
-    """A mail without quoted lines, reply headers and what follows the signature mark; at most one empty line in a row."""
-    quoted = lambda x: x.startswith(">") | x.rlike(r"^On .+ wrote:$|^Am .+ schrieb .+:$|^-{3,} ?Original Message ?-{3,}$")
-    lines = F.filter(F.split(c, "\n"), lambda x: ~quoted(x))
-    ends = F.array_position(F.transform(lines, lambda x: F.rtrim(x).isin("--", "Best regards", "Mit freundlichen Grüßen", "Viele Grüße", "Kind regards")), True)
-    kept = F.when(ends > 0, F.slice(lines, F.lit(1), (ends - 1).cast("int"))).otherwise(lines)
-    return text.strip(F.regexp_replace(F.array_join(kept, "\n"), r"\n{3,}", "\n\n"))
-
-
-@query("mail_clean", "SELECT doc_id, trim(regexp_replace(replace(text, chr(10) || '>', chr(10)), '\\n{3,}', chr(10) || chr(10), 'g'), chr(10) || ' ') AS body FROM documents")
-def mail_clean(spark, sf_dir):
-    """Bodies with quotes and a signature added to them, which go again."""
-    mail = F.concat(F.lit("> quoted\nOn Monday Ann wrote:\n"), "text", F.lit("\n--\nAnn\n> more"))
-    return table(spark, sf_dir, "documents").select("doc_id", mail_body(mail).alias("body"))
-
-
 @query("chat_features", """SELECT conv_id, count(*) AS turns, greatest(1, count(*) // 10) AS sessions, max(contains(text, '?')::INT) = 1 AS questions, max(regexp_matches(lower(text), 'todo')::INT) = 1 AS todos,
 CASE WHEN count(*) < 10 THEN 'whole' WHEN count(*) < 50 THEN 'session' ELSE 'semantic' END AS strategy FROM conversations GROUP BY conv_id""")
 def chat_features(spark, sf_dir):
@@ -62,34 +47,6 @@ def keep_together(spark, sf_dir):
     return table(spark, sf_dir, "conversations").groupBy("conv_id").agg((F.count("*") < 5).alias("together"))
 
 
-def amounts(c: Column) -> Column:
-    """Amounts of money as numbers: thousands by comma and cents by point, or the other way round."""
-    found = F.regexp_extract_all(c, F.lit(r"(?:[€$£]|EUR|USD|GBP|CHF)\s*([0-9][0-9.,]*[0-9]|[0-9])"), F.lit(1))
-    plain = lambda x: F.when(x.rlike(r",\d{2}$"), F.regexp_replace(F.regexp_replace(x, r"\.", ""), ",", ".")).otherwise(F.regexp_replace(x, ",", ""))
-    return F.array_compact(F.transform(found, lambda x: plain(x).try_cast("double")))
-
-
-def currency(c: Column) -> Column:
-    return F.when(c.rlike("€|EUR"), "EUR").when(c.rlike(r"\$|USD"), "USD").when(c.rlike("£|GBP"), "GBP").when(c.contains("CHF"), "CHF")
-
-
-@query("invoice_fields", typed(f"SELECT doc_id, 'USD' AS currency, (doc_id % 900) + 0.5 AS amount, 'A-' || doc_id AS number, list_min(d) AS first_date, list_max(d) AS last_date FROM (SELECT doc_id, list_concat(regexp_extract_all(body, '\\d{{4}}-\\d{{2}}-\\d{{2}}'), ['2023-12-31']) AS d FROM ({_NOTED}))", amount="DOUBLE"))
-def invoice_fields(spark, sf_dir):
-    body = F.concat(F.lit("Invoice no. A-"), F.col("doc_id").cast("string"), F.lit("\n"), "body")
-    when = dates.absolute_dates(body)
-    return noted(spark, sf_dir).select("doc_id", currency(body).alias("currency"), F.array_max(amounts(body)).alias("amount"), F.regexp_extract(body, r"(?i)invoice no\.?\s*([A-Z0-9-]+)", 1).alias("number"), F.array_min(when).alias("first_date"), F.array_max(when).alias("last_date"))
-
-
-@query("manual_fields", "SELECT doc_id, '1.' || (doc_id % 7) AS version, doc_id % 4 AS steps, CASE WHEN doc_id % 2 = 0 THEN 'beginner' ELSE 'intermediate' END AS level FROM documents")
-def manual_fields(spark, sf_dir):
-    steps = F.array_join(F.transform(F.sequence(F.lit(0), F.col("doc_id") % 4), lambda k: F.when(k > 0, F.concat(F.lit("Step "), k.cast("string"), F.lit(": x\n"))).otherwise("")), "")
-    body = F.concat(F.lit("Version 1."), (F.col("doc_id") % 7).cast("string"), F.when(F.col("doc_id") % 2 == 0, " for the Beginner").otherwise(""), F.lit("\n"), steps)
-    return table(spark, sf_dir, "documents").select(
-        "doc_id", F.regexp_extract(body, r"(?i)version\s+([0-9][0-9.]*[0-9]|[0-9])", 1).alias("version"), F.size(F.regexp_extract_all(body, F.lit(r"(?m)^Step \d+:"), F.lit(0))).alias("steps"),
-        F.when(F.lower(body).rlike("beginner|getting started"), "beginner").when(F.lower(body).rlike("advanced|expert"), "advanced").otherwise("intermediate").alias("level"),
-    )
-
-
 @query("read_quality", "SELECT doc_id, round(1 - least(1.0, 0.7 * len(list_filter(w, lambda x: NOT regexp_matches(x, '[aeiouáéíóúàèêäöü]') AND length(x) > 3)) / greatest(len(w), 1) + 0.3 * len(list_filter(w, lambda x: length(x) = 1)) / greatest(len(w), 1)), 6) AS quality FROM (SELECT doc_id, regexp_extract_all(lower(text), '[\\p{L}\\p{N}_]+') AS w FROM documents)")
 def read_quality(spark, sf_dir):
     """Quality of recognised text: the share of words without vowels and of single letters counts against it."""
@@ -150,12 +107,40 @@ def actionable_dates(spark, sf_dir):
     return table(spark, sf_dir, "events").select("event_id", ((F.col("ts") >= F.expr("timestamp_ntz'2024-01-31 00:00:00' - interval 14 days")) | (F.col("event_type") == "purchase")).alias("actionable"))
 
 
-@query("tag_similarity", typed("SELECT DISTINCT a.source AS tag_a, b.source AS tag_b, CASE WHEN contains(a.source, b.source) OR contains(b.source, a.source) THEN 0.9 ELSE 0.0 END AS similarity FROM (SELECT DISTINCT source FROM documents) a JOIN (SELECT DISTINCT source FROM documents) b ON substr(a.source, 1, 4) = substr(b.source, 1, 4) AND a.source < b.source", similarity="DOUBLE"))
+def similar_tags(tags: DataFrame, least: float = 0.7, top: int = 5) -> DataFrame:
+    """(tag, other, similarity): each tag's five most similar others: 1 if they differ in case, dashes and underscores only, 0.9 if one holds the other, else the share of common parts of their paths in the larger number of parts, if it is ``least`` or more.
+
+    A tag that another holds shares all its trigrams with it, so that its rarest one (or itself, if shorter) is the key;
+    paths with enough common parts share one of a few rarest parts. Nothing else meets.
+    """
+    t = tags.select("tag").distinct().withColumn("low", F.translate(F.lower("tag"), "-_", "  ")).where("low <> ''").withColumn("parts", F.array_distinct(F.split("low", "/")))
+    t = shared.written(t, "tags")
+    grams = lambda n: F.when(F.length("low") >= n, F.transform(F.sequence(F.lit(1), F.length("low") - (n - 1)), lambda k: F.substr("low", k, F.lit(n)))).otherwise(F.array().cast("array<string>"))
+    every = t.select("tag", F.explode(F.array_distinct(F.concat(grams(1), grams(2), grams(3)))).alias("gram"))
+    often = every.groupBy("gram").agg(F.count("*").alias("n"))
+    own = every.join(t.select("tag", F.least(F.length("low"), F.lit(3)).alias("size")), "tag").where(F.length("gram") == F.col("size")).join(often, "gram")
+    held = own.groupBy("tag").agg(F.min(F.struct("n", "gram"))["gram"].alias("gram")).join(every.withColumnRenamed("tag", "other"), "gram").select("tag", "other")
+    part = t.select("tag", F.size("parts").alias("size"), F.explode("parts").alias("part"))
+    part = part.join(part.groupBy("part").agg(F.count("*").alias("n")), "part").withColumn("rank", F.row_number().over(Window.partitionBy("tag").orderBy("n", "part"))).where(F.col("rank") <= F.col("size") - F.ceil(F.col("size") * least) + 1)
+    common = part.select("tag", "part").join(part.select(F.col("tag").alias("other"), "part"), "part").select("tag", "other")
+    pairs = held.unionByName(held.select(F.col("other").alias("tag"), F.col("tag").alias("other"))).unionByName(common).where("tag <> other").distinct()
+    both = pairs.join(t, "tag").join(t.select(F.col("tag").alias("other"), F.col("low").alias("other_low"), F.col("parts").alias("other_parts")), "other")
+    share = F.size(F.array_intersect("parts", "other_parts")) / F.greatest(F.size("parts"), F.size("other_parts"))
+    similar = F.when(F.col("low") == F.col("other_low"), 1.0).when(F.col("low").contains(F.col("other_low")) | F.col("other_low").contains(F.col("low")), 0.9).when(F.round(share, 9) >= least, share)
+    ranked = both.select("tag", "other", F.round(similar, 6).alias("similarity")).where("similarity is not null").withColumn("rank", F.row_number().over(Window.partitionBy("tag").orderBy(F.desc("similarity"), "other")))
+    return ranked.where(F.col("rank") <= top).drop("rank")
+
+
+_TAG = Varied(("", "project/", "tech/ai/ml/", "Tech_AI/", "a-b/"), 3)
+_END = Varied(("", "/x", "/active/now", "-y"), 5)
+
+
+@query("tag_similarity", typed(f"""WITH t AS (SELECT tag, translate(lower(tag), '-_', '  ') AS low, list_distinct(string_split(translate(lower(tag), '-_', '  '), '/')) AS parts FROM (SELECT DISTINCT {_TAG.sql} || source || {_END.sql} AS tag FROM documents)),
+p AS (SELECT a.tag, b.tag AS other, CASE WHEN a.low = b.low THEN 1.0 WHEN contains(a.low, b.low) OR contains(b.low, a.low) THEN 0.9 WHEN round(len(list_intersect(a.parts, b.parts)) / greatest(len(a.parts), len(b.parts)), 9) >= 0.7 THEN round(len(list_intersect(a.parts, b.parts)) / greatest(len(a.parts), len(b.parts)), 6) END AS similarity FROM t a JOIN t b ON a.tag <> b.tag)
+SELECT tag, other, similarity FROM p WHERE similarity IS NOT NULL QUALIFY row_number() OVER (PARTITION BY tag ORDER BY similarity DESC, other) <= 5""", similarity="DOUBLE"))
 def tag_similarity(spark, sf_dir):
-    """Distinct tags with equal beginnings, and whether one holds the other."""
-    tags = table(spark, sf_dir, "documents").select("source").distinct().withColumn("head", F.substring("source", 1, 4))
-    both = tags.withColumnRenamed("source", "tag_a").join(tags.withColumnRenamed("source", "tag_b"), "head").where("tag_a < tag_b")
-    return both.select("tag_a", "tag_b", F.when(F.col("tag_a").contains(F.col("tag_b")) | F.col("tag_b").contains(F.col("tag_a")), 0.9).otherwise(0.0).alias("similarity"))
+    """Tags of many forms and the tags most like them."""
+    return similar_tags(table(spark, sf_dir, "documents").select(F.concat(_TAG.column, "source", _END.column).alias("tag")))
 
 
 @query("run_comparison", "WITH r AS (SELECT event_type, avg(value) FILTER (ts < TIMESTAMP '2024-01-16') AS a, avg(value) FILTER (ts >= TIMESTAMP '2024-01-16') AS b FROM events GROUP BY event_type) SELECT event_type, round(b - a, 6) AS delta, CASE WHEN b - a > 0.05 * a THEN 'up' WHEN a - b > 0.05 * a THEN 'down' ELSE 'steady' END AS trend FROM r")

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+from functools import reduce
+
 import numpy as np
 import pandas as pd
 import pyarrow as pa
@@ -9,7 +12,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from textloom.functions import scores, text
+from textloom import shared
+from textloom.functions import models, scores, text
 from textloom.registry import query, spread, table
 
 QUERY_TERMS = ("the", "thble", "hest", "anat", "le", "der")
@@ -34,30 +38,61 @@ def term_stats(posted: DataFrame, stats: DataFrame) -> DataFrame:
     return raw.crossJoin(mean).select("term", "df", F.when(F.col("raw") < 0, 0.25 * F.col("mean")).otherwise(F.col("raw")).alias("idf"))
 
 
-def bm25_search(docs: DataFrame, terms: tuple[str, ...], k: int = K) -> DataFrame:
-    """(doc_id, score) of the k best; a repeated query term counts twice, only positive scores stay, ties go by doc_id.
+@dataclass(frozen=True)
+class Index:
+    """A stored BM25 index: postings and terms, both sorted by term, so that a search reads only its terms' row groups."""
 
-    One pass counts the documents of each word, and with each document's first word its length, so that the sums of that table
-    are the corpus's figures; another scores, counting the query's words in each text. No postings are made for one search.
-    """
-    asked = sorted(set(terms))
-    words = spread(docs.select("doc_id", "text")).select("doc_id", text.tokens(F.col("text")).alias("w"))
-    first = F.coalesce(F.col("pos") == 0, F.lit(True))
-    seen = words.select(F.size("w").alias("dl"), F.posexplode_outer(F.array_distinct("w")).alias("pos", "term"))
-    seen = seen.groupBy("term").agg(F.count("*").alias("df"), F.sum(first.cast("long")).alias("n"), F.sum(F.when(first, F.col("dl"))).alias("length"))
-    total = seen.agg(F.sum("n").alias("n"), (F.sum("length") / F.sum("n")).alias("avgdl"))
-    raw = F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)
-    idf = seen.where("term is not null").select("term", "df").crossJoin(total).withColumn("raw", raw)
-    idf = idf.agg(F.avg("raw").alias("mean"), F.first("avgdl").alias("avgdl"), *(F.max(F.when(F.col("term") == t, F.col("raw"))).alias(f"raw_{i}") for i, t in enumerate(asked)))
-    count = [F.size(F.filter("w", _is(t))) for t in asked]
-    hits = words.select("doc_id", F.size("w").alias("dl"), *(c.alias(f"tf_{i}") for i, c in enumerate(count))).crossJoin(idf)
-    part = lambda i, t: F.coalesce(terms.count(t) * scores.bm25(F.col(f"tf_{i}"), F.col("dl"), F.col("avgdl"), F.when(F.col(f"raw_{i}") < 0, 0.25 * F.col("mean")).otherwise(F.col(f"raw_{i}"))), F.lit(0.0))
-    score = sum((part(i, t) for i, t in enumerate(asked)), F.lit(0.0))
-    return hits.select("doc_id", score.alias("score")).where("score > 0").orderBy(F.desc("score"), "doc_id").limit(k)
-
-
-def _is(term: str):
-    return lambda x: x == term
+    postings: DataFrame
+    terms: DataFrame
+    documents: int
+    average: float
+    folder: str
+
+    def search(self, terms: tuple[str, ...], k: int = K) -> DataFrame:
+        """(doc_id, score) of the k best; a repeated query term counts twice, only positive scores stay, ties go by doc_id."""
+        asked = sorted(set(terms))
+        times = reduce(lambda c, t: c.when(F.col("term") == t, terms.count(t)), asked, F.when(F.lit(False), 0)).otherwise(0)
+        idf = self.terms.where(F.col("term").isin(*asked)).select("term", "idf")  # a row for each word asked for at most
+        part = times * scores.bm25(F.col("tf"), F.col("dl"), F.lit(self.average), F.col("idf"))
+        hits = self.postings.where(F.col("term").isin(*asked)).join(F.broadcast(idf), "term").groupBy("doc_id").agg(F.sum(part).alias("score"))
+        return hits.where("score > 0").orderBy(F.desc("score"), "doc_id").limit(k)
+
+    def clear(self) -> None:
+        """Deletes the stored tables."""
+        shared.delete(self.postings.sparkSession, self.folder)
+
+
+def build_index(docs: DataFrame, folder: str | None = None, doc_id: str = "doc_id", body: str = "text") -> Index:
+    """Counts all documents' words once and stores them; idf and lengths are sums over all documents."""
+    spark = docs.sparkSession
+    folder = folder or shared.new_folder(spark, "bm25")
+    posted = postings(spread(docs.select(doc_id, body)), doc_id, body)
+    posted.repartitionByRange("term").sortWithinPartitions("term", "doc_id").write.parquet(f"{folder}/postings")
+    posted = spark.read.schema(posted.schema).parquet(f"{folder}/postings")
+    stats = corpus_stats(docs, doc_id, body)
+    terms = term_stats(posted, stats)
+    terms.repartitionByRange("term").sortWithinPartitions("term").write.parquet(f"{folder}/terms")
+    one = stats.first()
+    return Index(posted, spark.read.schema(terms.schema).parquet(f"{folder}/terms"), one.n, one.avgdl or 0.0, folder)
+
+
+_BUILT: dict[tuple[str, str], Index] = {}
+
+
+def index_of(spark, sf_dir: str) -> Index:
+    """The index of a folder's documents, built when it is first asked for in a session."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _BUILT:
+        _BUILT[key] = build_index(table(spark, sf_dir, "documents"))
+    return _BUILT[key]
+
+
+def clear_indexes() -> int:
+    """Drops all built indexes; how many there were."""
+    n = len(_BUILT)
+    while _BUILT:
+        _BUILT.popitem()[1].clear()
+    return n
 
 
 _BM25 = """
@@ -73,17 +108,16 @@ _TERMS = str(QUERY_TERMS)
 @query("bm25_topk", f"WITH {_BM25.format(terms=_TERMS)} SELECT doc_id, round(score, 6) AS score FROM lex ORDER BY round(score, 9) DESC, doc_id LIMIT {K}")
 def bm25_topk(spark, sf_dir):
     """BM25 search over all documents."""
-    found = bm25_search(table(spark, sf_dir, "documents"), QUERY_TERMS, 4 * K)
+    found = index_of(spark, sf_dir).search(QUERY_TERMS, 4 * K)
     return found.orderBy(F.desc(F.round("score", 9)), "doc_id").limit(K).select("doc_id", F.round("score", 6).alias("score"))
 
 
-@query("term_stats", """WITH w AS (SELECT regexp_extract_all(lower(text), '[\\p{L}\\p{N}_]+') AS words FROM documents), d AS (SELECT unnest(list_distinct(words)) AS term FROM w),
-raw AS (SELECT term, count(*) AS df, ln((SELECT count(*) FROM documents) - count(*) + 0.5) - ln(count(*) + 0.5) AS raw FROM d GROUP BY term)
-SELECT term, df, round(CASE WHEN raw < 0 THEN 0.25 * (SELECT avg(raw) FROM raw) ELSE raw END, 6) AS idf FROM raw""")
+@query("term_stats", """WITH w AS MATERIALIZED (SELECT list_distinct(regexp_extract_all(lower(text), '[\\p{L}\\p{N}_]+')) AS words FROM documents), n AS MATERIALIZED (SELECT count(*) AS n FROM documents),
+raw AS MATERIALIZED (SELECT term, df, ln(n - df + 0.5) - ln(df + 0.5) AS raw FROM (SELECT term, count(*) AS df FROM (SELECT unnest(words) AS term FROM w) GROUP BY term), n), m AS MATERIALIZED (SELECT avg(raw) AS mean FROM raw)
+SELECT term, df, round(CASE WHEN raw < 0 THEN 0.25 * mean ELSE raw END, 6) AS idf FROM raw, m""")
 def term_stats_query(spark, sf_dir):
-    """Document frequency and idf of every word."""
-    docs = table(spark, sf_dir, "documents")
-    return term_stats(postings(docs), corpus_stats(docs)).select("term", "df", F.round("idf", 6).alias("idf"))
+    """Document frequency and idf of every word, as the index holds them."""
+    return index_of(spark, sf_dir).terms.select("term", "df", F.round("idf", 6).alias("idf"))
 
 
 @query("corpus_stats", "SELECT count(*) AS n, round(avg(len(regexp_extract_all(lower(text), '[\\p{L}\\p{N}_]+'))), 6) AS avgdl FROM documents")
@@ -129,7 +163,7 @@ def fuse(lexical: DataFrame, dense: DataFrame, k: int, weight: float = 0.4) -> D
 
 def _legs(spark, sf_dir):
     """The two legs' candidates for one query; vectors stand for the documents of the same number."""
-    lexical = bm25_search(table(spark, sf_dir, "documents"), QUERY_TERMS, 40).orderBy(F.desc(F.round("score", 9)), "doc_id").limit(30).select(F.lit(1).alias("query_id"), "doc_id", "score")
+    lexical = index_of(spark, sf_dir).search(QUERY_TERMS, 40).orderBy(F.desc(F.round("score", 9)), "doc_id").limit(30).select(F.lit(1).alias("query_id"), "doc_id", "score")
     dense = dense_search(table(spark, sf_dir, "embeddings"), probe_of(spark, sf_dir), 40).orderBy(F.desc(F.round("score", 9)), "vec_id").limit(30).select(F.lit(1).alias("query_id"), F.col("vec_id").alias("doc_id"), "score")
     return lexical, dense
 
@@ -178,12 +212,34 @@ def hybrid_search(spark, sf_dir):
     return mmr(fused.select("query_id", "doc_id", "score").join(words, "doc_id").select("query_id", "doc_id", "score", "words"), K).select("doc_id", "rank")
 
 
+def endpoint(hits: DataFrame, docs: DataFrame, question: str, k: int, rerank: models.Reranker = models.overlap_score) -> DataFrame:
+    """(doc_id, score, relevance): candidates (doc_id), four times k of them, scored again against the question, the k best, and their score between 0 and 1."""
+    scored = hits.select("doc_id").join(docs.select("doc_id", "text"), "doc_id").select("doc_id", F.round(rerank(F.lit(question), F.col("text")), 9).alias("score"))
+    return scored.orderBy(F.desc("score"), "doc_id").limit(k).withColumn("relevance", models.sigmoid(F.col("score")))
+
+
+_QUESTION = " ".join(QUERY_TERMS)
+
+
+@query("search_endpoint", f"""WITH {_BM25.format(terms=_TERMS)}, {_DENSE},
+l AS (SELECT doc_id, score FROM lex ORDER BY round(score, 9) DESC, doc_id LIMIT 30), d AS (SELECT vec_id AS doc_id, score FROM dense ORDER BY round(score, 9) DESC, vec_id LIMIT 30),
+ln AS (SELECT doc_id, CASE WHEN max(score) OVER () = min(score) OVER () THEN 1.0 ELSE (score - min(score) OVER ()) / (max(score) OVER () - min(score) OVER ()) END AS s FROM l),
+dn AS (SELECT doc_id, CASE WHEN max(score) OVER () = min(score) OVER () THEN 1.0 ELSE (score - min(score) OVER ()) / (max(score) OVER () - min(score) OVER ()) END AS s FROM d),
+h AS (SELECT doc_id FROM ln FULL JOIN dn USING (doc_id) ORDER BY round(0.4 * coalesce(ln.s, 0) + 0.6 * coalesce(dn.s, 0), 9) DESC, doc_id LIMIT {4 * K}),
+r AS (SELECT doc_id, round(len(list_intersect(list_distinct(regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}_]+')), {list(QUERY_TERMS)})) / {len(QUERY_TERMS)}.0, 9) AS score FROM h JOIN documents USING (doc_id))
+SELECT doc_id, round(score, 6)::DOUBLE AS score, round(1 / (1 + exp(-score)), 6)::DOUBLE AS relevance FROM r ORDER BY score DESC, doc_id LIMIT {K}""")
+def search_endpoint(spark, sf_dir):
+    """The whole search: both legs, fusion, the reranker, and scores between 0 and 1."""
+    out = endpoint(fuse(*_legs(spark, sf_dir), 4 * K), table(spark, sf_dir, "documents"), _QUESTION, K)
+    return out.select("doc_id", F.round("score", 6).alias("score"), F.round("relevance", 6).alias("relevance"))
+
+
 @query("context_assembly", f"""WITH {_BM25.format(terms=_TERMS)}, top AS (SELECT doc_id, row_number() OVER (ORDER BY round(score, 9) DESC, doc_id) AS rank FROM lex QUALIFY rank <= 5)
 SELECT string_agg('[Chunk ' || rank || '] Source: ' || source || chr(10) || text, chr(10) || chr(10) || '---' || chr(10) || chr(10) ORDER BY rank) AS context FROM top JOIN documents USING (doc_id)""")
 def context_assembly(spark, sf_dir):
     """The prompt context of the best hits."""
     docs = table(spark, sf_dir, "documents")
-    top = bm25_search(docs, QUERY_TERMS, 40).withColumn("rank", F.row_number().over(Window.orderBy(F.desc(F.round("score", 9)), "doc_id"))).where("rank <= 5")
+    top = index_of(spark, sf_dir).search(QUERY_TERMS, 40).withColumn("rank", F.row_number().over(Window.orderBy(F.desc(F.round("score", 9)), "doc_id"))).where("rank <= 5")
     part = F.concat(F.lit("[Chunk "), F.col("rank").cast("string"), F.lit("] Source: "), "source", F.lit("\n"), "text")
     rows = top.join(docs, "doc_id").agg(F.array_sort(F.collect_list(F.struct("rank", part.alias("part")))).alias("parts"))
     return rows.select(F.array_join(F.transform("parts", lambda x: x["part"]), "\n\n---\n\n").alias("context"))
@@ -216,11 +272,18 @@ m AS (SELECT query_id, sum((hit AND rank <= 5)::INT) / 5.0 AS p5, sum(hit::INT)
 QUERY_BLOCK = 4096
 
 
+def _usable(v: list | None, size: int | None) -> bool:
+    """Whether a vector has a direction, and as many numbers as it must."""
+    return v is not None and None not in v and len(v) > 0 and size in (None, len(v)) and bool(np.isfinite(v).all()) and any(v)
+
+
 def search_all(vectors: DataFrame, queries: DataFrame, k: int = K, block: int = QUERY_BLOCK) -> DataFrame:
     """(query_id, vec_id, score, rank) of the k nearest rows other than itself to each of ``queries`` (query_id, embedding).
 
     Queries go out in blocks of bounded size, each against all rows; a task keeps its k best of each query, so that what is
-    ranked in the end is k rows for each query and task.
+    ranked in the end is k rows for each query and task. Each block's hits are written before the next goes out, so that the
+    driver holds one block of each length of vectors. Null and zero vectors and those with null or non-finite numbers neither
+    ask nor are found; vectors of different lengths never meet.
     """
     spark, out = vectors.sparkSession, None
 
@@ -229,8 +292,9 @@ def search_all(vectors: DataFrame, queries: DataFrame, k: int = K, block: int =
             ids, probes = sent.value
             best_id, best = np.full((len(ids), 0), 0, np.int64), np.full((len(ids), 0), 0.0)
             for b in batches:
-                m = np.stack([np.asarray(v, float) for v in b.column(1).to_pylist()]) if b.num_rows else np.zeros((0, probes.shape[1]))
-                row = np.broadcast_to(b.column(0).to_numpy(), (len(ids), b.num_rows))
+                keep = [k for k, v in enumerate(b.column(1).to_pylist()) if _usable(v, probes.shape[1])]
+                m = np.array([b.column(1)[k].as_py() for k in keep], float).reshape(-1, probes.shape[1])
+                row = np.broadcast_to(b.column(0).take(pa.array(keep, pa.int64())).to_numpy(), (len(ids), len(keep)))
                 score = np.round(probes @ (m / np.linalg.norm(m, axis=1, keepdims=True)).T, 9)
                 best_id, best = np.concatenate([best_id, row], 1), np.concatenate([best, np.where(row == ids[:, None], -np.inf, score)], 1)
                 order = np.lexsort((best_id, -best), axis=1)[:, :k]
@@ -240,21 +304,24 @@ def search_all(vectors: DataFrame, queries: DataFrame, k: int = K, block: int =
 
         return run
 
-    def send(rows):
+    def ask(rows):
         probes = np.array([r["embedding"] for r in rows], float)
-        return spark.sparkContext.broadcast((np.array([r["query_id"] for r in rows], np.int64), probes / np.linalg.norm(probes, axis=1, keepdims=True)))
+        sent = spark.sparkContext.broadcast((np.array([r["query_id"] for r in rows], np.int64), probes / np.linalg.norm(probes, axis=1, keepdims=True)))
+        hits = shared.written(vectors.select("vec_id", "embedding").mapInArrow(nearest(sent), "query_id long, vec_id long, score double"), "nearest")
+        sent.destroy()
+        return hits
 
-    held: list = []
-    blocks = []
+    held: dict[int, list] = {}
     for r in queries.select("query_id", "embedding").toLocalIterator():
-        held.append(r)
-        if len(held) == block:
-            blocks.append(send(held))
-            held = []
-    if held:
-        blocks.append(send(held))
-    for sent in blocks:
-        part = vectors.select("vec_id", "embedding").mapInArrow(nearest(sent), "query_id long, vec_id long, score double")
+        if not _usable(r["embedding"], None):
+            continue
+        same = held.setdefault(len(r["embedding"]), [])
+        same.append(r)
+        if len(same) == block:
+            part = ask(held.pop(len(r["embedding"])))
+            out = part if out is None else out.unionByName(part)
+    for same in held.values():
+        part = ask(same)
         out = part if out is None else out.unionByName(part)
     if out is None:
         return spark.createDataFrame([], "query_id long, vec_id long, score double, rank int")
