@@ -10,31 +10,31 @@ from textloom.llm.scratch import Scratch
 
 
 def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops the documents that the toxicity models, fitted on the labels of these documents, predict to be toxic."""
+    """Drops the documents that the toxicity models, fitted on the labels of these documents, predict to be toxic. Null and empty texts hold no evidence and stay; equal texts stay or go together."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     return toxicity.toxicity_scores(docs, labels).where("predicted = 0").select("row.*")
 
 
 def drop_boilerplate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops each source's boilerplate lines; n_chars becomes the new length. No document goes."""
+    """Drops each source's boilerplate lines; n_chars becomes the new length. No document goes; a null text or source stays as it is."""
     out = lines.drop_boilerplate(docs, Scratch(spark, "lines"))
     value = {"text": F.col("kept").alias("text"), "n_chars": F.length("kept").cast(docs.schema["n_chars"].dataType).alias("n_chars")}
     return out.select(*(value.get(c, F.col(f"row.`{c}`")) for c in docs.columns))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document with the smallest doc_id of each group; rows without a doc_id stay, of a repeated doc_id all stay."""
+    """Keeps the document with the smallest doc_id of each group; rows without a doc_id stay, of a repeated doc_id all stay or go. Null and empty texts have fingerprint zero and are one group."""
     gone = simhash.simhash_groups(docs).where("doc_id <> component_id").select("doc_id").distinct()
     return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops contaminated documents."""
+    """Drops contaminated documents; those without words stay."""
     return decontaminate.contamination(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")).where("not contaminated").select("row.*")
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The digests of each document's token ids and of their decoded text."""
+    """The digests of each document's token ids and of their decoded text, a row for each document, also of null and empty texts."""
     return bpe.encode_decode(docs)
 
 
