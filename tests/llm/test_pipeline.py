@@ -41,3 +41,28 @@ def test_stages_against_plain_versions(spark, sf_dir):
         before = after
     got = sorted(map(tuple, corpus_pipeline.run(spark, sf_dir).collect()))
     assert got == sorted(map(tuple, before)) and hashlib.sha256(b"").hexdigest()
+
+
+def test_odd_rows_and_columns(spark, sf_dir, tmp_path, prose):
+    """Nulls in every column, repeated rows, very long and empty texts, other columns with the operators' names; and a table without rows."""
+    import shutil
+
+    for t in ("labels", "benchmark"):
+        shutil.copy(f"{sf_dir}/{t}.parquet", tmp_path / f"{t}.parquet")
+    kind = "doc_id long, text string, lang string, source string, n_chars long, row string, key string, kept string, score double, h long, items string"
+    more = (None, None, None, None, None, None)
+    rows = [(k, prose(40, k), "en", "s", 1, *more) for k in range(30)] + [(None, None, None, None, None, *more), (None, prose(40, 99), None, None, 0, *more), (5, prose(40, 5), "en", "s", 1, *more), (40, "", "en", None, 0, *more), (41, None, "en", "s", None, *more), (42, "word " * 60_000, "en", "s", 1, *more), (43, "x" * 200_000, "en", "s", 1, *more)]
+    rows += [(100 + k, rows[0][1], "en", f"s{k}", 1, *more) for k in range(20)]
+    for name, some in (("full", rows), ("none", [])):
+        docs = spark.createDataFrame(some, kind)
+        columns = docs.columns
+        for stage_name, stage in corpus_pipeline.STAGES:
+            path = f"{spark.conf.get('spark.checkpoint.dir')}/odd-{name}-{stage_name}"
+            stage(spark, docs, str(tmp_path)).write.parquet(path)
+            docs = spark.read.parquet(path)
+            assert stage_name == "bpe" or docs.columns == columns
+        ids = sorted((r.doc_id for r in docs.collect()), key=str)
+        if name == "none":
+            assert ids == []
+        else:  # of the copies of the first text only it stays, of the empty texts the first; rows without a doc_id all stay
+            assert ids.count(None) == 2 and ids.count(5) == 2 and not [i for i in ids if i and i >= 100] and {0, 40, 42, 43} <= set(ids) and 41 not in ids
