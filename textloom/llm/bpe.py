@@ -13,7 +13,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 import zstandard
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from textloom.llm.scratch import Scratch
@@ -116,39 +116,46 @@ def _encode(tokenizer: str):
     return run
 
 
-def pieces_of(tokenizer: str) -> list[str | None]:
-    """Piece by id: the tokenizer's own table, whose size its file bounds."""
+def pieces(spark: SparkSession, tokenizer: str) -> DataFrame:
+    """(id, piece): the tokenizer's own table."""
     from tokenizers import Tokenizer
 
-    table = {i: w for w, i in Tokenizer.from_file(tokenizer).get_vocab(with_added_tokens=True).items()}
-    return [table.get(i) for i in range(max(table) + 1)]
-
-
-def _assemble(pieces: list[str | None]):
-    """Joins the words' ids to the documents' positions within each block, and the ids to their pieces."""
-    table = pa.array([None if p is None else p.encode() for p in pieces], pa.binary())
-
-    def run(key, left: pa.Table, right: pa.Table) -> pa.Table:
-        size, ids = (np.concatenate([np.zeros(0, "<u4"), *map(unpack_ints, right.column(c).to_pylist())]) for c in ("sizes", "ids"))
-        number = np.concatenate([np.zeros(0, np.int64), *(np.cumsum(unpack_ints(x), dtype=np.int64) for x in right.column("numbers").to_pylist())])
-        length, begin = np.zeros(len(number), np.int64), np.zeros(len(number), np.int64)
-        length[number] = size
-        begin[number] = np.cumsum(size, dtype=np.int64) - size
-        out = {"doc_id": [], "n_tokens": [], "ids_sha256": [], "decoded_sha256": []}
-        for doc_id, raw in zip(left.column("doc_id").to_pylist(), left.column("positions").to_pylist(), strict=True):
-            at = unpack_ints(raw)
-            n = length[at]
-            ends = np.cumsum(n)
-            total = int(ends[-1]) if len(n) else 0
-            mine = ids[np.repeat(begin[at] - (ends - n), n) + np.arange(total)] if total else ids[:0]
-            text = pc.binary_join(pa.ListArray.from_arrays(pa.array([0, total], pa.int32()), table.take(pa.array(mine))), b" ")[0].as_py() if total else b""
-            out["doc_id"].append(doc_id)
-            out["n_tokens"].append(total)
-            out["ids_sha256"].append(hashlib.sha256(mine.tobytes()).hexdigest())
-            out["decoded_sha256"].append(hashlib.sha256(text).hexdigest())
-        return pa.table([pa.array(out["doc_id"], pa.int64()), pa.array(out["n_tokens"], pa.int64()), pa.array(out["ids_sha256"], pa.string()), pa.array(out["decoded_sha256"], pa.string())], list(out))
-
-    return run
+    table = Tokenizer.from_file(tokenizer).get_vocab(with_added_tokens=True)
+    return spark.createDataFrame([(i, w.encode()) for w, i in table.items()], "id int, piece binary")
+
+
+def _distinct_ids(batches):
+    """(of, id) of each packet."""
+    for b in batches:
+        for of, raw in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+            ids = np.unique(unpack_ints(raw)).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(ids), of, np.int64)), pa.array(ids)], ["of", "id"])
+
+
+def _assemble(key, left: pa.Table, right: pa.Table) -> pa.Table:
+    """Joins the words' ids to the documents' positions within a block, and the pieces of the block's ids to their places."""
+    lists, named = right.filter(pc.is_valid(right.column("numbers"))), right.filter(pc.is_valid(right.column("id")))
+    size, ids = (np.concatenate([np.zeros(0, "<u4"), *map(unpack_ints, lists.column(c).to_pylist())]) for c in ("sizes", "ids"))
+    number = np.concatenate([np.zeros(0, np.int64), *(np.cumsum(unpack_ints(x), dtype=np.int64) for x in lists.column("numbers").to_pylist())])
+    length, begin = np.zeros(len(number), np.int64), np.zeros(len(number), np.int64)
+    length[number] = size
+    begin[number] = np.cumsum(size, dtype=np.int64) - size
+    known, piece = named.column("id").to_numpy(), named.column("piece").combine_chunks()
+    row = np.zeros(int(known.max()) + 1 if len(known) else 0, np.int64)
+    row[known] = np.arange(len(known))
+    out = {"doc_id": [], "n_tokens": [], "ids_sha256": [], "decoded_sha256": []}
+    for doc_id, raw in zip(left.column("doc_id").to_pylist(), left.column("positions").to_pylist(), strict=True):
+        at = unpack_ints(raw)
+        n = length[at]
+        ends = np.cumsum(n)
+        total = int(ends[-1]) if len(n) else 0
+        mine = ids[np.repeat(begin[at] - (ends - n), n) + np.arange(total)] if total else ids[:0]
+        text = pc.binary_join(pa.ListArray.from_arrays(pa.array([0, total], pa.int32()), piece.take(pa.array(row[mine]))), b" ")[0].as_py() if total else b""
+        out["doc_id"].append(doc_id)
+        out["n_tokens"].append(total)
+        out["ids_sha256"].append(hashlib.sha256(mine.tobytes()).hexdigest())
+        out["decoded_sha256"].append(hashlib.sha256(text).hexdigest())
+    return pa.table([pa.array(out["doc_id"], pa.int64()), pa.array(out["n_tokens"], pa.int64()), pa.array(out["ids_sha256"], pa.string()), pa.array(out["decoded_sha256"], pa.string())], list(out))
 
 
 def encode_decode(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", *, tokenizer: str | None = None, block_bytes: int = BLOCK_BYTES) -> DataFrame:
@@ -156,8 +163,9 @@ def encode_decode(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", *
 
     Texts are split once; a block of up to ``block_bytes`` of text keeps the list of its distinct words and each text as
     numbers in that list. The lists are dealt by a hash of the word, so that equal words meet in one table, where each is
-    encoded once, and go back to their blocks by number; a document's ids are its positions' entries, its decoded text
-    their pieces (as the tokenizer's decode joins them). Lists move in packets, one for a block and a bucket of words; the
+    encoded once, and go back to their blocks by number; a document's ids are its positions' entries. Each block's distinct
+    ids are joined with the table of pieces, and a document's decoded text is its ids' pieces (as the tokenizer's decode
+    joins them). Lists move in packets, one for a block and a bucket of words; the
     packed texts lie bucketed by block, so that they meet their lists without another shuffle. A null or empty text has no
     tokens and decodes to the empty text; rows with a null or repeated doc_id are rows like others; other columns are ignored.
     """
@@ -171,8 +179,12 @@ def encode_decode(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", *
     try:
         texts = spark.table(name).where("kind = 'text'").select("doc_id", "block", "positions")
         words = spark.table(name).where("kind = 'word'").select("bucket", F.col("block").alias("of"), "words", "numbers")
-        lists = words.repartition(n, "bucket").sortWithinPartitions("bucket").mapInArrow(_encode(tokenizer), "of long, numbers binary, sizes binary, ids binary")
-        out = texts.groupBy("block").cogroup(lists.groupBy("of")).applyInArrow(_assemble(pieces_of(tokenizer)), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+        lists = scratch.write(words.repartition(n, "bucket").sortWithinPartitions("bucket").mapInArrow(_encode(tokenizer), "of long, numbers binary, sizes binary, ids binary"), "lists")
+        scratch._delete(f"{path}/kind=word")  # encoded, so no longer needed
+        used = lists.select("of", "ids").mapInArrow(_distinct_ids, "of long, id int").distinct()
+        decoded = used.join(pieces(spark, tokenizer), "id")
+        right = lists.select("*", F.lit(None).cast("int").alias("id"), F.lit(None).cast("binary").alias("piece")).unionByName(decoded.select("of", "id", "piece"), allowMissingColumns=True)
+        out = texts.groupBy("block").cogroup(right.groupBy("of")).applyInArrow(_assemble, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
         return scratch.keep(out)
     finally:
         spark.sql(f"DROP TABLE IF EXISTS {name}")
