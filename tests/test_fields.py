@@ -3,7 +3,7 @@ import datetime
 import pytest
 from pyspark.sql import functions as F
 
-from textloom.operators import fields, handlers, rules
+from textloom.operators import chats, fields, rules
 
 
 def one(spark, column, *values):
@@ -68,5 +68,38 @@ def test_answers(spark):
 
 
 def test_kept_people(spark):
-    df = spark.createDataFrame([("report/x", 12, 5), ("report/x", 10, 10), ("legal/x", 12, 10), ("form/x", 20, 20), ("other", 20, 15)], "kind string, n int, want int")
-    assert all(r.got == r.want for r in df.select("want", F.size(handlers.people_of(F.col("kind"), F.sequence(F.lit(1), F.col("n")))).alias("got")).collect())
+    person = "array<struct<name:string,role:string,email:string,phone:string>>"
+    plain = lambda n: [(f"p{k}", None, None, None) for k in range(n)]
+    mixed = [("a", "Richterin", None, None), ("b", "Teacher", "b@x", None), ("c", None, None, "1"), ("d", "", "", None)]
+    cases = [
+        ("reference/report", plain(12), 5), ("reference/report", plain(10), 10), ("government/x", plain(20), 5), ("legal/x", plain(16), 15), ("legal/x", mixed, ["a"]), ("education/x", mixed, ["b"]), ("education/x", plain(7), 5), ("education/x", plain(5), 5),
+        ("reference/brochure", mixed, ["a", "b", "c"]), ("reference/brochure", [mixed[0]], ["a"]), ("form/x", plain(20), 20), ("communication/meeting-notes", plain(20), 20), ("other", plain(20), 15), ("other", [], 0),
+    ]
+    df = spark.createDataFrame([(k, kind, people) for k, (kind, people, _) in enumerate(cases)], f"k int, kind string, people {person}")
+    got = {r.k: [p.name for p in r.kept] for r in df.select("k", chats.people_of(F.col("kind"), F.col("people")).alias("kept")).collect()}
+    assert all(got[k] == want if isinstance(want, list) else len(got[k]) == want for k, (_, _, want) in enumerate(cases))
+
+
+@pytest.mark.parametrize(
+    ("before", "now", "want"),
+    [("alpha bravo charlie", "Moving on: alpha bravo charlie", True), ("what alpha bravo", "how alpha bravo", True), ("what alpha bravo", "what alpha bravo", False), ("alpha bravo charlie", "delta eagle foxtrot", True), ("", "delta", False), ("new question alpha", "alpha", False)],
+)
+def test_topic_shifts(spark, before, now, want):
+    assert one(spark, chats.shifted, before, now) is want
+
+
+def test_scans_and_contexts(spark):
+    assert tuple(one(spark, chats.scan_fields, "a   b   c\n[ ] x ☑ _____ Signature: __")) == (True, True, 2, True) and tuple(one(spark, chats.scan_fields, "a   b")) == (False, False, 0, False)
+    day = lambda c: chats.date_context(c, F.lit("2024-05-06"), 5)
+    assert [one(spark, day, x) for x in ("0123456789 06.05.2024 abcdefghi", "x\n2024.05.06\ny", "none", "2024-05-06 and 06.05.2024")] == ["6789 06.05.2024 abcd", "x 2024.05.06 y", "", "2024-05-06 and"]
+    assert one(spark, chats.tidy, "a \0 b\t\tc  \n\n\n\nd \n") == "a b c\n\nd"
+
+
+def test_items_of_invoices(spark):
+    """As many as the plain pattern finds, in time linear in a line."""
+    import re
+
+    from textloom.operators.rules import ITEM
+
+    texts = ["a 1.50 b 2,50\nc\n 3.25", " 12.50", "x\n\n5.00 9.99", "no", "a  1.5 2.555", "word " * 40_000 + "1.25", "word " * 40_000]
+    assert [one(spark, rules.invoice, x)["items"] for x in texts] == [len(re.findall(ITEM, x)) for x in texts[:5]] + [1, 0]

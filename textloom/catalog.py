@@ -1,6 +1,6 @@
 """Imports every module that registers queries."""
 
-from textloom.operators import analytics, checks, chunking, cleanup, documents, entities, fields, handlers, mutations, readings, reports, retrieval, rules  # noqa: F401
+from textloom.operators import analytics, chats, checks, chunking, cleanup, documents, entities, fields, handlers, mutations, readings, reports, retrieval, rules  # noqa: F401
 from textloom.plans import ingest, pages  # noqa: F401
 from textloom.registry import ORACLES, QUERIES  # noqa: F401
 from textloom.sources import cards, parsers  # noqa: F401

@@ -70,19 +70,6 @@ def turn_pairs(spark, sf_dir):
     return rows.where("role = 'user' and next_role = 'assistant'").select("conv_id", "turn", F.col("text").alias("question"), "answer")
 
 
-@query("topic_shift", """WITH p AS (SELECT conv_id, turn, list_slice(list_distinct_ordered, 1, 10) AS w, lag(list_slice(list_distinct_ordered, 1, 10)) OVER (PARTITION BY conv_id ORDER BY turn) AS v FROM
-(SELECT conv_id, turn, list_filter(regexp_extract_all(lower(text), '[\\p{L}\\p{N}_]+'), lambda x: length(x) >= 5) AS list_distinct_ordered FROM conversations WHERE role = 'user'))
-SELECT conv_id, turn, round(CASE WHEN len(list_distinct(w)) + len(list_distinct(v)) = 0 THEN 0.0 ELSE len(list_intersect(list_distinct(w), list_distinct(v))) / len(list_distinct(list_concat(w, v))) END, 6) AS overlap,
-CASE WHEN len(list_distinct(w)) + len(list_distinct(v)) = 0 THEN 0.0 ELSE len(list_intersect(list_distinct(w), list_distinct(v))) / len(list_distinct(list_concat(w, v))) END < 0.2 AS shifted FROM p WHERE v IS NOT NULL""")
-def topic_shift(spark, sf_dir):
-    """Overlap of the first ten long words of a question with those of the one before."""
-    words = F.slice(F.filter(text.tokens(F.col("text")), lambda x: F.length(x) >= 5), 1, 10)
-    w = Window.partitionBy("conv_id").orderBy("turn")
-    rows = table(spark, sf_dir, "conversations").where("role = 'user'").select("conv_id", "turn", words.alias("w")).withColumn("v", F.lag("w").over(w)).where("v is not null")
-    overlap = text.jaccard(F.col("w"), F.col("v"))
-    return rows.select("conv_id", "turn", F.round(overlap, 6).alias("overlap"), (overlap < 0.2).alias("shifted"))
-
-
 @query("counters", "SELECT event_type, user_id, count(*) AS n, round(sum(value), 4) AS total, arg_max(value, (ts, event_id)) AS last_value FROM events GROUP BY ALL")
 def counters(spark, sf_dir):
     """Counter and gauge of each name and label: sum and last value."""
@@ -158,9 +145,13 @@ def cost_stats(spark, sf_dir):
 
 @query("budget_running", "SELECT event_id, ts::DATE AS day, round(sum(value) OVER (PARTITION BY ts::DATE ORDER BY ts, event_id), 4) AS spent FROM events")
 def budget_running(spark, sf_dir):
-    """The day's running total at each operation."""
-    w = Window.partitionBy("day").orderBy("ts", "event_id").rowsBetween(Window.unboundedPreceding, 0)
-    return table(spark, sf_dir, "events").withColumn("day", F.to_date("ts")).select("event_id", "day", F.round(F.sum("value").over(w), 4).alias("spent"))
+    """The day's running total at each operation: sums of whole hours before it, and within its hour one by one, so that a window holds an hour at most."""
+    rows = table(spark, sf_dir, "events").select("event_id", "ts", "value", F.to_date("ts").alias("day"), F.hour("ts").alias("hour"))
+    hours = rows.groupBy("day", "hour").agg(F.sum("value").alias("total"))
+    before = F.coalesce(F.sum("total").over(Window.partitionBy("day").orderBy("hour").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
+    within = F.sum("value").over(Window.partitionBy("day", "hour").orderBy("ts", "event_id").rowsBetween(Window.unboundedPreceding, 0))
+    out = rows.withColumn("within", within).join(hours.select("day", "hour", before.alias("before")), ["day", "hour"])
+    return out.select("event_id", "day", F.round(F.col("before") + F.col("within"), 4).alias("spent"))
 
 
 def snapshot(docs: DataFrame) -> DataFrame:

@@ -162,12 +162,24 @@ def chunk_table(docs: DataFrame, split: Callable[[str], list], doc_id: str = "do
     return spread(docs.select(F.col(doc_id).alias("doc_id"), F.col(body).alias("body"))).select("doc_id", F.explode(chunker(split)(F.col("body"))).alias("c")).select("doc_id", "c.*")
 
 
-@query("chunks_sliding")
+def _sliding_sql(size: int, overlap: int, ends: str, back: int = 100, blank: int = 50) -> str:
+    """The same windows by recursion: where each ends, and where the next begins."""
+    end, near, far = f"(s + {size})", f"greatest(s, s + {size} - {min(back, size // 4)})", f"greatest(s, s + {size} - {min(blank, size // 8)})"
+    sentence = f"length(regexp_extract(substr(text, ({near} + 1)::BIGINT, ({end} - {near})::BIGINT), '(?s)^.*[{ends}]'))"
+    gap = f"length(regexp_extract(substr(text, ({far} + 1)::BIGINT, ({end} - {far})::BIGINT), '(?s)^.* '))"
+    cut = f"CASE WHEN {end} >= length(text) THEN {end} WHEN {sentence} > 0 THEN {near} + {sentence} WHEN {gap} > 0 AND {far} + {gap} - 1 > s THEN {far} + {gap} - 1 ELSE {end} END"
+    white = "chr(32) || chr(9) || chr(10) || chr(13)"
+    return f"""WITH RECURSIVE w AS (SELECT doc_id, text, 0::BIGINT AS s FROM documents WHERE length(text) > 0 UNION ALL SELECT doc_id, text, CASE WHEN e - {overlap} > s THEN e - {overlap} ELSE e END AS s FROM (SELECT doc_id, text, s, ({cut})::BIGINT AS e FROM w) WHERE e < length(text)),
+p AS (SELECT doc_id, s, trim(substr(text, s + 1, e - s), {white}) AS content FROM (SELECT doc_id, text, s, ({cut})::BIGINT AS e FROM w))
+SELECT doc_id, (row_number() OVER (PARTITION BY doc_id ORDER BY s) - 1)::INT AS position, content, 'text' AS kind, NULL::VARCHAR AS title, greatest(1, length(content) // 4)::INT AS tokens FROM p WHERE content <> ''"""
+
+
+@query("chunks_sliding", _sliding_sql(1000, 200, ".!?"))
 def chunks_sliding(spark, sf_dir):
     return chunk_table(table(spark, sf_dir, "documents"), sliding)
 
 
-@query("chunks_sentences")
+@query("chunks_sentences", _sliding_sql(2048, 200, ".!?\\n"))
 def chunks_sentences(spark, sf_dir):
     return chunk_table(table(spark, sf_dir, "documents"), lambda t: sliding(t, 2048, 200, ".!?\n"))
 
@@ -181,8 +193,3 @@ def chunks_structural(spark, sf_dir):
 def chunks_chat(spark, sf_dir):
     rows = table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "role", "text"))).alias("m"))
     return chunk_table(rows.select(F.col("conv_id").alias("doc_id"), F.array_join(F.transform("m", lambda x: F.concat(x["role"], F.lit(": "), x["text"])), "\n").alias("text")), chat)
-
-
-@query("chunk_counts", "SELECT doc_id, CASE WHEN length(text) > 0 THEN 1 ELSE 0 END AS whole, ceil(length(text) / 1000.0)::BIGINT AS windows FROM documents")
-def chunk_counts(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select("doc_id", F.when(F.length("text") > 0, 1).otherwise(0).alias("whole"), F.ceil(F.length("text") / 1000).alias("windows"))

@@ -230,15 +230,3 @@ def confidence(hits: DataFrame, words: list[str]) -> DataFrame:
     cover = sum((F.col(f"w{k}") for k in range(len(words))), F.lit(0)) / len(words)
     total = 0.5 * F.col("relevance") + 0.3 * cover + 0.2 * F.col("quality")
     return one.select("query_id", F.round("relevance", 6).alias("relevance"), F.round(cover, 6).alias("coverage"), F.round("quality", 6).alias("quality"), F.round(total, 6).alias("confidence"), F.when(F.round(total, 9) < 0.3, "refuse").when(F.round(total, 9) < 0.4, "clarify").when(F.round(total, 9) < 0.6, "partial").otherwise("answer").alias("decision"))
-
-
-@query("answer_confidence", """WITH h AS (SELECT source AS query_id, doc_id, text AS body, least(n_chars / 5000.0, 1.0) AS score, row_number() OVER (PARTITION BY source ORDER BY n_chars DESC, doc_id) AS rank FROM documents QUALIFY rank <= 5),
-o AS (SELECT query_id, least(avg(score) FILTER (rank <= 3 AND score > 0), 1.0) AS r, least(avg(CASE WHEN length(body) BETWEEN 100 AND 2000 THEN 0.4 ELSE 0.2 END + CASE WHEN contains(body, chr(10)) THEN 0.3 ELSE 0.0 END + 0.3), 1.0) AS q, (max(contains(lower(body), 'thble')::INT) + max(contains(lower(body), 'zzz')::INT)) / 2.0 AS c FROM h GROUP BY query_id)
-SELECT query_id, round(r, 6) AS relevance, round(c, 6) AS coverage, round(q, 6) AS quality, round(0.5 * r + 0.3 * c + 0.2 * q, 6) AS confidence, CASE WHEN round(0.5 * r + 0.3 * c + 0.2 * q, 9) < 0.3 THEN 'refuse' WHEN round(0.5 * r + 0.3 * c + 0.2 * q, 9) < 0.4 THEN 'clarify' WHEN round(0.5 * r + 0.3 * c + 0.2 * q, 9) < 0.6 THEN 'partial' ELSE 'answer' END AS decision FROM o""")
-def answer_confidence(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents")
-    rank = F.row_number().over(Window.partitionBy("source").orderBy(F.desc("n_chars"), "doc_id"))
-    ids = docs.select("doc_id", "source", "n_chars").withColumn("rank", rank).where("rank <= 5").select("doc_id")
-    hits = docs.join(ids, "doc_id", "left_semi").select(F.col("source").alias("query_id"), "doc_id", F.col("text").alias("body"), F.least(F.col("n_chars") / 5000.0, F.lit(1.0)).alias("score"))
-    # the hits' order is that of their lengths, which the capped score doesn't show
-    return confidence(hits.withColumn("score", F.col("score")), ["thble", "zzz"])

@@ -152,12 +152,6 @@ def answered(hits: DataFrame, question: str) -> DataFrame:
     return rows.select(F.when(F.size("h") == 0, "No documents answer this.").otherwise(models.template_answer(F.concat(F.lit(f"{question}\n"), context))).alias("answer"), F.transform("h", lambda x: x["doc_id"]).alias("sources"))
 
 
-@query("chat_answer", "SELECT 'Which texts are longest?' AS answer, list(doc_id ORDER BY n_chars DESC, doc_id) AS sources FROM (SELECT doc_id, n_chars FROM documents ORDER BY n_chars DESC, doc_id LIMIT 5)")
-def chat_answer(spark, sf_dir):
-    top = table(spark, sf_dir, "documents").orderBy(F.desc("n_chars"), "doc_id").limit(5).withColumn("rank", F.row_number().over(Window.orderBy(F.desc("n_chars"), "doc_id")))
-    return answered(top, "Which texts are longest?")
-
-
 @query("cache_hits", "SELECT event_id, coalesce(ts - lag(ts) OVER (PARTITION BY user_id, event_type ORDER BY ts, event_id) <= INTERVAL 300 SECOND, false) AS hit FROM events")
 def cache_hits(spark, sf_dir):
     """Whether a request finds an answer of at most five minutes ago, each request renewing it."""

@@ -31,17 +31,6 @@ def mail_flags(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", any_word(body, ACTION_WORDS).alias("action"), any_word(body, URGENT_WORDS).alias("urgent"))
 
 
-@query("chat_features", """SELECT conv_id, count(*) AS turns, greatest(1, count(*) // 10) AS sessions, max(contains(text, '?')::INT) = 1 AS questions, max(regexp_matches(lower(text), 'todo')::INT) = 1 AS todos,
-CASE WHEN count(*) < 10 THEN 'whole' WHEN count(*) < 50 THEN 'session' ELSE 'semantic' END AS strategy FROM conversations GROUP BY conv_id""")
-def chat_features(spark, sf_dir):
-    n = F.count("*")
-    some = lambda c: F.max(c.cast("int")) == 1
-    return table(spark, sf_dir, "conversations").groupBy("conv_id").agg(
-        n.alias("turns"), F.greatest(F.lit(1), F.floor(n / 10)).alias("sessions"), some(F.col("text").contains("?")).alias("questions"), some(F.lower("text").rlike("todo")).alias("todos"),
-        F.when(n < 10, "whole").when(n < 50, "session").otherwise("semantic").alias("strategy"),
-    )
-
-
 @query("keep_together", "SELECT conv_id, count(*) < 5 AS together FROM conversations GROUP BY conv_id")
 def keep_together(spark, sf_dir):
     return table(spark, sf_dir, "conversations").groupBy("conv_id").agg((F.count("*") < 5).alias("together"))
@@ -87,20 +76,6 @@ def attachments(spark, sf_dir):
     return table(spark, sf_dir, "pages").where(n >= 20).select(F.col("page_id").alias("parent_id"), n.alias("size"), F.when(n > 10000, None).when(n > 500, F.concat(F.substring("html", 1, 500), F.lit("..."))).otherwise(F.col("html")).alias("summary"))
 
 
-def people_of(kind: Column, people: Column) -> Column:
-    """The people kept for a type of document, by its prefix."""
-    n = F.size(people)
-    first = lambda k: F.slice(people, 1, k)
-    return F.when(kind.rlike("^(report|government)") & (n > 10), first(5)).when(kind.startswith("legal"), first(10)).when(kind.startswith("education"), first(5)).when(kind.rlike("^(form|meeting)"), people).otherwise(first(15))
-
-
-@query("people_by_type", "WITH p AS (SELECT user_id, CASE user_id % 5 WHEN 0 THEN 'report/x' WHEN 1 THEN 'legal/x' WHEN 2 THEN 'education/x' WHEN 3 THEN 'form/x' ELSE 'note' END AS kind, list_sort(list(DISTINCT event_id)) AS p FROM events GROUP BY user_id) SELECT user_id, CASE WHEN kind LIKE 'report%' AND len(p) > 10 THEN p[:5] WHEN kind LIKE 'legal%' THEN p[:10] WHEN kind LIKE 'education%' THEN p[:5] WHEN kind LIKE 'form%' THEN p ELSE p[:15] END AS kept FROM p")
-def people_by_type(spark, sf_dir):
-    kind = F.element_at(F.array(*map(F.lit, ("report/x", "legal/x", "education/x", "form/x", "note"))), (F.col("user_id") % 5 + 1).cast("int"))
-    rows = table(spark, sf_dir, "events").groupBy("user_id").agg(F.array_sort(F.collect_set("event_id")).alias("p"))
-    return rows.select("user_id", people_of(kind, F.col("p")).alias("kept"))
-
-
 @query("actionable_dates", "SELECT event_id, ts >= TIMESTAMP '2024-01-31' - INTERVAL 14 DAY OR event_type = 'purchase' AS actionable FROM events")
 def actionable_dates(spark, sf_dir):
     """Dates of kept topics, or not too old."""

@@ -353,14 +353,43 @@ def evaluation_run(spark, sf_dir):
     return _evaluation(spark, sf_dir).agg(F.count("*").alias("queries"), mean("p_5", "p_5"), mean("p_10", "p_10"), mean("rr", "mrr"), mean((F.col("p_10") > 0).cast("int"), "any_hit"))
 
 
-@query("multi_query_merge", """WITH v AS (SELECT 1 AS variant, doc_id, n_chars / 1000.0 AS score, row_number() OVER (ORDER BY n_chars DESC, doc_id) AS rank FROM documents WHERE lang = 'en' QUALIFY rank <= 30
-UNION ALL SELECT 2, doc_id, n_chars / 900.0, row_number() OVER (ORDER BY n_chars DESC, doc_id) AS rank FROM documents WHERE source IN ('src1', 'src2') QUALIFY rank <= 30),
-f AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY variant, rank) AS n FROM v) SELECT doc_id, variant, round(score, 6) AS score FROM f WHERE n = 1 ORDER BY score DESC, doc_id LIMIT 10""")
+_PHRASINGS = (("the", "der", "la"), ("the", "hest", "der"), ("anat", "le"))
+
+
+def _bm25_of(k: int, terms: tuple[str, ...]) -> str:
+    listed = "(" + ", ".join(f"'{t}'" for t in terms) + ")"
+    part = "idf * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * dl / (SELECT avgdl FROM stats)))"
+    return f"SELECT {k} AS variant, doc_id, sum({part}) AS score FROM post JOIN idf USING (term) WHERE term IN {listed} GROUP BY doc_id HAVING sum({part}) > 0 ORDER BY round(sum({part}), 9) DESC, doc_id LIMIT 30"
+
+
+@query("multi_query_merge", f"""WITH {_BM25.format(terms=_TERMS)}, v AS ({" UNION ALL ".join(f"(SELECT * FROM ({_bm25_of(k, t)}))" for k, t in enumerate(_PHRASINGS, 1))}), f AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY variant) AS n FROM v)
+SELECT doc_id, variant, round(score, 6) AS score FROM f WHERE n = 1 ORDER BY round(score, 9) DESC, doc_id LIMIT 10""")
 def multi_query_merge(spark, sf_dir):
-    """Results of several query variants: the first occurrence of each document, the best ten."""
-    docs = table(spark, sf_dir, "documents")
-    legs = [docs.where("lang = 'en'").withColumn("variant", F.lit(1)).withColumn("score", F.col("n_chars") / 1000.0), docs.where("source in ('src1', 'src2')").withColumn("variant", F.lit(2)).withColumn("score", F.col("n_chars") / 900.0)]
-    legs = [leg.orderBy(F.desc("n_chars"), "doc_id").limit(30) for leg in legs]
-    rows = legs[0].unionByName(legs[1])
-    first = F.row_number().over(Window.partitionBy("doc_id").orderBy("variant", F.desc("n_chars"), "doc_id"))
-    return rows.withColumn("n", first).where("n = 1").orderBy(F.desc("score"), "doc_id").limit(10).select("doc_id", "variant", F.round("score", 6).alias("score"))
+    """Results of several phrasings of a query: each document as the first of them found it, the best ten."""
+    index, rows = index_of(spark, sf_dir), None
+    for k, terms in enumerate(_PHRASINGS, 1):
+        leg = index.search(terms, 40).orderBy(F.desc(F.round("score", 9)), "doc_id").limit(30).select(F.lit(k).alias("variant"), "doc_id", "score")
+        rows = leg if rows is None else rows.unionByName(leg)
+    first = F.row_number().over(Window.partitionBy("doc_id").orderBy("variant"))
+    return rows.withColumn("n", first).where("n = 1").orderBy(F.desc(F.round("score", 9)), "doc_id").limit(10).select("doc_id", "variant", F.round("score", 6).alias("score"))
+
+
+@query("chat_answer", f"WITH {_BM25.format(terms=_TERMS)}, top AS (SELECT doc_id, row_number() OVER (ORDER BY round(score, 9) DESC, doc_id) AS rank FROM lex QUALIFY rank <= 5) SELECT '{' '.join(QUERY_TERMS)}' AS answer, list(doc_id ORDER BY rank) AS sources FROM top")
+def chat_answer(spark, sf_dir):
+    """The answer of the offline generator to a question, from the five best hits."""
+    from textloom.operators.fields import answered
+
+    top = index_of(spark, sf_dir).search(QUERY_TERMS, 40).withColumn("rank", F.row_number().over(Window.orderBy(F.desc(F.round("score", 9)), "doc_id"))).where("rank <= 5")
+    return answered(top.join(table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id"), " ".join(QUERY_TERMS))
+
+
+@query("answer_confidence", f"""WITH {_BM25.format(terms=_TERMS)}, top AS (SELECT doc_id, score / 10 AS score, row_number() OVER (ORDER BY round(score, 9) DESC, doc_id) AS rank FROM lex QUALIFY rank <= 5), h AS (SELECT rank, score, text AS body FROM top JOIN documents USING (doc_id)),
+o AS (SELECT least(avg(score) FILTER (rank <= 3 AND score > 0), 1.0) AS r, least(avg(CASE WHEN length(body) BETWEEN 100 AND 2000 THEN 0.4 ELSE 0.2 END + CASE WHEN contains(body, chr(10)) THEN 0.3 ELSE 0.0 END + 0.3), 1.0) AS q, ({" + ".join(f"max(contains(lower(body), '{t}')::INT)" for t in QUERY_TERMS if len(t) > 3)}) / {sum(len(t) > 3 for t in QUERY_TERMS)}.0 AS c FROM h)
+SELECT 1 AS query_id, round(r, 6) AS relevance, round(c, 6) AS coverage, round(q, 6) AS quality, round(0.5 * r + 0.3 * c + 0.2 * q, 6) AS confidence, CASE WHEN round(0.5 * r + 0.3 * c + 0.2 * q, 9) < 0.3 THEN 'refuse' WHEN round(0.5 * r + 0.3 * c + 0.2 * q, 9) < 0.4 THEN 'clarify' WHEN round(0.5 * r + 0.3 * c + 0.2 * q, 9) < 0.6 THEN 'partial' ELSE 'answer' END AS decision FROM o""")
+def answer_confidence(spark, sf_dir):
+    """How far the five best hits answer a question: their scores, the question's longer words that they hold, and their form."""
+    from textloom.operators.documents import confidence
+
+    top = index_of(spark, sf_dir).search(QUERY_TERMS, 40).withColumn("rank", F.row_number().over(Window.orderBy(F.desc(F.round("score", 9)), "doc_id"))).where("rank <= 5")
+    hits = top.join(table(spark, sf_dir, "documents").select("doc_id", F.col("text").alias("body")), "doc_id").select(F.lit(1).alias("query_id"), "doc_id", "body", (F.col("score") / 10).alias("score"))
+    return confidence(hits, [t for t in QUERY_TERMS if len(t) > 3])

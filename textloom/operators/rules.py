@@ -37,6 +37,8 @@ INVOICE_NUMBERS = (r"(?i)(?:Invoice|Rechnung|Facture)\s*(?:No\.|Nr\.|#|Number)?:
 TERMS = (r"(?i)(?:due|fällig|payable)\s+(?:on|am|by|bis)?\s*(\d{1,2}[./]\d{1,2}[./]\d{4})", r"(?i)(?:payment|zahlung).*?(\d+)\s*(?:days|tage|jours)", r"(?i)(?:net|netto)\s*(\d+)")
 VENDORS = (r"(?m)(?:From|Von|De):?\s*([A-Z][A-Za-z\s&\.]+(?:GmbH|LLC|Ltd|Inc|AG|SA)?)", r"(?m)^([A-Z][A-Za-z\s&\.]+(?:GmbH|LLC|Ltd|Inc|AG|SA))")
 ITEM = r".+\s+\d+[.,]\d{2}"
+#: The same matches: none can begin within a line but where one has ended, since what matches from there matches from the line's start; no other start is tried.
+_ITEM_STARTS = r"(?m)(?:^|\G)" + ITEM
 TAXES = (r"(?i)(?:VAT|MwSt|Tax|Steuer).*?(\d+[.,]\d{2})", r"(?i)(\d+)%\s*(?:VAT|MwSt)")
 CURRENCIES = (("EUR", "EUR|€"), ("USD", r"USD|\$"), ("GBP", "GBP|£"), ("CHF", "CHF"))
 
@@ -55,7 +57,7 @@ def invoice(body: Column) -> Column:
     return F.struct(
         F.array_max(amounts).alias("total"), F.when(F.size(amounts) > 0, currency).alias("currency"), F.coalesce(*(_found(body, p) for p in INVOICE_NUMBERS)).alias("number"), F.get(when, F.lit(0)).alias("invoice_date"),
         F.when(F.size(when) > 1, F.element_at(when, -1)).alias("due_date"), F.coalesce(*(_found(body, p, 0) for p in TERMS)).alias("terms"), F.coalesce(*(F.when(F.length(v).between(4, 99), v) for v in vendor)).alias("vendor"),
-        F.size(_all(body, ITEM)).alias("items"), F.coalesce(*(_found(body, p, 0) for p in TAXES)).alias("tax"),
+        F.size(_all(body, _ITEM_STARTS)).alias("items"), F.coalesce(*(_found(body, p, 0) for p in TAXES)).alias("tax"),
     )
 
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from textloom.registry import query, table
 
@@ -68,7 +69,8 @@ def conversation_markdown(spark, sf_dir):
 @query("contact_cards", "SELECT user_id, 'BEGIN:VCARD' || chr(13) || chr(10) || 'VERSION:3.0' || chr(13) || chr(10) || 'FN:User ' || user_id || chr(13) || chr(10) || 'NOTE:Mentioned in: ' || string_agg(event_id, '\\, ' ORDER BY event_id) || chr(13) || chr(10) || 'END:VCARD' AS card FROM (SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS n FROM events QUALIFY n <= 3) GROUP BY user_id")
 def contact_cards(spark, sf_dir):
     """One card for each person with their first three mentions."""
-    rows = table(spark, sf_dir, "events").groupBy("user_id").agg(F.slice(F.array_sort(F.collect_set("event_id")), 1, 3).alias("ids"))
+    ranked = table(spark, sf_dir, "events").select("user_id", "event_id").withColumn("k", F.row_number().over(Window.partitionBy("user_id").orderBy("event_id"))).where("k <= 3")
+    rows = ranked.groupBy("user_id").agg(F.array_sort(F.collect_list("event_id")).alias("ids"))
     note = F.array_join(F.transform("ids", lambda x: x.cast("string")), "\\, ")
     return rows.select("user_id", F.concat_ws("\r\n", F.lit("BEGIN:VCARD"), F.lit("VERSION:3.0"), F.concat(F.lit("FN:User "), F.col("user_id").cast("string")), F.concat(F.lit("NOTE:Mentioned in: "), note), F.lit("END:VCARD")).alias("card"))
 

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -10,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from textloom import shared
 from textloom.registry import query, table
 
 LATE = "7 days"
@@ -22,16 +22,27 @@ def events(spark: SparkSession, sf_dir: str, files: int = 100) -> DataFrame:
     return raw.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", LATE)
 
 
-def watch(spark: SparkSession, folder: str, schema: str, fmt: str = "text") -> DataFrame:
-    """New files of a folder, once each."""
-    return spark.readStream.format(fmt).schema(schema).load(folder)
+def watch(spark: SparkSession, folder: str, schema: str, fmt: str = "text", archive: str | None = None) -> DataFrame:
+    """New files of a folder, once each; with ``archive`` they are moved there when they have been read."""
+    reader = spark.readStream.format(fmt).schema(schema)
+    return (reader.option("cleanSource", "archive").option("sourceArchiveDir", archive) if archive else reader).load(folder)
 
 
 def drained(stream: DataFrame, mode: str = "complete") -> DataFrame:
-    """Runs a stream over what is there now and returns its result table."""
-    name = f"stream_{uuid.uuid4().hex}"
-    stream.writeStream.format("memory").queryName(name).outputMode(mode).trigger(availableNow=True).start().awaitTermination()
-    return stream.sparkSession.table(name)
+    """Runs a stream over what is there now and returns its result table, written to the shared folder.
+
+    A batch that runs again replaces its own files, and in complete mode the last batch holds the result, so that nothing
+    is gathered in the driver or counted twice.
+    """
+    folder = shared.new_folder(stream.sparkSession, "stream")
+
+    def save(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{folder}/out/batch={0 if mode == 'complete' else number}")
+
+    stream.writeStream.foreachBatch(save).outputMode(mode).option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start().awaitTermination()
+    empty = stream.sparkSession.createDataFrame([], stream.schema)
+    empty.write.mode("append").parquet(f"{folder}/out/batch=-1")
+    return stream.sparkSession.read.schema(stream.schema).option("basePath", f"{folder}/out").parquet(f"{folder}/out").select(*stream.columns)
 
 
 @query("stream_daily", "SELECT ts::DATE AS day, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1")
