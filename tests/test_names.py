@@ -6,7 +6,7 @@ from collections import Counter
 
 import pytest
 
-from textloom.operators import documents, entities, handlers, retrieval
+from textloom.operators import documents, entities, handlers, mutations, retrieval
 
 
 def test_clusters_against_one_after_another(spark):
@@ -88,3 +88,32 @@ def test_an_index_is_cleared(spark, sf_dir):
     retrieval.index_of(spark, sf_dir)
     assert retrieval.clear_indexes() >= 1 and retrieval.clear_indexes() == 0
     assert retrieval.index_of(spark, sf_dir).documents == pytest.approx(200)
+
+
+def test_similar_titles_against_all_pairs(spark):
+    """Titles with up to three errors each: none is found wrongly, and of all alike pairs nine in ten are."""
+    draw = random.Random(13)
+    word = lambda: "".join(draw.choice("abcdefghijkl") for _ in range(draw.randint(2, 8)))
+    common = [word() for _ in range(12)]
+    titles = [" ".join(draw.choice([word(), draw.choice(common)]) for _ in range(draw.randint(2, 7))) for _ in range(150)]
+    for t in list(titles):
+        for _ in range(draw.randint(1, 3)):
+            k = draw.randrange(len(t))
+            t = draw.choice([t[:k] + t[k + 1 :], t[:k] + draw.choice("xyz") + t[k:], t[:k] + draw.choice("xyz") + t[k + 1 :]])
+        titles.append(t.title())
+    titles += [titles[0].upper() + "!", "abc", None, ""]
+    got = {(r.title_a, r.title_b): r.ratio for r in mutations.similar_titles(spark.createDataFrame([(t,) for t in titles], "title string")).collect()}
+
+    def lcs(a, b):
+        row = [0] * (len(b) + 1)
+        for x in a:
+            before = 0
+            for j, y in enumerate(b, 1):
+                before, row[j] = row[j], before + 1 if x == y else max(row[j], row[j - 1])
+        return row[-1]
+
+    plain = sorted({"".join(c for c in (t or "").lower() if c.isalnum()) for t in titles})
+    plain = [t for t in plain if len(t) > 5]
+    want = {(a, b): 2 * lcs(a, b) / (len(a) + len(b)) for i, a in enumerate(plain) for b in plain[i + 1 :] if min(len(a), len(b)) / max(len(a), len(b)) >= 0.85 / 1.15 - 1e-9}
+    want = {p: r for p, r in want.items() if r >= 0.85}
+    assert all(want[p] == pytest.approx(r) for p, r in got.items()) and len(got) >= 0.9 * len(want) > 100

@@ -69,3 +69,17 @@ def sigmoid(score: Column) -> Column:
 def cost(tokens_in: Column, tokens_out: Column, price_in: Column, price_out: Column) -> Column:
     """Prices are for a million tokens; without a price it is 0."""
     return F.coalesce(tokens_in / 1e6 * price_in + tokens_out / 1e6 * price_out, F.lit(0.0))
+
+
+def answered_by(providers: list[tuple[str, Generator, float]], prompt: Column, spent: Column, budget: float) -> Column:
+    """struct<provider, answer>: the first provider's answer that isn't null and whose price the budget still covers; null if none does."""
+    out = F.lit(None).cast("struct<provider:string,answer:string>")
+    for name, generate, price in reversed(providers):
+        answer = generate(prompt)
+        out = F.when((spent + price <= budget) & answer.isNotNull(), F.struct(F.lit(name).alias("provider"), answer.alias("answer"))).otherwise(out)
+    return out
+
+
+def weekly_prompt(week: Column, lines: Column) -> Column:
+    """What a model is asked for a week's summary, with a line for each document."""
+    return F.concat(F.lit("Summary of week "), week.cast("string"), F.lit("\n"), F.array_join(lines, "\n"))

@@ -183,3 +183,15 @@ _UNTIDY = Joined((Varied(("", "a \0 b\t\tc  \n", "\n\n\n\nx"), 3), "text", Varie
 @query("tidy_texts", f"SELECT doc_id, regexp_replace(regexp_replace(regexp_replace(regexp_replace(replace(b, chr(0), ''), '(?m)[ \\t]+$', '', 'g'), '[ \\t]+', ' ', 'g'), '\\n{{3,}}', chr(10) || chr(10), 'g'), '\\s+$', '') AS body FROM (SELECT doc_id, {_UNTIDY.sql} AS b FROM documents)")
 def tidy_texts(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", tidy(_UNTIDY.column).alias("body"))
+
+
+def kept_table(rows: Column, least_rows: int = 2, least_columns: int = 2) -> Column:
+    """Whether a table (array of rows of cells) is large enough: in rows, and in columns in each of them."""
+    return (F.size(rows) >= least_rows) & F.forall(rows, lambda r: F.size(r) >= least_columns)
+
+
+@query("kept_tables", "SELECT doc_id, len(r) AS rows, len(r) >= 2 AND len(list_filter(r, lambda x: len(x) < 2)) = 0 AS kept FROM (SELECT doc_id, list_transform(string_split(text, chr(10)), lambda x: string_split(x, ', ')) AS r FROM documents)")
+def kept_tables(spark, sf_dir):
+    """Lines as rows, cells separated by commas."""
+    rows = table(spark, sf_dir, "documents").select("doc_id", F.transform(F.split("text", "\n"), lambda x: F.split(x, ", ")).alias("r"))
+    return rows.select("doc_id", F.size("r").cast("long").alias("rows"), kept_table(F.col("r")).alias("kept"))
