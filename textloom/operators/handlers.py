@@ -63,10 +63,18 @@ def scanned_clean(docs: DataFrame, doc_id: str = "doc_id", body: str = "text") -
     return out.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("page", "kept"))).alias("p")).select("doc_id", F.array_join(F.transform("p", lambda x: x["kept"]), "\f").alias("text"))
 
 
-@query("scanned_cleanup", "SELECT doc_id, 'body ' || doc_id || chr(12) || 'middle' || chr(12) || 'end' AS text FROM documents")
+_TOP = Varied(("HEADER of all\n", "", "  Page\n", "A\nB\nC\nD\nE\nF\n"), 3)
+_FOOT = Varied(("", "\nfoot ", "\nthe end of it\n"), 5)
+
+
+@query("scanned_cleanup", f"""WITH d AS (SELECT doc_id, {_TOP.sql} || replace(text, chr(10), {_FOOT.sql} || chr(12) || {_TOP.sql}) || {_FOOT.sql} AS b FROM documents), p AS (SELECT doc_id, unnest(string_split(b, chr(12))) AS content, unnest(range(len(string_split(b, chr(12))))) AS page FROM d),
+l AS (SELECT doc_id, page, content, list_filter(list_transform(string_split(content, chr(10)), lambda x: trim(x)), lambda x: x <> '') AS l FROM p), n AS (SELECT DISTINCT doc_id, page, unnest(list_concat(l[1:5], CASE WHEN len(l) > 5 THEN l[greatest(1, len(l) - 4):] ELSE [] END)) AS line FROM l),
+k AS (SELECT doc_id, count(*) AS pages FROM p GROUP BY doc_id), bad AS (SELECT doc_id, list(line) AS bad FROM (SELECT n.doc_id, line FROM n JOIN k USING (doc_id) WHERE length(line) < 100 AND pages > 1 GROUP BY n.doc_id, line, pages HAVING count(*) * 2 >= pages) GROUP BY doc_id)
+SELECT doc_id, string_agg(array_to_string(list_filter(string_split(content, chr(10)), lambda x: bad IS NULL OR NOT list_contains(bad, trim(x))), chr(10)), chr(12) ORDER BY page) AS text FROM l LEFT JOIN bad USING (doc_id) GROUP BY doc_id""")
 def scanned_cleanup(spark, sf_dir):
-    n = F.col("doc_id").cast("string")
-    return scanned_clean(table(spark, sf_dir, "documents").select("doc_id", F.concat(F.lit("HEADER\nbody "), n, F.lit("\nfoot\fHEADER\nmiddle\nfoot\fend")).alias("text")))
+    """Lines of all texts as pages, with heads and feet of several forms."""
+    body = F.concat(_TOP.column, F.replace(F.col("text"), F.lit("\n"), F.concat(_FOOT.column, F.lit("\f"), _TOP.column)), _FOOT.column)
+    return scanned_clean(table(spark, sf_dir, "documents").select("doc_id", body.alias("text")))
 
 
 @query("attachments", "SELECT page_id AS parent_id, length(html) AS size, CASE WHEN length(html) > 10000 THEN NULL WHEN length(html) > 500 THEN substr(html, 1, 500) || '...' ELSE html END AS summary FROM pages WHERE length(html) >= 20")
