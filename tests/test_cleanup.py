@@ -23,3 +23,10 @@ def test_columns_and_concepts(spark):
     assert [r.y for r in df.select(cleanup.as_column(cleanup.paragraphs)(F.col("t")).alias("y")).collect()] == ["x\n\ny", None]
     concepts = spark.createDataFrame([("a", "one"), ("B", "two")], "label string, concept string")
     assert {r.doc_id: r.linked for r in cleanup.linked_concepts(df, "tags", concepts).collect()} == {1: ["one", "two"], 2: []}
+
+
+def test_links():
+    names = [("Ann Weber", "refs/persons/ann-weber"), ("Weber", "refs/persons/weber"), ("C++", "refs/t/c"), ("AI", "refs/t/ai")]
+    got = cleanup.linked("---\nAnn Weber\n---\nann weber met Weber, Ann Weber and mail\n```\nAI\n```\nsee [[x]] AI\nAI, AI", names)
+    assert got == "---\nAnn Weber\n---\n[[refs/persons/ann-weber|Ann Weber]] met [[refs/persons/weber|Weber]], Ann Weber and mail\n```\nAI\n```\nsee [[x]] AI\n[[refs/t/ai|AI]], AI"
+    assert cleanup.linked("", names) == "" and cleanup.linked("x", []) == "x"
