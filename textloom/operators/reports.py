@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from textloom import shared
 from textloom.functions import models, text
+from textloom.operators.retrieval import _EVAL, _evaluation
 from textloom.registry import query, table, typed
 
 AS_OF = "2024-01-31"
@@ -117,8 +119,6 @@ a AS (SELECT round(avg(round(p5, 6)), 6) AS p_5, round(avg(round(h10 / expected,
 SELECT unnest(['p_5', 'r_10', 'mrr', 'any_hit']) AS gate, unnest([p_5, r_10, mrr, any_hit]) AS value, unnest([0.5, 0.6, 0.4, 0.7])::DOUBLE AS least, unnest([p_5 >= 0.5, r_10 >= 0.6, mrr >= 0.4, any_hit >= 0.7]) AS passed FROM a""")
 def gold_gates(spark, sf_dir):
     """Whether the vector search of every twentieth vector is good enough."""
-    from textloom.operators.retrieval import _evaluation
-
     mean = lambda c, name: F.round(F.avg(c), 6).alias(name)
     return gated(_evaluation(spark, sf_dir).agg(mean("p_5", "p_5"), mean("r_10", "r_10"), mean("rr", "mrr"), mean((F.col("p_10") > 0).cast("int"), "any_hit")))
 
@@ -196,3 +196,20 @@ def weekly_summaries(spark, sf_dir):
     kinds = table(spark, sf_dir, "events").groupBy(F.to_date(F.date_trunc("week", "ts")).alias("week"), "event_type").agg(F.count("*").alias("n"))
     lines = F.array_sort(F.collect_list(F.concat("event_type", F.lit(": "), F.col("n").cast("string"))))  # a line for each kind
     return kinds.groupBy("week").agg(lines.alias("lines")).select("week", models.template_answer(models.weekly_prompt(F.col("week"), F.col("lines"))).alias("answer"), F.size("lines").cast("long").alias("kinds"))
+
+
+_DELTAS = ("p_5", "p_10", "r_5", "r_10", "rr", "any_hit")
+
+
+def run_deltas(before: DataFrame, after: DataFrame) -> DataFrame:
+    """One row: by how much each mean of an evaluation's metrics (a row for each query) has changed from one run to the other."""
+    means = lambda run, name: run.withColumn("any_hit", (F.col("p_10") > 0).cast("int")).agg(*(F.avg(c).alias(f"{name}_{c}") for c in _DELTAS))
+    both = means(before, "a").crossJoin(means(after, "b"))  # one row each
+    return both.select(*(F.round(F.col(f"b_{c}") - F.col(f"a_{c}"), 6).alias(c) for c in _DELTAS))
+
+
+@query("run_deltas", _EVAL + "x AS (SELECT query_id % 40 = 0 AS old, round(p5, 6) AS p_5, round(p10, 6) AS p_10, round(h5 / expected, 6) AS r_5, round(h10 / expected, 6) AS r_10, round(coalesce(1.0 / first, 0), 6) AS rr, (p10 > 0)::INT AS any_hit FROM t JOIN m USING (query_id) WHERE expected > 0) SELECT ".replace("x AS", ", x AS", 1) + ", ".join(f"round(avg({c}) FILTER (NOT old) - avg({c}) FILTER (old), 6) AS {c}" for c in _DELTAS) + " FROM x")
+def run_deltas_query(spark, sf_dir):
+    """Two halves of the vector queries as two runs."""
+    runs = shared.written(_evaluation(spark, sf_dir), "evaluation")
+    return run_deltas(runs.where("query_id % 40 = 0"), runs.where("query_id % 40 <> 0"))
