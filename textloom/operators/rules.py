@@ -356,3 +356,31 @@ def recency(spark, sf_dir):
 
     age = F.datediff(F.lit("1998-12-31").cast("date"), F.to_date("o_orderdate"))
     return table(spark, sf_dir, "orders").select("o_orderkey", F.round(dates.recency(age), 6).alias("recency"))
+
+
+# The heads of long legal sections and of bank details, and from how many characters on they go.
+SECTIONS = (r"(?is)(?:Terms?\s+(?:and|&)\s+Conditions?|Allgemeine\s+Geschäftsbedingungen|AGB).*", r"(?is)(?:Legal\s+Notice|Rechtliche\s+Hinweise).*", r"(?is)(?:Privacy\s+Policy|Datenschutz).*")
+BANK, SECTION_CHARS, BANK_CHARS = r"(?is)(?:Bank\s+Details?|Bankverbindung).*?(?:IBAN|BIC|Swift).*?(?:\n\n|\z)", 500, 300
+
+
+def invoice_body(c: Column) -> Column:
+    """An invoice without a long legal section (from its head to the end) and long bank details; blanks single but in aligned lines, at most one empty line in a row."""
+    for p in SECTIONS:
+        c = F.when(F.length(F.regexp_extract(c, p, 0)) > SECTION_CHARS, F.regexp_replace(c, p, "")).otherwise(c)
+    bank = F.regexp_extract(c, BANK, 0)
+    c = F.when(F.length(bank) > BANK_CHARS, F.replace(c, bank, F.lit(""))).otherwise(c)
+    words = lambda x: F.filter(F.split(x, r"\s+"), lambda w: w != "")
+    lines = F.transform(F.split(c, "\n"), lambda x: F.when(x.rlike(r"\s{3,}") & (F.size(words(x)) >= 2), x).otherwise(F.array_join(words(x), " ")))
+    return F.btrim(F.regexp_replace(F.array_join(lines, "\n"), r"\n{3,}", "\n\n"), F.lit(" \t\n\r\f"))
+
+
+_LONG_BILL = Joined((Varied(("Bolt     12,50\n", "a  b\n\n\n\nc\n", "x\n"), 3), Varied(("Bank details: IBAN 1\n\n", "Bankverbindung\nBIC ", "", "Bank Detail Swift "), 5), "text", Varied(("\n\n", " "), 7), Varied(("Terms & Conditions\n", "Legal notice ", "", "AGB und Datenschutz "), 11), "text"))
+
+
+@query("invoice_clean", f"""WITH d AS (SELECT doc_id, {_LONG_BILL.sql} AS b FROM documents), s AS (SELECT doc_id, CASE WHEN length(regexp_extract(b, '{SECTIONS[0]}')) > {SECTION_CHARS} THEN regexp_replace(b, '{SECTIONS[0]}', '') ELSE b END AS b FROM d),
+t AS (SELECT doc_id, CASE WHEN length(regexp_extract(b, '{SECTIONS[1]}')) > {SECTION_CHARS} THEN regexp_replace(b, '{SECTIONS[1]}', '') ELSE b END AS b FROM s), u AS (SELECT doc_id, CASE WHEN length(regexp_extract(b, '{SECTIONS[2]}')) > {SECTION_CHARS} THEN regexp_replace(b, '{SECTIONS[2]}', '') ELSE b END AS b FROM t),
+k AS (SELECT doc_id, CASE WHEN length(regexp_extract(b, '{BANK}')) > {BANK_CHARS} THEN replace(b, regexp_extract(b, '{BANK}'), '') ELSE b END AS b FROM u)
+SELECT doc_id, trim(regexp_replace(array_to_string(list_transform(string_split(b, chr(10)), lambda x: CASE WHEN regexp_matches(x, '\\s{{3,}}') AND {_N("x").replace("lambda x:", "lambda w:").replace("x <> ''", "w <> ''")} >= 2 THEN x ELSE array_to_string(list_filter(string_split_regex(x, '\\s+'), lambda w: w <> ''), ' ') END), chr(10)), '\\n{{3,}}', chr(10) || chr(10), 'g'), {_WS}) AS body FROM k""")
+def invoice_clean(spark, sf_dir):
+    """Texts as invoices with legal sections, bank details and aligned lines, cleaned."""
+    return table(spark, sf_dir, "documents").select("doc_id", _LONG_BILL.column.alias("b")).select("doc_id", invoice_body(F.col("b")).alias("body"))
