@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from textloom.llm import bpe, decontaminate, lines, pii, secrets, simhash, substrings, toxicity, vectors, warc
+from textloom.llm import audit, bpe, decontaminate, exact, lines, pii, resample, secrets, simhash, substrings, toxicity, vectors, warc
 
 QUERIES = {
     "op1_warc": warc.op1_warc,
@@ -15,6 +15,9 @@ QUERIES = {
     "op8_decontaminate": decontaminate.op8_decontaminate,
     "op9_secrets": secrets.op9_secrets,
     "op10_toxicity": toxicity.op10_toxicity,
+    "op11_resample": resample.op11_resample,
+    "op12_filter_audit": audit.op12_filter_audit,
+    "op13_exact_dedup": exact.op13_exact_dedup,
 }
 ORACLE_SQL: dict[str, str] = {
     "op1_warc": warc.ORACLE,
@@ -22,4 +25,7 @@ ORACLE_SQL: dict[str, str] = {
     "op5_substrings": substrings.ORACLE,
     "op6_line_dedup": lines.ORACLE,
     "op8_decontaminate": decontaminate.ORACLE,
+    "op11_resample": resample.ORACLE,
+    "op12_filter_audit": audit.ORACLE,
+    "op13_exact_dedup": exact.ORACLE,
 }

@@ -50,9 +50,9 @@ class Scratch:
         self.n += 1
         return f"{self.root}/{self.n:03d}-{label}"
 
-    def write(self, df: DataFrame, label: str) -> DataFrame:
+    def write(self, df: DataFrame, label: str, **options: str) -> DataFrame:
         path = self.path(label)
-        df.write.parquet(path)
+        df.write.options(**options).parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)
         self.paths[id(out)] = (out, path)
         return out
