@@ -116,7 +116,7 @@ def _owned(batches: Iterator[pa.RecordBatch]):
             found = next((c for c, x in chain if x == text), None)
             if found is None:
                 found = entry
-                chain.append((text, entry))
+                chain.append((entry, text))
             out.append(found)
         yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.int64())], ["entry", "same"])
 
