@@ -16,7 +16,7 @@ from textloom.llm.toxicity import words_of
 
 BUCKETS, SEED, PERCENT, LEAST_WORDS = 10_000, 2024, 10, 20
 #: A feature with this share of all occurrences is looked up in a table of 1 / share rows at most, of features of so many bytes at most.
-HEAVY, HEAVY_BYTES = 1e-4, 1024
+HEAVY, HEAVY_BYTES = 2e-5, 64
 _NAMES = ["k", "id", "n_words", "n_features", "features", "times"]
 _TYPES = "k long, id long, n_words long, n_features long, features array<string>, times array<long>"
 
@@ -66,13 +66,14 @@ def weighted(docs: DataFrame, target: DataFrame, scratch: Scratch, *, id: str =
     1 / HEAVY strings have a share of HEAVY or more: these are broadcast, so that no string that meets in the shuffle has
     more than that share, whatever the data; what is left of the shuffle are the rare strings.
     """
-    counts = scratch.write(feature_counts(docs, id, text, longest), "counts")
+    counts = scratch.write(feature_counts(docs, id, text, longest), "counts", compression="zstd")
     strings = scratch.write(dictionary(counts, buckets), "strings")
     aims = dictionary(feature_counts(target.withColumn("_none", F.lit(None).cast("long")), "_none", target_text, longest), buckets)
     sums = scratch.write(strings.select("bucket", F.col("n").alias("s"), F.lit(0).cast("long").alias("t")).unionByName(aims.select("bucket", F.lit(0).cast("long").alias("s"), F.col("n").alias("t"))).groupBy("bucket").agg(F.sum("s").alias("s"), F.sum("t").alias("t")), "buckets")
     all_s, all_t = (int(x or 0) for x in sums.agg(F.sum("s"), F.sum("t")).first())
     gains = sums.select("bucket", _gain(buckets, all_s, all_t).alias("gain"))  # as many rows as buckets at most
     known = scratch.write(strings.join(F.broadcast(gains), "bucket").select("feature", "gain", ((F.col("n") >= HEAVY * all_s) & (F.octet_length("feature") <= HEAVY_BYTES)).alias("heavy")), "gains")
+    scratch.drop(strings, sums)
     heavy = F.broadcast(known.where("heavy").select("feature", "gain"))
     each = _exploded(counts)
     common = each.join(heavy, "feature").groupBy("k").agg(F.sum(F.col("gain") * F.col("times")).alias("gain"))
