@@ -1,6 +1,6 @@
 from pyspark.sql import functions as F
 
-from textloom.operators import cleanup
+from textloom.operators import cleanup, linking
 
 
 def test_chat():
@@ -27,6 +27,6 @@ def test_columns_and_concepts(spark):
 
 def test_links():
     names = [("Ann Weber", "refs/persons/ann-weber"), ("Weber", "refs/persons/weber"), ("C++", "refs/t/c"), ("AI", "refs/t/ai")]
-    got = cleanup.linked("---\nAnn Weber\n---\nann weber met Weber, Ann Weber and mail\n```\nAI\n```\nsee [[x]] AI\nAI, AI", names)
+    got = linking.linked("---\nAnn Weber\n---\nann weber met Weber, Ann Weber and mail\n```\nAI\n```\nsee [[x]] AI\nAI, AI", names)
     assert got == "---\nAnn Weber\n---\n[[refs/persons/ann-weber|Ann Weber]] met [[refs/persons/weber|Weber]], Ann Weber and mail\n```\nAI\n```\nsee [[x]] AI\n[[refs/t/ai|AI]], AI"
-    assert cleanup.linked("", names) == "" and cleanup.linked("x", []) == "x"
+    assert linking.linked("", names) == "" and linking.linked("x", []) == "x"

@@ -3,7 +3,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
-from textloom.operators import analytics, chunking, entities, mutations, retrieval
+from textloom.operators import analytics, chunking, entities, mutations, retrieval, similar
 from textloom.sources import parsers
 
 SENTENCES = ["Python is a high-level programming language", "Machine learning models require large datasets", "Natural language processing uses transformers", "Deep learning neural networks are powerful", "Data science involves statistics and programming"]
@@ -127,7 +127,7 @@ def test_patches():
 
 
 def test_ratio_and_repair(spark):
-    assert mutations.indel_ratio("", "") == 1.0 and mutations.indel_ratio("abcd", "abxd") == 0.75
+    assert similar.indel_ratio("", "") == 1.0 and similar.indel_ratio("abcd", "abxd") == 0.75
     values = ['```json\n{"a": 1}\n```', 'Sure: {"a": 1} ok', "no", '{"a": 1}']
     df = spark.createDataFrame([(v,) for v in values], "x string").select(mutations.repaired_json(F.col("x")).alias("y"))
     assert [r.y for r in df.collect()] == ['{"a": 1}', '{"a": 1}', None, '{"a": 1}']

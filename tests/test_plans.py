@@ -46,18 +46,3 @@ def test_folder_watch(spark, tmp_path):
     (tmp_path / "a.txt").write_text("one\ntwo\n")
     stream = streams.watch(spark, str(tmp_path), "value string")
     assert {r.value for r in streams.drained(stream, "append").collect()} == {"one", "two"}
-
-
-def test_rate_limit():
-    import pandas as pd
-
-    class State:
-        exists = False
-
-        def update(self, v):
-            self.exists, self.get = True, v
-
-    state, run = State(), streams.admit(1.0, 2.0)
-    at = lambda *s: pd.DataFrame({"event_id": range(len(s)), "ts": [pd.Timestamp(x, unit="s") for x in s]})
-    assert next(run((7,), iter([at(0, 0, 0, 1)]), state)).admitted.tolist() == [True, True, False, True]
-    assert next(run((7,), iter([at(1, 10)]), state)).admitted.tolist() == [False, True]

@@ -143,17 +143,6 @@ def cost_stats(spark, sf_dir):
     return rows.groupBy("event_type").agg(F.count("*").alias("operations"), F.round(F.sum("cost"), 6).alias("total"), F.round(F.sum(F.when(today, F.col("cost")).otherwise(0.0)), 6).alias("today"), F.max_by("event_id", F.struct(F.round("cost", 9), "event_id")).alias("dearest"))
 
 
-@query("budget_running", "SELECT event_id, ts::DATE AS day, round(sum(value) OVER (PARTITION BY ts::DATE ORDER BY ts, event_id), 4) AS spent FROM events")
-def budget_running(spark, sf_dir):
-    """The day's running total at each operation: sums of whole hours before it, and within its hour one by one, so that a window holds an hour at most."""
-    rows = table(spark, sf_dir, "events").select("event_id", "ts", "value", F.to_date("ts").alias("day"), F.hour("ts").alias("hour"))
-    hours = rows.groupBy("day", "hour").agg(F.sum("value").alias("total"))
-    before = F.coalesce(F.sum("total").over(Window.partitionBy("day").orderBy("hour").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
-    within = F.sum("value").over(Window.partitionBy("day", "hour").orderBy("ts", "event_id").rowsBetween(Window.unboundedPreceding, 0))
-    out = rows.withColumn("within", within).join(hours.select("day", "hour", before.alias("before")), ["day", "hour"])
-    return out.select("event_id", "day", F.round(F.col("before") + F.col("within"), 4).alias("spent"))
-
-
 def snapshot(docs: DataFrame) -> DataFrame:
     """One row: documents, duplicates and their rate, means over positive scores, size."""
     hashed = docs.groupBy(text.content_hash(F.col("text")).alias("h")).agg(F.count("*").alias("n"), F.sum("n_chars").alias("chars"))

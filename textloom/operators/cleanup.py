@@ -117,45 +117,3 @@ def operation_tracking(spark, sf_dir):
 def prompts(spark, sf_dir):
     """A prompt built from a document's fields."""
     return table(spark, sf_dir, "documents").select("doc_id", F.format_string("Title: %s\nLanguage: %s\nWhich of these dates need action? Answer with a list.", "source", "lang").alias("prompt"))
-
-
-def linked(body: str, names: list[tuple[str, str]]) -> str:
-    """A text in which the first mention of each name (name, target) is a link, the longest names first.
-
-    A mention is whole words, whatever the case; code blocks, front-matter and lines with links stay as they are, and no
-    mention lies within another that is linked.
-    """
-    open_names = sorted(dict(names).items(), key=lambda x: (-len(x[0]), x[0]))
-    out, code, front = [], False, False
-    for line in body.split("\n"):
-        mark = line.strip()
-        if mark.startswith("```") or mark == "---":
-            code, front = code ^ mark.startswith("```"), front ^ (mark == "---")
-        elif not code and not front and "[[" not in line:
-            taken: list[tuple[int, int, str]] = []
-            for name, target in list(open_names):
-                free = (m for m in re.finditer(rf"\b{re.escape(name)}\b", line, re.IGNORECASE) if not any(s < m.end() and m.start() < e for s, e, _ in taken))
-                if m := next(free, None):
-                    taken.append((m.start(), m.end(), f"[[{target}|{name}]]"))
-                    open_names.remove((name, target))
-            for s, e, link in sorted(taken, reverse=True):
-                line = line[:s] + link + line[e:]
-        out.append(line)
-    return "\n".join(out)
-
-
-def linked_text(body: Column, names: Column) -> Column:
-    """The same as a column; names: array<struct<name, target>>."""
-
-    @F.pandas_udf("string")
-    def run(bodies: pd.Series, lists: pd.Series) -> pd.Series:
-        return pd.Series([b if b is None or n is None else linked(b, [(x["name"], x["target"]) for x in n if x["name"]]) for b, n in zip(bodies, lists, strict=True)], dtype=object)
-
-    return run(body, names)
-
-
-@query("linked_texts")
-def linked_texts(spark, sf_dir):
-    """All texts with their own longer capitalised words linked."""
-    names = F.transform(F.array_distinct(F.regexp_extract_all("text", F.lit("[A-Z][a-z]{6,}"), F.lit(0))), lambda x: F.struct(x.alias("name"), F.concat(F.lit("refs/persons/"), F.lower(x)).alias("target")))
-    return table(spark, sf_dir, "documents").select("doc_id", linked_text(F.col("text"), names).alias("text"))

@@ -5,11 +5,13 @@ from __future__ import annotations
 import difflib
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from textloom import shared
+from textloom.operators import similar
+from textloom.operators.checks import entity_kind
 from textloom.operators.rules import normal_name
 from textloom.registry import query, table
 
@@ -30,60 +32,89 @@ def similarity(a: str, b: str) -> float:
     return 0.7 + 0.3 * j if j > 0.5 else difflib.SequenceMatcher(None, a, b).ratio()
 
 
-def _keys(name: Column) -> Column:
-    """What alike names share: a whole word, or a word's first or last four letters; for short names the name's letters in pairs."""
-    words = F.split(name, " ")
-    ends = F.concat(F.transform(words, lambda w: F.concat(F.lit("<"), F.substring(w, 1, 4))), F.transform(words, lambda w: F.concat(F.lit(">"), F.right(w, F.lit(4)))))
-    return F.array_distinct(F.concat(words, ends))
+def alike(names: DataFrame, tables: shared.Tables, same: float = SAME) -> DataFrame:
+    """(kind, name, other, similarity, other_first): all pairs of names of a kind that are alike enough, the later one of (first, name) as ``name``.
 
-
-def alike(names: DataFrame, same: float = SAME) -> DataFrame:
-    """(kind, name, other, similarity): pairs of names of a kind that share a key and are alike enough, the later one of (first, name) as ``name``."""
-    keyed = names.select("kind", "name", "first", F.explode(_keys(F.col("name"))).alias("key"))
-    other = keyed.select("kind", "key", F.col("name").alias("other"), F.col("first").alias("other_first"))
-    pairs = keyed.join(other, ["kind", "key"]).where("other_first < first or other_first = first and other < name").select("kind", "name", "other", "other_first").distinct()
+    Each branch of the similarity has candidates that lose no pair: names that hold another, names that share over half of
+    their words, and, since matching blocks are a common subsequence, names whose indel ratio can be ``same``.
+    """
+    strings = names.select("kind", F.col("name").alias("t"))
+    pairs = similar.holding(strings, tables).unionByName(similar.sharing_words(strings, tables)).unionByName(similar.near_pairs(strings, same, tables))
+    pairs = tables.write(pairs.select("kind", F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "pairs")
+    of = lambda x: names.select("kind", F.col("name").alias(x), F.col("first").alias(f"first_{x}"))
+    both = pairs.join(of("a"), ["kind", "a"]).join(of("b"), ["kind", "b"])
+    later = F.expr("first_a > first_b or first_a = first_b and a > b")
+    both = both.select("kind", F.when(later, F.col("a")).otherwise(F.col("b")).alias("name"), F.when(later, F.col("b")).otherwise(F.col("a")).alias("other"), F.when(later, F.col("first_b")).otherwise(F.col("first_a")).alias("other_first"))
 
     @F.pandas_udf("double")
     def score(a: pd.Series, b: pd.Series) -> pd.Series:
         return pd.Series([similarity(x, y) for x, y in zip(a, b, strict=True)], dtype=float)
 
-    return pairs.withColumn("similarity", score("name", "other")).where(F.col("similarity") >= same)
+    return both.withColumn("similarity", score("name", "other")).where(F.col("similarity") >= same)
+
+
+def first_come(edges: DataFrame, tables: shared.Tables) -> tuple[DataFrame, int]:
+    """(v, chosen) of all v of edges (v, u): chosen if no chosen u comes before it, as if taken one after another; and the rounds that took.
+
+    A round settles those next to a chosen one and those that only settled ones come before. Those with a single open u
+    before them are its opposite: they point to it, and pointers to pointers are followed by doubling, so that a chain of
+    any length is settled within a round. On names in random order the rounds grow as the logarithm of their number.
+    """
+    settled = tables.write(edges.select(F.col("u").alias("v")).distinct().join(edges.select("v").distinct(), "v", "left_anti").withColumn("chosen", F.lit(True)), "settled")
+    every, todo, fresh, rounds = settled, tables.write(edges.select("v", "u").distinct(), "todo"), settled, 0
+    while not todo.isEmpty():
+        rounds += 1
+        known = todo.join(fresh.select(F.col("v").alias("u"), "chosen"), "u", "left")
+        by = tables.write(known.groupBy("v").agg(F.bool_or(F.coalesce("chosen", F.lit(False))).alias("covered"), F.count_if(F.col("chosen").isNull()).alias("n"), F.min(F.when(F.col("chosen").isNull(), F.col("u"))).alias("up")), "by")
+        now = by.where("covered or n = 0").select("v", (~F.col("covered")).alias("chosen"))
+        left = tables.write(known.where("chosen is null").select("v", "u").join(by.where("not covered"), "v", "left_semi"), "left")
+        now = tables.write(now, "now")
+        chain = tables.write(by.where("not covered and n = 1").select("v", "up", F.lit(True).alias("odd")), "chain")
+        while True:
+            ahead = chain.select(F.col("v").alias("up"), F.col("up").alias("up2"), F.col("odd").alias("odd2"))
+            longer = tables.write(chain.join(ahead, "up", "left").select("v", F.coalesce("up2", "up").alias("up"), (F.col("odd") != F.coalesce("odd2", F.lit(False))).alias("odd"), F.col("up2").isNotNull().alias("moved")), "chain")
+            tables.drop(chain)
+            chain = longer
+            if chain.where("moved").isEmpty():
+                break
+        ends = now.select(F.col("v").alias("up"), "chosen")
+        follow = chain.join(ends, "up").select("v", (F.col("chosen") != F.col("odd")).alias("chosen"))
+        new = tables.write(now.unionByName(follow), "fresh")
+        rest = tables.write(left.join(new, "v", "left_anti"), "todo")
+        more = tables.write(every.unionByName(new), "settled")
+        tables.drop(todo, by, left, now, chain, every, *([fresh] if fresh is not every else []))
+        every, todo, fresh = more, rest, new
+    return every, rounds
 
 
 def clusters(mentions: DataFrame, same: float = SAME) -> DataFrame:
     """(kind, name, canonical) of mentions (kind, name, first), as if taken in order of first: a name joins the best canonical name before it at ``same`` or more, else it becomes one.
 
-    A name is canonical if no alike name before it is, so that rounds of joins settle all: those with no open or canonical
-    name before them become canonical, those with a canonical one don't. There are as many rounds as the longest such chain.
+    A name is canonical if no alike canonical name is before it. Mentions without a name don't count, a null kind is an
+    empty one; an empty table gives an empty one.
     """
-    names = shared.written(mentions.groupBy("kind", normal_name(F.col("name")).alias("name")).agg(F.min("first").alias("first")).where("name <> ''"), "names")
-    edges = shared.written(alike(names, same), "alike")
-    key = ["kind", "name"]
-    open_ = edges.select(*key).distinct()
-    canonical = shared.written(names.select(*key).join(open_, key, "left_anti"), "canonical")
-    before = lambda some: some.select("kind", F.col("name").alias("other"))
-    while not open_.isEmpty():
-        mine = edges.join(open_, key, "left_semi")
-        rest = shared.written(open_.join(mine.join(before(canonical), ["kind", "other"], "left_semi").select(*key), key, "left_anti"), "rest")
-        blocked = edges.join(rest, key, "left_semi").join(before(rest), ["kind", "other"], "left_semi").select(*key).distinct()
-        canonical = shared.written(canonical.unionByName(rest.join(blocked, key, "left_anti")), "canonical")
-        open_ = shared.written(blocked, "open")
-    best = edges.join(before(canonical), ["kind", "other"], "left_semi").join(canonical, key, "left_anti")
+    tables, key = shared.Tables(mentions.sparkSession, "clusters"), ["kind", "name"]
+    names = tables.write(mentions.groupBy(F.coalesce("kind", F.lit("")).alias("kind"), normal_name(F.col("name")).alias("name")).agg(F.min("first").alias("first")).where("name <> ''"), "names")
+    edges = tables.write(alike(names, tables, same), "alike")
+    node = lambda name: F.concat_ws("\0", "kind", name)
+    chosen, _ = first_come(edges.select(node("name").alias("v"), node("other").alias("u")), tables)
+    canonical = chosen.where("chosen").select(F.col("v").alias("u"))
+    best = edges.withColumn("u", node("other")).join(canonical, "u", "left_semi").join(canonical.withColumnRenamed("u", "v"), node("name") == F.col("v"), "left_anti")
     best = best.groupBy(*key).agg(F.min(F.struct((-F.round("similarity", 12)).alias("s"), "other_first", "other"))["other"].alias("other"))
-    return names.join(best, key, "left").select("kind", "name", F.coalesce("other", "name").alias("canonical"))
+    return tables.keep(names.join(best, key, "left").select("kind", "name", F.coalesce("other", "name").alias("canonical")))
 
 
-KINDS = ("person", "organisation", "place", "technology")
+NAME = r"\p{Lu}\p{L}+(?: \p{Lu}\p{L}+)*"
 
 
 def mentions(spark, sf_dir: str) -> DataFrame:
-    """(doc_id, source, kind, name): the longer capitalised words of all texts stand for names, their length for a kind."""
-    words = F.array_distinct(F.filter(F.regexp_extract_all("text", F.lit(r"[A-Z][a-z]{5,}"), F.lit(0)), lambda x: F.length(x) < 12))
-    kind = F.element_at(F.array(*map(F.lit, KINDS)), F.length("name") % 4 + 1)
-    return table(spark, sf_dir, "documents").select("doc_id", "source", F.explode(words).alias("name")).withColumn("kind", kind)
+    """(doc_id, source, kind, name): runs of capitalised words of all texts stand for names; their ends tell software, companies and places, all others are persons."""
+    words = F.array_distinct(F.regexp_extract_all("text", F.lit(NAME), F.lit(0)))
+    return table(spark, sf_dir, "documents").select("doc_id", "source", F.explode(words).alias("name")).withColumn("kind", F.coalesce(entity_kind(F.col("name")), F.lit("Person")))
 
 
-_MENTIONS = f"SELECT *, list_element({list(KINDS)}, (length(name) % 4 + 1)::INT) AS kind FROM (SELECT doc_id, source, unnest(list_distinct(list_filter(regexp_extract_all(text, '[A-Z][a-z]{{5,}}'), lambda x: length(x) < 12))) AS name FROM documents)"
+_KIND = "CASE WHEN regexp_matches(lower(name), '\\.(js|py|app)$|os$| ide$| editor$') THEN 'Software' WHEN regexp_matches(lower(name), ' (inc|ltd|gmbh|ag|corp)\\.?$') THEN 'Company' WHEN regexp_matches(lower(name), '(stadt|burg|ville)$') THEN 'Place' ELSE 'Person' END"
+_MENTIONS = f"SELECT *, {_KIND} AS kind FROM (SELECT doc_id, source, unnest(list_distinct(regexp_extract_all(text, '{NAME}'))) AS name FROM documents)"
 
 
 @query("entity_clusters")

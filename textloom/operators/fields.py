@@ -152,13 +152,6 @@ def answered(hits: DataFrame, question: str) -> DataFrame:
     return rows.select(F.when(F.size("h") == 0, "No documents answer this.").otherwise(models.template_answer(F.concat(F.lit(f"{question}\n"), context))).alias("answer"), F.transform("h", lambda x: x["doc_id"]).alias("sources"))
 
 
-@query("cache_hits", "SELECT event_id, coalesce(ts - lag(ts) OVER (PARTITION BY user_id, event_type ORDER BY ts, event_id) <= INTERVAL 300 SECOND, false) AS hit FROM events")
-def cache_hits(spark, sf_dir):
-    """Whether a request finds an answer of at most five minutes ago, each request renewing it."""
-    w = Window.partitionBy("user_id", "event_type").orderBy("ts", "event_id")
-    return table(spark, sf_dir, "events").select("event_id", F.coalesce(F.col("ts") - F.lag("ts").over(w) <= F.expr("interval 300 seconds"), F.lit(False)).alias("hit"))
-
-
 @query("health_checks", "SELECT user_id, event_id, CASE WHEN event_type = 'error' THEN 'unhealthy' WHEN value > 80 THEN 'degraded' ELSE 'healthy' END AS state FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) = 1")
 def health_checks(spark, sf_dir):
     """Each component's last check; slow ones are degraded. The last is found by a sum, not in a window."""

@@ -7,9 +7,10 @@ import json
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from textloom import shared
+from textloom.operators import similar
+from textloom.operators.rules import title
 from textloom.registry import query, table
 
 
@@ -109,50 +110,20 @@ def json_repair(spark, sf_dir):
     return table(spark, sf_dir, "events").select("event_id", repaired_json(lead).alias("repaired"))
 
 
-def indel_ratio(a: str, b: str) -> float:
-    """1 - (insertions and deletions) / (both lengths), by the longest common subsequence, whose row is one whole number's bits."""
-    if not a and not b:
-        return 1.0
-    places: dict[str, int] = {}
-    for k, x in enumerate(a):
-        places[x] = places.get(x, 0) | 1 << k
-    every = (1 << len(a)) - 1
-    row = every
-    for x in b:
-        hit = row & places.get(x, 0)
-        row = (row + hit | row - hit) & every
-    return 2 * (len(a) - row.bit_count()) / (len(a) + len(b))
-
-
-#: Rarest words of a title, and letters at either end, one of which two titles must share to be compared.
-RARE_WORDS, END_LETTERS = 3, 8
-
-
 def similar_titles(titles: DataFrame, least: float = 0.85) -> DataFrame:
-    """(title_a, title_b, ratio) of distinct titles, as letters and digits in lower case, of over five of them, that are alike enough.
+    """(title_a, title_b, ratio) of all distinct titles, as letters and digits in lower case, of over five of them, that are alike enough.
 
-    Titles are compared that share one of their three rarest words or their first or last eight letters, and whose lengths
-    allow the ratio: it bounds the shorter by least / (2 - least) of the longer. A pair that differs at both ends and in
-    every rare word is missed; tests measure how many.
+    No pair is lost: see ``similar.near_pairs``. A null title is none; titles that differ in other signs only are one.
     """
+    tables = shared.Tables(titles.sparkSession, "titles")
     letters = F.regexp_replace(F.lower("title"), "[^a-z0-9]", "")
-    one = shared.written(titles.select("title", letters.alias("t")).where(F.length("t") > 5).groupBy("t").agg(F.min(F.lower("title")).alias("title")), "titles")
-    words = one.select("t", F.explode(F.array_distinct(F.filter(F.split("title", "[^a-z0-9]+"), lambda w: w != ""))).alias("word"))
-    ranked = words.join(words.groupBy("word").agg(F.count("*").alias("n")), "word").withColumn("k", F.row_number().over(Window.partitionBy("t").orderBy("n", "word"))).where(F.col("k") <= RARE_WORDS)
-    ends = one.select("t", F.explode(F.array(F.concat(F.lit("<"), F.substring("t", 1, END_LETTERS)), F.concat(F.lit(">"), F.right("t", F.lit(END_LETTERS))))).alias("word"))
-    keyed = ranked.select("t", "word").unionByName(ends)
-    pairs = keyed.select("word", F.col("t").alias("title_a")).join(keyed.select("word", F.col("t").alias("title_b")), "word").where("title_a < title_b")
-    band = F.least(F.length("title_a"), F.length("title_b")) >= F.greatest(F.length("title_a"), F.length("title_b")) * (least / (2 - least)) - 1e-9
-    pairs = pairs.where(band).select("title_a", "title_b").distinct()
-
-    @F.pandas_udf("double")
-    def ratio(a: pd.Series, b: pd.Series) -> pd.Series:
-        return pd.Series([indel_ratio(x, y) for x, y in zip(a, b, strict=True)], dtype=float)
-
-    return pairs.withColumn("ratio", ratio("title_a", "title_b")).where(F.col("ratio") >= least)
+    one = tables.write(titles.select(F.lit(0).alias("kind"), letters.alias("t")).where(F.length("t") > 5).distinct(), "titles")
+    pairs = similar.near_pairs(one, least, tables).withColumn("ratio", similar.ratio(F.col("a"), F.col("b"))).where(F.col("ratio") >= least)
+    return tables.keep(pairs.select(F.col("a").alias("title_a"), F.col("b").alias("title_b"), "ratio"))
 
 
 @query("title_similarity")
 def title_similarity(spark, sf_dir):
-    """First lines of all texts as titles."""
-    return similar_titles(table(spark, sf_dir, "documents").select(F.split("text", "\n")[0].alias("title")))
+    """The titles of all texts."""
+    docs = table(spark, sf_dir, "documents").select(title(F.col("text"), F.lit("")).alias("title"))
+    return similar_titles(docs)

@@ -182,14 +182,6 @@ def tag_prompt_query(spark, sf_dir):
     return tag_prompt(table(spark, sf_dir, "documents").groupBy(F.concat_ws("/", "lang", "source").alias("tag")).agg(F.count("*").alias("n")))
 
 
-@query("provider_fallback", "SELECT event_id, CASE WHEN value % 7 >= 1 AND event_type <> 'error' AND 0.9 * (event_id % 2) + 0.5 <= 1.0 THEN 'first' WHEN 0.9 * (event_id % 2) + 0.1 <= 1.0 THEN 'second' END AS provider, CASE WHEN 0.9 * (event_id % 2) + 0.1 <= 1.0 THEN event_type END AS answer FROM events")
-def provider_fallback(spark, sf_dir):
-    """Requests answered by the first provider that can and that the budget covers."""
-    first = lambda p: F.when((F.col("value") % 7 >= 1) & (F.col("event_type") != "error"), p)
-    got = models.answered_by([("first", first, 0.5), ("second", lambda p: p, 0.1)], F.col("event_type"), F.col("event_id") % 2 * F.lit("0.9").cast("decimal(3,1)"), 1.0)
-    return table(spark, sf_dir, "events").select("event_id", got.alias("g")).select("event_id", "g.provider", "g.answer")
-
-
 @query("weekly_summaries", "SELECT date_trunc('week', ts)::DATE AS week, 'Summary of week ' || date_trunc('week', ts)::DATE AS answer, count(DISTINCT event_type) AS kinds FROM events GROUP BY ALL")
 def weekly_summaries(spark, sf_dir):
     """A summary of each week by the offline generator, from a line for each kind of event."""

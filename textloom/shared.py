@@ -9,12 +9,14 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; only where that is unset, as in local tests, a new temporary one, which is then set."""
+    """The folder in spark.checkpoint.dir. Where that is unset, a local session gets a new temporary one, which is then set; a cluster's machines share no such folder, so there it is an error."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if found:
         return found.rstrip("/")
     context = spark.sparkContext
     if not context._jsc.sc().getCheckpointDir().isDefined():
+        if not context.master.split("[")[0] == "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that all machines share")
         context.setCheckpointDir(tempfile.mkdtemp(prefix="textloom-"))
     return context._jsc.sc().getCheckpointDir().get().rstrip("/")
 
@@ -30,6 +32,31 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+class Tables:
+    """Written tables of one operator. ``keep`` writes its result and deletes all others; ``drop`` deletes what is no longer needed."""
+
+    def __init__(self, spark: SparkSession, name: str):
+        self.spark, self.name, self.paths = spark, name, {}
+
+    def write(self, df: DataFrame, label: str) -> DataFrame:
+        path = new_folder(self.spark, f"{self.name}-{label}")
+        df.write.parquet(path)
+        out = self.spark.read.schema(df.schema).parquet(path)
+        self.paths[id(out)] = (out, path)
+        return out
+
+    def drop(self, *tables: DataFrame) -> None:
+        for t in tables:
+            if id(t) in self.paths:
+                delete(self.spark, self.paths.pop(id(t))[1])
+
+    def keep(self, df: DataFrame) -> DataFrame:
+        out = self.write(df, "result")
+        self.drop(*[t for t, _ in list(self.paths.values()) if t is not out])
+        del self.paths[id(out)]
+        return out
+
+
 def delete(spark: SparkSession, path: str) -> None:
     where = spark._jvm.org.apache.hadoop.fs.Path(path)
     where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)

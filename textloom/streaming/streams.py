@@ -2,12 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
-
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from textloom import shared
 from textloom.registry import query, table
@@ -67,37 +63,7 @@ def stream_sessions(spark, sf_dir):
     return drained(s.select("user_id", F.col("w.start").cast("timestamp_ntz").alias("started"), "n"))
 
 
-@query("stream_distinct", "SELECT DISTINCT user_id, event_type FROM events")
-def stream_distinct(spark, sf_dir):
-    """The first arrival of each key."""
-    return drained(events(spark, sf_dir).dropDuplicates(["user_id", "event_type"]).select("user_id", "event_type"), "append")
-
-
 @query("stream_counters", "SELECT event_type, count(*) AS n, round(sum(value), 4) AS total, max(value) AS high FROM events GROUP BY event_type")
 def stream_counters(spark, sf_dir):
     s = events(spark, sf_dir).groupBy("event_type").agg(F.count("*").alias("n"), F.round(F.sum("value"), 4).alias("total"), F.max("value").alias("high"))
     return drained(s)
-
-
-def admit(rate: float, most: float) -> Callable:
-    """A token bucket for each key: ``rate`` tokens a second up to ``most``; each event takes one or is refused."""
-
-    def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        left, last = state.get if state.exists else (most, None)
-        out = []
-        for pdf in batches:
-            for i, t in sorted(zip(pdf.event_id, pdf.ts.map(lambda x: x.timestamp()), strict=True), key=lambda x: (x[1], x[0])):
-                left = min(most, left + rate * max(0.0, t - last)) if last is not None else left
-                last = t if last is None else max(last, t)
-                out.append((key[0], i, left >= 1))
-                left -= left >= 1
-        state.update((float(left), float(last)))
-        yield pd.DataFrame(out, columns=["user_id", "event_id", "admitted"])
-
-    return run
-
-
-@query("stream_rate_limit")
-def stream_rate_limit(spark, sf_dir):
-    s = events(spark, sf_dir).groupBy("user_id").applyInPandasWithState(admit(1 / 3600, 5.0), "user_id long, event_id long, admitted boolean", "left double, last double", "append", GroupStateTimeout.NoTimeout)
-    return drained(s, "append")
