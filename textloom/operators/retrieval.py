@@ -14,7 +14,8 @@ from pyspark.sql.window import Window
 
 from textloom import shared
 from textloom.functions import models, scores, text
-from textloom.registry import query, spread, table
+from textloom.operators.segments import Segments
+from textloom.registry import query, table
 
 QUERY_TERMS = ("the", "thble", "hest", "anat", "le", "der")
 K = 10
@@ -62,36 +63,37 @@ class Index:
         shared.delete(self.postings.sparkSession, self.folder)
 
 
+def opened(segments: Segments) -> Index:
+    """The index as its last manifest has it."""
+    m = segments.manifest()
+    return Index(segments.postings(m), segments.terms(m), m.documents, m.words / m.documents if m.documents else 0.0, segments.folder)
+
+
 def build_index(docs: DataFrame, folder: str | None = None, doc_id: str = "doc_id", body: str = "text") -> Index:
-    """Counts all documents' words once and stores them; idf and lengths are sums over all documents."""
-    spark = docs.sparkSession
-    folder = folder or shared.new_folder(spark, "bm25")
-    posted = postings(spread(docs.select(doc_id, body)), doc_id, body)
-    posted.repartitionByRange("term").sortWithinPartitions("term", "doc_id").write.parquet(f"{folder}/postings")
-    posted = spark.read.schema(posted.schema).parquet(f"{folder}/postings")
-    stats = corpus_stats(docs, doc_id, body)
-    terms = term_stats(posted, stats)
-    terms.repartitionByRange("term").sortWithinPartitions("term").write.parquet(f"{folder}/terms")
-    one = stats.first()
-    return Index(posted, spark.read.schema(terms.schema).parquet(f"{folder}/terms"), one.n, one.avgdl or 0.0, folder)
+    """Counts all documents' words once and stores them as the first segment of an index that can change."""
+    segments = Segments(docs.sparkSession, folder or shared.new_folder(docs.sparkSession, "bm25"))
+    segments.add(docs, doc_id, body)
+    return opened(segments)
 
 
-_BUILT: dict[tuple[str, str], Index] = {}
+_BUILT: dict[tuple[str, str], tuple[str, Index]] = {}
 
 
 def index_of(spark, sf_dir: str) -> Index:
-    """The index of a folder's documents, built when it is first asked for in a session."""
-    key = (spark.sparkContext.applicationId, sf_dir)
+    """The index of a folder's documents, built when it is first asked for in a session, and anew when the files have changed."""
+    key, now = (spark.sparkContext.applicationId, sf_dir), shared.signature(spark, f"{sf_dir}/documents.parquet")
+    if key in _BUILT and _BUILT[key][0] != now:
+        _BUILT.pop(key)[1].clear()
     if key not in _BUILT:
-        _BUILT[key] = build_index(table(spark, sf_dir, "documents"))
-    return _BUILT[key]
+        _BUILT[key] = (now, build_index(table(spark, sf_dir, "documents")))
+    return _BUILT[key][1]
 
 
 def clear_indexes() -> int:
     """Drops all built indexes; how many there were."""
     n = len(_BUILT)
     while _BUILT:
-        _BUILT.popitem()[1].clear()
+        _BUILT.popitem()[1][1].clear()
     return n
 
 
@@ -120,6 +122,35 @@ def term_stats_query(spark, sf_dir):
     return index_of(spark, sf_dir).terms.select("term", "df", F.round("idf", 6).alias("idf"))
 
 
+_LIVE = "live AS (SELECT doc_id, text FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels WHERE toxic = 1) AND doc_id NOT IN (SELECT item_id * 7 FROM benchmark) UNION ALL SELECT item_id * 7, text FROM benchmark UNION ALL SELECT -1 - page_id, html FROM pages)"
+
+
+def changed_index(spark, sf_dir: str) -> Segments:
+    """All documents; then the benchmark's items in place of those of seven times their numbers; then without those labelled toxic; then with all pages."""
+    out = Segments(spark, shared.new_folder(spark, "changing"))
+    out.add(table(spark, sf_dir, "documents"))
+    toxic = table(spark, sf_dir, "labels").where("toxic = 1").select("doc_id")
+    out.delete(toxic)
+    out.add(table(spark, sf_dir, "benchmark").select((F.col("item_id") * 7).alias("doc_id"), "text"))
+    out.add(table(spark, sf_dir, "pages").select((-1 - F.col("page_id")).alias("doc_id"), F.col("html").alias("text")))
+    return out
+
+
+@query("changed_index_terms", f"""WITH {_LIVE}, w AS MATERIALIZED (SELECT list_distinct(regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}_]+')) AS words FROM live), n AS MATERIALIZED (SELECT count(*) AS n FROM live),
+raw AS MATERIALIZED (SELECT term, df, ln(n - df + 0.5) - ln(df + 0.5) AS raw FROM (SELECT term, count(*) AS df FROM (SELECT unnest(words) AS term FROM w) GROUP BY term), n), m AS MATERIALIZED (SELECT avg(raw) AS mean FROM raw)
+SELECT term, df, round(CASE WHEN raw < 0 THEN 0.25 * mean ELSE raw END, 6) AS idf FROM raw, m""")
+def changed_index_terms(spark, sf_dir):
+    """Terms of an index after documents have been added, replaced and deleted: the live ones count."""
+    return changed_index(spark, sf_dir).terms().select("term", "df", F.round("idf", 6).alias("idf"))
+
+
+@query("changed_index_search", f"WITH {_LIVE}, {_BM25.format(terms=_TERMS).replace('FROM documents', 'FROM live')} SELECT doc_id, round(score, 6) AS score FROM lex ORDER BY round(score, 9) DESC, doc_id LIMIT {K}")
+def changed_index_search(spark, sf_dir):
+    """A search of the same index."""
+    found = opened(changed_index(spark, sf_dir)).search(QUERY_TERMS, 4 * K)
+    return found.orderBy(F.desc(F.round("score", 9)), "doc_id").limit(K).select("doc_id", F.round("score", 6).alias("score"))
+
+
 @query("corpus_stats", "SELECT count(*) AS n, round(avg(len(regexp_extract_all(lower(text), '[\\p{L}\\p{N}_]+'))), 6) AS avgdl FROM documents")
 def corpus_stats_query(spark, sf_dir):
     return corpus_stats(table(spark, sf_dir, "documents")).select("n", F.round("avgdl", 6).alias("avgdl"))
