@@ -16,7 +16,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textloom.llm.scratch import Scratch
+from textloom.llm.scratch import Scratch, small_batches
 
 #: Bytes of text that share one list of words at most.
 BLOCK_BYTES = 64 << 20
@@ -175,7 +175,8 @@ def encode_decode(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", *
     packed = _pack(docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")), block_bytes, 4 * n)
     name, path = f"textloom_{scratch.root.rsplit('-', 1)[1]}", scratch.path("packed")
     kind = F.when(F.col("bucket").isNull(), "text").otherwise("word").alias("kind")
-    packed.select("*", kind).write.option("path", path).partitionBy("kind").bucketBy(n, "block").saveAsTable(name)
+    with small_batches(spark):
+        packed.select("*", kind).write.option("path", path).partitionBy("kind").bucketBy(n, "block").saveAsTable(name)
     try:
         texts = spark.table(name).where("kind = 'text'").select("doc_id", "block", "positions")
         words = spark.table(name).where("kind = 'word'").select("bucket", F.col("block").alias("of"), "words", "numbers")

@@ -182,6 +182,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, *, text: str = "text",
     covered = hits.groupBy("key").agg(_covered(F.array_sort(F.collect_set(F.struct("s", "n")))).alias("n_hit"))
     named = hits.select("key", "wid").distinct().join(owners, "wid").groupBy("key").agg(F.array_sort(F.collect_set("item")).alias("items"))
     found = scratch.write(covered.join(named, "key"), "found")
+    scratch.drop(*[t for t, _ in list(scratch.paths.values()) if t is not found])
     n_words = F.coalesce(F.regexp_count(F.col(text), F.lit(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]++")), F.lit(0)).cast("long")
     rows = docs.select(as_row(docs), key, n_words.alias("n_words")).join(found, "key", "left")
     out = rows.select("row", "n_words", F.coalesce("n_hit", F.lit(0)).alias("n_hit"), F.coalesce("items", F.array().cast("array<string>")).alias("items"))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -11,15 +12,20 @@ from pyspark.sql.types import StructType
 
 #: Rows and bytes of an Arrow batch on the way to Python, so that a batch of long texts stays small.
 ARROW_ROWS, ARROW_BYTES = 500, 4 << 20
+_ROWS, _BYTES, _COLUMNS = "spark.sql.execution.arrow.maxRecordsPerBatch", "spark.sql.execution.arrow.maxBytesPerBatch", "spark.sql.parquet.columnarReaderBatchSize"
+#: Bytes of a row group of a written table, which a task gathers in memory.
+GROUP_BYTES = 16 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; only where that is unset (local tests) a new temporary one, which is then set."""
+    """The folder in spark.checkpoint.dir. Where that is unset, a local session gets a new temporary one, which is then set; a cluster's machines share no such folder, so there it is an error."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if found:
         return found.rstrip("/")
     context = spark.sparkContext
     if not context._jsc.sc().getCheckpointDir().isDefined():
+        if context.master.split("[")[0] != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that all machines share")
         context.setCheckpointDir(tempfile.mkdtemp(prefix="textloom-"))
     return context._jsc.sc().getCheckpointDir().get().rstrip("/")
 
@@ -34,17 +40,29 @@ def row_schema(rows: DataFrame, more: str) -> StructType:
     return StructType([rows.schema["row"], *StructType.fromDDL(more).fields])
 
 
+@contextmanager
+def small_batches(spark: SparkSession, rows: int = ARROW_ROWS, size: int = ARROW_BYTES):
+    """Bounds Arrow batches, and rows that Parquet readers decode at once, of what is run within; the session's own settings then hold again."""
+    before = {k: spark.conf.get(k, None) for k in (_ROWS, _BYTES, _COLUMNS)}
+    for k in (_ROWS, _COLUMNS):
+        spark.conf.set(k, min(rows, int(before[k] or rows)))
+    spark.conf.set(_BYTES, size)
+    try:
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
 class Scratch:
     """Tables written as Parquet and read again: this cuts lineage, survives lost executors, and gives the optimizer real sizes.
 
     ``keep`` writes a result and deletes every other table; ``drop`` deletes one that is no longer needed.
     """
 
-    def __init__(self, spark: SparkSession, name: str):
+    def __init__(self, spark: SparkSession, name: str, rows: int = ARROW_ROWS):
         self.spark, self.root, self.paths, self.n = spark, f"{shared_dir(spark)}/textloom/{name}-{uuid.uuid4().hex}", {}, 0
-        if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > ARROW_ROWS:
-            spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", ARROW_ROWS)
-            spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", ARROW_BYTES)
+        self.rows = rows
 
     def path(self, label: str) -> str:
         self.n += 1
@@ -52,7 +70,8 @@ class Scratch:
 
     def write(self, df: DataFrame, label: str, **options: str) -> DataFrame:
         path = self.path(label)
-        df.write.options(**options).parquet(path)
+        with small_batches(self.spark, self.rows):
+            df.write.options(**{"parquet.block.size": str(GROUP_BYTES)} | options).parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)
         self.paths[id(out)] = (out, path)
         return out

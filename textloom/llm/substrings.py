@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from textloom.llm.scratch import Scratch
+from textloom.llm.scratch import Scratch, small_batches
 
 #: Bytes of a repeated string; of the grams whose buckets are the first; contexts of a bucket that one task refines at most.
 LENGTH, GRAM, CONTEXTS = 400, 32, 512
@@ -254,7 +254,8 @@ def repeated_spans(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     rows = docs.select(F.coalesce(F.col(doc_id).cast("long"), F.lit(None).cast("long")).alias("doc_id"), F.coalesce(F.col(text).cast("string"), F.lit("")).cast("binary").alias("text"))
     run, schema = _first(length)
     first, path = rows.mapInArrow(run, schema), scratch.path("first")
-    first.withColumn("kind", F.when(F.col("pos").isNull(), "text").otherwise("anchor")).write.partitionBy("kind").parquet(path)
+    with small_batches(spark):
+        first.withColumn("kind", F.when(F.col("pos").isNull(), "text").otherwise("anchor")).write.partitionBy("kind").parquet(path)
     first = spark.read.schema(first.schema.add("kind", "string")).parquet(path)
     texts, found = first.where("kind = 'text'").select("doc_id", "c", "n", "sha"), first.where("kind = 'anchor'").select("g", "c", "pos", "l0", "l1", "w")
     classes = scratch.write(texts.groupBy("c").agg(F.count("*").alias("rows"), F.min(F.coalesce("doc_id", F.lit(-(1 << 63)))).alias("rep"), F.max("n").alias("n")), "classes")
@@ -270,7 +271,8 @@ def repeated_spans(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     wanted = scratch.write(wanted.groupBy("c", "rep").agg(F.collect_list("x").alias("wanted")), "wanted")
     name, folder = f"textloom_{scratch.root.rsplit('-', 1)[1]}", scratch.path("bucketed")
     own = rows.select(F.unhex(F.md5("text")).alias("c"), F.coalesce("doc_id", F.lit(-(1 << 63))).alias("rep"), "text").where(F.length("text") >= length)
-    own.join(wanted, ["c", "rep"]).select("c", "rep", "text", "wanted").write.option("path", folder).bucketBy(n, "c", "rep").saveAsTable(name)
+    with small_batches(spark):
+        own.join(wanted, ["c", "rep"]).select("c", "rep", "text", "wanted").write.option("path", folder).bucketBy(n, "c", "rep").saveAsTable(name)
     try:
         bucketed = spark.table(name)
         cut = scratch.write(bucketed.where(F.size("wanted") > 0).mapInArrow(_cut(length), _CONTEXT), "cut")

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from textloom.llm.filters import bit_filter, passes
-from textloom.llm.scratch import Scratch, as_row
+from textloom.llm.scratch import Scratch, as_row, small_batches
 
 #: Labelled rows that the four weights of the calibration are fitted on at most, chosen by a hash of doc_id; the counts are of all labelled rows.
 CALIBRATION_ROWS = 40_000
@@ -225,7 +225,9 @@ def evidence(docs: DataFrame, table: DataFrame, scratch: Scratch) -> DataFrame:
     bits = docs.sparkSession.sparkContext.broadcast(bit_filter(table, "h"))
     text, path = F.col("text").cast("binary"), scratch.path("hits")
     hits = docs.where(F.length(text) > 0).select(_key(), text.alias("text")).mapInArrow(_hits(bits), "key binary, size long, words array<long>, times array<long>, word long, depth int, h long")
-    hits.where("key is null or size(words) > 0").withColumn("kind", F.when(F.col("key").isNull(), "word").otherwise("text")).write.partitionBy("kind").parquet(path)
+    with small_batches(docs.sparkSession):
+        hits.where("key is null or size(words) > 0").withColumn("kind", F.when(F.col("key").isNull(), "word").otherwise("text")).write.partitionBy("kind").parquet(path)
+    bits.unpersist()
     hits = docs.sparkSession.read.schema(hits.schema.add("kind", "string")).parquet(path)
     found = hits.where("kind = 'word'").select("word", "depth", "h").distinct().join(table, "h")
     best = lambda c: F.coalesce(F.max(F.when(F.col(c).isNotNull(), F.struct("depth", c)))[c], F.lit(0)).alias(c)  # noqa: E731  the longest beginning that the model has
