@@ -55,6 +55,30 @@ def test_least_bytes_and_empty_table(spark):
     assert warc.round_trip(df.where("false")).count() == 0
 
 
+def test_attempts_of_a_task(spark, tmp_path):
+    """A first attempt that fails after two archives, a second with other rows first that makes one, and one that races with it: the named archives alone are read."""
+    import pyarrow as pa
+
+    def batch(ids):
+        texts = [f"<p>page {k}</p>".encode() * 50 for k in ids]
+        return pa.RecordBatch.from_pylist([{"page_id": k, "url": f"http://h/{k}", "payload": x, "size": len(x), "sha1": hashlib.sha1(x).digest(), "kind": "response", "refers_to": None} for k, x in zip(ids, texts, strict=True)])
+
+    root = str(tmp_path / "archives")
+    failed = warc._writer(root, 10, 0, 7)(iter([batch([1, 2, 3, 4])]))
+    next(failed), next(failed)
+    failed.close()
+    racing = warc._writer(root, 10, 0, 9)(iter([batch([4, 3, 2, 1])]))
+    next(racing)
+    done = [r for b in warc._writer(root, 1 << 20, 0, 8)(iter([batch([3, 1, 4, 2])])) for r in b.to_pylist()]
+    list(racing)
+    manifest = spark.createDataFrame([(r["path"], r["n"]) for r in done], "path string, n long")
+    assert len(done) == 1 and len(list((tmp_path / "archives").iterdir())) >= 6
+    assert sorted(r.page_id for r in warc.read_written(manifest).collect()) == [1, 2, 3, 4]
+    short = spark.createDataFrame([(done[0]["path"], 5)], "path string, n long")
+    with pytest.raises(Exception, match="4 records instead of 5"):
+        warc.read_written(short).collect()
+
+
 def archive(records, trained=None):
     import io
 

@@ -180,23 +180,16 @@ def _filesystem(folder: str) -> tuple[fs.FileSystem, str]:
     return fs.FileSystem.from_uri(folder if "://" in folder or folder.startswith("file:") else f"file://{folder}")
 
 
-def write_archives(classified: DataFrame, folder: str, scratch: Scratch, *, archive_bytes: int = ARCHIVE_BYTES) -> DataFrame:
-    """Writes archives to ``folder``, each of about ``archive_bytes`` at most, and returns their names and numbers of records.
-
-    A file has its task's number, is written under another name and then renamed, so that a task that runs again replaces it.
-    """
-    folder = folder.replace("file:///", "/").replace("file:/", "/") if folder.startswith("file:") else folder
+def _writer(folder: str, archive_bytes: int, part: int, attempt: int):
+    """Writes the records of one attempt of a task, and yields its archives' paths and numbers of records."""
 
     def run(batches):
         system, root = _filesystem(folder)
-        task = TaskContext.get()
-        trained, files, out, writer, n, draft = None, 0, None, None, 0, f"{root}/{task.partitionId():06d}.{task.taskAttemptId()}"
+        trained, files, out, writer, n, name = None, 0, None, None, 0, None
 
         def close():
             nonlocal writer, files
-            name = f"{root}/part-{task.partitionId():06d}-{files:05d}.warc.zst"
             out.close()
-            system.move(draft, name)
             writer, files = None, files + 1
             return pa.RecordBatch.from_arrays([pa.array([name]), pa.array([n], pa.int64())], ["path", "n"])
 
@@ -219,7 +212,8 @@ def write_archives(classified: DataFrame, folder: str, scratch: Scratch, *, arch
                 trained = dictionary([x["payload"][:SAMPLE_BYTES] for x in first if x["payload"]])
             if writer is None:
                 system.create_dir(root, recursive=True)
-                out, n = system.open_output_stream(draft), 0
+                name = f"{root}/part-{part:06d}-{attempt:09d}-{files:05d}.warc.zst"
+                out, n = system.open_output_stream(name, compression=None), 0
                 writer = Writer(out, trained)
             writer.write(record(r["page_id"], r["url"], r["payload"] or b"", r["size"], base64.b32encode(r["sha1"]).decode(), r["kind"], r["refers_to"]))
             n += 1
@@ -228,12 +222,52 @@ def write_archives(classified: DataFrame, folder: str, scratch: Scratch, *, arch
         if writer is not None:
             yield close()
 
+    return run
+
+
+def write_archives(classified: DataFrame, folder: str, scratch: Scratch, *, archive_bytes: int = ARCHIVE_BYTES) -> DataFrame:
+    """Writes archives to ``folder``, each of about ``archive_bytes`` at most, and returns a written table (path, n) of them with their numbers of records.
+
+    A file's name has its task's attempt, so that attempts never touch each other's files, whatever the order of their rows
+    and however many archives each makes. Which attempt counts is settled by the table: Spark commits one for each task.
+    Files that it doesn't name are no part of the result.
+    """
+    folder = folder.replace("file:///", "/").replace("file:/", "/") if folder.startswith("file:") else folder
+
+    def run(batches):
+        task = TaskContext.get()
+        yield from _writer(folder, archive_bytes, task.partitionId(), task.taskAttemptId())(batches)
+
     return scratch.write(classified.mapInArrow(run, "path string, n long"), "manifest")
 
 
 SCHEMA = "page_id long, url string, payload binary, payload_bytes long, payload_digest string, record_type string, refers_to long"
 
 
+_ARROW = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("payload", pa.binary()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("record_type", pa.string()), ("refers_to", pa.int64())])
+
+
+def _parsed(path: str, data, payload: bool, most: int | None, n: int | None = None):
+    """An archive's records in small batches; ``n`` is how many there must be."""
+    rows, held, found = [], 0, 0
+    try:
+        for raw in frames(data, most):
+            row = parse(raw)
+            if not payload:
+                row["payload"] = None
+            rows.append(row)
+            held, found = held + (len(raw) if payload else 0), found + 1
+            if len(rows) >= 1000 or held > 8 << 20:
+                yield pa.RecordBatch.from_pylist(rows, _ARROW)
+                rows, held = [], 0
+        if n not in (None, found):
+            raise WarcError(f"{found} records instead of {n}")
+    except WarcError as e:
+        raise WarcError(f"{path}: {e}") from None
+    if rows:
+        yield pa.RecordBatch.from_pylist(rows, _ARROW)
+
+
 def read_archives(spark, folder: str, *, payload: bool = True, most: int | None = None) -> DataFrame:
     """The records of all ``*.warc.zst`` archives in ``folder``; a broken archive raises WarcError with its name.
 
@@ -244,27 +278,26 @@ def read_archives(spark, folder: str, *, payload: bool = True, most: int | None
     def run(batches):
         for b in batches:
             for path, data in zip(b.column(0).to_pylist(), b.column(1), strict=True):
-                rows, held = [], 0
-                try:
-                    for raw in frames(data.as_buffer(), most):
-                        row = parse(raw)
-                        if not payload:
-                            row["payload"] = None
-                        rows.append(row)
-                        held += len(raw) if payload else 0
-                        if len(rows) >= 1000 or held > 8 << 20:
-                            yield pa.RecordBatch.from_pylist(rows, schema)
-                            rows, held = [], 0
-                except WarcError as e:
-                    raise WarcError(f"{path}: {e}") from None
-                if rows:
-                    yield pa.RecordBatch.from_pylist(rows, schema)
-
-    schema = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("payload", pa.binary()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("record_type", pa.string()), ("refers_to", pa.int64())])
+                yield from _parsed(path, data.as_buffer(), payload, most)
+
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.warc.zst").load(folder).select("path", "content")
     return files.mapInArrow(run, SCHEMA)
 
 
+def read_written(manifest: DataFrame, *, payload: bool = True, most: int | None = None) -> DataFrame:
+    """The records of exactly the archives that ``manifest`` (path, n) names, each of which must hold n."""
+
+    def run(batches):
+        for b in batches:
+            for path, n in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                system, name = _filesystem(path)
+                with system.open_input_file(name) as f:
+                    data = f.read()
+                yield from _parsed(path, data, payload, most, n)
+
+    return manifest.repartition(max(1, manifest.count()), "path").mapInArrow(run, SCHEMA)
+
+
 def round_trip(pages: DataFrame, *, least: int = LEAST_BYTES, archive_bytes: int = ARCHIVE_BYTES) -> DataFrame:
     """Writes ``pages`` (page_id, url, html) as archives in the shared folder and reads them back, without payloads.
 
@@ -273,13 +306,12 @@ def round_trip(pages: DataFrame, *, least: int = LEAST_BYTES, archive_bytes: int
     known. An empty table makes no archive and an empty result. Other columns are ignored.
     """
     spark = pages.sparkSession
-    scratch = Scratch(spark, "warc")
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", min(200, int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch"))))
+    scratch = Scratch(spark, "warc", rows=200)
     folder = scratch.path("archives")
     manifest = write_archives(classify(pages, scratch, least=least), folder, scratch, archive_bytes=archive_bytes)
     if manifest.isEmpty():
         return spark.createDataFrame([], SCHEMA).drop("payload")
-    out = scratch.keep(read_archives(spark, folder, payload=False).drop("payload"))
+    out = scratch.keep(read_written(manifest, payload=False).drop("payload"))
     scratch._delete(folder)
     return out
 
