@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from dataclasses import dataclass
 
 import numpy as np
@@ -10,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from textloom.llm.scratch import Scratch, as_row, row_schema
+from textloom.llm.scratch import Scratch, as_row, row_schema, small_batches
 
 KINDS = ("assign", "access", "hex", "random")
 _ASSIGN = re.compile(r"(password|passwd|secret|token|api_?key)[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)", re.IGNORECASE | re.ASCII)
@@ -121,22 +122,37 @@ def candidates(text: str) -> list[tuple[int, int]]:
     return out
 
 
+def _united(spans: list[tuple[int, int, str]]) -> tuple[list[int], list[int]]:
+    """Starts and ends of the spans' union."""
+    starts, ends = [], []
+    for s, e, _ in sorted(spans):
+        if ends and s <= ends[-1]:
+            ends[-1] = max(ends[-1], e)
+        else:
+            starts.append(s)
+            ends.append(e)
+    return starts, ends
+
+
 def random_spans(text: str, model: Markov, taken: list[tuple[int, int, str]], cut: float = CUT) -> list[tuple[int, int, str]]:
     """Candidates outside the spans in ``taken`` that the random model favours by ``cut`` a letter, or by FEW_CUT if they have fewer than two digits."""
-    return [(s, e, "random") for s, e in candidates(text) if model.rate(text[s:e]) >= (cut if _digits(text[s:e]) >= 2 else max(cut, FEW_CUT)) and not any(a < e and s < b for a, b, _ in taken)]
+    starts, ends = _united(taken)
+    free = lambda s, e: not (k := bisect_left(starts, e)) or ends[k - 1] <= s
+    return [(s, e, "random") for s, e in candidates(text) if free(s, e) and model.rate(text[s:e]) >= (cut if _digits(text[s:e]) >= 2 else max(cut, FEW_CUT))]
 
 
 def _joined(spans: list[tuple[int, int, str]]) -> str:
     return ",".join(f"{k}:{s}:{e}" for s, e, k in sorted(spans, key=lambda x: (x[0], KINDS.index(x[2]), x[1])))
 
 
-def secret_spans(docs: DataFrame, text: str = "text", *, cut: float = CUT) -> DataFrame:
-    """All columns of ``docs`` in a struct ``row``, with n_assign, n_access, n_hex, base (joined spans) and spans (base ones and those the models add).
+def secret_spans(docs: DataFrame, text: str = "text", *, cut: float = CUT, columns: list[str] | None = None) -> DataFrame:
+    """All columns of ``docs``, or those in ``columns``, in a struct ``row``, with n_assign, n_access, n_hex, base (joined spans) and spans (base ones and those the models add).
 
     A null or empty text has no spans. Positions are code points, ends exclusive. An empty table gives an empty one.
     """
-    Scratch(docs.sparkSession, "secrets")  # small Arrow batches
-    model = docs.sparkSession.sparkContext.broadcast(train(docs, text))
+    scratch = Scratch(docs.sparkSession, "secrets")
+    with small_batches(docs.sparkSession):
+        model = docs.sparkSession.sparkContext.broadcast(train(docs, text))
 
     def run(batches):
         for b in batches:
@@ -147,10 +163,10 @@ def secret_spans(docs: DataFrame, text: str = "text", *, cut: float = CUT) -> Da
             cols = list(zip(*out, strict=True)) or [()] * 5
             yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(c, pa.int64()) for c in cols[:3]), *(pa.array(c, pa.string()) for c in cols[3:])], ["row", "n_assign", "n_access", "n_hex", "base", "spans"])
 
-    rows = docs.select(as_row(docs), F.col(text).alias("text"))
-    return rows.mapInArrow(run, row_schema(rows, "n_assign long, n_access long, n_hex long, base string, spans string"))
+    rows = docs.select(as_row(docs.select(columns or docs.columns)), F.col(text).alias("text"))
+    return scratch.keep(rows.mapInArrow(run, row_schema(rows, "n_assign long, n_access long, n_hex long, base string, spans string")))
 
 
 def op9_secrets(spark, sf_dir: str) -> DataFrame:
-    out = secret_spans(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
+    out = secret_spans(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"), columns=["doc_id"])
     return out.select("row.doc_id", "n_assign", "n_access", "n_hex", F.sha2(F.col("base").cast("binary"), 256).alias("base_sha256"), "spans")
