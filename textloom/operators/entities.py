@@ -123,15 +123,6 @@ def entity_clusters(spark, sf_dir):
     return clusters(mentions(spark, sf_dir).groupBy("kind", "name").agg(F.min("doc_id").alias("first")))
 
 
-@query("entity_aggregates", f"SELECT kind, name, count(*) AS documents, count(DISTINCT source) AS sources, min(doc_id) AS first_seen, max(doc_id) AS last_seen, list_slice(list_sort(list(doc_id)), 1, 10) AS sample FROM ({_MENTIONS}) GROUP BY kind, name HAVING length(name) >= 2")
-def entity_aggregates(spark, sf_dir):
-    """Documents, sources and first ten documents of each name of each kind; the sample comes from ranks within a name that a filter bounds."""
-    m = mentions(spark, sf_dir).where(F.length("name") >= 2)
-    plain = m.groupBy("kind", "name").agg(F.count("*").alias("documents"), F.countDistinct("source").alias("sources"), F.min("doc_id").alias("first_seen"), F.max("doc_id").alias("last_seen"))
-    top = m.withColumn("n", F.row_number().over(Window.partitionBy("kind", "name").orderBy("doc_id"))).where("n <= 10").groupBy("kind", "name").agg(F.array_sort(F.collect_list("doc_id")).alias("sample"))
-    return plain.join(top, ["kind", "name"])
-
-
 @query("entity_timeline", f"SELECT lower(name) AS name, doc_id, source, row_number() OVER (PARTITION BY lower(name) ORDER BY doc_id) AS position FROM (SELECT DISTINCT doc_id, source, lower(name) AS name FROM ({_MENTIONS}) WHERE lower(name) LIKE '%there%')")
 def entity_timeline(spark, sf_dir):
     """Documents that name something, in order of arrival."""

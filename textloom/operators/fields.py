@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import difflib
-
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -122,23 +120,6 @@ def stub_pages(spark, sf_dir):
     return rows.select("source", F.concat(F.lit("# "), "source", F.lit("\nDocuments: "), F.col("n").cast("string"), F.lit("\nLanguages: "), F.array_join("langs", ", ")).alias("body"))
 
 
-def closest(values: Column, vocabulary: list[str], least: float = 0.6) -> Column:
-    """The vocabulary's nearest term, or null."""
-
-    @F.pandas_udf("string")
-    def run(v: pd.Series) -> pd.Series:
-        best = {x: next(iter(difflib.get_close_matches(x, vocabulary, 1, least)), None) for x in v.dropna().unique()}
-        return v.map(best)
-
-    return run(values)
-
-
-@query("closest_terms")
-def closest_terms(spark, sf_dir):
-    """Each distinct value with its nearest known term."""
-    return table(spark, sf_dir, "events").select("event_type").distinct().select("event_type", closest(F.concat("event_type", F.lit("s")), ["view", "click", "sign-up", "order"]).alias("nearest"))
-
-
 @query("question_variants", "SELECT conv_id, turn, unnest([text, 'A passage that answers: ' || text, 'Background on ' || text]) AS variant FROM conversations WHERE role = 'user'")
 def question_variants(spark, sf_dir):
     return table(spark, sf_dir, "conversations").where("role = 'user'").select("conv_id", "turn", F.explode(models.variants(F.col("text"))).alias("variant"))

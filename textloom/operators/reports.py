@@ -124,14 +124,18 @@ def gold_gates(spark, sf_dir):
 
 
 def enrichment_quality(confidence: Column, completeness: Column) -> Column:
-    """Of what is read and how much of it is there; 0.8 and 1 where unknown."""
-    return F.round(READ_WEIGHT * F.coalesce(confidence, F.lit(READ_ELSE)) + COMPLETE_WEIGHT * F.coalesce(completeness, F.lit(1.0)), 3)
+    """Of what is read and how much of it is there, in whole thousandths, halves up; 0.8 and 1 where unknown. Counted in decimals of six places, so that a tie is one."""
+    exact = lambda c, other: F.coalesce(c.cast("decimal(12,6)"), F.lit(str(other)).cast("decimal(12,6)"))
+    weight = lambda x: F.lit(str(x)).cast("decimal(2,1)")
+    return F.round(weight(READ_WEIGHT) * exact(confidence, READ_ELSE) + weight(COMPLETE_WEIGHT) * exact(completeness, 1), 3).cast("double")
 
 
-@query("enrichment_quality", typed("SELECT event_id, round(round(0.6 * coalesce(CASE WHEN event_type <> 'view' THEN value / 100 END, 0.8) + 0.4 * coalesce(CASE WHEN user_id % 3 > 0 THEN (user_id % 10) / 10.0 END, 1.0), 9), 3) AS quality FROM events", quality="DOUBLE"))
+@query("enrichment_quality", "SELECT event_id, round(0.6::DECIMAL(2, 1) * coalesce(CASE WHEN event_type <> 'view' THEN value::DECIMAL(9, 2) * 0.01::DECIMAL(3, 2) END, 0.8::DECIMAL(12, 4)) + 0.4::DECIMAL(2, 1) * coalesce(CASE WHEN user_id % 3 > 0 THEN (user_id % 10)::DECIMAL(9, 1) * 0.1::DECIMAL(2, 1) END, 1::DECIMAL(12, 2)), 3)::DOUBLE AS quality FROM events")
 def enrichment_quality_query(spark, sf_dir):
-    read, whole = F.when(F.col("event_type") != "view", F.col("value") / 100), F.when(F.col("user_id") % 3 > 0, F.col("user_id") % 10 / 10.0)
-    return table(spark, sf_dir, "events").select("event_id", F.round(F.round(READ_WEIGHT * F.coalesce(read, F.lit(READ_ELSE)) + COMPLETE_WEIGHT * F.coalesce(whole, F.lit(1.0)), 9), 3).alias("quality"))
+    """Amounts and users stand for what was read with which confidence and how complete it is."""
+    read = F.when(F.col("event_type") != "view", F.col("value").cast("decimal(9,2)") * F.lit("0.01").cast("decimal(3,2)"))
+    whole = F.when(F.col("user_id") % 3 > 0, (F.col("user_id") % 10).cast("decimal(9,1)") * F.lit("0.1").cast("decimal(2,1)"))
+    return table(spark, sf_dir, "events").select("event_id", enrichment_quality(read, whole).alias("quality"))
 
 
 @query("vision_costs", typed("SELECT source, count(*) AS documents, sum(least(10, greatest(1, n_chars // 2000))) AS pages, round(sum(least(10, greatest(1, n_chars // 2000))) * 0.0025, 6) AS cost FROM documents GROUP BY source", pages="BIGINT", cost="DOUBLE"))

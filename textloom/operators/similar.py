@@ -29,6 +29,11 @@ def _rates(least: float) -> dict[int, float]:
     return {q: c for q in SIZES if (c := (2 * q - 1) * least / 2 - (q - 1)) > 1e-9}
 
 
+def _sums(rates: dict[int, float]) -> dict[int, int]:
+    """From which sum of both lengths on parts of q letters decide: where they guarantee one that is shared; single letters do for any strings alike."""
+    return {q: -(-q // c) if q > 1 else 1 for q, c in rates.items()}
+
+
 def prefixes(strings: DataFrame, least: float, tables: Tables) -> DataFrame:
     """(kind, t, size, q, gram, at): of each string the rarest parts, of which two strings of an indel ratio of ``least`` share one.
 
@@ -38,7 +43,7 @@ def prefixes(strings: DataFrame, least: float, tables: Tables) -> DataFrame:
     commonest first: the rarest kept part is among both strings' rest, at its place. The longest q decides that guarantees one.
     """
     rates, rows = _rates(least), []
-    from_sum = {q: -(-q // c) for q, c in rates.items()}  # at this sum of both lengths one part is guaranteed
+    from_sum = _sums(rates)
     for q, c in rates.items():
         longer = [from_sum[p] for p in rates if p > q]
         low = F.greatest(F.ceil(F.col("size") * (least / (2 - least)) - 1e-9), F.lit(from_sum[q]) - F.col("size"), F.lit(1))
@@ -69,7 +74,7 @@ def near_pairs(strings: DataFrame, least: float, tables: Tables) -> DataFrame:
         raise ValueError("the least ratio lies between 0 and 1")
     rare = prefixes(strings.select("kind", "t", F.length("t").alias("size")).where("size > 0"), least, tables)
     rates = _rates(least)
-    from_sum = {q: -(-q // c) for q, c in rates.items()}
+    from_sum = _sums(rates)
     a = rare.select("kind", "q", "gram", F.col("t").alias("a"), F.col("size").alias("size_a"), F.col("at").alias("at_a"))
     b = rare.select("kind", "q", "gram", F.col("t").alias("b"), F.col("size").alias("size_b"), F.col("at").alias("at_b"))
     both, shift, longer = F.col("size_a") + F.col("size_b"), F.col("at_b") - F.col("at_a"), F.col("size_b") - F.col("size_a")
