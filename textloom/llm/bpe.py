@@ -16,7 +16,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textloom.llm.scratch import Scratch, small_batches
+from textloom.llm.scratch import Scratch, lean, small_batches
 
 #: Bytes of text that share one list of words at most.
 BLOCK_BYTES = 64 << 20
@@ -86,7 +86,7 @@ def _pack(docs: DataFrame, block_bytes: int, buckets: int) -> DataFrame:
         if number:
             yield packets()
 
-    return docs.mapInArrow(run, "doc_id long, block long, positions binary, bucket long, words binary, numbers binary")
+    return docs.mapInArrow(lean(run), "doc_id long, block long, positions binary, bucket long, words binary, numbers binary")
 
 
 def _encode(tokenizer: str):
@@ -180,12 +180,12 @@ def encode_decode(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", *
     try:
         texts = spark.table(name).where("kind = 'text'").select("doc_id", "block", "positions")
         words = spark.table(name).where("kind = 'word'").select("bucket", F.col("block").alias("of"), "words", "numbers")
-        lists = scratch.write(words.repartition(n, "bucket").sortWithinPartitions("bucket").mapInArrow(_encode(tokenizer), "of long, numbers binary, sizes binary, ids binary"), "lists")
+        lists = scratch.write(words.repartition(n, "bucket").sortWithinPartitions("bucket").mapInArrow(lean(_encode(tokenizer)), "of long, numbers binary, sizes binary, ids binary"), "lists")
         scratch._delete(f"{path}/kind=word")  # encoded, so no longer needed
-        used = lists.select("of", "ids").mapInArrow(_distinct_ids, "of long, id int").distinct()
+        used = lists.select("of", "ids").mapInArrow(lean(_distinct_ids), "of long, id int").distinct()
         decoded = used.join(pieces(spark, tokenizer), "id")
         right = lists.select("*", F.lit(None).cast("int").alias("id"), F.lit(None).cast("binary").alias("piece")).unionByName(decoded.select("of", "id", "piece"), allowMissingColumns=True)
-        out = texts.groupBy("block").cogroup(right.groupBy("of")).applyInArrow(_assemble, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+        out = texts.groupBy("block").cogroup(right.groupBy("of")).applyInArrow(lean(_assemble), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
         return scratch.keep(out)
     finally:
         spark.sql(f"DROP TABLE IF EXISTS {name}")

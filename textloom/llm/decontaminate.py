@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from textloom.llm.filters import bit_filter, passes
-from textloom.llm.scratch import Scratch, as_row
+from textloom.llm.scratch import Scratch, as_row, lean
 from textloom.llm.toxicity import _WORDS
 
 #: Words of a window, and of a shingle.
@@ -144,11 +144,11 @@ def prefixes(benchmark: DataFrame, docs: DataFrame, scratch: Scratch, *, item_id
     With a containment of 1, one shingle is a necessary prefix. Rarity is the number of documents with it, over all of them.
     """
     items = benchmark.where(F.col(item_text).isNotNull()).select(F.coalesce(F.col(item_id).cast("string"), F.lit("null")).alias("item"), F.col(item_text).cast("binary").alias("text"))
-    rows = scratch.write(items.mapInArrow(_windows(window, shingle), "item string, wid binary, n int, words string, at int, h long"), "windows")
+    rows = scratch.write(items.mapInArrow(lean(_windows(window, shingle)), "item string, wid binary, n int, words string, at int, h long"), "windows")
     lengths = tuple(sorted(r.m for r in rows.select(F.least("n", F.lit(shingle)).alias("m")).distinct().collect()))  # 1 to shingle
     owners = rows.select("wid", "item").distinct()
     bits = docs.sparkSession.sparkContext.broadcast(bit_filter(rows, "h"))
-    counts = docs.select(F.col(text).cast("binary")).where(F.length(text) > 0).mapInArrow(_counts(bits, lengths), "h long, texts long").groupBy("h").agg(F.sum("texts").alias("texts"))
+    counts = docs.select(F.col(text).cast("binary")).where(F.length(text) > 0).mapInArrow(lean(_counts(bits, lengths)), "h long, texts long").groupBy("h").agg(F.sum("texts").alias("texts"))
     ranked = rows.select("wid", "n", "words", "at", "h").distinct().join(counts, "h", "left")
     best = ranked.groupBy("wid").agg(F.min(F.struct(F.coalesce("texts", F.lit(0)).alias("texts"), "h", "at", "n", "words")).alias("x"))
     chosen = best.select("wid", F.col("x.h").alias("h"), F.col("x.n").alias("n"), F.col("x.words").alias("words"), F.col("x.at").alias("offset"))
@@ -174,7 +174,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, *, text: str = "text",
     key = F.unhex(F.md5(F.col(text).cast("binary"))).alias("key")
     owners, chosen, lengths = prefixes(benchmark, docs, scratch, item_id=item_id, item_text=item_text, text=text, window=window, shingle=shingle)
     bits = docs.sparkSession.sparkContext.broadcast(bit_filter(chosen, "h"))
-    places = docs.where(F.length(text) > 0).select(key, F.col(text).cast("binary").alias("text")).mapInArrow(_places(bits, lengths, window), "key binary, h long, at long, around string, off int")
+    places = docs.where(F.length(text) > 0).select(key, F.col(text).cast("binary").alias("text")).mapInArrow(lean(_places(bits, lengths, window)), "key binary, h long, at long, around string, off int")
     met = places.groupBy("key", "h", "at").agg(F.first("around").alias("around"), F.first("off").alias("off")).join(chosen, "h")
     inside = (F.col("off") >= F.col("offset")) & (F.col("at") >= F.col("offset"))
     same = F.array_join(F.slice(F.split("around", " "), F.col("off") - F.col("offset") + 1, F.col("n")), " ") == F.col("words")

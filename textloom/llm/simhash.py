@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from textloom.llm.components import components, forest
-from textloom.llm.scratch import Scratch
+from textloom.llm.scratch import Scratch, lean
 
 BITS = 64
 SHINGLE, RADIUS, SEED, TILE = 3, 3, 42, 1024
@@ -69,7 +69,7 @@ def fingerprints(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", sh
             fps = [_signed(fingerprint(x, shingle, seed)) for x in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fps, pa.int64())], ["doc_id", "fp"])
 
-    return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("binary").alias("text")).mapInArrow(run, "doc_id long, fp long")
+    return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("binary").alias("text")).mapInArrow(lean(run), "doc_id long, fp long")
 
 
 def tile_links(a: np.ndarray, b: np.ndarray | None, radius: int) -> tuple[np.ndarray, np.ndarray]:
@@ -136,7 +136,7 @@ def fingerprint_links(classes: DataFrame, scratch: Scratch, radius: int = RADIUS
     side = lambda s: tiles.where("split").select("band", "value", F.col("tile").alias(f"tile_{s}"), F.col("members").alias(f"members_{s}"))
     across = near.join(side("a"), ["band", "value", "tile_a"]).join(side("b"), ["band", "value", "tile_b"]).select("members_a", "members_b")
     within = tiles.select(F.col("members").alias("members_a"), F.lit(None).cast(tiles.schema["members"].dataType).alias("members_b"))
-    return within.unionByName(across).mapInArrow(_linked(radius), "a long, b long")
+    return within.unionByName(across).mapInArrow(lean(_linked(radius)), "a long, b long")
 
 
 def simhash_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", *, shingle: int = SHINGLE, radius: int = RADIUS, seed: int = SEED, tile: int = TILE) -> DataFrame:

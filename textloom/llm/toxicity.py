@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from textloom.llm.filters import bit_filter, passes
-from textloom.llm.scratch import Scratch, as_row, small_batches
+from textloom.llm.scratch import Scratch, as_row, lean, small_batches
 
 #: Labelled rows that the four weights of the calibration are fitted on at most, chosen by a hash of doc_id; the counts are of all labelled rows.
 CALIBRATION_ROWS = 40_000
@@ -104,8 +104,8 @@ def _labelled_words(docs: DataFrame, labels: DataFrame, held_out: int) -> tuple[
                 seen = [Counter() for _ in _COUNTS]
         yield flush()
 
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text")).mapInArrow(some, "doc_id long, words binary")
-    counts = texts.join(chosen, "doc_id").select("words", "toxic", "fold").mapInArrow(count, "word binary, " + ", ".join(f"{c} long" for c in _COUNTS))
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text")).mapInArrow(lean(some), "doc_id long, words binary")
+    counts = texts.join(chosen, "doc_id").select("words", "toxic", "fold").mapInArrow(lean(count), "word binary, " + ", ".join(f"{c} long" for c in _COUNTS))
     return chosen, counts.groupBy("word").agg(*(F.sum(c).alias(c) for c in _COUNTS))
 
 
@@ -162,7 +162,7 @@ def toxic_beginnings(docs: DataFrame, labels: DataFrame, scratch: Scratch, *, he
     chosen, vocabulary = _labelled_words(docs, labels, held_out)
     chosen, vocabulary = scratch.write(chosen, "labels"), scratch.write(vocabulary, "vocabulary")
     columns = (*_COUNTS, *_TYPES)
-    raw = vocabulary.repartitionByRange("word").sortWithinPartitions("word").mapInArrow(_expand, "h long, parent long, depth int, " + ", ".join(f"{c} long" for c in columns))
+    raw = vocabulary.repartitionByRange("word").sortWithinPartitions("word").mapInArrow(lean(_expand), "h long, parent long, depth int, " + ", ".join(f"{c} long" for c in columns))
     nodes = scratch.write(raw.groupBy("h", "depth").agg(F.min("parent").alias("parent"), *(F.sum(c).alias(c) for c in columns)), "beginnings")
     models = range(FOLDS + 1)
     count = {(m, y): sum((F.col(_COUNTS[c]) for c in _of(m, y)), F.lit(0)) for m in models for y in (0, 1)}
@@ -224,7 +224,7 @@ def evidence(docs: DataFrame, table: DataFrame, scratch: Scratch) -> DataFrame:
     """(key, size, v0, v1, ...): for each distinct text (key: its MD5) with such words, each model's sum over its words, in UNITs, and the number of its words."""
     bits = docs.sparkSession.sparkContext.broadcast(bit_filter(table, "h"))
     text, path = F.col("text").cast("binary"), scratch.path("hits")
-    hits = docs.where(F.length(text) > 0).select(_key(), text.alias("text")).mapInArrow(_hits(bits), "key binary, size long, words array<long>, times array<long>, word long, depth int, h long")
+    hits = docs.where(F.length(text) > 0).select(_key(), text.alias("text")).mapInArrow(lean(_hits(bits)), "key binary, size long, words array<long>, times array<long>, word long, depth int, h long")
     with small_batches(docs.sparkSession):
         hits.where("key is null or size(words) > 0").withColumn("kind", F.when(F.col("key").isNull(), "word").otherwise("text")).write.partitionBy("kind").parquet(path)
     bits.unpersist()
