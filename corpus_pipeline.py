@@ -29,7 +29,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops contaminated documents; those without words stay."""
+    """Drops contaminated documents. Null and wordless texts hold no item and stay; equal texts stay or go together, each row for itself; an empty benchmark drops nothing."""
     return decontaminate.contamination(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")).where("not contaminated").select("row.*")
 
 
