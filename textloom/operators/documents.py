@@ -213,9 +213,37 @@ def priorities(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", scores.priority(u, a, q, t).alias("priority"), scores.status(u, a, q, F.when(F.col("lang") == "en", "pdf").otherwise("email")).alias("status"))
 
 
-@query("critic_scores", typed("SELECT doc_id, round(" + " + ".join(f"CASE WHEN (doc_id * {k + 3}) % 8 BETWEEN 0 AND 5 THEN (doc_id * {k + 3}) % 8 ELSE 2.5 END * {w}" for k, w in enumerate(scores.CRITIC_WEIGHTS)) + ", 2) AS overall FROM documents", overall="DOUBLE"))
+def rubric_scores(body: Column, record: dict[str, Column]) -> list[Column]:
+    """The offline critic's seven scores, 0 to 5, of a record (title, summary, topics, names, dates) against its text; a hosted model may give them instead.
+
+    Fields present, names found per hundred words, topics that the text has, a summary of up to 500 characters that is shorter
+    than the text, dates found where the text has digits, no address left open, and paragraphs to cut at.
+    """
+    d = lambda c: c.cast("decimal(6,3)")
+    five = lambda c: d(F.when(c, 5).otherwise(0))
+    words = F.greatest(text.word_count(body), F.lit(1))
+    topics = F.coalesce(record["topics"], F.array().cast("array<string>"))
+    kept = F.size(F.filter(topics, lambda t: F.contains(F.lower(body), F.lower(t))))
+    filled = sum((F.when(F.length(record[k]) > 0, 1).otherwise(0) for k in ("title", "summary")), F.when(F.size(topics) > 0, 1).otherwise(0))
+    return [
+        d(F.element_at(F.array(*(F.lit(x).cast("decimal(6,3)") for x in ("0", "1", "3", "5"))), filled + 1)), d(F.least(F.lit(5), F.floor(F.size(F.coalesce(record["names"], F.array().cast("array<string>"))) * 100 / words))),
+        d(F.when(F.size(topics) == 0, 0).otherwise(F.floor(5 * kept / F.greatest(F.size(topics), F.lit(1))))), d(F.when(F.length(record["summary"]).between(1, 500) & (F.length(record["summary"]) < F.length(body)), 5).when(F.length(record["summary"]) > 0, 3).otherwise(0)),
+        d(F.when(~body.rlike("[0-9]"), 3).when(F.size(record["dates"]) > 0, 5).otherwise(1)), five(~body.rlike(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+\.[A-Za-z]{2,}")), d(F.least(F.lit(5), F.size(F.filter(F.split(body, "\n"), lambda x: F.trim(x) != "")))),
+    ]
+
+
+_RUBRICS = (
+    "CASE WHEN length(title) > 0 THEN 5 ELSE 3 END", "least(5, floor(len(names) * 100 / greatest(n, 1)))", "floor(5 * len(list_filter([lang, source], lambda t: contains(lower(text), lower(t)))) / 2)", "CASE WHEN length(summary) BETWEEN 1 AND 500 AND length(summary) < length(text) THEN 5 WHEN length(summary) > 0 THEN 3 ELSE 0 END",
+    "CASE WHEN NOT regexp_matches(text, '[0-9]') THEN 3 WHEN len(dates) > 0 THEN 5 ELSE 1 END", r"CASE WHEN regexp_matches(text, '[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+\.[A-Za-z]{2,}') THEN 0 ELSE 5 END", "least(5, len(list_filter(string_split(text, chr(10)), lambda x: trim(x) <> '')))",
+)
+
+
+@query("critic_scores", r"""WITH d AS (SELECT *, substr(string_split(text, chr(10))[1], 1, 100) AS title, substr(text, 1, 400) AS summary, list_distinct(regexp_extract_all(text, '[A-Z][a-z]{4,}')) AS names, regexp_extract_all(text, '[0-9]{4}-[0-9]{2}-[0-9]{2}') AS dates, len(list_filter(string_split_regex(text, '\s+'), lambda x: x <> '')) AS n FROM documents)
+SELECT doc_id, round(""" + " + ".join(f"({r})::DECIMAL(6, 3) * {w}" for r, w in zip(_RUBRICS, scores.CRITIC_WEIGHTS, strict=True)) + ", 2)::DOUBLE AS overall FROM d")
 def critic_scores(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select("doc_id", scores.critic([(F.col("doc_id") * (k + 3) % 8).cast("decimal(4,1)") for k in range(7)]).cast("double").alias("overall"))
+    """The critic's mean of the records of all texts: first line, first characters, language and source as topics, longer names, dates."""
+    record = {"title": F.substring(F.split("text", "\n")[0], 1, 100), "summary": F.substring("text", 1, 400), "topics": F.array("lang", "source"), "names": F.array_distinct(F.regexp_extract_all("text", F.lit("[A-Z][a-z]{4,}"), F.lit(0))), "dates": F.regexp_extract_all("text", F.lit("[0-9]{4}-[0-9]{2}-[0-9]{2}"), F.lit(0))}
+    return table(spark, sf_dir, "documents").select("doc_id", scores.critic(rubric_scores(F.col("text"), record)).cast("double").alias("overall"))
 
 
 def confidence(hits: DataFrame, words: list[str]) -> DataFrame:

@@ -123,11 +123,18 @@ def entity_clusters(spark, sf_dir):
     return clusters(mentions(spark, sf_dir).groupBy("kind", "name").agg(F.min("doc_id").alias("first")))
 
 
-@query("entity_timeline", f"SELECT lower(name) AS name, doc_id, source, row_number() OVER (PARTITION BY lower(name) ORDER BY doc_id) AS position FROM (SELECT DISTINCT doc_id, source, lower(name) AS name FROM ({_MENTIONS}) WHERE lower(name) LIKE '%there%')")
+def timeline(records: DataFrame, part: str) -> DataFrame:
+    """(name, doc_id, at, position) of records (doc_id, at, names) with a name that holds ``part``, whatever the case: of a doc_id's rows the last by date, the newest first; a null date comes last."""
+    m = records.select("doc_id", "at", F.explode("names").alias("name")).where(F.contains(F.lower("name"), F.lit(part.lower()))).select(F.lower("name").alias("name"), "doc_id", "at")
+    one = m.groupBy("name", "doc_id").agg(F.max("at").alias("at"))
+    return one.withColumn("position", F.row_number().over(Window.partitionBy("name").orderBy(F.desc_nulls_last("at"), "doc_id")))
+
+
+@query("entity_timeline", f"SELECT name, doc_id, at_ AS \"at\", row_number() OVER (PARTITION BY name ORDER BY at_ DESC, doc_id) AS position FROM (SELECT DISTINCT doc_id, (DATE '2024-01-01' + (doc_id * 37 % 365)::INT)::DATE AS at_, lower(name) AS name FROM ({_MENTIONS}) WHERE lower(name) LIKE '%there%')")
 def entity_timeline(spark, sf_dir):
-    """Documents that name something, in order of arrival."""
-    m = mentions(spark, sf_dir).where(F.lower("name").contains("there")).select(F.lower("name").alias("name"), "doc_id", "source").distinct()
-    return m.withColumn("position", F.row_number().over(Window.partitionBy("name").orderBy("doc_id")))
+    """Documents that name something, the newest first."""
+    at = F.date_add(F.lit("2024-01-01").cast("date"), (F.col("doc_id") * 37 % 365).cast("int"))
+    return timeline(mentions(spark, sf_dir).select("doc_id", at.alias("at"), F.array("name").alias("names")), "there")
 
 
 @query("entity_links", f"SELECT source, kind, name, count(*) AS n FROM ({_MENTIONS}) GROUP BY ALL")

@@ -10,7 +10,7 @@ from pyspark.sql.window import Window
 
 from textloom import shared
 from textloom.functions import text
-from textloom.operators.varied import Varied
+from textloom.operators.varied import Joined, Varied
 from textloom.registry import query, table, typed
 
 ACTION_WORDS = ("todo", "action", "please", "required", "deadline", "asap", "task")
@@ -45,6 +45,32 @@ def read_quality(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", F.round(1 - F.least(F.lit(1.0), bad), 6).alias("quality"))
 
 
+# What recognised text shouldn't hold: runs of unusual characters, of pipes, of underscores; words of so many letters.
+SCAN_NOISE = (r"""[^\p{L}\p{N}_\s\-.,;:!?()\[\]{}@#$%&*+=<>'"\/\\]+""", r"[|]{2,}", r"_{5,}")
+LETTERS_LONG, CHARACTERS_LONG = 20, 20
+
+
+def scan_quality(body: Column) -> Column:
+    """1 less the share of artifacts, words of over twenty characters and single characters among the words, 0 at least; 0 without words. A word of twenty ASCII letters or more is an artifact, too."""
+    w = F.regexp_extract_all(body, F.lit(r"[\p{L}\p{N}_]+"), F.lit(0))
+    n = F.size(w)
+    of = lambda f: F.size(F.filter(w, f))
+    noise = sum((F.size(F.regexp_extract_all(body, F.lit(p), F.lit(0))) for p in SCAN_NOISE), of(lambda x: x.rlike(f"^[A-Za-z]{{{LETTERS_LONG},}}$")))
+    bad = noise + of(lambda x: F.length(x) > CHARACTERS_LONG) + of(lambda x: F.length(x) == 1)
+    return F.when(n == 0, 0.0).otherwise(1.0 - F.least(F.lit(1.0), bad / n))
+
+
+_SCAN = Joined((Varied(("", "~~ ^ x || |||\n", "abcdefghijklmnopqrstuvwxyz ", "§§ • _________ y ", "a b c "), 3), "text", Varied(("", " ünüberschaubarlangeswort_und_mehr", "\n_____ |||| "), 5)))
+_SQL_NOISE = " + ".join("len(regexp_extract_all(b, '" + p.replace("'", "''") + "'))" for p in SCAN_NOISE)
+
+
+@query("scan_quality", f"""WITH d AS (SELECT doc_id, {_SCAN.sql} AS b FROM documents), w AS (SELECT *, regexp_extract_all(b, '[\\p{{L}}\\p{{N}}_]+') AS w FROM d)
+SELECT doc_id, round(CASE WHEN len(w) = 0 THEN 0 ELSE 1 - least(1.0, ({_SQL_NOISE} + len(list_filter(w, lambda x: regexp_matches(x, '^[A-Za-z]{{20,}}$'))) + len(list_filter(w, lambda x: length(x) > 20)) + len(list_filter(w, lambda x: length(x) = 1)))::DOUBLE / len(w)) END, 6) AS quality FROM w""")
+def scan_quality_query(spark, sf_dir):
+    """Quality of texts as recognised ones with artifacts around them."""
+    return table(spark, sf_dir, "documents").select("doc_id", F.round(scan_quality(_SCAN.column), 6).alias("quality"))
+
+
 @query("read_again", "SELECT event_id, value / 100 < CASE event_type WHEN 'view' THEN 0.8 WHEN 'click' THEN 0.6 ELSE 0.7 END AS again FROM events")
 def read_again(spark, sf_dir):
     """Pages to be read again, by kind and confidence."""
