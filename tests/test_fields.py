@@ -1,8 +1,7 @@
-import datetime
-
 import pytest
 from pyspark.sql import functions as F
 
+from textloom.functions import dates
 from textloom.operators import chats, fields, rules
 
 
@@ -28,10 +27,24 @@ def test_people_and_topics(spark):
     assert one(spark, fields.topic, "What is the best way to sort lists?") == "The Best Way To Sort Lists" and one(spark, fields.topic, "how?") == "Conversation"
 
 
-@pytest.mark.parametrize(("phrase", "want"), [("tomorrow", 16), ("Yesterday", 14), ("in 3 days", 18), ("in 2 weeks", 29), ("next friday", 19), ("someday", None)])
+@pytest.mark.parametrize(
+    ("phrase", "want"),
+    [
+        ("see you tomorrow", ["01-16"]), ("it was Yesterday", ["01-14"]), ("due in 3 days", ["01-18"]), ("pay in 2 weeks", ["01-29"]), ("by next friday", ["01-19"]), ("it is next monday", ["01-22"]), ("someday or next time", []), ("kommt übermorgen", ["01-16", "01-17"]),
+        ("am Montag, letzten Montag", ["01-08", "01-22"]), ("letzte Woche war es", ["01-08"]), ("nächsten Monat geht", ["02-15"]), ("am Monat wie im Tag", []), ("in 1 mes o in 2 jours", ["01-17", "02-15"]), ("am sábado venimos", ["01-20"]), ("tomorrow", []), ("in 12 apples and IN 2 Wochen", ["01-29"]),
+    ],
+)
 def test_relative_dates(spark, phrase, want):
-    got = one(spark, lambda c: fields.relative_date(c, F.lit("2024-01-15").cast("date")), phrase)
-    assert got == (want and datetime.date(2024, 1, want))
+    """Seen from Monday, 2024-01-15; a sentence of under ten characters counts for nothing."""
+    got = one(spark, lambda c: dates.relative_dates(c, F.lit("2024-01-15").cast("date")), phrase)
+    assert got == [f"2024-{d}" for d in want]
+
+
+def test_relative_dates_of_long_and_missing_texts(spark):
+    base = F.lit("2024-01-31").cast("date")
+    assert one(spark, lambda c: dates.relative_dates(c, base), "see you tomorrow. " * 100 + "in 1 year it is") == ["2024-02-01"], "only fifty sentences count"
+    assert one(spark, lambda c: dates.relative_dates(c, base), "x" * 2995 + " see you tomorrow") == [] and one(spark, lambda c: dates.relative_dates(c, base), "payable next month") == ["2024-02-29"]
+    assert one(spark, lambda c: dates.relative_dates(c, F.lit(None).cast("date")), "see you tomorrow") == []
 
 
 def test_mail_and_money(spark):

@@ -18,13 +18,13 @@ def one(spark, column, value, kind="string"):
         (text.plain_name, " Jörg Öz! ", "jörg-öz"), (text.clean_title, "[A: b/c?]", "A bc"), (text.address_of, "Ann <a@b.c>", "a@b.c"), (text.address_of, "a@b.c", "a@b.c"), (text.address_of, "Ann", None), (text.language, "das ist der Hund und die Katze", "de"), (text.language, "xyz", "unknown"),
         (text.from_html, "<p>a &amp; b</p><script>x</script><nav>n</nav><!-- c --><b>d</b>", "a & b\nd"),
         (dates.absolute_dates, "2025-10-07, 07.10.2025, 10/07/2025, 31.02.2025, 2025-13-45", ["2025-07-10", "2025-10-07", "2025-13-45"]), (dates.event_type, "the deadline of the meeting", "Deadline"), (dates.event_type, "court", "Court Hearing"), (dates.event_type, "x", "Event"),
-        (text.numbers, "79% and 64.5% at 18:00 for $10,472.50, DE89370400440532013000", None),
+        (text.numbers, "79% and 64.5%x at 18:00 for $10,472.50, DE89370400440532013000", None),
     ],
 )
 def test_strings(spark, column, value, want):
     got = one(spark, column, value)
     if want is None and isinstance(got, list):
-        assert {"79%", "64.5%", "18:00", "$10,472.50", "DE89370400440532013000"} <= set(got)
+        assert {"64.5%", "18:00", "$10,472.50", "DE89370400440532013000"} <= set(got) and "79%" not in got
     else:
         assert got == want
 

@@ -34,3 +34,40 @@ def event_type(context: Column) -> Column:
         test = low.rlike("|".join(words))
         out = F.when(test, kind) if out is None else out.when(test, kind)
     return out.otherwise("Event")
+
+
+# The forms of relative dates; days of the week from Monday, and units in days or months.
+PHRASES = (r"(?i)(next [\p{L}\p{N}_]+)", r"(?i)(nächste[nrs]? [\p{L}\p{N}_]+)", r"(?i)(am [\p{L}\p{N}_]+)", r"(?i)(morgen|tomorrow)", r"(?i)(gestern|yesterday)", r"(?i)(übermorgen)", r"(?i)(letzte[nrs]? [\p{L}\p{N}_]+)", r"(?i)(in \d+ [\p{L}\p{N}_]+)")
+WEEKDAYS = {w: k for words in ("monday tuesday wednesday thursday friday saturday sunday", "montag dienstag mittwoch donnerstag freitag samstag sonntag", "lundi mardi mercredi jeudi vendredi samedi dimanche", "lunes martes miércoles jueves viernes sábado domingo") for k, w in enumerate(words.split(), 1)}
+UNIT_DAYS = {w: n for n, words in ((1, "day days tag tage tagen jour jours día días"), (7, "week weeks woche wochen semaine semaines semana semanas")) for w in words.split()}
+UNIT_MONTHS = {w: n for n, words in ((1, "month months monat monate monaten mois mes meses"), (12, "year years jahr jahre jahren an ans année año años")) for w in words.split()}
+FIRST_CHARACTERS, FIRST_SENTENCES, LEAST_CHARACTERS = 3000, 50, 10
+
+
+def relative_dates(c: Column, base: Column) -> Column:
+    """The dates, ISO, distinct and sorted, that a text's relative phrases mean, seen from the row's own base date.
+
+    Phrases are looked for in the first 50 sentences of the first 3,000 characters, those of under ten characters left out. A
+    weekday is the next one after the base date, or the last one before it; weeks, months and years are counted from it.
+    Words that are neither mean nothing; a null text or base gives no dates.
+    """
+    table = lambda of: F.create_map(*(F.lit(x) for kv in of.items() for x in kv))
+    days, unit, months = table(WEEKDAYS), table(UNIT_DAYS), table(UNIT_MONTHS)
+    here = (F.weekday(base) + 1).cast("int")
+
+    def means(phrase: Column) -> Column:
+        low = F.lower(phrase)
+        words = F.split(low, " ")
+        last, back = F.element_at(words, -1), low.startswith("letzte")
+        n = F.when(low.startswith("in "), F.element_at(words, 2).try_cast("int")).when(back, -1).otherwise(1)
+        day = F.element_at(days, last)
+        to = F.when(back, -F.pmod(here - day - 1, F.lit(7)) - 1).otherwise(F.pmod(day - here - 1, F.lit(7)) + 1)
+        fixed = F.when(low.isin("morgen", "tomorrow"), 1).when(low.isin("gestern", "yesterday"), -1).when(low == "übermorgen", 2)
+        counted = ~low.startswith("am ")
+        shift = F.coalesce(fixed, F.when(~low.startswith("in "), to), F.when(counted, n * F.element_at(unit, last)))
+        return F.coalesce(F.date_add(base, shift.cast("int")), F.when(counted, F.add_months(base, (n * F.element_at(months, last)).cast("int")))).cast("string")
+
+    sentences = F.slice(F.split(F.substring(c, 1, FIRST_CHARACTERS), r"[.!?\n]"), 1, FIRST_SENTENCES)
+    sentences = F.filter(sentences, lambda x: F.length(F.trim(x)) >= LEAST_CHARACTERS)
+    found = F.flatten(F.transform(sentences, lambda x: F.concat(*(F.regexp_extract_all(x, F.lit(p), F.lit(1)) for p in PHRASES))))
+    return F.coalesce(F.array_sort(F.array_distinct(F.array_compact(F.transform(found, means)))), F.array().cast("array<string>"))

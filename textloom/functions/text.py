@@ -112,12 +112,12 @@ def split_list(c: Column) -> Column:
 #: Fixed patterns of numbers that are extracted.
 NUMBER_PATTERNS = (
     r"\b(\d{1,4}\s*[A-Z]?\s*\d{1,4}/\d{2,4})\b", r"\b(\d{1,3}-\d{1,3}\s*Nr\.\s*\d+)\b", r"(\+?\d{1,3}[\s-]?\(?\d{2,4}\)?[\s-]?\d{3,4}[\s-]?\d{3,4})", r"([€$£]\s*[\d,]+(?:\.\d{2})?)",
-    r"\b(\d{1,3}(?:\.\d+)?%)", r"\b([A-Z]{2}\d{2}[A-Z0-9]{12,30})\b", r"\b(\d{4}-\d{4}-\d{4})\b", r"\b(\d{1,2}:\d{2}(?:\s*(?:Uhr|AM|PM|am|pm))?)\b",
+    r"\b(\d{1,3}(?:\.\d+)?%)\b", r"\b([A-Z]{2}\d{2}[A-Z0-9]{12,30})\b", r"\b(\d{4}-\d{4}-\d{4})\b", r"\b(\d{1,2}:\d{2}(?:\s*(?:Uhr|AM|PM|am|pm))?)\b",
 )
 
 
 def numbers(c: Column, most: int = 50) -> Column:
-    """Case numbers, amounts, shares, accounts and times: distinct, sorted."""
+    """Case numbers, amounts, shares, accounts and times: distinct, sorted. As the rule has it, a share counts only where a letter or digit follows its sign."""
     return F.slice(F.array_sort(F.array_distinct(F.concat(*(F.regexp_extract_all(c, F.lit(p), F.lit(1)) for p in NUMBER_PATTERNS)))), 1, most)
 
 

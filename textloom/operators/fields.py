@@ -9,7 +9,7 @@ from pyspark.sql.window import Window
 
 from textloom.functions import dates, models, text
 from textloom.operators.documents import _NOTED, noted
-from textloom.operators.varied import Varied
+from textloom.operators.varied import Joined, Varied
 from textloom.registry import query, table
 
 #: Question words and auxiliaries that a topic leaves out.
@@ -57,18 +57,30 @@ def upcoming_dates(spark, sf_dir):
     return noted(spark, sf_dir).select("doc_id", F.slice(F.filter(dates.absolute_dates(F.col("body")), lambda d: d >= since), 1, 5).alias("upcoming"))
 
 
-def relative_date(phrase: Column, sent: Column) -> Column:
-    """Tomorrow, yesterday, today, in N days or weeks, next weekday; other phrases are null."""
-    low = F.lower(phrase)
-    n = F.regexp_extract(low, r"in (\d+) (?:day|week|tag|woche)", 1).try_cast("int")
-    day = F.nullif(F.initcap(F.substring(F.regexp_extract(low, r"next (monday|tuesday|wednesday|thursday|friday|saturday|sunday)", 1), 1, 3)), F.lit(""))
-    return F.when(low.rlike("tomorrow|morgen"), F.date_add(sent, 1)).when(low.rlike("yesterday|gestern"), F.date_sub(sent, 1)).when(low.rlike("today|heute"), sent).when(low.rlike(r"in \d+ (week|woche)"), F.date_add(sent, n * 7)).when(n.isNotNull(), F.date_add(sent, n)).when(day.isNotNull(), F.call_function("next_day", sent, day))
+_PHRASED = Joined((
+    Varied(("see you tomorrow then. ", "due in 3 days at last\n", "pay in 2 weeks. ", "It was gestern, am Montag and next Friday! ", "letzten Freitag. kurz. nächste Woche geht es ", "übermorgen und in 4 Monaten, IN 1 year. ", "someday soon, next time. ", "next month. in 12 apples. "), 3),
+    Varied(("am Sonntag kommen wir. ", "letzte Woche war es so. ", "", "nächsten Dienstag oder next year. "), 5), "text",
+))
 
 
-@query("relative_dates", "SELECT event_id, CASE event_id % 5 WHEN 0 THEN ts::DATE + 1 WHEN 1 THEN ts::DATE + 3 WHEN 2 THEN ts::DATE + 14 WHEN 3 THEN ts::DATE - 1 END AS day FROM events")
+def _sql_means(x: str, base: str) -> str:
+    of = lambda d: "MAP {" + ", ".join(f"'{k}': {v}" for k, v in d.items()) + "}"
+    w, low = f"string_split(lower({x}), ' ')[-1]", f"lower({x})"
+    n = f"CASE WHEN {low} LIKE 'in %' THEN TRY_CAST(string_split({low}, ' ')[2] AS INT) WHEN {low} LIKE 'letzte%' THEN -1 ELSE 1 END"
+    day, here = f"{of(dates.WEEKDAYS)}[{w}]", f"isodow({base})"
+    to = f"CASE WHEN {low} LIKE 'letzte%' THEN -(({here} - {day} + 6) % 7) - 1 ELSE ({day} - {here} + 6) % 7 + 1 END"
+    fixed = f"CASE WHEN {low} IN ('morgen', 'tomorrow') THEN 1 WHEN {low} IN ('gestern', 'yesterday') THEN -1 WHEN {low} = 'übermorgen' THEN 2 END"
+    shift = f"coalesce({fixed}, CASE WHEN {low} NOT LIKE 'in %' THEN {to} END, CASE WHEN {low} NOT LIKE 'am %' THEN {n} * {of(dates.UNIT_DAYS)}[{w}] END)"
+    return f"coalesce({base} + ({shift})::INT, CASE WHEN {low} NOT LIKE 'am %' THEN ({base} + to_months(({n} * {of(dates.UNIT_MONTHS)}[{w}])::INT))::DATE END)::DATE::VARCHAR"
+
+
+@query("relative_dates", f"""WITH d AS (SELECT doc_id, {_PHRASED.sql} AS b, DATE '2024-01-31' + (doc_id % 400)::INT AS base FROM documents), s AS (SELECT doc_id, base, list_filter(string_split_regex(substr(b, 1, 3000), '[.!?\\n]')[1:50], lambda x: length(trim(x)) >= 10) AS s FROM d),
+f AS (SELECT doc_id, base, unnest(flatten(list_transform(s, lambda x: {" || ".join(f"regexp_extract_all(x, '{p}', 1)" for p in dates.PHRASES)}))) AS x FROM s)
+SELECT d.doc_id, coalesce(list_sort(list_distinct(list(v) FILTER (v IS NOT NULL))), []) AS dates FROM d LEFT JOIN (SELECT doc_id, {_sql_means("x", "base")} AS v FROM f) USING (doc_id) GROUP BY d.doc_id""")
 def relative_dates(spark, sf_dir):
-    phrase = F.element_at(F.array(*map(F.lit, ("see you tomorrow", "due in 3 days", "in 2 weeks", "it was yesterday", "someday"))), (F.col("event_id") % 5 + 1).cast("int"))
-    return table(spark, sf_dir, "events").select("event_id", relative_date(phrase, F.to_date("ts")).alias("day"))
+    """What the relative phrases of all texts mean, each seen from its own date."""
+    base = F.date_add(F.lit("2024-01-31").cast("date"), (F.col("doc_id") % 400).cast("int"))
+    return table(spark, sf_dir, "documents").select("doc_id", dates.relative_dates(_PHRASED.column, base).alias("dates"))
 
 
 @query("list_fields", "SELECT user_id, array_to_string(list_sort(list(DISTINCT event_type)), ',') AS csv, len(list(DISTINCT event_type)) AS n FROM events GROUP BY user_id")
