@@ -124,3 +124,26 @@ def test_dispatch_by_kind(spark):
     assert got[8].text == rows[7][2] and got[8].handler_applied == "email", "too little was left, so that the text stays"
     shout = dispatch.Registry().register("note", dispatch.Handler("shout", F.upper, lambda c: F.struct(F.length(c).alias("n"))))
     assert [(r.text, r.details) for r in shout(df).where("doc_id = 5").collect()] == [("AS  IT IS", '{"n":9}')]
+
+
+def test_names_are_resolved(spark):
+    from textloom.operators import entities
+
+    known = spark.createDataFrame([(1, "Anna Weber", ["Anna", "A. Weber"]), (2, "Anna Meyer", ["Anna", None]), (3, "Bo", None)], "place int, canonical string, aliases array<string>")
+    names = spark.createDataFrame([("Anna",), ("A. Weber",), ("Anna Meyer",), ("Bo",), ("bo",), (None,), ("Anna",)], "name string")
+    got = {r.original: (r.name, r.resolved, r.kb_entry) for r in entities.resolved(names, known).collect()}
+    assert got == {"Anna": ("Anna Weber", True, True), "A. Weber": ("Anna Weber", True, True), "Anna Meyer": ("Anna Meyer", False, True), "Bo": ("Bo", False, True), "bo": ("bo", False, False)}
+
+
+def test_scan_quality_and_critic(spark):
+    from textloom.operators import handlers
+
+    df = spark.createDataFrame([(1, "good plain words here"), (2, "a b c d"), (3, ""), (4, "~~ ok"), (5, "abcdefghijklmnopqrstu word || _____"), (6, "wort_mit_über_zwanzig_zeichen ok ok ok")], "doc_id long, text string")
+    got = {r.doc_id: round(r.q, 6) for r in df.select("doc_id", handlers.scan_quality(F.col("text")).alias("q")).collect()}
+    assert got == {1: 1.0, 2: 0.0, 3: 0.0, 4: 0.0, 5: 0.0, 6: 0.75}
+    none = F.lit(None).cast("string")
+    empty = {"title": none, "summary": none, "topics": F.array().cast("array<string>"), "names": F.array().cast("array<string>"), "dates": F.array().cast("array<string>")}
+    whole = {"title": F.lit("A title"), "summary": F.lit("short"), "topics": F.array(F.lit("words"), F.lit("none")), "names": F.array(F.lit("Ann")), "dates": F.array(F.lit("2024-01-01"))}
+    body = F.lit("some words of 2024-01-01\n\nand more of them in a longer text")
+    scores = lambda record: [float(x) for x in spark.range(1).select(F.array(*documents.rubric_scores(body, record)).alias("s")).first().s]
+    assert scores(empty) == [0, 0, 0, 0, 1, 5, 2] and scores(whole) == [5, 5, 2, 5, 5, 5, 2]

@@ -12,6 +12,7 @@ from pyspark.sql.window import Window
 
 from textloom import shared
 from textloom.functions import dates, scores, text
+from textloom.operators.varied import Joined, Varied
 from textloom.registry import query, spread, table, typed
 
 #: A header with every feature that the invented prose lacks, made alike in Spark and in SQL.
@@ -207,10 +208,17 @@ def calendar_events(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", F.concat_ws("\r\n", F.lit("BEGIN:VEVENT"), F.concat(F.lit("UID:"), uid), F.concat(F.lit("SUMMARY:"), text.calendar_escape(F.split("text", "\n")[0])), F.lit("END:VEVENT")).alias("event"))
 
 
-@query("priorities", "SELECT doc_id, CASE WHEN u AND a THEN 'critical' WHEN u OR a::INT + q::INT + t::INT >= 2 THEN 'high' WHEN a OR t THEN 'medium' ELSE 'low' END AS priority, CASE WHEN a OR u OR q THEN 'pending' WHEN lang IN ('en') THEN 'reference' ELSE 'active' END AS status FROM (SELECT doc_id, lang, doc_id % 5 = 0 AS u, doc_id % 3 = 0 AS a, contains(text, 'ou') AS q, doc_id % 7 = 0 AS t FROM documents)")
+#: Texts with urgent words, tasks, questions and dates before and after them.
+_ASKED = Joined((Varied(("", "URGENT: ", "Please reply asap. ", "Note. "), 3), Varied(("Todo: call back. ", "", "Action needed by us. "), 5), "text", Varied((" Can we meet?", "", " On 2024-05-01.", " Why? 2023-01-02"), 7)))
+_URGENT, _TASKED, _DATED_AT = r"(?i)\b(urgent|asap|immediately|dringend|sofort)\b", r"(?i)\b(todo|action needed|next step|aufgabe)\b", r"\d{4}-\d{2}-\d{2}"
+
+
+@query("priorities", f"SELECT doc_id, CASE WHEN u AND a THEN 'critical' WHEN u OR a::INT + q::INT + t::INT >= 2 THEN 'high' WHEN a OR t THEN 'medium' ELSE 'low' END AS priority, CASE WHEN a OR u OR q THEN 'pending' WHEN lang IN ('en') THEN 'reference' ELSE 'active' END AS status FROM (SELECT doc_id, lang, regexp_matches(b, '{_URGENT}') AS u, regexp_matches(b, '{_TASKED}') AS a, contains(b, '?') AS q, regexp_matches(b, '{_DATED_AT}') AS t FROM (SELECT doc_id, lang, {_ASKED.sql} AS b FROM documents))")
 def priorities(spark, sf_dir):
-    u, a, q, t = F.col("doc_id") % 5 == 0, F.col("doc_id") % 3 == 0, F.col("text").contains("ou"), F.col("doc_id") % 7 == 0
-    return table(spark, sf_dir, "documents").select("doc_id", scores.priority(u, a, q, t).alias("priority"), scores.status(u, a, q, F.when(F.col("lang") == "en", "pdf").otherwise("email")).alias("status"))
+    """Urgent words, tasks, questions and dates of all texts make their priority and status."""
+    rows = table(spark, sf_dir, "documents").select("doc_id", "lang", _ASKED.column.alias("b"))
+    u, a, q, t = F.col("b").rlike(_URGENT), F.col("b").rlike(_TASKED), F.contains("b", F.lit("?")), F.col("b").rlike(_DATED_AT)
+    return rows.select("doc_id", scores.priority(u, a, q, t).alias("priority"), scores.status(u, a, q, F.when(F.col("lang") == "en", "pdf").otherwise("email")).alias("status"))
 
 
 def rubric_scores(body: Column, record: dict[str, Column]) -> list[Column]:

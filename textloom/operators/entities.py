@@ -161,11 +161,27 @@ def concept_links(spark, sf_dir):
     return link_concepts(table(spark, sf_dir, "documents").select(F.explode(F.regexp_extract_all("text", F.lit(r"[\p{L}]+"), F.lit(0))).alias("label")).distinct(), concepts)
 
 
-@query("alias_resolution", "SELECT source, CASE source WHEN 'src1' THEN 'one' WHEN 'src2' THEN 'two' ELSE source END AS canonical, count(*) AS n FROM documents GROUP BY ALL")
+def resolved(names: DataFrame, known: DataFrame) -> DataFrame:
+    """(original, name, resolved, kb_entry) of distinct names (name), by known people (place, canonical, aliases): the first, by place, whose name or alias it is, as written; other names stay.
+
+    Null names and aliases are none. Aliases are rows of a table, so that a knowledge base of any size is a join.
+    """
+    forms = known.select("place", "canonical", F.explode(F.array_union(F.array("canonical"), F.coalesce("aliases", F.array().cast("array<string>")))).alias("form")).where("form is not null")
+    first = forms.groupBy("form").agg(F.min(F.struct("place", "canonical"))["canonical"].alias("canonical"))
+    one = names.where("name is not null").select(F.col("name").alias("original")).distinct().join(first, F.col("original") == F.col("form"), "left")
+    entry = known.select(F.col("canonical").alias("name"), F.lit(True).alias("kb_entry")).distinct()
+    out = one.select("original", F.coalesce("canonical", "original").alias("name")).join(entry, "name", "left")
+    return out.select("original", "name", (F.col("name") != F.col("original")).alias("resolved"), F.coalesce("kb_entry", F.lit(False)).alias("kb_entry"))
+
+
+@query("alias_resolution", f"""WITH m AS (SELECT name, count(*) AS n FROM ({_MENTIONS}) GROUP BY name), k AS (SELECT min(name) AS canonical, list(name) AS aliases FROM m GROUP BY lower(substr(name, 1, 6)) HAVING count(*) > 1),
+f AS (SELECT canonical, unnest(list_append(aliases, canonical)) AS form FROM k), o AS (SELECT form, min(canonical) AS canonical FROM f GROUP BY form)
+SELECT m.name AS original, coalesce(canonical, m.name) AS name, coalesce(canonical <> m.name, false) AS resolved, coalesce(canonical, m.name) IN (SELECT canonical FROM k) AS kb_entry FROM m LEFT JOIN o ON form = m.name""")
 def alias_resolution(spark, sf_dir):
-    aliases = spark.createDataFrame([("src1", "one"), ("src2", "two")], "source string, canonical string")
-    sums = table(spark, sf_dir, "documents").groupBy("source").agg(F.count("*").alias("n"))
-    return sums.join(aliases, "source", "left").select("source", F.coalesce("canonical", "source").alias("canonical"), "n")
+    """All names of all texts, resolved by a knowledge base in which names of the same first six letters are aliases of the first of them by letters."""
+    names = mentions(spark, sf_dir).select("name").distinct()
+    known = names.groupBy(F.lower(F.substring("name", 1, 6)).alias("k")).agg(F.min("name").alias("canonical"), F.collect_list("name").alias("aliases"), F.count("*").alias("n")).where("n > 1")
+    return resolved(names, known.select(F.col("canonical").alias("place"), "canonical", "aliases"))
 
 
 @query("project_matches", "WITH p(project, topic, s, e) AS (VALUES ('a', 'view', DATE '2024-01-05', DATE '2024-01-10'), ('b', 'click', DATE '2024-01-01', DATE '2024-01-03'), ('c', 'view', DATE '2024-01-09', DATE '2024-01-20')) SELECT project, count(*) AS n, count(DISTINCT user_id) AS users FROM events JOIN p ON event_type = topic AND ts::DATE BETWEEN s AND e GROUP BY project")
