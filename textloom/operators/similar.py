@@ -35,7 +35,7 @@ def _sums(rates: dict[int, float]) -> dict[int, int]:
 
 
 def prefixes(strings: DataFrame, least: float, tables: Tables) -> DataFrame:
-    """(kind, t, size, q, gram, at): of each string the rarest parts, of which two strings of an indel ratio of ``least`` share one.
+    """(kind, side, t, size, q, gram, at): of each string (kind, side, t, size) the rarest parts, of which two strings of an indel ratio of ``least`` share one.
 
     With a longest common subsequence of L letters, s - L letters of a string of s are deleted, each of which spoils q parts,
     and t - L inserted, each of which spoils q - 1; the other s - q + 1 parts are kept. As L >= least (s + t) / 2, at least
@@ -57,32 +57,35 @@ def prefixes(strings: DataFrame, least: float, tables: Tables) -> DataFrame:
         grams = grams.unionByName(r)
     grams = tables.write(grams, "grams")
     counts = grams.groupBy("kind", "q", "gram").agg(F.count("*").alias("n"))
-    order = Window.partitionBy("kind", "t", "q").orderBy("n", "gram", "at")
+    order = Window.partitionBy("kind", "side", "t", "q").orderBy("n", "gram", "at")
     ranked = grams.join(counts, ["kind", "q", "gram"]).withColumn("k", F.row_number().over(order)).where("k <= take")
-    out = tables.write(ranked.select("kind", "t", "size", "q", "gram", "at"), "prefixes")
+    out = tables.write(ranked.select("kind", "side", "t", "size", "q", "gram", "at"), "prefixes")
     tables.drop(grams)
     return out
 
 
-def near_pairs(strings: DataFrame, least: float, tables: Tables) -> DataFrame:
-    """(kind, a, b) with a < b: every pair of distinct strings (kind, t) whose indel ratio can be ``least``; the ratio itself is yet to be computed.
+def near_pairs(strings: DataFrame, least: float, tables: Tables, other: DataFrame | None = None) -> DataFrame:
+    """(kind, a, b) with a < b: every pair of distinct strings (kind, t) whose indel ratio can be ``least``; the ratio itself is yet to be computed. With ``other``, every such pair of a string a and another string b of those.
 
     Two strings meet in a rare part that both keep. Their lengths bound the ratio, and the part's places do, too: what
     stands before and after it can't differ by more letters than the ratio allows in all.
     """
     if not 0 < least <= 1:
         raise ValueError("the least ratio lies between 0 and 1")
-    rare = prefixes(strings.select("kind", "t", F.length("t").alias("size")).where("size > 0"), least, tables)
+    sided = strings.select("kind", F.lit(0).alias("side"), "t")
+    if other is not None:
+        sided = sided.unionByName(other.select("kind", F.lit(1).alias("side"), "t"))
+    rare = prefixes(sided.withColumn("size", F.length("t")).where("size > 0"), least, tables)
     rates = _rates(least)
     from_sum = _sums(rates)
-    a = rare.select("kind", "q", "gram", F.col("t").alias("a"), F.col("size").alias("size_a"), F.col("at").alias("at_a"))
-    b = rare.select("kind", "q", "gram", F.col("t").alias("b"), F.col("size").alias("size_b"), F.col("at").alias("at_b"))
+    a = rare.where("side = 0").select("kind", "q", "gram", F.col("t").alias("a"), F.col("size").alias("size_a"), F.col("at").alias("at_a"))
+    b = rare.where(F.col("side") == (0 if other is None else 1)).select("kind", "q", "gram", F.col("t").alias("b"), F.col("size").alias("size_b"), F.col("at").alias("at_b"))
     both, shift, longer = F.col("size_a") + F.col("size_b"), F.col("at_b") - F.col("at_a"), F.col("size_b") - F.col("size_a")
     differ = both - 2 * F.ceil(least / 2 * both - 1e-9)
     q = F.lit(min(rates))
     for k in sorted(rates)[1:]:
         q = F.when(both >= from_sum[k], k).otherwise(q)
-    pairs = met(a, b, ["kind", "q", "gram"], tables).where("a < b").where((F.col("q") == q) & (F.abs(shift) + F.abs(longer - shift) <= differ))
+    pairs = met(a, b, ["kind", "q", "gram"], tables).where("a < b" if other is None else "a <> b").where((F.col("q") == q) & (F.abs(shift) + F.abs(longer - shift) <= differ))
     return pairs.select("kind", "a", "b").distinct()
 
 

@@ -21,11 +21,8 @@ def nearest(values: DataFrame, terms: DataFrame, tables: shared.Tables, least: f
     Matching blocks are a common subsequence, so that pairs come from the join of strings whose indel ratio can be ``least``:
     the vocabulary is a table of any size and no value is held against all of it.
     """
-    v, t = values.select(F.col("value").alias("t")).distinct(), terms.select(F.col("term").alias("t")).distinct()
-    strings = tables.write(v.withColumn("v", F.lit(1)).unionByName(t.withColumn("v", F.lit(0))).where("t <> ''").groupBy("t").agg(F.max("v").alias("v"), (F.min("v") == 0).alias("term")), "strings")
-    pairs = similar.near_pairs(strings.select(F.lit(0).alias("kind"), "t"), least, tables)
-    both = pairs.select(F.col("a").alias("value"), F.col("b").alias("term")).unionByName(pairs.select(F.col("b").alias("value"), F.col("a").alias("term")))
-    both = both.join(strings.where("v = 1").select(F.col("t").alias("value")), "value", "left_semi").join(strings.where("term").select(F.col("t").alias("term")), "term", "left_semi")
+    of = lambda df, c: tables.write(df.select(F.lit(0).alias("kind"), F.col(c).alias("t")).where("t <> ''").distinct(), c)
+    both = similar.near_pairs(of(values, "value"), least, tables, of(terms, "term")).select(F.col("a").alias("value"), F.col("b").alias("term"))
 
     @F.pandas_udf("double")
     def score(x: pd.Series, y: pd.Series) -> pd.Series:
