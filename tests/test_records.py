@@ -97,7 +97,7 @@ def test_nearest_terms_against_all_terms(spark):
     draw = random.Random(7)
     terms = ["".join(draw.choice("abcdefg") for _ in range(draw.randint(1, 10))) for _ in range(60)]
     values = [t[:k] + draw.choice("xyz") + t[k + draw.randint(0, 1) :] for t in terms for k in [draw.randrange(len(t) + 1)]] + ["zzzz", "q", "äöü"]
-    got = {r.value: (r.term, round(r.similarity, 9)) for r in vocabulary.nearest(spark.createDataFrame([(v,) for v in values], "value string"), spark.createDataFrame([(t,) for t in terms], "term string"), Tables(spark, "test")).collect()}
+    got = {r.value: (r.term, round(r.similarity, 9)) for r in vocabulary.nearest(spark.createDataFrame([(v,) for v in values], "value string"), spark.createDataFrame([(t,) for t in terms], "term string"), Tables(spark, "test"), block=7).collect()}
     want = {}
     for v in set(values):
         some = [(round(difflib.SequenceMatcher(None, t, v).ratio(), 9), t) for t in set(terms) if t != v]

@@ -3,33 +3,75 @@
 from __future__ import annotations
 
 import difflib
+from collections.abc import Iterator
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from textloom import shared
-from textloom.operators import similar
 from textloom.registry import query, table
 
-LEAST = 0.6
+LEAST, BLOCK_TERMS = 0.6, 4096
 
 
-def nearest(values: DataFrame, terms: DataFrame, tables: shared.Tables, least: float = LEAST) -> DataFrame:
-    """(value, term, similarity) of distinct values with their nearest term by matching blocks at ``least`` or more; of equals the last by letters.
+def _bags(strings: list[str]) -> np.ndarray:
+    """A row for each string with how often each letter by its code modulo 64 stands in it: never less in common than the letters themselves."""
+    out = np.zeros((len(strings), 64), np.int16)
+    for k, x in enumerate(strings):
+        np.add.at(out[k], np.fromiter(map(ord, x), np.int64, len(x)) % 64, 1)
+    return out
 
-    Matching blocks are a common subsequence, so that pairs come from the join of strings whose indel ratio can be ``least``:
-    the vocabulary is a table of any size and no value is held against all of it.
-    """
-    of = lambda df, c: tables.write(df.select(F.lit(0).alias("kind"), F.col(c).alias("t")).where("t <> ''").distinct(), c)
-    both = similar.near_pairs(of(values, "value"), least, tables, of(terms, "term")).select(F.col("a").alias("value"), F.col("b").alias("term"))
 
-    @F.pandas_udf("double")
-    def score(x: pd.Series, y: pd.Series) -> pd.Series:
-        return pd.Series([difflib.SequenceMatcher(None, b, a).ratio() for a, b in zip(x, y, strict=True)], dtype=float)
+def _matcher(sent, least: float):
+    """For each value the most similar term of a block; only terms with enough letters in common are compared block by block of letters."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        terms = sent.value
+        theirs, sizes = _bags(terms), np.array(list(map(len, terms)))
+        for b in batches:
+            values, out = b.column(0).to_pylist(), []
+            for v, mine in zip(values, _bags(values), strict=True):
+                common = 2 * np.minimum(theirs, mine).sum(1)
+                best = None
+                for k in np.flatnonzero(common >= least * (sizes + len(v)) - 1e-9).tolist():
+                    m = difflib.SequenceMatcher(None, terms[k], v)
+                    if terms[k] != v and (best is None or m.quick_ratio() >= best[0]) and (r := (m.ratio(), terms[k]))[0] >= least and (best is None or r > best):
+                        best = r
+                if best:
+                    out.append((v, best[1], best[0]))
+            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(list(zip(*out, strict=True)) or [[], [], []], (pa.string(), pa.string(), pa.float64()), strict=True)], ["value", "term", "similarity"])
+
+    return run
 
-    scored = both.withColumn("similarity", score("value", "term")).where(F.col("similarity") >= least)
-    best = scored.groupBy("value").agg(F.max(F.struct("similarity", "term")).alias("x"))
+
+def nearest(values: DataFrame, terms: DataFrame, tables: shared.Tables, least: float = LEAST, block: int = BLOCK_TERMS) -> DataFrame:
+    """(value, term, similarity) of distinct values with their nearest other term by matching blocks at ``least`` or more; of equals the last by letters.
+
+    The vocabulary goes out in blocks of bounded size, each against all distinct values, which stay where they are; a value's
+    best of each block meet in a sum. The letters that two strings have in common bound their matching blocks, so that few
+    pairs are compared in full. (At a ratio of 0.6 strings needn't share any two letters in a row, so that a join on parts would
+    make nearly all pairs.)
+    """
+    spark, out = values.sparkSession, None
+    some = tables.write(values.select("value").where("value <> ''").distinct().repartition(spark.sparkContext.defaultParallelism), "distinct")
+    held: list[str] = []
+
+    def ask(listed: list[str]) -> DataFrame:
+        sent = spark.sparkContext.broadcast(listed)
+        found = tables.write(some.mapInArrow(_matcher(sent, least), "value string, term string, similarity double"), "near")
+        sent.destroy()
+        return found
+
+    for r in terms.select("term").where("term <> ''").distinct().toLocalIterator():
+        held.append(r.term)
+        if len(held) == block:
+            out = ask(held) if out is None else out.unionByName(ask(held))
+            held = []
+    if held or out is None:
+        out = ask(held) if out is None else out.unionByName(ask(held))
+    best = out.groupBy("value").agg(F.max(F.struct("similarity", "term")).alias("x"))
     return best.select("value", "x.term", "x.similarity")
 
 
