@@ -116,3 +116,9 @@ def test_items_of_invoices(spark):
 
     texts = ["a 1.50 b 2,50\nc\n 3.25", " 12.50", "x\n\n5.00 9.99", "no", "a  1.5 2.555", "word " * 40_000 + "1.25", "word " * 40_000]
     assert [one(spark, rules.invoice, x)["items"] for x in texts] == [len(re.findall(ITEM, x)) for x in texts[:5]] + [1, 0]
+
+
+def test_long_words_end_at_letters_beyond_ascii(spark):
+    # as in the SQL: of "elleanménage" only letters of ASCII count, so that these questions have no long word in common
+    assert one(spark, chats.shifted, "de elleanai un", "de oireaué un") is True
+    assert one(spark, chats.shifted, "de oireau un", "de éoireaué un") is False

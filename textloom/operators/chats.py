@@ -22,13 +22,15 @@ TECHNOLOGIES = (
 )
 TODO = r"(?i)\b(?:TODO|FIXME|Action item|Next step)"
 _LONG = r"\b[a-z]{5,}\b"
+#: The same in Spark, where Java's \b doesn't part a letter beyond ASCII from one of ASCII, as SQL's does.
+_LONG_WORDS = r"(?<![A-Za-z0-9_])[a-z]{5,}(?![A-Za-z0-9_])"
 
 
 def shifted(before: Column, now: Column) -> Column:
     """Whether a question leaves the topic of the one before: a mark of it, other question words, or under a fifth of the first ten words of five letters or more in common."""
     a, b = F.lower(before), F.lower(now)
     asked = lambda c: F.filter(F.array(*map(F.lit, QUESTION_WORDS)), lambda w: c.contains(w))
-    terms = lambda c: F.array_distinct(F.slice(F.regexp_extract_all(c, F.lit(_LONG), F.lit(0)), 1, 10))
+    terms = lambda c: F.array_distinct(F.slice(F.regexp_extract_all(c, F.lit(_LONG_WORDS), F.lit(0)), 1, 10))
     share = F.size(F.array_intersect(terms(a), terms(b))) / F.nullif(F.size(F.array_union(terms(a), terms(b))), F.lit(0))
     mark = reduce(lambda x, y: x | y, (b.contains(m) for m in SHIFT_MARKS))
     other = (F.size(asked(a)) > 0) & (F.size(asked(b)) > 0) & (asked(a) != asked(b))
