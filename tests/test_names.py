@@ -161,3 +161,33 @@ def test_hot_parts_are_split(spark, monkeypatch):
     got = [(r.title_a, r.title_b) for r in mutations.similar_titles(spark.createDataFrame([(t,) for t in titles], "title string"), 0.92).collect()]
     want = [(a, b) for a in sorted(titles) for b in sorted(titles) if a < b and 2 * lcs(a, b) / (len(a) + len(b)) >= 0.92]
     assert sorted(got) == want and len(want) > 500
+
+
+def test_near_pairs_of_short_and_long_strings(spark, monkeypatch):
+    """Strings on both sides of the size from which all pairs of tiles meet, in tiles of few strings; of one table and of two."""
+    from textloom.operators import similar
+
+    monkeypatch.setattr(similar, "TILE", 16)
+    draw, least = random.Random(5), 0.85
+    most = similar.short_size(least)
+    base = ["".join(draw.choice("abcdeéßœ😀") for _ in range(n)) for n in [*range(1, 2 * most), 70, 200]] + ["a" * 400, "a" * 350]
+    strings = list(dict.fromkeys(base + [b[:k] + x + b[k + n :] for b in base for k in [draw.randrange(len(b)), draw.randrange(len(b))] for x, n in (("", 1), ("x", 0), ("y", 1), ("zz", 2), ("", 2))] + ["aéb", "baé"]))
+    strings = [s for s in strings if s]
+    df = spark.createDataFrame([(k % 2, s) for k in (0, 1) for s in strings[: len(strings) // (k + 1)]], "kind int, t string").repartition(3)
+    alike = lambda pairs: {(r.a, r.b) for r in pairs.where("kind = 0").collect() if similar.indel_ratio(r.a, r.b) >= least}
+    tables = entities.shared.Tables(spark, "test")
+    every = {(a, b) for a in strings for b in strings if a != b and similar.indel_ratio(a, b) >= least}
+    assert alike(similar.near_pairs(df, least, tables)) == {p for p in every if p[0] < p[1]} and len(every) > 400
+    some = df.where("length(t) % 3 > 0")
+    assert alike(similar.near_pairs(some, least, tables, df)) == {p for p in every if len(p[0]) % 3}
+
+
+def test_short_strings_meet_in_rests_only(spark):
+    """Words of one small alphabet have common parts throughout: the join makes few pairs besides those alike. It made nearly all before."""
+    from textloom.operators import similar
+
+    draw = random.Random(6)
+    words = list({"".join(draw.choice(["th", "en", "lich", "ti", "on", "er"]) for _ in range(4)) for _ in range(600)})
+    words = [w for w in words if len(w) <= similar.short_size(0.85)]
+    pairs = similar.near_pairs(spark.createDataFrame([(0, w) for w in words], "kind int, t string"), 0.85, entities.shared.Tables(spark, "test")).collect()
+    assert len(words) > 300 and pairs and all(similar.indel_ratio(r.a, r.b) >= 0.85 for r in pairs)

@@ -1,16 +1,22 @@
-"""Pairs of strings that may be alike: joins on rare parts that lose no pair."""
+"""Pairs of strings that may be alike: joins that lose no pair."""
 
 from __future__ import annotations
 
+import itertools
+import math
+from collections.abc import Iterator
+
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from textloom.shared import Tables
 
-#: Letters of a part; rows of a key that meet in one task on one side of a join.
-SIZES, BLOCK = (1, 2, 3), 2000
+#: Rows of a key that meet in one task on one side of a join; strings of a tile; what a string of few letters may leave at most.
+BLOCK, TILE, REMAINS = 2000, 2048, 512
 
 
 def met(left: DataFrame, right: DataFrame, keys: list[str], tables: Tables) -> DataFrame:
@@ -24,69 +30,131 @@ def met(left: DataFrame, right: DataFrame, keys: list[str], tables: Tables) -> D
     return dealt.join(again, [*keys, "block"]).drop("block")
 
 
-def _rates(least: float) -> dict[int, float]:
-    """For parts of q letters, how many shared ones a letter of both strings guarantees, less q - 1 in all; only where it guarantees any."""
-    return {q: c for q in SIZES if (c := (2 * q - 1) * least / 2 - (q - 1)) > 1e-9}
+def _least_kept(size: int, least: float) -> int:
+    """The least longest common subsequence that a string of ``size`` letters can have with any string of an indel ratio of ``least``."""
+    return math.ceil(size * least / (2 - least) - 1e-9)
+
+
+def short_size(least: float) -> int:
+    """Up to which size strings have REMAINS different rests at most when as many letters are left out as ``least`` allows."""
+    size = 0
+    while sum(math.comb(size + 1, k) for k in range(size + 2 - _least_kept(size + 1, least))) <= REMAINS and size < 64:
+        size += 1
+    return size
+
+
+def rests(strings: DataFrame, least: float) -> DataFrame:
+    """(kind, side, t, gone, rest): what is left of each string when any letters are left out, ``gone`` of them, as few as an indel ratio of ``least`` to some string allows."""
+    schema = "kind string, side int, t string, gone int, rest string"
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rows = []
+            for kind, side, t in zip(*(b.column(k).to_pylist() for k in range(3)), strict=True):
+                for gone in range(len(t) - _least_kept(len(t), least) + 1):
+                    rows += [(kind, side, t, gone, r) for r in set(map("".join, itertools.combinations(t, len(t) - gone)))]
+                if len(rows) >= 20_000:
+                    yield _batch(rows, _RESTS)
+                    rows = []
+            yield _batch(rows, _RESTS)
+
+    return strings.select(F.col("kind").cast("string"), "side", "t").mapInArrow(run, schema)
+
+
+_RESTS = pa.schema([("kind", pa.string()), ("side", pa.int32()), ("t", pa.string()), ("gone", pa.int32()), ("rest", pa.string())])
+_PAIRS = pa.schema([("kind", pa.string()), ("a", pa.string()), ("b", pa.string())])
+
+
+def _batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(list(zip(*rows, strict=True)) or [[]] * len(schema), schema, strict=True)], schema=schema)
+
+
+def _short_pairs(short: DataFrame, least: float, tables: Tables, two: bool) -> DataFrame:
+    """Pairs of short strings: a common subsequence is a rest of both. One of the two leaves out no more letters than the other, so that strings with few gone meet all."""
+    rows = rests(short, least).select("kind", "side", "t", "gone", F.xxhash64("rest").alias("h"), F.floor(2 * F.length("rest") * (1 / least - 1) + 1e-9).cast("int").alias("most"))
+    rows = tables.write(rows.where("gone <= most"), "rests")
+    few = rows.where("2 * gone <= most")
+    side = lambda df, k, x, g: df.where(F.col("side") == k).select("kind", "h", "most", F.col("t").alias(x), F.col("gone").alias(g))
+    join = lambda x, y: x.join(y, ["kind", "h", "most"]).where("gone_a + gone_b <= most").select("kind", "a", "b")
+    found = join(side(few, 0, "a", "gone_a"), side(rows, int(two), "b", "gone_b"))
+    return found.unionByName(join(side(rows.where("2 * gone > most"), 0, "a", "gone_a"), side(few, 1, "b", "gone_b"))) if two else found
 
 
-def _sums(rates: dict[int, float]) -> dict[int, int]:
-    """From which sum of both lengths on parts of q letters decide: where they guarantee one that is shared; single letters do for any strings alike."""
-    return {q: -(-q // c) if q > 1 else 1 for q, c in rates.items()}
+def bags(strings: list[str], q: int, buckets: int) -> np.ndarray:
+    """A column for each string with how often each of its parts of q letters stands in it, by a hash: never less in common than the parts themselves."""
+    size = np.fromiter(map(len, strings), np.int64, len(strings))
+    codes = np.frombuffer("".join(strings).encode("utf-32-le"), np.uint32).astype(np.int64)
+    of, first = np.repeat(np.arange(len(strings)), size), np.repeat(np.cumsum(size) - size, size)
+    at = np.flatnonzero(np.arange(len(codes)) - first + q <= size[of])
+    part = codes[at] if q == 1 else codes[at] * 31 + codes[at + 1]
+    counts = np.bincount((part % buckets) * len(strings) + of[at], minlength=buckets * len(strings)).reshape(buckets, -1)
+    return counts.astype(np.int16 if counts.max(initial=0) < 1 << 8 else np.int64)
 
 
-def prefixes(strings: DataFrame, least: float, tables: Tables) -> DataFrame:
-    """(kind, side, t, size, q, gram, at): of each string (kind, side, t, size) the rarest parts, of which two strings of an indel ratio of ``least`` share one.
+def tile_pairs(left: list[str], right: list[str], least: float) -> Iterator[tuple[int, int]]:
+    """(i, j): every pair of strings whose ratio can be ``least`` by their lengths, their letters and their parts of two letters.
 
-    With a longest common subsequence of L letters, s - L letters of a string of s are deleted, each of which spoils q parts,
-    and t - L inserted, each of which spoils q - 1; the other s - q + 1 parts are kept. As L >= least (s + t) / 2, at least
-    c (s + t) - q + 1 parts are, with c = (2 q - 1) least / 2 - (q - 1). So all but one less than these may be left out, the
-    commonest first: the rarest kept part is among both strings' rest, at its place. The longest q decides that guarantees one.
+    A common subsequence has no more letters than both have in common; each of the deletions and insertions that the ratio
+    allows spoils one or two parts of two letters.
     """
-    rates, rows = _rates(least), []
-    from_sum = _sums(rates)
-    for q, c in rates.items():
-        longer = [from_sum[p] for p in rates if p > q]
-        low = F.greatest(F.ceil(F.col("size") * (least / (2 - least)) - 1e-9), F.lit(from_sum[q]) - F.col("size"), F.lit(1))
-        high = F.floor(F.col("size") * ((2 - least) / least) + 1e-9)
-        high = F.least(high, F.lit(min(longer) - 1) - F.col("size")) if longer else high
-        shared = F.greatest(F.ceil(c * (F.col("size") + low) - q + 1 - 1e-9), F.lit(1))
-        some = strings.withColumn("q", F.lit(q)).withColumn("take", F.col("size") - (q - 1) - shared + 1).where(low <= high).where("take > 0")
-        rows.append(some.withColumn("at", F.explode(F.sequence(F.lit(1), F.col("size") - (q - 1)))).withColumn("gram", F.expr("substring(t, at, q)")))
-    grams = rows[0]
-    for r in rows[1:]:
-        grams = grams.unionByName(r)
-    grams = tables.write(grams, "grams")
-    counts = grams.groupBy("kind", "q", "gram").agg(F.count("*").alias("n"))
-    order = Window.partitionBy("kind", "side", "t", "q").orderBy("n", "gram", "at")
-    ranked = grams.join(counts, ["kind", "q", "gram"]).withColumn("k", F.row_number().over(order)).where("k <= take")
-    out = tables.write(ranked.select("kind", "side", "t", "size", "q", "gram", "at"), "prefixes")
-    tables.drop(grams)
-    return out
+    order = sorted(range(len(right)), key=lambda j: len(right[j]))
+    right = [right[j] for j in order]
+    sizes = np.fromiter(map(len, right), np.int64, len(right))
+    (one, two), (mine, pairs) = ([bags(x, q, n) for q, n in ((1, 32), (2, 127))] for x in (right, left))
+    for i, a in enumerate(left):
+        lo, hi = np.searchsorted(sizes, len(a) * least / (2 - least) - 1e-9), np.searchsorted(sizes, len(a) * (2 - least) / least + 1e-9, "right")
+        if lo == hi:
+            continue
+        kept = np.ceil(least / 2 * (sizes[lo:hi] + len(a)) - 1e-9)
+        near = lo + np.flatnonzero(np.minimum(one[:, lo:hi], mine[:, i : i + 1]).sum(0, dtype=one.dtype if one.dtype == np.int16 and len(a) < 1 << 15 else np.int64) >= kept)
+        kept = kept[near - lo]
+        shared = np.minimum(two[:, near], pairs[:, i : i + 1]).sum(0, dtype=np.int64)
+        for j in near[shared >= 3 * kept - sizes[near] - len(a) - 1].tolist():
+            yield i, order[j]
+
+
+def _long_pairs(left: DataFrame, right: DataFrame, least: float, tables: Tables, half: bool = False) -> DataFrame:
+    """(kind, a, b) of (kind, t): all pairs of tiles of the strings of a kind are the tasks, which look at bounds first. With ``half`` both sides are the same and each pair of tiles is one task."""
+    blocks = left.select("kind", F.lit(0).alias("s")).unionByName(right.select("kind", F.lit(1).alias("s"))).groupBy("kind").agg(*(F.ceil(F.count_if(F.col("s") == k) / TILE).cast("int").alias(n) for k, n in ((0, "m"), (1, "n"))))
+    blocks = tables.write(blocks.where("m > 0 and n > 0"), "blocks")
+    hashed = F.xxhash64("t")
+    a = left.join(blocks, "kind").select("kind", F.pmod(hashed, "m").cast("int").alias("i"), F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("j"), "t")
+    b = right.join(blocks, "kind").select("kind", F.explode(F.sequence(F.lit(0), F.col("m") - 1)).alias("i"), F.pmod(hashed, "n").cast("int").alias("j"), "t").toDF("kind_b", "i_b", "j_b", "t")
+    a, b = (x.select(*(F.col(c).alias(c) for c in x.columns)) for x in (a, b))
+    if half:
+        a, b = a.where("i <= j"), b.where("i_b <= j_b")
+
+    def meet(key: tuple, x: pa.Table, y: pa.Table) -> pa.Table:
+        kind, (p, r) = key[0].as_py(), (z.column("t").to_pylist() for z in (x, y))
+        rows = [(kind, p[i], r[j]) for i, j in tile_pairs(p, r, least)] if p and r else []
+        return pa.Table.from_batches([_batch(rows, _PAIRS)])
+
+    return a.groupBy("kind", "i", "j").cogroup(b.groupBy("kind_b", "i_b", "j_b")).applyInArrow(meet, "kind string, a string, b string")
 
 
 def near_pairs(strings: DataFrame, least: float, tables: Tables, other: DataFrame | None = None) -> DataFrame:
     """(kind, a, b) with a < b: every pair of distinct strings (kind, t) whose indel ratio can be ``least``; the ratio itself is yet to be computed. With ``other``, every such pair of a string a and another string b of those.
 
-    Two strings meet in a rare part that both keep. Their lengths bound the ratio, and the part's places do, too: what
-    stands before and after it can't differ by more letters than the ratio allows in all.
+    Two short strings meet in a longest common subsequence, which both leave when few letters are left out: their number
+    grows with the strings, not with their pairs. Long ones have too many such rests, and their parts are common to most of
+    them; all pairs of tiles compare their letters, at some ten nanoseconds a pair.
     """
     if not 0 < least <= 1:
         raise ValueError("the least ratio lies between 0 and 1")
+    kind = strings.schema["kind"].dataType
     sided = strings.select("kind", F.lit(0).alias("side"), "t")
     if other is not None:
         sided = sided.unionByName(other.select("kind", F.lit(1).alias("side"), "t"))
-    rare = prefixes(sided.withColumn("size", F.length("t")).where("size > 0"), least, tables)
-    rates = _rates(least)
-    from_sum = _sums(rates)
-    a = rare.where("side = 0").select("kind", "q", "gram", F.col("t").alias("a"), F.col("size").alias("size_a"), F.col("at").alias("at_a"))
-    b = rare.where(F.col("side") == (0 if other is None else 1)).select("kind", "q", "gram", F.col("t").alias("b"), F.col("size").alias("size_b"), F.col("at").alias("at_b"))
-    both, shift, longer = F.col("size_a") + F.col("size_b"), F.col("at_b") - F.col("at_a"), F.col("size_b") - F.col("size_a")
-    differ = both - 2 * F.ceil(least / 2 * both - 1e-9)
-    q = F.lit(min(rates))
-    for k in sorted(rates)[1:]:
-        q = F.when(both >= from_sum[k], k).otherwise(q)
-    pairs = met(a, b, ["kind", "q", "gram"], tables).where("a < b" if other is None else "a <> b").where((F.col("q") == q) & (F.abs(shift) + F.abs(longer - shift) <= differ))
-    return pairs.select("kind", "a", "b").distinct()
+    sided = tables.write(sided.select(F.col("kind").cast("string").alias("kind"), "side", "t", F.length("t").alias("size")).where("size > 0").distinct(), "sided")
+    most, two = short_size(least), other is not None
+    reach = _least_kept(most + 1, least)
+    of = lambda side, test: sided.where((F.col("side") == side) & test).select("kind", "t")
+    size = F.col("size")
+    pairs = _short_pairs(sided.where(size <= most), least, tables, two)
+    for left, right, half in [(of(0, size > most), of(int(two), size > most), not two), (of(0, size > most), of(int(two), size.between(reach, most)), False), *([(of(0, size.between(reach, most)), of(1, size > most), False)] if two else [])]:
+        pairs = pairs.unionByName(_long_pairs(left, right, least, tables, half))
+    a, b = (F.col("a"), F.col("b")) if two else (F.least("a", "b"), F.greatest("a", "b"))
+    return pairs.where("a <> b").select(F.col("kind").cast(kind).alias("kind"), a.alias("a"), b.alias("b")).distinct()
 
 
 def indel_ratio(a: str, b: str) -> float:
