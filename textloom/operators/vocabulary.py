@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import difflib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -11,37 +11,63 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from textloom import shared
+from textloom.operators import similar
 from textloom.registry import query, table
 
-LEAST, BLOCK_TERMS = 0.6, 4096
+#: Ratios from which a term is near, and from which a join finds it; terms of a block.
+LEAST, CLOSE, BLOCK_TERMS = 0.6, 0.8, 16384
 
 
-def _bags(strings: list[str]) -> np.ndarray:
-    """A row for each string with how often each letter by its code modulo 64 stands in it: never less in common than the letters themselves."""
-    out = np.zeros((len(strings), 64), np.int16)
-    for k, x in enumerate(strings):
-        np.add.at(out[k], np.fromiter(map(ord, x), np.int64, len(x)) % 64, 1)
-    return out
+def _best(value: str, terms: Iterable[tuple[float, str]], least: float) -> tuple[float, str] | None:
+    """The largest (ratio of matching blocks, term) at ``least`` or more of (bound, term), bounds falling: those below the best ratio so far can't be better. The indel ratio bounds it, too."""
+    best = None
+    for bound, term in terms:
+        if bound < (best[0] if best else least) - 1e-9:
+            break
+        if term == value or similar.indel_ratio(term, value) < (best[0] if best else least) - 1e-9:
+            continue
+        r = (difflib.SequenceMatcher(None, term, value).ratio(), term)
+        if r[0] >= least and (best is None or r > best):
+            best = r
+    return best
+
+
+_NEAREST = "value string, term string, similarity double"
+
+
+def _rows(out: list[tuple[str, str, float]]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(list(zip(*out, strict=True)) or [[], [], []], (pa.string(), pa.string(), pa.float64()), strict=True)], ["value", "term", "similarity"])
 
 
 def _matcher(sent, least: float):
-    """For each value the most similar term of a block; only terms with enough letters in common are compared block by block of letters."""
+    """For each value the most similar term of a block; letters in common bound the ratio."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         terms = sent.value
-        theirs, sizes = _bags(terms), np.array(list(map(len, terms)))
+        theirs, sizes = similar.bags(terms, 1, 32), np.array(list(map(len, terms)))
         for b in batches:
             values, out = b.column(0).to_pylist(), []
-            for v, mine in zip(values, _bags(values), strict=True):
-                common = 2 * np.minimum(theirs, mine).sum(1)
-                best = None
-                for k in np.flatnonzero(common >= least * (sizes + len(v)) - 1e-9).tolist():
-                    m = difflib.SequenceMatcher(None, terms[k], v)
-                    if terms[k] != v and (best is None or m.quick_ratio() >= best[0]) and (r := (m.ratio(), terms[k]))[0] >= least and (best is None or r > best):
-                        best = r
-                if best:
+            for v, mine in zip(values, similar.bags(values, 1, 32).T, strict=True):
+                bound = 2 * np.minimum(theirs, mine[:, None]).sum(0, dtype=np.int64) / (sizes + len(v))
+                at = np.flatnonzero(bound >= least - 1e-9)
+                at = at[np.argsort(-bound[at], kind="stable")]
+                if best := _best(v, zip(bound[at].tolist(), (terms[k] for k in at.tolist()), strict=True), least):
+                    out.append((v, best[1], best[0]))
+            yield _rows(out)
+
+    return run
+
+
+def _nearest_of_listed(least: float):
+    """For each value the most similar of its own listed terms."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            out = []
+            for v, listed in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                if best := _best(v, sorted(((similar.indel_ratio(t, v), t) for t in listed), reverse=True), least):
                     out.append((v, best[1], best[0]))
-            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(list(zip(*out, strict=True)) or [[], [], []], (pa.string(), pa.string(), pa.float64()), strict=True)], ["value", "term", "similarity"])
+            yield _rows(out)
 
     return run
 
@@ -49,22 +75,32 @@ def _matcher(sent, least: float):
 def nearest(values: DataFrame, terms: DataFrame, tables: shared.Tables, least: float = LEAST, block: int = BLOCK_TERMS) -> DataFrame:
     """(value, term, similarity) of distinct values with their nearest other term by matching blocks at ``least`` or more; of equals the last by letters.
 
-    The vocabulary goes out in blocks of bounded size, each against all distinct values, which stay where they are; a value's
-    best of each block meet in a sum. The letters that two strings have in common bound their matching blocks, so that few
-    pairs are compared in full. (At a ratio of 0.6 strings needn't share any two letters in a row, so that a join on parts would
-    make nearly all pairs.)
+    Matching blocks are a common subsequence. So a join that loses no pair of an indel ratio of CLOSE settles all values with
+    a term at CLOSE or more: no other term is as near. Most have one. (At a ratio of 0.6 strings needn't share any two letters
+    in a row, so that such a join would make nearly all pairs.) For the others the vocabulary goes out in blocks of bounded
+    size, each against these values, which stay where they are; a value's best of each block meet in a sum. The letters that
+    two strings have in common bound their matching blocks; the likeliest terms come first, and few pairs are compared in full.
     """
     spark, out = values.sparkSession, None
-    some = tables.write(values.select("value").where("value <> ''").distinct().repartition(spark.sparkContext.defaultParallelism), "distinct")
+    cores = spark.sparkContext.defaultParallelism
+    some = tables.write(values.select("value").where("value <> ''").distinct().repartition(cores), "distinct")
+    known = tables.write(terms.select("term").where("term <> ''").distinct(), "known")
+    close = max(least, CLOSE)
+    kind = lambda df, c: df.select(F.lit(0).alias("kind"), F.col(c).alias("t"))
+    pairs = similar.near_pairs(kind(some, "value"), close, tables, kind(known, "term")).groupBy("a").agg(F.collect_list("b").alias("terms"))
+    near = tables.write(pairs.mapInArrow(_nearest_of_listed(close), _NEAREST), "close")
+    if close == least:
+        return near
+    some = tables.write(some.join(near, "value", "left_anti").repartition(cores), "distant")
     held: list[str] = []
 
     def ask(listed: list[str]) -> DataFrame:
         sent = spark.sparkContext.broadcast(listed)
-        found = tables.write(some.mapInArrow(_matcher(sent, least), "value string, term string, similarity double"), "near")
+        found = tables.write(some.mapInArrow(_matcher(sent, least), _NEAREST), "near")
         sent.destroy()
         return found
 
-    for r in terms.select("term").where("term <> ''").distinct().toLocalIterator():
+    for r in known.toLocalIterator():
         held.append(r.term)
         if len(held) == block:
             out = ask(held) if out is None else out.unionByName(ask(held))
@@ -72,7 +108,7 @@ def nearest(values: DataFrame, terms: DataFrame, tables: shared.Tables, least: f
     if held or out is None:
         out = ask(held) if out is None else out.unionByName(ask(held))
     best = out.groupBy("value").agg(F.max(F.struct("similarity", "term")).alias("x"))
-    return best.select("value", "x.term", "x.similarity")
+    return near.unionByName(best.select("value", "x.term", "x.similarity"))
 
 
 def sorted_out(docs: DataFrame, terms: DataFrame, doc_id: str = "doc_id", values: str = "values", least: float = LEAST) -> DataFrame:
