@@ -191,3 +191,17 @@ def test_short_strings_meet_in_rests_only(spark):
     words = [w for w in words if len(w) <= similar.short_size(0.85)]
     pairs = similar.near_pairs(spark.createDataFrame([(0, w) for w in words], "kind int, t string"), 0.85, entities.shared.Tables(spark, "test")).collect()
     assert len(words) > 300 and pairs and all(similar.indel_ratio(r.a, r.b) >= 0.85 for r in pairs)
+
+
+def test_vectors_in_small_blocks(spark, monkeypatch):
+    """What a task holds against the queries is bounded, not the batch that it gets; ties at the k-th place go by number across blocks."""
+    monkeypatch.setattr(retrieval, "ROW_BLOCK", 3)
+    draw = random.Random(9)
+    rows = [(k, [float(draw.randint(-2, 2)) for _ in range(3)]) for k in range(60)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>").coalesce(1)
+    got: dict = {}
+    for r in retrieval.search_all(df, df.withColumnRenamed("vec_id", "query_id"), k=5).collect():
+        got.setdefault(r.query_id, []).append((r.rank, r.vec_id))
+    cosine = lambda a, b: round(sum(x * y for x, y in zip(a, b, strict=True)) / sum(x * x for x in a) ** 0.5 / sum(x * x for x in b) ** 0.5, 9)
+    some = [(k, v) for k, v in rows if any(v)]
+    assert {q: [v for _, v in sorted(x)] for q, x in got.items()} == {q: [j for _, j in sorted((-cosine(v, w), j) for j, w in some if j != q)[:5]] for q, v in some}

@@ -300,7 +300,8 @@ g AS (SELECT query_id, e.vec_id AS doc_id FROM q JOIN embeddings e ON e.label =
 h AS (SELECT s.query_id, s.rank, g.doc_id IS NOT NULL AS hit FROM s LEFT JOIN g ON s.query_id = g.query_id AND s.doc_id = g.doc_id),
 m AS (SELECT query_id, sum((hit AND rank <= 5)::INT) / 5.0 AS p5, sum(hit::INT) / 10.0 AS p10, sum((hit AND rank <= 5)::INT) AS h5, sum(hit::INT) AS h10, min(CASE WHEN hit THEN rank END) AS first FROM h GROUP BY query_id)
 """
-QUERY_BLOCK = 4096
+#: Queries of a block, and rows that a task holds against them at once: together they bound its memory, whatever the batches.
+QUERY_BLOCK, ROW_BLOCK = 4096, 256
 
 
 def _usable(v: list | None, size: int | None) -> bool:
@@ -322,14 +323,18 @@ def search_all(vectors: DataFrame, queries: DataFrame, k: int = K, block: int =
         def run(batches):
             ids, probes = sent.value
             best_id, best = np.full((len(ids), 0), 0, np.int64), np.full((len(ids), 0), 0.0)
-            for b in batches:
+            for b in (x.slice(at, ROW_BLOCK) for x in batches for at in range(0, x.num_rows, ROW_BLOCK)):
                 keep = [k for k, v in enumerate(b.column(1).to_pylist()) if _usable(v, probes.shape[1])]
                 m = np.array([b.column(1)[k].as_py() for k in keep], float).reshape(-1, probes.shape[1])
                 row = np.broadcast_to(b.column(0).take(pa.array(keep, pa.int64())).to_numpy(), (len(ids), len(keep)))
                 score = np.round(probes @ (m / np.linalg.norm(m, axis=1, keepdims=True)).T, 9)
-                best_id, best = np.concatenate([best_id, row], 1), np.concatenate([best, np.where(row == ids[:, None], -np.inf, score)], 1)
-                order = np.lexsort((best_id, -best), axis=1)[:, :k]
-                best_id, best = np.take_along_axis(best_id, order, 1), np.take_along_axis(best, order, 1)
+                score[row == ids[:, None]] = -np.inf
+                better = np.flatnonzero((score >= best[:, -1:]).any(1)) if best.shape[1] == k else np.arange(len(ids))
+                some_id, some = np.concatenate([best_id[better], row[better]], 1), np.concatenate([best[better], score[better]], 1)
+                order = np.lexsort((some_id, -some), axis=1)[:, :k]
+                if best.shape[1] < order.shape[1]:
+                    best_id, best = np.zeros(order.shape, np.int64), np.zeros(order.shape)
+                best_id[better], best[better] = np.take_along_axis(some_id, order, 1), np.take_along_axis(some, order, 1)
             keep = np.isfinite(best)
             yield pa.RecordBatch.from_arrays([pa.array(np.broadcast_to(ids[:, None], best.shape)[keep]), pa.array(best_id[keep]), pa.array(best[keep])], ["query_id", "vec_id", "score"])
 
