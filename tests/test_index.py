@@ -73,3 +73,16 @@ def test_a_changed_folder_is_indexed_anew(spark, tmp_path):
     write([(1, "one two"), (2, "three")])
     assert retrieval.index_of(spark, str(tmp_path)).documents == 2
     retrieval.clear_indexes()
+
+
+def test_documents_are_counted_where_they_are(spark):
+    """A document's words are counted without a shuffle; only repeated documents are shuffled with their texts."""
+    from textloom.operators import segments
+
+    words = [(1, ["a", "b", "a"]), (2, []), (3, ["b"])] + [(k, ["x"] * k) for k in range(10, 600)]
+    df = spark.createDataFrame(words, "doc_id long, words array<string>").coalesce(1).mapInArrow(segments.counted, segments.Segments.POSTINGS)
+    got = sorted((r.term, r.doc_id, r.tf, r.dl) for r in df.collect())
+    assert got == sorted([("a", 1, 2, 3), ("b", 1, 1, 3), ("b", 3, 1, 1)] + [("x", k, k, k) for k in range(10, 600)])
+    docs = spark.createDataFrame([(1, "a"), (1, "b"), (2, None), (3, "c")], "doc_id long, body string")
+    rows = segments.once(docs).collect()
+    assert sorted(r.doc_id for r in rows) == [1, 2, 3] and {r.body for r in rows if r.doc_id > 1} == {None, "c"}

@@ -4,9 +4,12 @@ from __future__ import annotations
 
 import json
 import uuid
+from collections.abc import Iterator
 from dataclasses import asdict, dataclass, field
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -16,6 +19,8 @@ from textloom.registry import spread
 
 #: So many segments of one size class (their rows within this factor) become one.
 FANOUT = 4
+#: Documents whose words are counted at once.
+ROWS = 256
 
 
 @dataclass
@@ -30,6 +35,24 @@ class Manifest:
     words: int = 0
 
 
+def once(docs: DataFrame) -> DataFrame:
+    """One row of each doc_id. Only rows of repeated ones are shuffled with their texts: which these are is a count of the ids alone."""
+    again = shared.written(docs.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select("doc_id"), "again")
+    return docs.join(again, "doc_id", "left_anti").unionByName(docs.join(again, "doc_id", "left_semi").dropDuplicates(["doc_id"]))
+
+
+def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(term, doc_id, tf, dl) of (doc_id, words): a document's words are in one row, so that counting them needs no shuffle."""
+    for b in (x.slice(at, ROWS) for x in batches for at in range(0, x.num_rows, ROWS)):
+        ids, lists = b.column(0).to_numpy(zero_copy_only=False), b.column(1)
+        size = lists.value_lengths().to_numpy(zero_copy_only=False)
+        flat = lists.flatten().dictionary_encode()
+        n = max(1, len(flat.dictionary))
+        pair, tf = np.unique(np.repeat(np.arange(len(ids)), size) * n + flat.indices.to_numpy(), return_counts=True)
+        doc, term = pair // n, pair % n
+        yield pa.RecordBatch.from_arrays([flat.dictionary.take(pa.array(term)), pa.array(ids[doc], pa.int64()), pa.array(tf, pa.int64()), pa.array(size[doc], pa.int32())], ["term", "doc_id", "tf", "dl"])
+
+
 class Segments:
     """An index in a folder that the cluster shares. Readers take a manifest and are not disturbed by later changes; ``vacuum`` deletes what no newer manifest names."""
 
@@ -125,12 +148,12 @@ class Segments:
         """Adds documents as a segment; those whose doc_id is known replace the old ones. Rows without a doc_id don't count, of a doc_id's rows any one does; a null text has no words."""
         m = self.manifest()
         m.number += 1
-        words = spread(docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(body).alias("body"))).where("doc_id is not null").dropDuplicates(["doc_id"])
+        words = once(spread(docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(body).alias("body"))).where("doc_id is not null"))
         words = shared.written(words.select("doc_id", F.coalesce(text.tokens(F.col("body")), F.array().cast("array<string>")).alias("words")), "words")
         n, total = words.agg(F.count("*"), F.coalesce(F.sum(F.size("words")), F.lit(0))).first()
         if n:
             changes = self._hide(m, words)
-            posted = words.select("doc_id", F.size("words").alias("dl"), F.explode("words").alias("term")).groupBy("term", "doc_id", "dl").agg(F.count("*").alias("tf")).select("term", "doc_id", "tf", "dl")
+            posted = words.select("doc_id", "words").mapInArrow(counted, self.POSTINGS)
             m.segments.append(self._write_segment(m, m.number, words.select("doc_id", F.size("words").alias("dl"), F.array_distinct("words").alias("terms")), posted))
             m.documents, m.words = m.documents + n, m.words + total
             new = self.spark.read.schema(self.FORWARD).parquet(f"{self.folder}/forward/{m.number}").select(F.explode("terms").alias("term")).groupBy("term").agg(F.count("*").alias("df"))
