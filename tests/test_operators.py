@@ -131,3 +131,15 @@ def test_ratio_and_repair(spark):
     values = ['```json\n{"a": 1}\n```', 'Sure: {"a": 1} ok', "no", '{"a": 1}']
     df = spark.createDataFrame([(v,) for v in values], "x string").select(mutations.repaired_json(F.col("x")).alias("y"))
     assert [r.y for r in df.collect()] == ['{"a": 1}', '{"a": 1}', None, '{"a": 1}']
+
+
+def test_chunks_of_few_texts_at_once():
+    """A task gives the chunks of at most ROWS texts at a time, whatever the batch that it gets."""
+    import pyarrow as pa
+
+    texts = [None, "", *["a. " * (k % 900) for k in range(600)]]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts)), pa.int64()), pa.array(texts, pa.string())], ["doc_id", "body"])
+    out = list(chunking.chunk_rows(chunking.sliding)(iter([batch])))
+    assert len(out) == 3 and all(len(set(b.column(0).to_pylist())) <= chunking.ROWS for b in out)
+    got = [(r["doc_id"], r["position"], r["content"]) for b in out for r in b.to_pylist()]
+    assert got == [(i, k, c) for i, t in enumerate(texts) if t for k, c in enumerate(chunking.sliding(t))]

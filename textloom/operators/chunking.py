@@ -6,6 +6,7 @@ import re
 from collections.abc import Callable, Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
@@ -13,6 +14,8 @@ from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, S
 from textloom.registry import query, spread, table
 
 CHUNK = StructType([StructField("position", IntegerType()), StructField("content", StringType()), StructField("kind", StringType()), StructField("title", StringType()), StructField("tokens", IntegerType())])
+#: Texts that are split at once.
+ROWS = 256
 Piece = tuple[str, str, str | None]
 
 
@@ -157,9 +160,25 @@ def chunker(split: Callable[[str], list]) -> Callable[[Column], Column]:
     return chunks
 
 
+def chunk_rows(split: Callable[[str], list]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """From batches of (doc_id, text) to batches of chunks, of ROWS texts at once: a task holds the chunks of so many, whatever the batches."""
+    chunks = chunker(split).func
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in (x.slice(at, ROWS) for x in batches for at in range(0, x.num_rows, ROWS)):
+            listed = chunks(pd.Series(b.column(1).to_pylist(), dtype=object))
+            of = [k for k, cs in enumerate(listed) for _ in cs]
+            cols = list(zip(*(c for cs in listed for c in cs), strict=True)) or [[]] * len(CHUNK)
+            types = (pa.int32(), pa.string(), pa.string(), pa.string(), pa.int32())
+            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(of, pa.int64())), *(pa.array(c, t) for c, t in zip(cols, types, strict=True))], ["doc_id", *CHUNK.names])
+
+    return run
+
+
 def chunk_table(docs: DataFrame, split: Callable[[str], list], doc_id: str = "doc_id", body: str = "text") -> DataFrame:
     """(doc_id, position, content, kind, title, tokens): a row for each chunk."""
-    return spread(docs.select(F.col(doc_id).alias("doc_id"), F.col(body).alias("body"))).select("doc_id", F.explode(chunker(split)(F.col("body"))).alias("c")).select("doc_id", "c.*")
+    rows = spread(docs.select(F.col(doc_id).alias("doc_id"), F.col(body).alias("body")))
+    return rows.mapInArrow(chunk_rows(split), StructType([rows.schema["doc_id"], *CHUNK]))
 
 
 def _sliding_sql(size: int, overlap: int, ends: str, back: int = 100, blank: int = 50) -> str:

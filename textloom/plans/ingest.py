@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from textloom.functions import dates, scores, text
-from textloom.operators.chunking import chunker, sliding
+from textloom.operators.chunking import chunk_table, sliding
 from textloom.registry import query, table
 
 Stage = Callable[[DataFrame], DataFrame]
@@ -76,8 +76,8 @@ def default_chain() -> Chain:
 
 def chunked(docs: DataFrame) -> DataFrame:
     """(chunk_id, doc_id, position, content, tokens) of the documents that may be indexed; their other fields stay with the document."""
-    rows = docs.where("do_index").select("doc_id", F.explode(chunker(sliding)(F.col("text"))).alias("c"))
-    return rows.select(F.concat(F.col("doc_id").cast("string"), F.lit("_chunk_"), F.col("c.position").cast("string")).alias("chunk_id"), "doc_id", "c.position", "c.content", "c.tokens")
+    rows = chunk_table(docs.where("do_index"), sliding)
+    return rows.select(F.concat(F.col("doc_id").cast("string"), F.lit("_chunk_"), F.col("position").cast("string")).alias("chunk_id"), "doc_id", "position", "content", "tokens")
 
 
 @query("ingest_outcome", "WITH d AS (SELECT doc_id, text, sha256(text) AS h FROM documents), f AS (SELECT doc_id, length(text) AS n, min(doc_id) OVER (PARTITION BY h) < doc_id AS dup FROM d) SELECT doc_id, CASE WHEN n < 10 THEN 'too short' WHEN dup THEN 'duplicate' END AS early FROM f")
