@@ -1,24 +1,25 @@
-"""Mentions of known names become links: one automaton of many names, one pass over a text."""
+"""Mentions of known names become links: an automaton for the names of one text, a join by whole words for those of a vault."""
 
 from __future__ import annotations
 
-import pickle
+import re
 from bisect import bisect_left, insort
 from collections.abc import Iterable, Iterator
-from functools import lru_cache
 
 import ahocorasick
 import pandas as pd
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
+from pyspark.sql.types import ArrayType, StringType, StructType
 
 from textloom import shared
 from textloom.registry import query, table
 
-#: Letters of the names of one automaton, which bounds what a task holds and what is broadcast.
-BLOCK_LETTERS = 1 << 20
+#: Letters and texts that are linked together at most, which bounds what a task holds; a longer text is alone.
+BLOCK_LETTERS, BLOCK_TEXTS = 1 << 20, 256
+_RUNS = re.compile(r"\w+|\W+")
 
 
 def folded(text: str) -> str:
@@ -86,9 +87,11 @@ def placed(body: str, found: dict[int, list[tuple[int, int, tuple]]]) -> str:
                     insort(taken, (s, e, f"[[{v[2]}|{v[1]}]]"))
                     used.add(v)
                     break
-        for s, e, link in reversed(taken):
-            line = line[:s] + link + line[e:]
-        out.append(line)
+        parts, at = [], 0
+        for s, e, link in taken:
+            parts += [line[at:s], link]
+            at = e
+        out.append("".join([*parts, line[at:]]))
     return "\n".join(out)
 
 
@@ -117,75 +120,116 @@ def linked_text(body: Column, names: Column) -> Column:
     return run(body, names)
 
 
-def stored_automata(names: DataFrame, tables: shared.Tables, letters: int = BLOCK_LETTERS) -> DataFrame:
-    """(block, automaton): one pickled automaton for each block of names (rank, name, target), built in tasks and written to the shared folder."""
-    total = int(names.agg(F.coalesce(F.sum(F.length("name") + 1), F.lit(0))).first()[0])
-    blocks = -(-total // letters)
-    dealt = names.withColumn("block", F.pmod(F.xxhash64("name"), F.lit(max(1, blocks))).cast("int"))
+def whole_runs(line: str, counts: Iterable[int]) -> Iterator[tuple[int, int, str]]:
+    """(start, end, folded letters) of all that may be a mention of a name of so many runs of letters or of other characters.
 
-    def build(key, pdf: pd.DataFrame) -> pd.DataFrame:
-        some = automaton((n, (int(k), n, t)) for k, n, t in zip(pdf["rank"], pdf["name"], pdf["target"], strict=True))
-        return pd.DataFrame({"block": [key[0]], "automaton": [pickle.dumps(some)]})
+    A mention begins and ends where a word begins or ends, so it is whole runs; blanks or marks at the ends of a line have
+    no such edge.
+    """
+    low = folded(line)
+    ends = [m.end() for m in _RUNS.finditer(low)]
+    if not ends:
+        return
+    starts = [0, *ends]
+    first, last = int(not _part_of_word(low[0])), len(ends) - int(not _part_of_word(low[-1]))
+    for k in counts:
+        for i in range(first, last - k + 1):
+            yield starts[i], ends[i + k - 1], low[starts[i] : ends[i + k - 1]]
+
+
+def _known_runs(line: str, counts: list[int], known: dict[str, list]) -> Iterator[tuple[int, int, object]]:
+    """Those of ``whole_runs`` that are known, with each of their values."""
+    if counts != [1]:
+        yield from ((s, e, v) for s, e, x in whole_runs(line, counts) if x in known for v in known[x])
+        return
+    at, end = 0, len(line)
+    for x in _RUNS.findall(folded(line)):
+        start, at = at, at + len(x)
+        if x in known and (_part_of_word(x[0]) or 0 < start and at < end):
+            yield from ((start, at, v) for v in known[x])
 
-    return tables.write(dealt.groupBy("block").applyInPandas(build, "block int, automaton binary"), "automata")
 
+def _blocks(sizes: list[int], letters: int) -> Iterator[tuple[int, int]]:
+    """Neighbours of at most so many letters together, and at most BLOCK_TEXTS."""
+    start = held = 0
+    for k, n in enumerate(sizes):
+        if k > start and (held + n > letters or k - start == BLOCK_TEXTS):
+            yield start, k
+            start, held = k, 0
+        held += n
+    if start < len(sizes):
+        yield start, len(sizes)
 
-@lru_cache(maxsize=2)
-def _loaded(raw: bytes) -> ahocorasick.Automaton:
-    return pickle.loads(raw)
 
+def _dealt(text: str, counts: list[int], letters: int):
+    """Blocks of rows, each with all that its texts may mention."""
 
-def _finder(raw):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = _loaded(raw.value)
+        block = TaskContext.get().partitionId() << 32
         for b in batches:
-            out = [(key, k, s, e, *v) for key, body in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True) for k, line, free in open_lines(body) if free for s, e, v in mentions(line, known)]
-            yield pa.RecordBatch.from_pylist([dict(zip(_FOUND.names, x, strict=True)) for x in out], _FOUND)
+            rows = b.column(0)
+            bodies = rows.field(text).to_pylist()
+            for start, end in _blocks([len(x or "") for x in bodies], letters):
+                seen: set[str] = set()
+                for body in bodies[start:end]:
+                    for _, line, free in open_lines(body or ""):
+                        if free and counts == [1]:
+                            seen.update(_RUNS.findall(folded(line)))
+                        elif free:
+                            seen.update(x for _, _, x in whole_runs(line, counts))
+                some = rows.slice(start, end - start)
+                yield pa.RecordBatch.from_arrays([pa.array([block], pa.int64()), pa.ListArray.from_arrays(pa.array([0, len(some)], pa.int32()), some), pa.array([list(seen)], pa.list_(pa.string()))], ["block", "rows", "seen"])
+                block += 1
 
     return run
 
 
-_FOUND = pa.schema([("key", pa.binary()), ("line", pa.int32()), ("s", pa.int32()), ("e", pa.int32()), ("rank", pa.int64()), ("name", pa.string()), ("target", pa.string())])
+def _linked(text: str, counts: list[int]):
+    """The rows of blocks and their linked texts; found: the names that a block's texts mention."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for k in range(b.num_rows):
+                rows, known, own = b.column(0)[k].values, {}, b.column(1)[k].values
+                for low, name, target in zip(*(own.field(x).to_pylist() for x in ("low", "name", "target")), strict=True) if own is not None else ():
+                    known.setdefault(low, []).append((-len(name), name, target))
+                out = []
+                for body in rows.field(text).to_pylist():
+                    found: dict[int, list] = {}
+                    for n, line, free in open_lines(body or ""):
+                        if free and known:
+                            found[n] = list(_known_runs(line, counts, known))
+                    out.append(placed(body, found) if body else body)
+                yield pa.RecordBatch.from_arrays([rows, pa.array(out, pa.string())], ["row", "linked"])
+
+    return run
 
 
 def linked_by(docs: DataFrame, names: DataFrame, text: str = "text", letters: int = BLOCK_LETTERS) -> DataFrame:
     """``docs`` with the column ``linked``: the text with the first mentions of all ``names`` (name, target) linked, as ``linked`` does for a list.
 
-    Names of any number: they are cut into blocks by a hash, each with an automaton of bounded size in the shared folder;
-    each block is one pass over the texts, and a text's mentions meet by the text's digest, so that equal texts are linked
-    once. Ranks over all names come from counts of lengths. A null text stays null; empty or null names are none; of a name with several
-    targets the least holds.
+    Names of any number: texts are dealt into blocks, what each block's texts may mention is joined to the names, and a block
+    gets those that it does. Work and shuffles grow with the texts, times the numbers of runs that names have (one for single
+    words). A null text stays null; empty or null names are none; of a name with several targets the least holds.
     """
     spark, tables = docs.sparkSession, shared.Tables(docs.sparkSession, "links")
-    one = names.where("name <> ''").groupBy("name").agg(F.min("target").alias("target")).withColumn("size", F.length("name"))
-    longer = one.groupBy("size").agg(F.count("*").alias("n")).select("size", (F.sum("n").over(Window.orderBy(F.desc("size"))) - F.col("n")).alias("before"))  # a row for each length
-    in_size = F.row_number().over(Window.partitionBy("size").orderBy("name"))
-    known = tables.write(one.join(longer, "size").select((F.col("before") + in_size).alias("rank"), "name", "target"), "names")
-    automata = stored_automata(known, tables, letters)
-    key = F.unhex(F.sha2(F.col(text).cast("binary"), 256)).alias("key")
-    texts = tables.write(docs.where(F.length(text) > 0).select(key, F.col(text).alias("text")).dropDuplicates(["key"]), "texts")
-    found = None
-    for row in automata.toLocalIterator():  # one block at a time
-        raw = spark.sparkContext.broadcast(bytes(row.automaton))
-        some = tables.write(texts.mapInArrow(_finder(raw), "key binary, line int, s int, e int, rank long, name string, target string"), "found")
-        raw.unpersist()
-        found = some if found is None else found.unionByName(some)
 
-    @F.pandas_udf("string")
-    def place(bodies: pd.Series, lists: pd.Series) -> pd.Series:
-        def one(body, found):
-            by_line: dict[int, list] = {}
-            for x in found:
-                by_line.setdefault(x["line"], []).append((x["s"], x["e"], (x["rank"], x["name"], x["target"])))
-            return placed(body, by_line)
-
-        return pd.Series([one(b, f) for b, f in zip(bodies, lists, strict=True)], dtype=object)
-
-    if found is None:
-        return docs.withColumn("linked", F.col(text))
-    lists = found.groupBy("key").agg(F.collect_list(F.struct("line", "s", "e", "rank", "name", "target")).alias("found"))  # what one text holds
-    done = tables.keep(texts.join(lists, "key").select("key", place("text", "found").alias("linked")))
-    return docs.withColumn("_key", key).join(done.withColumnRenamed("key", "_key"), "_key", "left").select(*docs.columns, F.coalesce("linked", text).alias("linked"))
+    @F.pandas_udf("low string, runs int")
+    def fold(some: pd.Series) -> pd.DataFrame:
+        low = some.map(folded)
+        return pd.DataFrame({"low": low, "runs": low.map(lambda x: len(_RUNS.findall(x)))})
+
+    one = names.where("name <> ''").groupBy("name").agg(F.min("target").alias("target"))
+    known = tables.write(one.select(fold("name").alias("f"), "name", "target").select("f.*", "name", "target"), "names")
+    counts = sorted(r.runs for r in known.select("runs").distinct().collect())
+    rows = docs.select(F.struct(*docs.columns).alias("row"))
+    schema = StructType().add("block", "long").add("rows", ArrayType(rows.schema["row"].dataType)).add("seen", ArrayType(StringType()))
+    with shared.small_batches(spark, BLOCK_TEXTS):
+        blocks = tables.write(rows.mapInArrow(_dealt(text, counts, letters), schema), "blocks")
+    found = blocks.select("block", F.explode("seen").alias("low")).join(known, "low").groupBy("block").agg(F.collect_list(F.struct("low", "name", "target")).alias("found"))  # what one block mentions
+    with shared.small_batches(spark, 4):
+        done = blocks.select("block", "rows").join(found, "block", "left").select("rows", "found").mapInArrow(_linked(text, counts), StructType([rows.schema["row"]]).add("linked", "string"))
+        return tables.keep(done.select("row.*", "linked"))
 
 
 @query("linked_texts")
