@@ -365,12 +365,12 @@ BANK, SECTION_CHARS, BANK_CHARS = r"(?is)(?:Bank\s+Details?|Bankverbindung).*?(?
 
 def invoice_body(c: Column) -> Column:
     """An invoice without a long legal section (from its head to the end) and long bank details; blanks single but in aligned lines, at most one empty line in a row."""
+    once = lambda c, f: F.transform(F.array(c), f)[0]  # noqa: E731  each step's text is made once, however often it is named
     for p in SECTIONS:
-        c = F.when(F.length(F.regexp_extract(c, p, 0)) > SECTION_CHARS, F.regexp_replace(c, p, "")).otherwise(c)
-    bank = F.regexp_extract(c, BANK, 0)
-    c = F.when(F.length(bank) > BANK_CHARS, F.replace(c, bank, F.lit(""))).otherwise(c)
+        c = once(c, lambda x: F.when(F.length(F.regexp_extract(x, p, 0)) > SECTION_CHARS, F.regexp_replace(x, p, "")).otherwise(x))  # noqa: B023
+    c = once(c, lambda x: once(F.regexp_extract(x, BANK, 0), lambda bank: F.when(F.length(bank) > BANK_CHARS, F.replace(x, bank, F.lit(""))).otherwise(x)))
     words = lambda x: F.filter(F.split(x, r"\s+"), lambda w: w != "")
-    lines = F.transform(F.split(c, "\n"), lambda x: F.when(x.rlike(r"\s{3,}") & (F.size(words(x)) >= 2), x).otherwise(F.array_join(words(x), " ")))
+    lines = F.transform(F.split(c, "\n"), lambda x: once(words(x), lambda ws: F.when((F.size(ws) >= 2) & x.rlike(r"\s{3,}"), x).otherwise(F.array_join(ws, " "))))
     return F.btrim(F.regexp_replace(F.array_join(lines, "\n"), r"\n{3,}", "\n\n"), F.lit(" \t\n\r\f"))
 
 
