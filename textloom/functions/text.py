@@ -42,7 +42,7 @@ def drop_ignored(c: Column) -> Column:
 def clean(c: Column) -> Column:
     """No control characters, single blanks, stripped lines, at most one empty line in a row."""
     c = F.regexp_replace(c, r"[\x00-\x08\x0b\x0c\x0e-\x1f\x7f]", "")
-    c = F.regexp_replace(c, r"[ \t]+", " ")
+    c = F.regexp_replace(c, r"\t[ \t]*| [ \t]+", " ")  # single blanks are left alone
     c = F.regexp_replace(c, r"(?m)^ +| +$", "")
     return strip(F.regexp_replace(c, r"\n{3,}", "\n\n"))
 
@@ -92,10 +92,13 @@ def clean_title(c: Column) -> Column:
 
 def language(c: Column) -> Column:
     """The language with most marker words between blanks; the first of equals; unknown without any."""
-    count = lambda low: F.array(*(reduce(lambda a, b: a + b, (low.contains(f" {w} ").cast("int") for w in ws)) for ws in LANGUAGE_MARKERS.values()))
+    every = F.array(*(F.lit(w) for w in sorted({w for ws in LANGUAGE_MARKERS.values() for w in ws})))
+    count = lambda found: F.array(*(F.array_size(F.array_intersect(found, F.array(*map(F.lit, ws)))) for ws in LANGUAGE_MARKERS.values()))
+    between = lambda words: F.slice(words, 2, F.greatest(F.size(words) - 2, F.lit(0)))
     names = F.array(*map(F.lit, LANGUAGE_MARKERS))
     pick = lambda n: F.when(F.array_max(n) == 0, "unknown").otherwise(F.get(names, (F.array_position(n, F.array_max(n)) - 1).cast("int")))
-    return F.transform(F.transform(F.array(F.lower(c)), lambda low: count(low)), lambda n: pick(n))[0]  # each text is lowered and counted once
+    found = F.transform(F.array(F.split(F.lower(c), " ")), lambda words: F.array_intersect(every, between(words)))
+    return F.transform(F.transform(found, lambda x: count(x)), lambda n: pick(n))[0]  # each text is lowered, split and counted once
 
 
 def address_of(c: Column) -> Column:
@@ -116,9 +119,25 @@ NUMBER_PATTERNS = (
 )
 
 
+#: What a text must hold for a match of the pattern at that place; None: no fixed character.
+NUMBER_MARKS = ("/", "Nr.", None, "€$£", "%", None, "-", ":")
+
+
+def _marked(c: Column, marks: str | None) -> Column:
+    if marks is None:
+        return F.lit(True)
+    return c.contains(marks) if marks == "Nr." else reduce(lambda a, b: a | b, (c.contains(m) for m in marks))
+
+
 def numbers(c: Column, most: int = 50) -> Column:
-    """Case numbers, amounts, shares, accounts and times: distinct, sorted. As the rule has it, a share counts only where a letter or digit follows its sign."""
-    return F.slice(F.array_sort(F.array_distinct(F.concat(*(F.regexp_extract_all(c, F.lit(p), F.lit(1)) for p in NUMBER_PATTERNS)))), 1, most)
+    """Case numbers, amounts, shares, accounts and times: distinct, sorted. As the rule has it, a share counts only where a letter or digit follows its sign.
+
+    A pattern is looked for only in texts that hold its mark, and all of them only where there is a digit.
+    """
+    none = F.array().cast("array<string>")
+    every = lambda x: F.concat(*(F.when(_marked(x, m), F.regexp_extract_all(x, F.lit(p), F.lit(1))).otherwise(none) for p, m in zip(NUMBER_PATTERNS, NUMBER_MARKS, strict=True)))
+    found = F.transform(F.array(c), lambda x: F.when(x.isNull() | x.rlike("[0-9]"), every(x)).otherwise(none))[0]
+    return F.slice(F.array_sort(F.array_distinct(found)), 1, most)
 
 
 def from_html(c: Column) -> Column:

@@ -48,10 +48,12 @@ def cleaned(docs: DataFrame) -> DataFrame:
 
 
 def deduplicated(docs: DataFrame) -> DataFrame:
-    """Later copies stop. Sums by hash find the first, so that no group of copies meets in one task."""
+    """Later copies stop. Sums by hash find the first, so that no group of copies meets in one task. A key that is never null needs no filter, in which each text would be cleaned and hashed once more."""
     docs = docs.withColumn("content_hash", text.content_hash(F.col("text")))
-    first = docs.groupBy("content_hash").agg(F.min("doc_id").alias("first_id"), F.count("*").alias("copies")).where("copies > 1").drop("copies")
-    return stop(docs.join(first, "content_hash", "left"), F.col("first_id") < F.col("doc_id"), "duplicate").drop("first_id")
+    key = F.coalesce("content_hash", F.lit("")).alias("_key")
+    first = docs.groupBy(key).agg(F.min("doc_id").alias("first_id"), F.count("*").alias("copies")).where("copies > 1").drop("copies")
+    docs = docs.select("content_hash", *(c for c in docs.columns if c != "content_hash"), key).join(first, "_key", "left")
+    return stop(docs, F.col("content_hash").isNotNull() & (F.col("first_id") < F.col("doc_id")), "duplicate").drop("_key", "first_id")
 
 
 def triaged(docs: DataFrame) -> DataFrame:
