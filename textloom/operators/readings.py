@@ -24,12 +24,24 @@ def confident_text(words: DataFrame, least: float = SURE) -> DataFrame:
     return words.groupBy("page").agg(F.array_join(F.transform(F.array_sort(F.collect_list(kept)), lambda x: x["word"]), " ").alias("text"), F.round(F.coalesce(mean, F.lit(0.0)), 6).alias("confidence"))
 
 
+def confident_lists(pages: DataFrame, least: float = SURE) -> DataFrame:
+    """The same of rows (page, words: array<struct<position, word, confidence>>), a page or a part of one each: what is sure is joined in the row, so that one short row for each is shuffled, not its words."""
+    kept = F.filter("words", lambda x: (x["confidence"] >= least) & (F.trim(x["word"]) != ""))
+    rows = pages.select("page", kept.alias("w"))
+    total = F.aggregate("w", F.lit(0.0), lambda s, x: s + x["confidence"])
+    part = F.struct(F.transform("w", lambda x: x["position"].cast("long")).alias("at"), F.transform("w", lambda x: x["word"]).alias("word"))  # two plain arrays take less room than structs
+    parts = rows.select("page", part.alias("part"), total.alias("total"), F.size("w").alias("n")).groupBy("page").agg(F.collect_list(F.when(F.col("n") > 0, F.col("part"))).alias("parts"), F.sum("total").alias("total"), F.sum("n").alias("n"))
+    words = F.flatten(F.transform("parts", lambda p: F.arrays_zip(p["at"].alias("at"), p["word"].alias("word"))))
+    return parts.select("page", F.array_join(F.transform(F.array_sort(words), lambda x: x["word"]), " ").alias("text"), F.round(F.when(F.col("n") > 0, F.col("total") / F.col("n")).otherwise(0.0), 6).alias("confidence"))
+
+
 @query("confident_text", typed("""WITH w AS (SELECT doc_id AS page, list_filter(string_split_regex(text, '\\s+'), lambda x: x <> '') AS w FROM documents), p AS (SELECT page, unnest(w) AS word, unnest(range(len(w))) AS position FROM w), c AS (SELECT *, ((position * 37 + page) % 100) / 100.0 AS confidence FROM p)
 SELECT page, coalesce(string_agg(word, ' ' ORDER BY position) FILTER (confidence >= 0.6), '') AS text, round(coalesce(avg(confidence) FILTER (confidence >= 0.6), 0), 6) AS confidence FROM c GROUP BY page""", confidence="DOUBLE"))
 def confident_text_query(spark, sf_dir):
     """All texts' words, with confidences made from their places."""
-    words = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("page"), F.posexplode(F.filter(F.split("text", r"\s+"), lambda x: x != "")).alias("position", "word"))
-    return confident_text(words.withColumn("confidence", (F.col("position") * 37 + F.col("page")) % 100 / 100.0))
+    one = lambda x, i: F.struct(i.alias("position"), x.alias("word"), ((i * 37 + F.col("page")) % 100 / 100.0).alias("confidence"))
+    pages = table(spark, sf_dir, "documents").where("text is not null").select(F.col("doc_id").alias("page"), F.filter(F.split("text", r"\s+"), lambda x: x != "").alias("w")).where(F.size("w") > 0)
+    return confident_lists(pages.select("page", F.transform("w", one).alias("words")))
 
 
 def merged_pages(pages: DataFrame, most: int = MOST_PAGES) -> DataFrame:
