@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -13,6 +14,8 @@ from textloom.registry import query, spread, table, typed
 
 #: Sentences of assistants that say nothing.
 BOILERPLATE = (r"(?im)^[ \t]*(as an ai( language)? model,?|i hope this helps[.!]?|let me know if you have (any )?(other |more )?questions[.!]?|is there anything else i can help you with\??|sure[,!]? here('s| is)|certainly[,!]?)[ \t]*$\n?",)
+#: Texts that are changed at once.
+ROWS = 256
 _FENCED = re.compile(r"(?ms)^```.*?^```[ \t]*$")
 
 
@@ -80,19 +83,36 @@ def as_column(change: Callable[[str], str]) -> Callable[[Column], Column]:
     return column
 
 
+def changed_batches(change: Callable[[str], str], place: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Batches of ROWS rows at most whose column at ``place`` is changed; null stays null."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in (x.slice(at, ROWS) for x in batches for at in range(0, x.num_rows, ROWS)):
+            columns = list(b.columns)
+            columns[place] = pa.array([None if x is None else change(x) for x in columns[place].to_pylist()], pa.string())
+            yield pa.RecordBatch.from_arrays(columns, b.schema.names)
+
+    return run
+
+
+def changed_rows(df: DataFrame, change: Callable[[str], str], body: str = "body") -> DataFrame:
+    """``df`` with its column ``body`` changed, ROWS texts at once: a task holds so many, whatever the batches."""
+    return df.mapInArrow(changed_batches(change, df.columns.index(body)), df.schema)
+
+
 @query("chat_cleanup")
 def chat_cleanup(spark, sf_dir):
-    return table(spark, sf_dir, "conversations").select("conv_id", "turn", as_column(chat_clean)(F.concat("text", F.lit("\nI hope this helps!"))).alias("body"))
+    return changed_rows(table(spark, sf_dir, "conversations").select("conv_id", "turn", F.concat("text", F.lit("\nI hope this helps!")).alias("body")), chat_clean)
 
 
 @query("manual_cleanup")
 def manual_cleanup(spark, sf_dir):
-    return spread(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", as_column(manual_clean)(F.concat(F.lit("Table of Contents\nA ....... 1\n"), "text")).alias("body"))
+    return changed_rows(spread(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", F.concat(F.lit("Table of Contents\nA ....... 1\n"), "text").alias("body")), manual_clean)
 
 
 @query("paragraph_format")
 def paragraph_format(spark, sf_dir):
-    return spread(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", as_column(paragraphs)(F.col("text")).alias("body"))
+    return changed_rows(spread(table(spark, sf_dir, "documents").select("doc_id", F.col("text").alias("body"))), paragraphs)
 
 
 def linked_concepts(docs: DataFrame, field: str, concepts: DataFrame, doc_id: str = "doc_id") -> DataFrame:
