@@ -12,7 +12,7 @@ from textloom.llm.scratch import Scratch
 def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops the documents that the toxicity models, fitted on the labels of these documents, predict to be toxic. Null and empty texts hold no evidence and stay; equal texts stay or go together."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
-    return toxicity.toxicity_scores(docs, labels).where("predicted = 0").select("row.*")
+    return toxicity.toxicity_scores(docs, labels, order=2).where("predicted = 0").select("row.*")
 
 
 def drop_boilerplate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -158,3 +158,91 @@ def test_bit_filter(spark):
     bits = filters.bit_filter(spark.createDataFrame([(v,) for v in values], "h long"), "h")
     assert filters.passes(bits, np.array(values)).all() and not filters.passes(bits, np.array([2, 3, 9, 32766, 32769])).any()
     assert not filters.bit_filter(spark.createDataFrame([], "h long"), "h").any()
+
+
+def plain_pair_scores(texts, labels, held_out=2):
+    """The scores of order 2, word by word in dictionaries; each fitted and judged without Spark."""
+    split = {i: toxicity.words_of(t.encode()) if t else [] for i, t in texts.items()}
+    known = {i: y for i, y in labels.items() if i in split and toxicity.fold(i) != held_out}
+    after = lambda i: list(zip([b"", *split[i]], split[i], strict=False))
+
+    def model(ids):
+        pairs, texts_with = [collections.Counter(), collections.Counter()], collections.Counter()
+        for i in ids:
+            pairs[known[i]].update(set(after(i)))
+            texts_with.update(set(split[i]))
+        total = pairs[0] + pairs[1]
+        kept = {p for p, n in total.items() if n >= toxicity.SEEN}
+        left, follow = [collections.Counter(), collections.Counter()], [collections.Counter(), collections.Counter()]
+        for y in (0, 1):
+            for (u, w), n in pairs[y].items():
+                follow[y][u] += n
+                left[y][u] += n - (max(n - toxicity.DISCOUNT, 0) if (u, w) in kept else 0)
+        weight = lambda u, y: left[y][u] / follow[y][u] if follow[y][u] else 1
+        spread, of, nodes = [collections.Counter(w for _, w in p) for p in (*pairs, total)], [len(pairs[0]), len(pairs[1])], {}
+        for w, seen in texts_with.items():
+            for k in range(len(w) + 1):
+                n = nodes.setdefault((w + b"$")[: k + 1], [0, 0, 0, 0])
+                for j, x in enumerate((*(c[w] for c in spread), seen)):
+                    n[j] += x
+        kinds = collections.Counter((min(len(p), toxicity.DEPTHS), y) for p, n in nodes.items() for y in (0, 1) if n[y])
+
+        def lower(w):
+            longest = max((k for k in range(1, len(w) + 2) if nodes.get((w + b"$")[:k], (0, 0, 0, 0))[3] >= toxicity.SEEN), default=0)
+            if not longest or not min(of):
+                return 1.0, 1.0
+            n, depth = nodes[(w + b"$")[:longest]], min(longest, toxicity.DEPTHS)
+            return [max(n[y] - toxicity.DISCOUNT, 0) / of[y] + toxicity.DISCOUNT * max(1, kinds[depth, y]) / of[y] * n[2] / len(total) for y in (0, 1)]
+
+        def word(u, w):
+            p = lower(w)
+            base = math.log(p[1] / p[0]) - toxicity.MARGIN
+            if (u, w) in kept and min(of):
+                a, b = (max(pairs[y][u, w] - toxicity.DISCOUNT, 0) / max(1, follow[y][u]) + weight(u, y) * p[y] for y in (0, 1))
+                return max(0, math.log(b / a) - toxicity.MARGIN)
+            return max(0, base + math.log(weight(u, 1) / weight(u, 0))) if base > 0 else 0
+
+        return lambda i: (sum(word(*p) for p in after(i)), max(1, len(split[i])))
+
+    full, others = model(known), {f: model([i for i in known if toxicity.fold(i) != f]) for f in range(4)}
+    features = lambda pairs: np.array([[math.sqrt(v / n), v / n] for v, n in pairs])
+    w = toxicity.logistic(features([others[toxicity.fold(i)](i) for i in known]), np.array(list(known.values())))
+    return dict(zip(split, 1 / (1 + np.exp(-(w[0] + features([full(i) for i in split]) @ w[1:]))), strict=True))
+
+
+def phrases(prose, n=400):
+    """Every text has both words, and toxic ones have them one after the other, so that only the pair tells; further words are toxic by themselves."""
+    pairs = []
+    for k in range(n):
+        a, b, c = (prose(20, 3 * k + j) for j in range(3))
+        pairs.append((k, f"{a} garden {'' if k % 5 == 0 else b} party {c}" + (" snarkle" if k % 15 == 0 else "")))
+    return pairs
+
+
+def test_pairs_against_plain_version(spark, prose, monkeypatch):
+    pairs = phrases(prose, 300) + [(1000, None), (1001, ""), (1002, "Garden, party!"), (1003, "party then garden"), (1004, "snarkleology é"), (1005, "snarkle party")]
+    labels = {k: int(k % 5 == 0) for k in range(300)}
+    want = plain_pair_scores(dict(pairs), labels)
+    for words, texts in ((toxicity.WORDS, toxicity.BUCKET_TEXTS), (500, 1)):  # counted in one go, and in parts, a word's pairs in several buckets
+        monkeypatch.setattr(toxicity, "WORDS", words)
+        monkeypatch.setattr(toxicity, "BUCKET_TEXTS", texts)
+        out = toxicity.toxicity_scores(make_docs(spark, pairs), spark.createDataFrame([(k, 1, y, "r") for k, y in labels.items()], LABELS), order=2).collect()
+        got = {r.row.doc_id: r.score for r in out}
+        assert got.keys() == want.keys() and max(abs(got[i] - want[i]) for i in want) < 1e-3
+    assert got[1002] > 0.5 > got[1003]
+
+
+def test_query_tells_phrases_of_ordinary_words(spark, prose, tmp_path):
+    make_docs(spark, phrases(prose)).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(k, 1, int(k % 5 == 0), "r") for k in range(400)], LABELS).write.parquet(f"{tmp_path}/labels.parquet")
+    out = toxicity.op10_toxicity(spark, str(tmp_path)).collect()
+    held = [(r.predicted, r.doc_id % 5 == 0) for r in out if r.held_out]
+    assert len(out) == 400 and len(held) > 50 and np.mean([p == y for p, y in held]) > 0.98
+
+
+def test_pairs_without_labels_or_rows(spark):
+    none = spark.createDataFrame([], LABELS)
+    assert len({r.score for r in toxicity.toxicity_scores(make_docs(spark, [(1, "a b"), (2, None)]), none, order=2).collect()}) == 1
+    assert toxicity.toxicity_scores(make_docs(spark, []), none, order=2).count() == 0
+    one = spark.createDataFrame([(k, 1, 0, "r") for k in range(20)], LABELS)
+    assert len({r.score for r in toxicity.toxicity_scores(make_docs(spark, [(k, "a b c") for k in range(20)] + [(30, None)]), one, order=2).collect()}) == 1
