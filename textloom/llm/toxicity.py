@@ -109,9 +109,9 @@ def _labelled_words(docs: DataFrame, labels: DataFrame, scratch: Scratch, held_o
     return chosen, texts.join(chosen, "doc_id").select("words", "toxic", "fold").mapInArrow(lean(_tally(order, WORDS, buckets)), _PACKED)
 
 
-#: A block's pairs that end in words of a bucket: the words, joined by blanks; the pairs of each; the hashes of preceding words; which of these
-#: each pair has (all as <i4, <i8, <i4); and in a byte its fold and class, and texts: up to _MANY, else the pair stands there several times.
-_PACKED, _MANY = "bucket int, words binary, pairs binary, contexts binary, context binary, seen binary", 256 // (2 * FOLDS)
+#: A block's pairs that end in words of a bucket: the hashes of preceding words; and, compressed, the words, joined by blanks; the pairs of each;
+#: which hash each pair has; and in a byte its fold and class, and texts: up to _MANY, else the pair stands there several times.
+_PACKED, _MANY = "bucket int, contexts binary, words binary, pairs binary, context binary, seen binary", 256 // (2 * FOLDS)
 #: In place of a preceding word's hash: the texts that hold the word, and what follows it.
 _OWN, _NEXT = 0, 1
 
@@ -153,7 +153,8 @@ def _tally(order: int, block: int, buckets: int):
             z = at[cuts[k] : cuts[k + 1]]
             ends, pairs = np.unique(word[z], return_counts=True)
             contexts, context = np.unique(ctx[z], return_inverse=True)
-            yield int(k), b" ".join([words[w] for w in ends]), pairs.astype("<i4").tobytes(), h[contexts].tobytes(), context.astype("<i4").tobytes(), seen[z].tobytes()
+            small = (zlib.compress(x, 1) for x in (b" ".join([words[w] for w in ends]), pairs.astype("<i4").tobytes(), context.astype("<i4").tobytes(), seen[z].tobytes()))
+            yield int(k), h[contexts].tobytes(), *small
 
     def run(batches):
         texts, classes, held = [], [], 0
@@ -185,10 +186,10 @@ def _merged(batches):
     def flush(rows):
         spelt = pa.array([w for r in rows for w in r[0].split(b" ")], pa.binary()).dictionary_encode()
         words, word = spelt.dictionary, np.repeat(spelt.indices.to_numpy().astype(np.int64), np.concatenate([np.frombuffer(r[1], "<i4") for r in rows]))
-        ctx = np.concatenate([np.frombuffer(r[2], "<u8")[np.frombuffer(r[3], "<i4")] for r in rows])
+        ctx = np.concatenate([np.frombuffer(r[4], "<u8")[np.frombuffer(r[2], "<i4")] for r in rows])
         contexts, ctx = np.unique(ctx, return_inverse=True)
         key, at = np.unique(word * len(contexts) + ctx, return_inverse=True)
-        seen = np.frombuffer(b"".join(r[4] for r in rows), np.uint8).astype(np.int64)
+        seen = np.frombuffer(b"".join(r[3] for r in rows), np.uint8).astype(np.int64)
         n = np.bincount(at * len(_COUNTS) + seen % len(_COUNTS), weights=seen // len(_COUNTS) + 1, minlength=len(key) * len(_COUNTS)).astype(np.int64).reshape(-1, len(_COUNTS))
         word, ctx = key // len(contexts), contexts[key % len(contexts)]
         own, after = ctx == _OWN, ctx == _NEXT
@@ -216,7 +217,7 @@ def _merged(batches):
                 for x in flush(rows):
                     yield from cut(x)
                 rows = []
-            rows.append(row)
+            rows.append((*map(zlib.decompress, row[1:]), row[0]))
             last = bucket
     if rows:
         for x in flush(rows):
