@@ -102,7 +102,7 @@ def _labelled_words(docs: DataFrame, labels: DataFrame, scratch: Scratch, held_o
         for b in batches:
             ids = b.column(0)
             at = np.flatnonzero(passes(bits.value, ids.fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)) & ids.is_valid().to_numpy(zero_copy_only=False))
-            texts = [b" ".join(words_of(x) if order > 1 else dict.fromkeys(words_of(x))) for x in b.column(1).take(pa.array(at)).to_pylist()]
+            texts = [zlib.compress(b" ".join(words_of(x) if order > 1 else dict.fromkeys(words_of(x))), 1) for x in b.column(1).take(pa.array(at)).to_pylist()]
             yield pa.RecordBatch.from_arrays([ids.take(pa.array(at)), pa.array(texts, pa.binary())], ["doc_id", "words"])
 
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text")).mapInArrow(lean(some), "doc_id long, words binary")
@@ -165,7 +165,7 @@ def _tally(order: int, block: int, buckets: int):
 
         for b in batches:
             for words, toxic, fold in zip(*(b.column(k).to_pylist() for k in range(3)), strict=True):
-                texts.append(words.split())
+                texts.append(zlib.decompress(words).split())
                 classes.append(2 * fold + toxic)
                 held += len(texts[-1])
                 if held > block:
