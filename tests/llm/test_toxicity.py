@@ -1,7 +1,11 @@
 import collections
 import math
+import random
+import tracemalloc
+import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from tests.llm.conftest import make_docs
@@ -246,3 +250,37 @@ def test_pairs_without_labels_or_rows(spark):
     assert toxicity.toxicity_scores(make_docs(spark, []), none, order=2).count() == 0
     one = spark.createDataFrame([(k, 1, 0, "r") for k in range(20)], LABELS)
     assert len({r.score for r in toxicity.toxicity_scores(make_docs(spark, [(k, "a b c") for k in range(20)] + [(30, None)]), one, order=2).collect()}) == 1
+
+
+def test_a_block_of_words_stays_small():
+    """What a task holds while it counts a block, by the word; and the counts that its rows give again."""
+    draw, block = random.Random(1), 60_000
+    words = ["".join(draw.choices("abcdefgh", k=draw.randint(3, 9))) for _ in range(8000)]
+    texts = [[w.encode() for w in draw.choices(words, k=300)] for _ in range(400)]
+    kinds = [(k % 2, k % toxicity.FOLDS) for k in range(400)]
+    columns = (pa.array([zlib.compress(b" ".join(x), 1) for x in texts]), pa.array([y for y, _ in kinds], pa.int32()), pa.array([f for _, f in kinds], pa.int32()))
+    rows = [pa.RecordBatch.from_arrays([c.slice(k, 50) for c in columns], ["words", "toxic", "fold"]) for k in range(0, 400, 50)]
+    tracemalloc.start()
+    packed = list(toxicity._tally(2, block, 4)(iter(rows)))
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert most / block * toxicity.WORDS < 250e6
+    own, pair = collections.Counter(), collections.Counter()
+    for text, (y, f) in zip(texts, kinds, strict=True):
+        own.update((w, 2 * f + y) for w in {*text, b""})
+        pair.update((w, h, 2 * f + y) for w, h in {*zip(text, [None, *text[:-1]], strict=True)})
+    found = collections.Counter()
+    for b in toxicity._merged(iter(sorted(packed, key=lambda b: b.column(0)[0].as_py()))):
+        for r in b.to_pylist():
+            for k, c in enumerate(toxicity._COUNTS):
+                found[r["word"] if r["ctx"] is None else (r["word"], r["ctx"]), k] += r[c]
+    spelt = sorted({w for x in texts for w in x})
+    h = dict(zip([None, *spelt], [int(toxicity._BASIS.view(np.int64)), *toxicity.whole_words(spelt).view(np.int64).tolist()], strict=True))
+    want = collections.Counter()
+    for (w, x, k), n in pair.items():
+        want[(w, h[x]), k] += n
+    often = collections.Counter()
+    for (key, _), n in want.items():
+        often[key] += n
+    want = {x: n for x, n in want.items() if often[x[0]] >= toxicity.SEEN} | dict(own)
+    assert {x: n for x, n in found.items() if n} == want

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import zlib
+from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
@@ -19,7 +20,7 @@ CALIBRATION_ROWS = 40_000
 SEEN, DISCOUNT, MARGIN = 3, 0.75, 2.0
 CUT = 0.3
 #: Beginnings of so many bytes or more share one backoff weight; parts of a unit that ratios are summed in; words that a task counts at once.
-DEPTHS, UNIT, WORDS = 12, 1 << 16, 2_000_000
+DEPTHS, UNIT, WORDS = 12, 1 << 16, 1_000_000
 #: Labelled texts for each bucket of pairs; up to so many buckets, all pairs that end in a word are in one.
 BUCKET_TEXTS, BUCKETS = 1024, 64
 _WORDS = bytes(ord(chr(i).lower()) if i < 128 and chr(i).isalnum() else i if i > 127 else 32 for i in range(256))
@@ -122,32 +123,48 @@ def _bucket(word: np.ndarray, ctx: np.ndarray, buckets: int) -> np.ndarray:
     return (((word >> np.uint64(5)) + part) % np.uint64(buckets)).astype(np.int64)
 
 
+def _distinct(x: np.ndarray) -> np.ndarray:
+    """Sorted in place, without copies of equal values."""
+    x.sort()
+    return x[np.append(True, x[1:] != x[:-1])[: len(x)]]
+
+
 def _tally(order: int, block: int, buckets: int):
     """Counts of labelled texts by word and preceding word, packed by bucket; the start of texts is an empty word."""
 
-    def flush(texts, classes):
-        flat = pa.array([w for ws in texts for w in ws], pa.binary()).dictionary_encode()
-        words, index = flat.dictionary.to_pylist(), flat.indices.to_numpy().astype(np.int64)
+    def keys(index, size, classes, start):
+        """(word, preceding word or mark, class) in one number, once for each text that holds it, sorted."""
+        wide, doc = start + 3, np.repeat(np.arange(len(size)), size)
+        held = _distinct(np.concatenate([doc * wide + index, np.flatnonzero(size) * wide + start]))
+        out = [(held % wide * wide + start + 1) * len(_COUNTS) + classes[held // wide]]
+        if order > 1:
+            before = np.empty(len(index), np.int64)
+            before[1:] = index[:-1]
+            before[(np.cumsum(size) - size)[size > 0]] = start
+            before += (doc * wide + index) * wide
+            held = _distinct(before)
+            of = classes[held // wide**2]
+            out += [held % wide**2 * len(_COUNTS) + of, (held % wide * wide + start + 2) * len(_COUNTS) + of]
+        out = np.concatenate(out)
+        out.sort()
+        return out
+
+    def flush(words, index, size, classes):
         start, wide = len(words), len(words) + 3  # the numbers of the start and, as preceding words, of the two marks
         h = np.append(whole_words(words), [_BASIS, np.uint64(_OWN), np.uint64(_NEXT)])
         words.append(b"")
-        size = np.fromiter(map(len, texts), np.int64, len(texts))
-        doc, first = np.repeat(np.arange(len(texts)), size), (np.cumsum(size) - size)[size > 0]
-        by = lambda doc, x: np.unique(x * len(_COUNTS) + classes[doc], return_counts=True)
-        held = np.unique(np.concatenate([doc * wide + index, np.flatnonzero(size) * wide + start]))
-        key, n = by(held // wide, held % wide * wide + start + 1)
-        if order > 1:
-            before = np.concatenate([[start], index[:-1]])
-            before[first] = start
-            held = np.unique((doc * wide + index) * wide + before)
-            more = by(held // wide**2, held % wide**2), by(held // wide**2, held % wide * wide + start + 2)
-            key, n = (np.concatenate(x) for x in zip((key, n), *more, strict=True))
+        key = keys(index, size, classes, start)
+        first = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
+        n, key = np.diff(np.append(first, len(key))), key[first]
         again = -(-n // _MANY)
-        n = np.concatenate([[_MANY] * (t - 1) + [x - _MANY * (t - 1)] for x, t in zip(n[again > 1].tolist(), again[again > 1].tolist(), strict=True)] + [n[again == 1]]).astype(np.int64)
-        key = np.concatenate([np.repeat(key[again > 1], again[again > 1]), key[again == 1]])
-        word, ctx, seen = key // len(_COUNTS) // wide, key // len(_COUNTS) % wide, (key % len(_COUNTS) + len(_COUNTS) * (n - 1)).astype(np.uint8)
-        bucket = _bucket(h[word], h[ctx], buckets)
-        at = np.lexsort((ctx, word, bucket))
+        key, many = np.repeat(key, again), np.full(again.sum(), _MANY, np.int16)
+        many[np.cumsum(again) - 1] = n - _MANY * (again - 1)
+        seen = (key % len(_COUNTS) + len(_COUNTS) * (many - 1)).astype(np.uint8)
+        key //= len(_COUNTS)
+        word, ctx = (key // wide).astype(np.int32), (key % wide).astype(np.int32)
+        del key, first, n, again, many
+        bucket = _bucket(h[word], h[ctx], buckets).astype(np.int32)
+        at = np.argsort(bucket, kind="stable")
         cuts = np.searchsorted(bucket[at], np.arange(buckets + 1))
         for k in np.flatnonzero(cuts[1:] > cuts[:-1]):
             z = at[cuts[k] : cuts[k + 1]]
@@ -157,20 +174,26 @@ def _tally(order: int, block: int, buckets: int):
             yield int(k), h[contexts].tobytes(), *small
 
     def run(batches):
-        texts, classes, held = [], [], 0
+        number, texts, classes, held = defaultdict(), [], [], 0  # texts as numbers of words
+        number.default_factory = number.__len__
 
         def rows():
-            for row in flush(texts, np.array(classes, np.int64)):
+            size, words, index = np.fromiter(map(len, texts), np.int64, len(texts)), list(number), np.concatenate(texts)
+            texts.clear()
+            number.clear()
+            for row in flush(words, index, size, np.array(classes, np.int64)):
                 yield pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip(row, (pa.int32(), *[pa.binary()] * 5), strict=True)], [x.split()[0] for x in _PACKED.split(", ")])
+            classes.clear()
 
         for b in batches:
-            for words, toxic, fold in zip(*(b.column(k).to_pylist() for k in range(3)), strict=True):
-                texts.append(zlib.decompress(words).split())
-                classes.append(2 * fold + toxic)
-                held += len(texts[-1])
+            for words, toxic, fold in zip(*b.columns, strict=True):
+                words = zlib.decompress(words.as_py()).split()
+                texts.append(np.fromiter(map(number.__getitem__, words), np.int32, len(words)))
+                classes.append(2 * fold.as_py() + toxic.as_py())
+                held += len(words)
                 if held > block:
                     yield from rows()
-                    texts, classes, held = [], [], 0
+                    held = 0
         if held:
             yield from rows()
 
