@@ -182,6 +182,22 @@ def test_near_pairs_of_short_and_long_strings(spark, monkeypatch):
     assert alike(similar.near_pairs(some, least, tables, df)) == {p for p in every if len(p[0]) % 3}
 
 
+def test_long_strings_are_not_copied_for_each_tile(spark, monkeypatch):
+    """What is shuffled grows with the strings, not with their number times that of tiles."""
+    from textloom.operators import similar
+
+    monkeypatch.setattr(similar, "TILE", 64)
+    draw, tables = random.Random(8), entities.shared.Tables(spark, "test")
+    base = ["".join(draw.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(60)) for _ in range(1000)]
+    strings = base + [t[:20] + "#" + t[21:] for t in base]
+    df = spark.createDataFrame([(0, t) for t in strings], "kind int, t string")
+    written = lambda: (lambda x: sum(x.apply(k).totalShuffleWrite() for k in range(x.length())))(spark.sparkContext._jsc.sc().statusStore().executorList(True))
+    before = written()
+    pairs = {(r.a, r.b) for r in similar.near_pairs(df, 0.85, tables).collect()}
+    assert {tuple(sorted(p)) for p in zip(base, strings[1000:], strict=True)} <= pairs
+    assert written() - before < 10 * sum(map(len, strings))
+
+
 def test_short_strings_meet_in_rests_only(spark):
     """Words of one small alphabet have common parts throughout: the join makes few pairs besides those alike. It made nearly all before."""
     from textloom.operators import similar
