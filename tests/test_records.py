@@ -107,6 +107,20 @@ def test_nearest_terms_against_all_terms(spark):
     assert got == want and len(want) > 40
 
 
+def test_near_terms_are_looked_for_closest_first(spark, monkeypatch):
+    """Words with a very near term don't meet the many terms that are less near; the results are those of all terms."""
+    calls, whole = [], similar.near_pairs
+    monkeypatch.setattr(similar, "near_pairs", lambda values, least, *more: calls.append((least, {r.t for r in values.collect()})) or whole(values, least, *more))
+    draw = random.Random(9)
+    terms = ["".join(draw.choice("aeinrst") for _ in range(12)) for _ in range(40)] + ["ab" * 40, "äöü" * 30, "e" * 300]
+    near, far = [t[:5] + "x" + t[6:] for t in terms], [t[:3] + "xyz" + t[6:] for t in terms[:40]] + ["q" * 12, "e" * 299]
+    got = {r.value: (r.term, round(r.similarity, 9)) for r in vocabulary.nearest(spark.createDataFrame([(v,) for v in near + far], "value string"), spark.createDataFrame([(t,) for t in terms], "term string"), Tables(spark, "test"), block=16).collect()}
+    want = {v: max((round(difflib.SequenceMatcher(None, t, v).ratio(), 9), t) for t in terms)[::-1] for v in {*near, *far}}
+    assert got == {v: x for v, x in want.items() if x[1] >= 0.6}
+    assert [c for c, _ in calls] == sorted({c for c, _ in calls}, reverse=True) and len(calls) > 1
+    assert set(near) <= calls[0][1] and not set(near[:-1]) & calls[-1][1] and {"q" * 12, far[0]} <= calls[-1][1]
+
+
 def test_values_are_sorted_out(spark):
     df = spark.createDataFrame([(1, ["View ", "clik", "zzz", None, "", "CLIK"]), (2, None), (3, []), (4, ["order"])], "doc_id long, values array<string>")
     out = {r.doc_id: (r.valid, [tuple(x) for x in r.replaced], r.suggested) for r in vocabulary.sorted_out(df, spark.createDataFrame([("view",), ("Click",), (None,), ("order",)], "term string")).collect()}

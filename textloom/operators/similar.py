@@ -5,11 +5,12 @@ from __future__ import annotations
 import itertools
 import math
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -117,8 +118,8 @@ class Tile:
 
     def __init__(self, strings: list[str], groups: np.ndarray):
         self.sizes = np.fromiter(map(len, strings), np.int64, len(strings))
-        self.codes = (np.frombuffer("".join(strings).encode("utf-32-le"), np.uint32) % BUCKETS).astype(np.uint8)
         self.points, self.first = np.frombuffer("".join(strings).encode("utf-32-le"), np.uint32), np.cumsum(self.sizes) - self.sizes
+        self.codes = (self.points % BUCKETS).astype(np.uint8)
         self.letters = _letters(strings)
         counts, starts = _grouped(self.letters, groups), np.arange(0, len(strings), RUN)
         self.lo, self.hi, self.longest = np.minimum.reduceat(counts, starts), np.maximum.reduceat(counts, starts), np.maximum.reduceat(self.sizes, starts)
@@ -301,11 +302,15 @@ def _tiles(strings: DataFrame, layout, tables: Tables) -> DataFrame:
     return out
 
 
+def _no_pairs(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame([], "kind string, a string, b string")
+
+
 def _long_pairs(left: DataFrame, right: DataFrame, least: float, layout, tables: Tables, half: bool = False) -> DataFrame:
     """(kind, a, b) of tiles: pairs of tiles meet in a product of the parts that both sides are dealt to, which is not written, if the sums of their groups of letters let any pair be alike. With ``half`` both sides are the same and each pair of tiles meets once."""
     sizes = [side.count() for side in (left, right)]
     if not all(sizes):
-        return left.sparkSession.createDataFrame([], "kind string, a string, b string")
+        return _no_pairs(left.sparkSession)
     dealt = lambda side, n: side.repartition(min(DEALT, math.ceil(math.sqrt(2 * n))))
     a, b = (dealt(side, n).select(*(F.col(c).alias(f"{c}_{x}") for c in side.columns)) for side, n, x in ((left, sizes[0], "a"), (right, sizes[1], "b")))
     bound = lambda g: F.greatest(F.lit(0), F.col("lo_a")[g] - F.col("hi_b")[g], F.col("lo_b")[g] - F.col("hi_a")[g])
@@ -329,12 +334,13 @@ def _long_pairs(left: DataFrame, right: DataFrame, least: float, layout, tables:
         return tables.write(pairs.mapInArrow(meet, "kind string, a string, b string"), "long")
 
 
-def near_pairs(strings: DataFrame, least: float, tables: Tables, other: DataFrame | None = None) -> DataFrame:
+def near_pairs(strings: DataFrame, least: float, tables: Tables, other: DataFrame | None = None, most: int | None = None) -> DataFrame:
     """(kind, a, b) with a < b: every pair of distinct strings (kind, t) whose indel ratio can be ``least``; the ratio itself is yet to be computed. With ``other``, every such pair of a string a and another string b of those.
 
     Two short strings meet in a longest common subsequence, which both leave when few letters are left out: their number
     grows with the strings, not with their pairs. Long ones have too many such rests, and their parts are common to most of
     them: all pairs of tiles compare their letters, but for tiles that are too far apart, and nothing is written for a pair of tiles.
+    ``most`` is the size up to which strings are short; with 0 all lie in tiles, which is less work for words up to some millions.
     """
     if not 0 < least <= 1:
         raise ValueError("the least ratio lies between 0 and 1")
@@ -343,19 +349,22 @@ def near_pairs(strings: DataFrame, least: float, tables: Tables, other: DataFram
     if other is not None:
         sided = sided.unionByName(other.select("kind", F.lit(1).alias("side"), "t"))
     sided = tables.write(sided.select(F.col("kind").cast("string").alias("kind"), "side", "t", F.length("t").alias("size")).where("size > 0").distinct(), "sided")
-    most, two = short_size(least), other is not None
+    most, two = short_size(least) if most is None else min(most, short_size(least)), other is not None
     reach = _least_kept(most + 1, least)
     size = F.col("size")
-    pairs = _short_pairs(sided.where(size <= most), least, tables, two)
+    found = [_short_pairs(sided.where(size <= most), least, tables, two)] if most else []
     n = sided.where(size > most).count()
     if n:
         tiled = sided.where(size >= reach)
         some = tiled.where(F.pmod(F.xxhash64("kind", "t"), F.lit(1 + n // SEEN)) == 0).limit(SEEN).select("t")
         layout = strings.sparkSession.sparkContext.broadcast(Layout([r.t for r in some.collect()], max(n / TILE, min(FEW, n / FEWEST))))
         of = lambda side, test: _tiles(tiled.where((F.col("side") == side) & test), layout, tables)
-        long, short = ([of(s, test) for s in range(1 + two)] for test in (size > most, size <= most))
-        for left, right, half in [(long[0], long[-1], not two), (long[0], short[-1], False), *([(short[0], long[1], False)] if two else [])]:
-            pairs = pairs.unionByName(_long_pairs(left, right, least, layout, tables, half))
+        long = [of(s, size > most) for s in range(1 + two)]
+        found.append(_long_pairs(long[0], long[-1], least, layout, tables, not two))
+        if reach <= most:
+            short = [of(s, size <= most) for s in range(1 + two)]
+            found += [_long_pairs(x, y, least, layout, tables) for x, y in [(long[0], short[-1]), *([(short[0], long[1])] if two else [])]]
+    pairs = reduce(DataFrame.unionByName, found or [_no_pairs(strings.sparkSession)])
     a, b = (F.col("a"), F.col("b")) if two else (F.least("a", "b"), F.greatest("a", "b"))
     return pairs.where("a <> b").select(F.col("kind").cast(kind).alias("kind"), a.alias("a"), b.alias("b")).distinct()
 
@@ -375,6 +384,27 @@ def indel_ratio(a: str, b: str) -> float:
     return 2 * (len(a) - row.bit_count()) / (len(a) + len(b))
 
 
+def columns(strings: list[str], most: int) -> np.ndarray:
+    """A column for each string with the buckets of its letters, ``most`` of them at most; beyond its end stands one that no letter has."""
+    some = [t[:most] for t in strings]
+    sizes = np.fromiter(map(len, some), np.int64, len(some))
+    out, of = np.full((sizes.max(initial=0), len(some)), BUCKETS, np.uint8), np.repeat(np.arange(len(some)), sizes)
+    out[np.arange(len(of)) - np.repeat(np.cumsum(sizes) - sizes, sizes), of] = np.frombuffer("".join(some).encode("utf-32-le"), np.uint32) % BUCKETS
+    return out
+
+
+def in_common(a: str, text: np.ndarray) -> np.ndarray:
+    """The longest common subsequence of a string of up to 64 letters with each of the ``columns``, letters of a bucket being the same; as in ``indel_ratio``, but all columns at once."""
+    places = np.zeros(BUCKETS + 1, np.uint64)
+    for k, x in enumerate(a):
+        places[ord(x) % BUCKETS] |= np.uint64(1 << k)
+    rows = np.full(text.shape[1], _LOW[64])
+    for line in text:
+        hit = rows & places[line]
+        rows = (rows + hit) | (rows ^ hit)
+    return 64 - np.bitwise_count(rows).astype(np.int64)
+
+
 def ratio(a: Column, b: Column) -> Column:
     @F.pandas_udf("double")
     def run(x: pd.Series, y: pd.Series) -> pd.Series:

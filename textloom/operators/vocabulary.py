@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import difflib
 from collections.abc import Iterable, Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -14,8 +15,8 @@ from textloom import shared
 from textloom.operators import similar
 from textloom.registry import query, table
 
-#: Ratios from which a term is near, and from which a join finds it; terms of a block.
-LEAST, CLOSE, BLOCK_TERMS = 0.6, 0.8, 16384
+#: Ratios from which a term is near, and from which joins find it, one after another; terms of a block.
+LEAST, CLOSE, BLOCK_TERMS = 0.6, (0.9, 0.85, 0.8), 16384
 
 
 def _best(value: str, terms: Iterable[tuple[float, str]], least: float) -> tuple[float, str] | None:
@@ -40,18 +41,24 @@ def _rows(out: list[tuple[str, str, float]]) -> pa.RecordBatch:
 
 
 def _matcher(sent, least: float):
-    """For each value the most similar term of a block; letters in common bound the ratio."""
+    """For each value the most similar term of a block; letters in common bound the ratio, of those the longest common subsequence does."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         terms = sent.value
-        theirs, sizes = similar.bags(terms, 1, 32), np.array(list(map(len, terms)))
+        theirs, sizes, text = similar.bags(terms, 1, 32), np.array(list(map(len, terms))), similar.columns(terms, 64)
+        theirs = theirs.astype(np.uint8) if theirs.max(initial=0) < 256 else theirs
         for b in batches:
             values, out = b.column(0).to_pylist(), []
             for v, mine in zip(values, similar.bags(values, 1, 32).T, strict=True):
-                bound = 2 * np.minimum(theirs, mine[:, None]).sum(0, dtype=np.int64) / (sizes + len(v))
-                at = np.flatnonzero(bound >= least - 1e-9)
-                at = at[np.argsort(-bound[at], kind="stable")]
-                if best := _best(v, zip(bound[at].tolist(), (terms[k] for k in at.tolist()), strict=True), least):
+                mine = np.minimum(mine, 255).astype(np.uint8) if theirs.dtype == np.uint8 else mine
+                shared = np.minimum(theirs, mine[:, None]).sum(0, dtype=np.uint8 if theirs.dtype == np.uint8 and len(v) < 256 else np.int64)
+                at = np.flatnonzero(shared >= (least / 2 - 1e-9) * (sizes + len(v)))
+                kept = shared[at].astype(np.int64)
+                if len(v) <= 64:
+                    kept = np.where(sizes[at] <= 64, similar.in_common(v, text[:, at]), kept)
+                bound = 2 * kept / (sizes[at] + len(v))
+                order = np.argsort(-bound, kind="stable")
+                if best := _best(v, zip(bound[order].tolist(), (terms[k] for k in at[order].tolist()), strict=True), least):
                     out.append((v, best[1], best[0]))
             yield _rows(out)
 
@@ -76,22 +83,27 @@ def nearest(values: DataFrame, terms: DataFrame, tables: shared.Tables, least: f
     """(value, term, similarity) of distinct values with their nearest other term by matching blocks at ``least`` or more; of equals the last by letters.
 
     Matching blocks are a common subsequence. So a join that loses no pair of an indel ratio of CLOSE settles all values with
-    a term at CLOSE or more: no other term is as near. Most have one. (At a ratio of 0.6 strings needn't share any two letters
+    a term at CLOSE or more: no other term is as near. Most have one. The closest ratio comes first, since a value that has
+    a term there needs none of the many pairs at the next. (At a ratio of 0.6 strings needn't share any two letters
     in a row, so that such a join would make nearly all pairs.) For the others the vocabulary goes out in blocks of bounded
     size, each against these values, which stay where they are; a value's best of each block meet in a sum. The letters that
-    two strings have in common bound their matching blocks; the likeliest terms come first, and few pairs are compared in full.
+    two strings have in common bound their matching blocks, and so does their longest common subsequence; the likeliest terms
+    come first, and few pairs are compared in full.
     """
     spark, out = values.sparkSession, None
     cores = spark.sparkContext.defaultParallelism
     some = tables.write(values.select("value").where("value <> ''").distinct().repartition(cores), "distinct")
     known = tables.write(terms.select("term").where("term <> ''").distinct(), "known")
-    close = max(least, CLOSE)
     kind = lambda df, c: df.select(F.lit(0).alias("kind"), F.col(c).alias("t"))
-    pairs = similar.near_pairs(kind(some, "value"), close, tables, kind(known, "term")).groupBy("a").agg(F.collect_list("b").alias("terms"))
-    near = tables.write(pairs.mapInArrow(_nearest_of_listed(close), _NEAREST), "close")
+    settled = []
+    for close in sorted({max(least, c) for c in CLOSE}, reverse=True):
+        pairs = similar.near_pairs(kind(some, "value"), close, tables, kind(known, "term"), 0).groupBy("a").agg(F.collect_list("b").alias("terms"))
+        settled.append(tables.write(pairs.mapInArrow(_nearest_of_listed(close), _NEAREST), "close"))
+        if close > least:
+            some = tables.write(some.join(settled[-1], "value", "left_anti").repartition(cores), "distant")
+    near = reduce(DataFrame.unionByName, settled)
     if close == least:
         return near
-    some = tables.write(some.join(near, "value", "left_anti").repartition(cores), "distant")
     held: list[str] = []
 
     def ask(listed: list[str]) -> DataFrame:
